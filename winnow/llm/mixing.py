@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from winnow.llm._common import fresh, materialise, small, table
+from winnow.llm._common import fresh, materialise, row_hash, small, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
@@ -50,35 +50,33 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epoch
     return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))).drop("level", "cap")
 
 
-def weighted_fair_mix(df: DataFrame, id_col: str, source_col: str, size_col: str, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
-    """``df`` with ``source_size`` long, ``target`` double and ``copies`` long (0 to epochs), the passes in which the mix takes the row.
+def weighted_fair_mix(df: DataFrame, id_col: str, source_col: str, size_col: str, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7, outputs: tuple[str, str, str] = ("source_size", "target", "copies")) -> DataFrame:
+    """``df`` with its source's size (long) and target (double), and the passes in which the mix takes the row (long, 0 to epochs).
 
-    Input columns of these names are replaced. One shuffle carries the rows by
+    ``outputs`` names the three; input columns of these names are replaced. One shuffle carries the rows by
     (source, bucket of the order hash), where buckets grow with the source, so that
     no source and no id is one task; everything else is narrow.
     """
-    df = df.drop("source_size", "target", "copies")
-    carried = df.columns
-    src, size, h, bucket, served, before = fresh(df, "src", "size_", "h", "bucket", "served", "before")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = df.select("*", F.col(source_col).alias(src), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias(size), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias(h))
-    per_source = rows.groupBy(F.col(src).alias("src")).agg(F.sum(size).alias("source_size"), F.count("*").alias("n"))
+    rows = df.select(
+        F.struct(*(f"`{c}`" for c in df.columns)).alias("row"), F.col(source_col).alias("src"), F.col(id_col).alias("id"), row_hash(df).alias("tie"),
+        F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("words"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("hash"),
+    )
+    per_source = rows.groupBy("src").agg(F.sum("words").alias("source_size"), F.count("*").alias("n"))
     sources = materialise(source_targets(per_source, weights, epochs))
-    plan = sources.select(F.col("src").alias("_s"), "source_size", "target", "n", *(F.col(c).alias(f"_{c}") for c in ("rank", "weight")))
-    tall = F.ceil(F.col("n") / BUCKET_ROWS).cast("long")
-    rows = rows.join(small(plan), F.col(src).eqNullSafe(F.col("_s"))).withColumn(bucket, F.shiftright(F.shiftright(h, 30) * tall, 30)).drop("_s", "n")
-    # rows of one id (a third of all, at worst) share a hash; these words are spread by a second key
-    within = Window.partitionBy("_rank", bucket).orderBy(h, F.col(id_col).asc_nulls_last(), size, *(c for c, t in df.dtypes if t in ("string", "bigint", "int") and c not in (id_col, size_col)))
-    rows = rows.withColumn(served, F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = materialise(rows.drop(src))
-    buckets = rows.groupBy("_rank", bucket).agg(F.sum(size).alias("_words"))
-    earlier = Window.partitionBy("_rank").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = materialise(buckets.select(F.col("_rank").alias("_r"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias(before)))
-    rows = rows.join(small(buckets), (F.col("_rank") == F.col("_r")) & (F.col(bucket) == F.col("_b"))).withColumn(served, F.col(served) + F.col(before)).drop("_r", "_b", before, bucket)
-
-    finish = lambda e: (e * F.col("source_size") + F.col(served)).cast("double") / F.col("_weight")
+    plan = sources.select(F.col("src").alias("s"), "source_size", "target", "n", F.col("rank").alias("r"), "weight")
+    bucket = F.shiftright(F.shiftright("hash", 30) * F.ceil(F.col("n") / BUCKET_ROWS).cast("long"), 30)
+    rows = rows.join(small(plan), F.col("src").eqNullSafe(F.col("s"))).withColumn("bucket", bucket).drop("s", "src", "n")
+    queue = Window.partitionBy("r", "bucket").orderBy("hash", F.col("id").asc_nulls_last(), "words", "tie")
+    rows = materialise(rows.withColumn("inner", F.sum("words").over(queue.rowsBetween(Window.unboundedPreceding, 0))).drop("tie"))
+    buckets = rows.groupBy("r", "bucket").agg(F.sum("words").alias("all"))
+    earlier = Window.partitionBy("r").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = materialise(buckets.select("r", "bucket", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("outer")))
+    rows = rows.join(small(buckets), ["r", "bucket"]).withColumn("served", F.col("inner") + F.col("outer"))
+
+    finish = lambda e: (e * F.col("source_size") + F.col("served")).cast("double") / F.col("weight")
     keys = ["finish", "r", "pass", "hash", "id", "words"]
-    entries = rows.where(F.col(size) > 0).select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("pass"), "source_size", served, F.col("_rank").alias("r"), "_weight", F.col(h).alias("hash"), F.col(id_col).alias("id"), F.col(size).alias("words"))
+    entries = rows.where(F.col("words") > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     entries = entries.select(finish(F.col("pass")).alias("finish"), *keys[1:])
     budget = sources.agg(F.max("budget").alias("b")).first()["b"]
     cut = _cut(entries, keys, budget) if budget else None
@@ -86,15 +84,16 @@ def weighted_fair_mix(df: DataFrame, id_col: str, source_col: str, size_col: str
     def taken(e: int) -> Column:
         if cut is None:
             return F.lit(0).cast("long")
-        mine = [finish(F.lit(e)), F.col("_rank"), F.lit(e), F.col(h), F.col(id_col), F.col(size)]
+        mine = [finish(F.lit(e)), F.col("r"), F.lit(e), F.col("hash"), F.col("id"), F.col("words")]
         ahead, same = F.lit(False), F.lit(True)
         for a, b in zip(mine, (F.lit(cut[k]) for k in keys)):
             ahead = ahead | (same & F.coalesce((a < b) | (a.isNotNull() & b.isNull()), F.lit(False)))
             same = same & a.eqNullSafe(b)
-        return ((F.col(size) > 0) & (ahead | same)).cast("long")
+        return ((F.col("words") > 0) & (ahead | same)).cast("long")
 
     copies = reduce(lambda x, y: x + y, (taken(e) for e in range(epochs)))
-    return rows.withColumn("copies", copies).select(*carried, "source_size", "target", "copies")
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in outputs]
+    return rows.select(*kept, F.col("source_size").alias(outputs[0]), F.col("target").alias(outputs[1]), copies.alias(outputs[2]))
 
 
 def _cut(entries: DataFrame, keys: list[str], budget: int) -> Row | None:
@@ -121,9 +120,9 @@ def _cut(entries: DataFrame, keys: list[str], budget: int) -> Row | None:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, repeated once a pass; columns as before."""
-    size, again = fresh(docs, "n_words", "again")
-    mixed = weighted_fair_mix(docs.withColumn(size, n_words(F.col("text"))), "doc_id", "source", size)
-    return mixed.where(F.col("copies") > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    size, again, *outputs = fresh(docs, "n_words", "again", "source_size", "target", "copies")
+    mixed = weighted_fair_mix(docs.withColumn(size, n_words(F.col("text"))), "doc_id", "source", size, outputs=tuple(outputs))
+    return mixed.where(F.col(outputs[2]) > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(outputs[2])))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from winnow.llm import mixing, sharding
+from winnow.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op1_feistel_shards": sharding.op1_feistel_shards,
+    "op3_simhash_groups": simhash.op3_simhash_groups,
     "op7_fair_mix": mixing.op7_fair_mix,
 }
 
