@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from winnow.llm import mixing, sharding, simhash, toxicity
+from winnow.llm import mixing, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_feistel_shards": sharding.op1_feistel_shards,
     "op3_simhash_groups": simhash.op3_simhash_groups,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_fair_mix": mixing.op7_fair_mix,
+    "op10_perplexity": quality_rules.op10_perplexity,
 }
 
 SQL = {
