@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from winnow.llm import mixing, quality_rules, sharding, simhash, toxicity
+from winnow.llm import decontamination, mixing, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_feistel_shards": sharding.op1_feistel_shards,
+    "op2_contaminated": decontamination.op2_contaminated,
     "op3_simhash_groups": simhash.op3_simhash_groups,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_fair_mix": mixing.op7_fair_mix,
