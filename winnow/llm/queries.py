@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from winnow.llm import decontamination, mixing, quality_rules, sharding, simhash, toxicity
+from winnow.llm import decontamination, licenses, mixing, quality_rules, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_feistel_shards": sharding.op1_feistel_shards,
     "op2_contaminated": decontamination.op2_contaminated,
     "op3_simhash_groups": simhash.op3_simhash_groups,
+    "op5_url_words": url_filter.op5_url_words,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_fair_mix": mixing.op7_fair_mix,
+    "op9_license_spans": licenses.op9_license_spans,
     "op10_perplexity": quality_rules.op10_perplexity,
 }
 
