@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from winnow.llm import decontamination, licenses, mixing, quality_rules, sharding, simhash, toxicity, url_filter
+from winnow.llm import decontamination, licenses, mixing, quality, quality_rules, sharding, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_feistel_shards": sharding.op1_feistel_shards,
     "op2_contaminated": decontamination.op2_contaminated,
     "op3_simhash_groups": simhash.op3_simhash_groups,
+    "op4_cotraining": quality.op4_cotraining,
     "op5_url_words": url_filter.op5_url_words,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_fair_mix": mixing.op7_fair_mix,
+    "op8_token_rollup": token_counts.op8_token_rollup,
     "op9_license_spans": licenses.op9_license_spans,
     "op10_perplexity": quality_rules.op10_perplexity,
 }

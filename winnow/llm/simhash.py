@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm._common import materialise, table
+from winnow.llm._common import fresh, materialise, table
 from winnow.llm._text import LOWER, data_of, offsets_of, slices
 from winnow.llm.components import connected_components
 
@@ -130,6 +130,21 @@ def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS)
     return prints.join(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "fp").select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row of each group of ``docs`` (doc_id, text): the one with the smallest doc_id, null last, then text hash; columns as before.
+
+    Rows are told apart by id and text, so of repeated rows one stays.
+    """
+    keep, mine = fresh(docs, "keep", "mine")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    groups = simhash_groups(docs.select(key.alias("key"), "text"), "key", "text", bits)
+    kept = groups.where(F.col("id") == F.col("component")).select("id.*").distinct()
+    parts = [fresh(docs, f"{mine}_{f}")[0] for f in ("none", "id", "hash")]
+    keyed = docs.withColumn(keep, key).withColumns({p: F.col(f"{keep}.{f}") for p, f in zip(parts, ("none", "id", "hash"))}).drop(keep)
+    kept = kept.toDF(*parts)
+    return keyed.join(kept, parts, "left_semi").dropDuplicates(parts).drop(*parts)
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     groups = simhash_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
