@@ -113,7 +113,7 @@ class Index:
                 continue
             edits = min(int(RATE * len(c)), max(0, (len(c) - Q + 1 - LEAST) // Q))
             items.append(Item(item_id, c, edits, len(c) - Q + 1 - Q * edits))
-            g = _grams(c) if len(c) >= Q else np.zeros(0, np.uint64)
+            g = _grams(c) if len(c) >= Q + LEAST - 1 else np.zeros(0, np.uint64)
             grams.append(g), which.append(np.full(len(g), len(items) - 1)), place.append(np.arange(len(g)))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         g, w, p = join(grams, np.uint64), join(which, np.int64), join(place, np.int64)
