@@ -1,0 +1 @@
+"""Curating, selecting and evaluating labelled records and vectors on Spark."""

@@ -96,7 +96,7 @@ def measures_udf(model):
     def measures(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, groups in batches:
             out, at = [], 0
-            for part in slices(texts):
+            for part in slices(texts, charlm.COUNT_BYTES):
                 words, off = words_of(part)
                 distinct, ids = encoded(words)
                 group = np.repeat(np.asarray(groups.slice(at, len(part))).astype(np.int64), np.diff(off))
@@ -105,7 +105,7 @@ def measures_udf(model):
                 if model is not None and len(ids):
                     pairs, inverse = np.unique(group * (1 << 32) + ids, return_inverse=True)
                     ll, n = model.value.score(distinct.take(pa.array(pairs & ((1 << 32) - 1))), pairs >> 32)
-                    ll, n = ll[inverse], n[inverse]
+                    ll, n = ll[inverse, 0], n[inverse]
                 out.append([*base_counts(part, ids, off), sums(ll, off), sums(n, off)])
             cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * len(kind)
             yield pa.StructArray.from_arrays([pa.array(c.astype(np.float64 if f.name == "ll" else np.int64)) for c, f in zip(cols, kind)], kind.names)
