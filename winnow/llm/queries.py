@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_feistel_shards": sharding.OP1_SQL,
     "op7_fair_mix": mixing.OP7_SQL,
 }

@@ -46,7 +46,9 @@ def global_row_numbers(df: DataFrame, order_by: list[str], name: str = "row_numb
 
 
 def _mix(seed: int, step: int, value: Column) -> Column:
-    return F.xxhash64(F.lit(seed).cast("long"), F.lit(step).cast("long"), value)
+    """60 bits of the MD5 of ``seed:step:value``, which other engines can compute too."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{step}:"), value.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def _grid(n: Column) -> tuple[Column, Column]:
@@ -58,11 +60,11 @@ def _once(x: Column, a: Column, b: Column, seed: int, inverse: bool) -> Column:
     left, right = F.floor(x / b).cast("long"), x % b
     for i in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
         if inverse:
-            right = F.pmod(right - F.pmod(_mix(seed, 2 * i + 1, left), b), b)
-            left = F.pmod(left - F.pmod(_mix(seed, 2 * i, right), a), a)
+            right = F.pmod(right - _mix(seed, 2 * i + 1, left) % b, b)
+            left = F.pmod(left - _mix(seed, 2 * i, right) % a, a)
         else:
-            left = (left + F.pmod(_mix(seed, 2 * i, right), a)) % a
-            right = (right + F.pmod(_mix(seed, 2 * i + 1, left), b)) % b
+            left = (left + _mix(seed, 2 * i, right) % a) % a
+            right = (right + _mix(seed, 2 * i + 1, left) % b) % b
     return left * b + right
 
 
@@ -101,3 +103,28 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"))
     return shard(docs, ["doc_id"], 16, seed=1).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _half_rounds(seed: int, place: str) -> str:
+    """SQL columns l, r of each half-round, from ``place`` to ``q``."""
+    mix = lambda step, v: f"('0x' || substr(md5('{seed}:{step}:' || {v}), 1, 15))::BIGINT"
+    out = [f"{place} // b AS l0", f"{place} % b AS r0"]
+    for i in range(ROUNDS):
+        out += [f"(l{i} + {mix(2 * i, f'r{i}')} % a) % a AS l{i + 1}", f"(r{i} + {mix(2 * i + 1, f'l{i + 1}')} % b) % b AS r{i + 1}"]
+    return ", ".join([*out, f"l{ROUNDS} * b + r{ROUNDS} AS q"])
+
+
+OP1_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab),
+d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, row_number() OVER (ORDER BY doc_id NULLS LAST) - 1 AS x, count(*) OVER () AS n,
+         xor(list_reduce([('0x' || h)::BIGINT for h in regexp_extract_all(hex(coalesce(text, '')), '..')], lambda c, h: xor(c >> 8, tab[(xor(c, h) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM documents, t),
+g AS (SELECT x, n, ceil(sqrt(n))::BIGINT AS a, (n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT AS b FROM d),
+w AS (
+  SELECT x, n, a, b, q FROM (SELECT *, {_half_rounds(1, "x")} FROM g)
+  UNION ALL SELECT x, n, a, b, q FROM (SELECT *, {_half_rounds(1, "p")} FROM (SELECT x, n, a, b, q AS p FROM w WHERE q >= n)))
+SELECT doc_id, size, text_crc32, 'rows' AS law, (q % 16)::INT AS shard, q // 16 AS slot, NULL::INT AS grown_shard
+FROM w JOIN d USING (x) WHERE q < w.n
+"""
