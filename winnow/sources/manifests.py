@@ -36,7 +36,7 @@ def read_hits(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.{png,jpg}") -> DataFrame:
-    """(path, cls, name, length): files below ``root`` by class folder; contents are not read."""
+    """(path, cls, name, length): files below ``root`` by class folder; contents are not read. Spark lists no files of length 0."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "length")
     return files.select("path", F.element_at(F.split("path", "/"), -2).alias("cls"), F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
