@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from winnow.llm._common import fresh, materialise, table
 from winnow.llm._text import LOWER, data_of, offsets_of, slices
 from winnow.llm.components import connected_components
+from winnow.llm.near_copies import near_copy_groups
 
 SHINGLE = 3
 BITS = 2
@@ -59,16 +60,20 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * over > k, bitorder="little").tobytes(), "little")
 
 
-@F.arrow_udf(T.LongType())
-def simhash64(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def simhash64(text: Column, shingle: int = SHINGLE) -> Column:
     """Fingerprints as signed longs."""
-    for texts in batches:
-        out = []
-        for part in slices(texts):
-            data, off = data_of(part).translate(LOWER), offsets_of(part)
-            off = (off - off[0]).tolist()
-            out += [fingerprint(data[a:b]) for a, b in zip(off, off[1:])]
-        yield pa.array(np.array(out, np.uint64).view(np.int64))
+
+    @F.arrow_udf(T.LongType())
+    def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for part in slices(texts):
+                data, off = data_of(part).translate(LOWER), offsets_of(part)
+                off = (off - off[0]).tolist()
+                out += [fingerprint(data[a:b], shingle) for a, b in zip(off, off[1:])]
+            yield pa.array(np.array(out, np.uint64).view(np.int64))
+
+    return prints(text)
 
 
 def pivots(width: int, shift: int, seed: int, references: int = 11) -> list[int]:
@@ -117,9 +122,9 @@ def _distances(shift: int, width: int) -> Column:
     return out
 
 
-def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS) -> DataFrame:
+def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp long, component) for each row of ``df``; component: the smallest id of the row's group."""
-    prints = materialise(df.select(F.col(id_col).alias("id"), simhash64(F.col(text_col)).alias("fp")))
+    prints = materialise(df.select(F.col(id_col).alias("id"), simhash64(F.col(text_col), shingle).alias("fp")))
     nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")))
     links = linked_fingerprints(nodes.select("fp"), bits)
     comps = connected_components(links.select(F.col("fp").alias("a"), F.col("other").alias("b")))
@@ -130,15 +135,14 @@ def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS)
     return prints.join(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row of each group of ``docs`` (doc_id, text): the one with the smallest doc_id, null last, then text hash; columns as before.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies of ``docs`` (doc_id, text), see :mod:`near_copies`: the one with the smallest doc_id, null last, then text hash; columns as before.
 
     Rows are told apart by id and text, so of repeated rows one stays.
     """
     keep, mine = fresh(docs, "keep", "mine")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    groups = simhash_groups(docs.select(key.alias("key"), "text"), "key", "text", bits)
-    kept = groups.where(F.col("id") == F.col("component")).select("id.*").distinct()
+    kept = near_copy_groups(docs.select(key.alias("key"), "text")).groupBy("group").agg(F.min("key").alias("id")).select("id.*")
     parts = [fresh(docs, f"{mine}_{f}")[0] for f in ("none", "id", "hash")]
     keyed = docs.withColumn(keep, key).withColumns({p: F.col(f"{keep}.{f}") for p, f in zip(parts, ("none", "id", "hash"))}).drop(keep)
     kept = kept.toDF(*parts)
