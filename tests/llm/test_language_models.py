@@ -4,30 +4,45 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tests.llm.data import LABELS, documents, empty, prose
 
 from winnow.llm import charlm, quality_rules, toxicity
+from winnow.llm._common import materialise
 from winnow.llm._text import encoded, plain, words_of
 
-WORDS = [("0", "stone", 5), ("0", "store", 3), ("0", "tone", 1), ("0", "a", 4), ("0", "at", 2), ("0", "étang", 1), ("1", "stone", 2), ("1", "zone", 7), ("1", "zoo", 1)]
-
-
-def by_hand(words, order, word, group):
-    """Interpolated modified Kneser-Ney from dictionaries; log-likelihood of a word."""
-    raw = {}
-    for g, w, n in words:
-        if g == group:
-            y = charlm.BOS + w + charlm.EOS
-            for i in range(len(y) - order + 1):
-                raw[y[i : i + order]] = raw.get(y[i : i + order], 0) + n
-            for k in range(2, order):
-                if len(y) >= k:
-                    raw[y[:k]] = raw.get(y[:k], 0) + n
-    level = {order: {x: n for x, n in raw.items() if len(x) == order}}
-    for k in range(order - 1, 0, -1):
-        level[k] = {x: n for x, n in raw.items() if len(x) == k}
-        for x in level[k + 1]:
-            level[k][x[1:]] = level[k].get(x[1:], 0) + 1
+TEXTS = [(0, "stone store  stone tone"), (0, "a at\n étang a stone"), (0, "stone"), (0, "a"), (1, "zone zoo stone zone"), (1, "zone at zone\tzone"), (1, ""), (1, None), (0, "stone store stone tone"), (None, "zz zz")]
+
+
+def symbols_of(text, fold=False):
+    """The text as the model sees it, by hand."""
+    import re
+
+    text = text.lower() if fold else text
+    body = re.sub(r"[ \t-\r]+", lambda m: "\n" if "\n" in m[0] else " ", text.strip(" \t\n\x0b\x0c\r"))
+    return charlm.BOS + body + charlm.EOS
+
+
+def by_hand(texts, order, text, pooled=None, shared=0):
+    """Interpolated modified Kneser-Ney from dictionaries; log-likelihood of a text. Orders up to ``shared`` are those of ``pooled`` texts."""
+
+    def counted(texts):
+        raw = {}
+        for t in texts:
+            y = symbols_of(t or "")
+            for i in range(1, len(y)):
+                w = y[max(0, i - order + 1) : i + 1]
+                raw[w] = raw.get(w, 0) + 1
+        level = {order: {x: n for x, n in raw.items() if len(x) == order}}
+        for k in range(order - 1, 0, -1):
+            level[k] = {x: n for x, n in raw.items() if len(x) == k}
+            for x in level[k + 1]:
+                level[k][x[1:]] = level[k].get(x[1:], 0) + 1
+        return level
+
+    level = counted(texts)
+    if shared:
+        level.update({k: v for k, v in counted(pooled).items() if k <= shared})
 
     def discount(k, a):
         n = [sum(1 for v in level[k].values() if v == i) for i in range(1, 5)]
@@ -48,49 +63,79 @@ def by_hand(words, order, word, group):
         total = sum(mine.values())
         return (mine.get(c, 0) - spent.get(c, 0)) / total + sum(spent.values()) / total * lower
 
-    y = charlm.BOS + word + charlm.EOS
+    y = symbols_of(text)
     return sum(log(p(y[max(0, i - order + 1) : i], y[i])) for i in range(1, len(y)))
 
 
+def of_group(g):
+    return [t for h, t in TEXTS if h == g]
+
+
+def likelihood(order):
+    def measure(texts, groups, table):
+        s, edge = charlm.symbols(texts)
+        return pa.array(np.add.reduceat(table.along(s, edge, order, groups).astype(np.float64), edge[:-1]))
+
+    return measure
+
+
 @pytest.mark.parametrize("order", [2, 3, 5])
-def test_model_equals_the_textbook_formula(spark, order):
-    counts = charlm.gram_counts(spark.createDataFrame([(int(g), w, n) for g, w, n in WORDS], "g int, word string, n long"), order)
-    model = charlm.fit(counts, order)
-    probes = ["stone", "zone", "at", "a", "stat", "étang", "xylo", "ze"]
-    for g in (0, 1):
-        ll, n = model.score(pa.array(probes), np.full(len(probes), g))
-        assert n.tolist() == [len(w) + 1 for w in probes]
-        for w, x in zip(probes, ll[:, 0]):
-            assert abs(x - by_hand(WORDS, order, w, str(g))) < 1e-4, (w, g)
+def test_model_equals_the_textbook_formula(spark, order, monkeypatch):
+    texts = spark.createDataFrame(TEXTS, "g int, text string")
+    counts = charlm.window_counts(texts, "g", "text", order)
+    probes = ["stone store", "zone\nzone", "at a at", "stat", "étang", "xylo tone", "", "ze"]
+    rows = spark.createDataFrame([(g, t) for g in (0, 1) for t in probes], "g int, text string")
+    windows = materialise(charlm.window_counts(rows, "g", "text", order).select("g", "gram"))
+    values = materialise(charlm.log_probabilities(windows, charlm.levels(counts, order)).withColumnRenamed("logp", "value"))
+    monkeypatch.setattr(charlm, "CHUNK_BYTES", 8)
+    for most in (None, 0):  # sent to all tasks, and dealt in chunks
+        got = charlm.with_values(rows, "text", "g", values, likelihood(order), T.DoubleType(), pa.float64(), "ll", order, most=most).collect()
+        assert len(got) == 16
+        for r in got:
+            assert abs(r["ll"] - by_hand(of_group(r["g"]), order, r["text"])) < 1e-4, (most, r)
+
+
+def test_windows_by_hand(spark, monkeypatch):
+    texts = [(0, prose(1, 300)), (0, "  A\x00b\x02 \n\n c \x0b"), (1, "x" * 500), (1, None), (None, "no")]
+    want = {}
+    for g, t in texts[:4]:
+        y = symbols_of((t or "").replace("\x00", charlm.OTHER).replace("\x02", charlm.OTHER), True)
+        for i in range(1, len(y)):
+            k = (g, y[max(0, i - 3) : i + 1])
+            want[k] = want.get(k, 0) + 1
+    df = spark.createDataFrame(texts, "g int, text string").coalesce(1)
+    for block in (1 << 21, 7):
+        monkeypatch.setattr(charlm, "BLOCK", block)
+        held = [charlm._merged(list(charlm._windows(plain(pa.array([t for _, t in texts[:4]])), np.array([0, 0, 1, 1]), 4, True)))]
+        assert {(int(g), "".join(map(chr, c[c > 0]))): int(n) for _, n, g, c in zip(*held[0])} == want
+    assert {(r["g"], r["gram"]): r["n"] for r in charlm.window_counts(df, "g", "text", 4, True).collect()} == want
 
 
 def test_classes_share_their_lower_orders(spark):
-    words = [(int(g), w, n) for g, w, n in WORDS]
-    pooled = {}
-    for _, w, n in words:
-        pooled[w] = pooled.get(w, 0) + n
-    both = spark.createDataFrame(words + [(2, w, n) for w, n in pooled.items()], "g int, word string, n long")
-    model = charlm.fit(charlm.gram_counts(both, 4), 4, (0, 1), 2, 2)
-    ll, _ = model.score(pa.array(["zone", "store", "qqq", "zebra"]))
-    assert ll[0, 1] > ll[0, 0] and ll[1, 0] > ll[1, 1]
-    assert abs(ll[2, 0] - ll[2, 1]) < 1e-6  # neither class has a longer context of it
-    alone = charlm.fit(charlm.gram_counts(both.where("g = 2"), 4), 4)
-    low, _ = alone.score(pa.array(["qqq"]), 2)
-    assert abs(low[0, 0] - ll[2, 0]) < 1e-4 or ll[2, 0] < low[0, 0]
-
-
-def test_bounded_model_drops_the_rarest_of_the_highest_order(spark):
-    counts = charlm.gram_counts(spark.createDataFrame([(int(g), w, n) for g, w, n in WORDS], "g int, word string, n long"), 4)
-    full = charlm.fit(counts, 4)
-    less = charlm.fit(counts, 4, max_grams=len(full.grams.keys) - 3)
-    assert less.order == 4 and len(less.grams.keys) <= len(full.grams.keys) - 3
-    assert charlm.fit(counts, 4, max_grams=30).order < 4
-    assert np.isfinite(less.score(pa.array(["stone", "zoo"]), np.zeros(2))[0]).all()
-
-
-def test_word_counts_leave_out_null_groups(spark):
-    df = spark.createDataFrame([(1, "a b a"), (1, None), (2, "a"), (None, "z z")], "g int, text string")
-    assert sorted(map(tuple, charlm.word_counts(df, "g", "text").collect())) == [(1, "a", 2), (1, "b", 1), (2, "a", 1)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(TEXTS)] + [(100, "zone stone"), (101, "qqq")], "doc_id long, text string")
+    rows = spark.createDataFrame([(i, g) for i, (g, _) in enumerate(TEXTS) if g is not None], "doc_id long, y int")
+    gaps = {r["gram"]: r["value"] for r in toxicity.window_gaps(docs, rows, 4).collect()}
+    pool = [t for g, t in TEXTS if g is not None]
+    for text in ("zone stone", "qqq", "store"):
+        y = symbols_of(text)
+        want = by_hand(of_group(1), 4, text, pool, 2) - by_hand(of_group(0), 4, text, pool, 2)
+        if text != "store":
+            assert abs(sum(gaps[y[max(0, i - 3) : i + 1]] for i in range(1, len(y))) - want) < 1e-6
+    assert abs(gaps["qqq" + charlm.EOS]) < 1e-9 and gaps["zone"] > 0 > gaps["tore"]  # no class has met the first
+
+
+def test_reversed_words_score_differently_and_a_long_word_is_quick(spark):
+    import time
+
+    texts = [prose(i, 120) for i in range(60)]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(100, " ".join(reversed(texts[0].split())), "en", "s", 1)])
+    got = {r["id"]: r for r in quality_rules.judge(docs).collect()}
+    assert abs(got[0]["log_ppl"] - got[100]["log_ppl"]) > 1e-4
+    rng = np.random.default_rng(1)
+    word = "".join(map(chr, rng.integers(97, 123, 2_000_000)))
+    begin = time.time()
+    found = [charlm._merged([x]) for x in charlm._windows(plain(pa.array([word])), np.array([0]), 5, False)]
+    assert sum(int(x[1].sum()) for x in found) == 2_000_001 and time.time() - begin < 20
 
 
 def toxic_table(spark):
@@ -120,6 +165,7 @@ def test_toxicity_edge_cases(spark):
     rows = {r["doc_id"]: r["score"] for r in toxicity.score_documents(more, labels).where("doc_id is null or doc_id >= 1000").collect()}
     assert rows[1000] == rows[1001] < 0.5 < rows[None]
     assert {r["score"] for r in toxicity.score_documents(docs, labels.where("toxic = 0")).collect()} == {0.0}
+    assert not toxicity.score_documents(more, labels).where(F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False)).isNull()).count()
     assert toxicity.score_documents(empty(spark), labels).collect() == []
 
 
@@ -158,3 +204,26 @@ def test_perplexity_is_the_mean_over_symbols(spark):
     docs = documents(spark, [(1, "stone store stone", "en", "s", 1)] * 3)
     r = quality_rules.judge(docs).first()
     assert 1 < exp(r["log_ppl"]) < 5 and r["n_sym"] == 18
+    assert abs(r["word_log_ppl"] - 6 * r["log_ppl"]) < 1e-9
+    want = -by_hand(["stone store stone"] * 3, quality_rules.ORDER, "stone store stone") / 18
+    assert abs(r["log_ppl"] - want) < 1e-5
+
+
+def test_bands_by_hand(spark):
+    rows = [(i, prose(i, 40 + i % 60), "en", "s", 1) for i in range(200)] + [(300 + i, " ".join(f"{w}$$$" for w in prose(i, 50).split()), "en", "s", 1) for i in range(6)]
+    got = quality_rules.judge(documents(spark, rows)).collect()
+    for kind, value, n in (("symbol", "log_ppl", "n_sym"), ("word", "word_log_ppl", "n_words")):
+        low, high, short = quality_rules.BANDS[kind]
+        q = np.percentile([r[value] for r in got], [25, 75], method="inverted_cdf")
+        for r in got:
+            reach = (q[1] - q[0]) * (1 + short / r[n]) ** 0.5
+            assert abs(r[f"{kind}_low"] - (q[0] - low * reach)) < 1e-9 and abs(r[f"{kind}_high"] - (q[1] + high * reach)) < 1e-9
+    for r in got:
+        inside = all(r[f"{k}_low"] <= r[v] <= r[f"{k}_high"] for k, v in (("symbol", "log_ppl"), ("word", "word_log_ppl")))
+        assert r["kept"] == (inside and not r["base_failed"])
+    assert not any(r["kept"] for r in got if r["id"] >= 300) and sum(r["kept"] for r in got if r["id"] < 200) > 190
+
+
+def test_null_and_empty_language_are_two_groups(spark):
+    langs = spark.createDataFrame([(None,), ("",), ("en",)], "lang string").select(quality_rules.language_group(F.col("lang")).alias("g"))
+    assert len({r["g"] for r in langs.collect()}) == 3

@@ -1,31 +1,41 @@
-"""Modified Kneser-Ney n-gram models over the characters of words, counted by Spark.
-
-Words are counted first (one row per distinct word of a slice, then a shuffle), so
-that everything after sees each distinct word once, with its weight. Counts of all
-orders are Spark aggregations. The finished model is a pair of sorted arrays, hash
--> log probability and hash of a context -> log backoff weight, of bounded size:
-``max_grams`` bounds the n-grams kept; past it the rarest of the highest order go
-first, which then back off to the lower orders, as they would if unseen.
+"""Modified Kneser-Ney n-gram models over the characters of whole texts, counted by Spark.
+
+A text is its words with one space between them, or one newline where the gap holds a
+line end, with a start and an end. The window of a symbol is the symbol with up to
+``order - 1`` before it: it reaches over words, never over texts.
+
+Tasks count the distinct windows of their texts; everything after is made of Spark
+aggregations and joins over n-grams (a row for each distinct one, keyed by n-grams, contexts
+or suffixes, of which none has more rows than there are symbols): :func:`levels` counts
+all orders, :func:`log_probabilities` gives each window of a second table its
+interpolated probability. No order is cut and nothing is left out, so the tables grow
+with the corpus. Windows with their values are then looked up from sorted hash arrays,
+:func:`with_values`: sent to all tasks if they are at most ``BROADCAST_ROWS``, else
+texts are dealt in chunks of ``CHUNK_BYTES`` and each chunk meets only the values of its
+own windows. Both give the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from winnow.llm._common import materialise
-from winnow.llm._text import data_of, encoded, slices, words_of
+from winnow.llm._common import fresh, materialise, small
+from winnow.llm._text import data_of, slices
 
-BOS, EOS = "\x02", "\x03"
+BOS, EOS, OTHER = "\x02", "\x03", "�"
 UNSEEN = 1 / (1 << 17)  # of a character that the model hasn't met: one in all code points, about
-CHUNK_WORDS = 1 << 15
-MAX_GRAMS = 1_000_000
+BROADCAST_ROWS = 4_000_000  # 48 MB of hashes and values
+CHUNK_BYTES = 32 << 20
+BLOCK = 1 << 21  # symbols hashed at a time, whatever the length of a text
+HELD = 1 << 20  # windows that a counting task holds before it hands them on
 _P, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -35,233 +45,279 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _key(h: np.ndarray, k: int, group: np.ndarray | int, context: bool = False) -> np.ndarray:
-    g = np.atleast_1d(np.asarray(group)).astype(np.uint64) + np.uint64(1)
-    return _mix(h + np.array([k + 64 * context], np.uint64) * _C + g * _P)
-
-
-def word_counts(df: DataFrame, group: str, text: str) -> DataFrame:
-    """(g int, word, n long): how often each word stands in the texts of each group; rows with a null group are left out."""
+def _key(h: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
+    return _mix(h + length.astype(np.uint64) * _C + (group.astype(np.uint64) + np.uint64(1)) * _P)
+
+
+def symbols(texts: pa.StringArray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, each with a start and an end, and where each text begins, with the end of the last. ``fold``: in lower case."""
+    if fold:
+        texts = pc.utf8_lower(texts)
+    codes = np.frombuffer(data_of(texts).decode("utf-8").encode("utf-32-le"), np.uint32)
+    sizes = np.asarray(pc.utf8_length(texts)).astype(np.int64)
+    n, doc = len(texts), np.repeat(np.arange(len(texts)), sizes)
+    s = np.full(len(codes) + 2 * n, ord(BOS), np.uint32)
+    s[np.arange(len(codes)) + 2 * doc + 1] = np.where((codes <= 3) & (codes != 1), ord(OTHER), codes)
+    edge = np.concatenate([[0], np.cumsum(sizes + 2)])
+    s[edge[1:] - 1] = ord(EOS)
+    space = (s == 32) | ((s >= 9) & (s <= 13))
+    first, last = space.copy(), space.copy()
+    first[1:] &= ~space[:-1]
+    last[:-1] &= ~space[1:]
+    a, b = np.flatnonzero(first), np.flatnonzero(last)
+    if not len(a):
+        return s, edge
+    line = np.add.reduceat((s == 10).astype(np.int64), a) > 0  # what lies between two runs has no line end
+    s = s.copy()
+    s[a] = np.where(line, 10, 32)
+    keep = ~space
+    starts, ends = np.zeros(len(s), bool), np.zeros(len(s), bool)
+    starts[edge[:-1]], ends[edge[1:] - 1] = True, True
+    keep[a[~starts[a - 1] & ~ends[b + 1]]] = True  # runs at the start or end of a text go
+    return s[keep], np.concatenate([[0], np.cumsum(keep)])[edge]
+
+
+def window_keys(s: np.ndarray, edge: np.ndarray, order: int, groups: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys, lengths and texts of the windows of the symbols ``begin`` to ``end``; a text's start has length 1 and is no window."""
+    low, high = max(0, begin - order + 1), np.searchsorted(edge, [begin, end], "right")
+    texts = np.arange(high[0] - 1, min(high[1], len(edge) - 1))
+    doc = np.repeat(texts, np.minimum(edge[texts + 1], end) - np.maximum(edge[texts], begin))
+    length = np.minimum(np.arange(begin, end) - edge[doc] + 1, order)
+    m = _mix(s[low:end].astype(np.uint64) + np.uint64(1))
+    h = m
+    starts = np.flatnonzero(length < order)
+    kept = {}
+    for k in range(1, order + 1):
+        if k > 1:
+            nxt = m.copy()
+            nxt[1:] += h[:-1] * _P
+            h = nxt
+        kept[k] = h[begin - low :][starts[length[starts] == k]]
+    out = h[begin - low :]
+    for k in range(1, order):
+        out[starts[length[starts] == k]] = kept[k]
+    return _key(out, length, groups[doc]), length, doc
+
+
+def gram_keys(grams: pa.StringArray, groups: np.ndarray) -> np.ndarray:
+    """The keys of n-grams given as strings."""
+    codes = np.frombuffer(data_of(grams).decode("utf-8").encode("utf-32-le"), np.uint32)
+    sizes = np.asarray(pc.utf8_length(grams)).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    m, h = _mix(codes.astype(np.uint64) + np.uint64(1)), np.zeros(len(grams), np.uint64)
+    for j in range(int(sizes.max(initial=0))):
+        on = sizes > j
+        h[on] = h[on] * _P + m[begin[on] + j]
+    return _key(h, sizes, groups)
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(keys, counts, groups, code points) with equal keys added."""
+    keys, n, g, codes = (np.concatenate(x) for x in zip(*parts))
+    by = np.argsort(keys)
+    new = np.flatnonzero(np.diff(keys[by], prepend=keys[by][:1] + np.uint64(1))) if len(by) else by
+    return keys[by[new]], np.add.reduceat(n[by], new) if len(new) else n, g[by[new]], codes[by[new]]
+
+
+def _windows(part: pa.StringArray, groups: np.ndarray, order: int, fold: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    s, edge = symbols(part, fold)
+    for begin in range(0, len(s), BLOCK):
+        end = min(begin + BLOCK, len(s))
+        keys, length, doc = window_keys(s, edge, order, groups, begin, end)
+        by = np.argsort(keys)
+        new = np.flatnonzero(np.diff(keys[by], prepend=keys[by][:1] + np.uint64(1)))
+        at, n = by[new], np.diff(np.append(new, len(by)))
+        used = length[at] > 1
+        at, n = at[used], n[used]
+        size = length[at]
+        codes = np.zeros((len(at), order), np.uint32)
+        for j in range(order):
+            on = size > j
+            codes[on, j] = s[begin + at[on] - size[on] + 1 + j]
+        yield keys[at], n, groups[doc[at]], codes
+
+
+def window_counts(df: DataFrame, group: str, text: str, order: int, fold: bool = False) -> DataFrame:
+    """(g int, gram, n long): how often each window stands in the texts of each group, written. Rows with a null group are left out."""
+
+    def rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        _, n, g, codes = _merged(parts)
+        grams = pa.array(codes.astype("<u4").view(f"<U{order}").ravel(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), grams, pa.array(n.astype(np.int64))], ["g", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             batch, at = batch.filter(pc.is_valid(batch.column(0))), 0
             for part in slices(batch.column(1)):
-                groups = np.asarray(batch.column(0).slice(at, len(part)))
+                groups = np.asarray(batch.column(0).slice(at, len(part))).astype(np.int64)
                 at += len(part)
-                words, off = words_of(part)
-                distinct, ids = encoded(words)
-                pairs, n = np.unique(np.repeat(groups.astype(np.int64), np.diff(off)) * (1 << 32) + ids, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), distinct.take(pa.array(pairs & ((1 << 32) - 1))), pa.array(n.astype(np.int64))], ["g", "word", "n"])
+                for found in _windows(part, groups, order, fold):
+                    held = [_merged([*held, found])]
+                    if len(held[0][0]) > HELD:
+                        yield rows(held)
+                        held = []
+        if held:
+            yield rows(held)
 
-    partial = df.select(F.col(group).cast("int").alias("g"), F.col(text).alias("text")).mapInArrow(count, "g int, word string, n long")
-    return partial.groupBy("g", "word").agg(F.sum("n").alias("n"))
+    partial = df.select(F.col(group).cast("int").alias("g"), F.col(text).alias("text")).mapInArrow(count, "g int, gram string, n long")
+    return materialise(partial.groupBy("g", "gram").agg(F.sum("n").alias("n")))
 
 
-def gram_counts(words: DataFrame, order: int) -> DataFrame:
-    """(g, k, gram, a): from (g, word, n), the adjusted count of each n-gram of each order.
+def levels(counts: DataFrame, order: int) -> list[DataFrame]:
+    """(g, gram, a) by order from 1: from (g, gram, n), the adjusted count of each n-gram.
 
-    The highest order, and n-grams at a word's start, have their raw counts; other
-    n-grams the number of distinct characters that stand before them.
+    The highest order, and n-grams at a text's start, have their raw counts; other
+    n-grams the number of distinct symbols that stand before them.
     """
-    y = F.concat(F.lit(BOS), F.col("word"), F.lit(EOS))
-    long = F.transform(F.sequence(F.lit(1), F.length("y") - order + 1), lambda i: F.substring("y", i, F.lit(order)))
-    short = F.array(*(F.when(F.length("y") >= k, F.substring("y", 1, k)) for k in range(2, order)))
-    grams = F.concat(F.when(F.length("y") >= order, long).otherwise(F.array().cast("array<string>")), short)
-    raw = words.select("g", "n", y.alias("y")).select("g", "n", F.explode(grams).alias("gram")).where("gram is not null")
-    raw = materialise(raw.groupBy("g", "gram").agg(F.sum("n").alias("a")).withColumn("k", F.length("gram")))
-    level = raw.where(F.col("k") == order).select("g", "k", "gram", "a")
-    levels = [level]
+    out = [counts.where(F.length("gram") == order).select("g", "gram", F.col("n").alias("a"))]
     for k in range(order - 1, 0, -1):
-        inner = level.groupBy("g", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("a")).select("g", F.lit(k).alias("k"), "gram", "a")
-        level = materialise(inner.unionByName(raw.where(F.col("k") == k).select("g", "k", "gram", "a")))
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+        inner = out[0].groupBy("g", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("a"))
+        out.insert(0, materialise(inner.unionByName(counts.where(F.length("gram") == k).select("g", "gram", F.col("n").alias("a")))))
     return out
 
 
-@dataclass
-class SortedTable:
-    """Rows of values by sorted hash; an index on the leading bits leads to a place or two, so a look-up costs no binary search."""
+def _discounts(by_order: list[DataFrame]) -> DataFrame:
+    """(of, order, d): the discounts of counts 1, 2 and 3 or more of each group, from the counts of counts; 0.75 where they can't be estimated."""
+    kept = reduce(DataFrame.unionByName, [level.select("g", "a", F.lit(k).alias("k")) for k, level in enumerate(by_order, 1)])
+    n = kept.groupBy("g", "k").agg(*(F.sum((F.col("a") == i).cast("long")).cast("double").alias(f"n{i}") for i in range(1, 5)))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    enough = F.least("n1", "n2", "n3", "n4") > 0
+    d = [F.when(enough, F.lit(float(i)) - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}"))) for i in range(1, 4)]
+    return n.select(F.col("g").alias("of"), F.col("k").alias("order"), F.array(*(F.when((x > 0) & (x < i), x).otherwise(0.75) for i, x in enumerate(d, 1))).alias("d"))
+
+
+def log_probabilities(windows: DataFrame, by_order: list[DataFrame]) -> DataFrame:
+    """(g, gram, logp double) for each of ``windows`` (g, gram; distinct, written), from the counts of :func:`levels`.
 
-    keys: np.ndarray
-    values: np.ndarray
+    An order takes its discounts off the counts and gives what they add up to to the order below;
+    an order that has not met the context leaves all to the order below.
+    """
+    order, below = len(by_order), None
+    discounts = small(materialise(_discounts(by_order)))
+    for k, level in enumerate(by_order, 1):
+        context = F.substring("gram", 1, k - 1)
+        level = level.join(discounts.where(F.col("order") == k), F.col("g") == F.col("of")).select("g", "gram", "a", F.least(F.col("d")[F.least("a", F.lit(3)).cast("int") - 1], "a").alias("spent"))
+        totals = level.groupBy("g", context.alias("context")).agg(F.sum("a").alias("total"), F.sum("spent").alias("all_spent"))
+        # the ends of longer windows, too, as their probabilities go into those
+        mine = windows.where(F.length("gram") >= k).select("g", F.substring("gram", -k, k).alias("gram"))
+        mine = mine if k == order else mine.distinct()
+        p = mine.select("g", "gram", context.alias("context"), F.substring("gram", 2, k).alias("suffix")).join(level, ["g", "gram"], "left")
+        # a context of no symbols is one row a group; longer ones meet few rows each
+        p = p.join(small(totals) if k == 1 else totals, ["g", "context"], "left")
+        lower = F.lit(UNSEEN)
+        if below is not None:
+            p = p.join(below.withColumnsRenamed({"gram": "suffix", "p": "lower"}), ["g", "suffix"], "left")
+            lower = F.coalesce("lower", F.lit(UNSEEN))
+        seen = F.coalesce((F.col("a") - F.col("spent")) / F.col("total"), F.lit(0.0))
+        p = p.select("g", "gram", (seen + F.coalesce(F.col("all_spent") / F.col("total"), F.lit(1.0)) * lower).alias("p"))
+        if k < order:
+            p = materialise(p)
+            done = p if k == 1 else done.unionByName(p)  # noqa: F821
+        below = p
+    short = windows.where(F.length("gram") < order)  # at a text's start
+    return below.unionByName(done.join(short, ["g", "gram"], "left_semi")).select("g", "gram", F.log("p").alias("logp"))
+
+
+class SortedTable:
+    """Values by sorted hash; an index on the leading bits leads to a place or two, so a look-up costs no binary search."""
 
-    def __post_init__(self):
-        by = np.argsort(self.keys)
-        self.keys, self.values = self.keys[by], self.values[by]
-        bits = max(1, int(len(self.keys)).bit_length() + 1)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], values[by].astype(np.float32)
+        bits = max(1, int(len(keys)).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
         self.begin = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
-    def look(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is there, and its value, else 0."""
-        found, out = np.zeros(len(wanted), bool), np.zeros((len(wanted), self.values.shape[1]), self.values.dtype)
+    @staticmethod
+    def of(rows: pa.Table | pa.RecordBatch) -> SortedTable:
+        """From (g, gram, value)."""
+        gram, g = rows["gram"], np.asarray(rows["g"]).astype(np.int64)
+        gram = gram.combine_chunks() if isinstance(gram, pa.ChunkedArray) else gram
+        gram = pa.concat_arrays([gram.cast(pa.string())]) if len(gram) else pa.array([], pa.string())
+        return SortedTable(gram_keys(gram, g), np.asarray(rows["value"]))
+
+    def look(self, wanted: np.ndarray) -> np.ndarray:
+        """The value of each hash, else 0."""
+        out = np.zeros(len(wanted), np.float32)
         bucket = (wanted >> self.shift).astype(np.int64)
         at, end = self.begin[bucket], self.begin[bucket + 1]
         left = np.flatnonzero(at < end)
         at, end = at[left], end[left]
         while len(left):
             same = self.keys[at] == wanted[left]
-            hit = left[same]
-            found[hit], out[hit] = True, self.values[at[same]]
+            out[left[same]] = self.values[at[same]]
             on = ~same & (at + 1 < end)
             left, at, end = left[on], at[on] + 1, end[on]
-        return found, out
+        return out
 
+    def along(self, s: np.ndarray, edge: np.ndarray, order: int, groups: np.ndarray) -> np.ndarray:
+        """The value of each symbol's window; 0 for starts."""
+        out = np.zeros(len(s), np.float32)
+        for begin in range(0, len(s), BLOCK):
+            end = min(begin + BLOCK, len(s))
+            keys, length, _ = window_keys(s, edge, order, groups, begin, end)
+            out[begin:end] = np.where(length > 1, self.look(keys), 0)
+        return out
 
-@dataclass
-class CharModel:
-    """Log probabilities of n-grams and log backoff weights of contexts, by sorted hash.
 
-    One model for each group (a part of the hash), or one for each of ``classes`` (a
-    column of the values, NaN where the class has not seen the n-gram).
-    """
-
-    order: int
-    classes: int
-    grams: SortedTable
-    contexts: SortedTable
-
-    def score(self, words: pa.StringArray, groups: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """The log-likelihoods of each word (a column a class), and its symbols: characters and an end."""
-        groups = np.broadcast_to(np.asarray(groups, np.int64), len(words))
-        parts = [self._score(words.slice(a, CHUNK_WORDS), groups[a : a + CHUNK_WORDS]) for a in range(0, len(words), CHUNK_WORDS)]
-        if not parts:
-            return np.zeros((0, self.classes)), np.zeros(0, np.int64)
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-    def _score(self, words: pa.StringArray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s, pos, starts, sizes = _symbols(words)
-        hashes = _rolled(s, self.order)
-        total = np.zeros((len(s), self.classes), np.float32)
-        at = np.flatnonzero(pos >= 1)
-        todo = np.ones((len(at), self.classes), bool)  # classes in which no order has been found yet
-        group = np.repeat(groups, sizes + 2)
-        for k in range(self.order, 0, -1):
-            fits = pos[at] >= k - 1
-            use = at[fits]
-            found, value = self.grams.look(_key(hashes[k][use], k, group[use]))
-            here = np.zeros_like(todo)
-            here[fits] = found[:, None] & ~np.isnan(value) & todo[fits]
-            gain = np.zeros(todo.shape, np.float32)
-            gain[fits] = value
-            total[at] += np.where(here, gain, 0)
-            back = fits[:, None] & todo & ~here
-            some = np.flatnonzero(back.any(1))
-            context = hashes[k - 1][at[some] - 1] if k > 1 else np.zeros(len(some), np.uint64)
-            _, weight = self.contexts.look(_key(context, k, group[at[some]], True))
-            total[at[some]] += np.where(back[some], weight + (np.log(UNSEEN) if k == 1 else 0), 0)
-            todo &= ~here
-            left = todo.any(1)
-            at, todo = at[left], todo[left]
-        return np.add.reduceat(total.astype(np.float64), starts), sizes + 1
-
-
-def _symbols(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.asarray(pc.utf8_length(words)).astype(np.int64)
-    chars = np.frombuffer(data_of(words).decode("utf-8").encode("utf-32-le"), np.uint32)
-    starts = np.cumsum(sizes + 2) - (sizes + 2)
-    pos = np.arange(int((sizes + 2).sum())) - np.repeat(starts, sizes + 2)
-    s = np.full(len(pos), ord(BOS), np.uint64)
-    inner = (pos > 0) & (pos <= np.repeat(sizes, sizes + 2))
-    s[inner] = chars
-    s[starts + sizes + 1] = ord(EOS)
-    return s, pos, starts, sizes
-
-
-def _rolled(s: np.ndarray, order: int) -> list[np.ndarray]:
-    """At k: the hash of the k symbols that end at each place (meaningless where fewer are there)."""
-    m = _mix(s + np.uint64(1))
-    out = [np.zeros_like(m), m]
-    for _ in range(1, order):
-        h = m.copy()
-        h[1:] += out[-1][:-1] * _P
-        out.append(h)
-    return out
+Measure = Callable[[pa.StringArray, np.ndarray, SortedTable], pa.Array]
 
 
-def _discounts(a: np.ndarray) -> np.ndarray:
-    """The discounts of counts 1, 2 and 3 or more, from the counts of counts; 0.75 where they can't be estimated."""
-    n = [int((a == i).sum()) for i in range(1, 5)]
-    if min(n) == 0:
-        return np.array([0.75, 0.75, 0.75])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = np.array([1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]])
-    return np.where((d > 0) & (d < [1, 2, 3]), d, 0.75)
+def _measured(texts: pa.Array, groups: pa.Array, table: SortedTable, measure: Measure, kind: pa.DataType) -> pa.Array:
+    out, at = [], 0
+    for part in slices(texts):
+        out.append(measure(part, np.asarray(groups.slice(at, len(part))).astype(np.int64), table).cast(kind))
+        at += len(part)
+    return pa.concat_arrays(out) if out else pa.array([], kind)
 
 
-def fit(counts: DataFrame, order: int, classes: tuple[int, ...] = (), shared: int = 0, pool: int = -1, max_grams: int = MAX_GRAMS) -> CharModel:
-    """The model of ``counts`` (see :func:`gram_counts`); at most ``max_grams`` n-grams come to the driver.
+def with_values(rows: DataFrame, text: str, group: str | Column, values: DataFrame, measure: Measure, kind: T.DataType, arrow: pa.DataType, out: str, order: int, fold: bool = False, most: int | None = None) -> DataFrame:
+    """``rows`` with ``out``: what ``measure`` makes of a text, its group (int) and the table of its windows' values.
 
-    Without ``classes`` each group has a model. With them, they do, and orders up to
-    ``shared`` are those of group ``pool`` for all classes.
+    ``values``: (g, gram, value) of distinct windows, written. ``measure`` must not use other windows than the text's.
     """
-    if classes:
-        counts = counts.where((F.col("k") <= shared) == (F.col("g") == pool))
-    per_order = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    top = order
-    while top > max(1, shared + 1) and sum(per_order.get(k, 0) for k in range(1, top)) > max_grams:
-        top -= 1
-    counts = counts.where(F.col("k") <= top)
-    room = max_grams - sum(per_order.get(k, 0) for k in range(1, top))
-    if per_order.get(top, 0) > room:
-        kept = counts.where(F.col("k") == top).groupBy("a").agg(F.count("*").alias("n")).orderBy(F.col("a").desc())
-        least, sum_ = 1, 0
-        for r in kept.limit(100_000).toLocalIterator():
-            sum_ += r["n"]
-            if sum_ > room:
-                least = r["a"] + 1
-                break
-        counts = counts.where((F.col("k") < top) | (F.col("a") >= least))
-    t = counts.select("g", F.col("k").cast("tinyint").alias("k"), "gram", "a").toArrow()
-    g, k, a = np.asarray(t["g"]), np.asarray(t["k"]), np.asarray(t["a"])
-    gram = t["gram"].combine_chunks()
-    gram = pa.concat_arrays(gram.chunks) if isinstance(gram, pa.ChunkedArray) else gram
-    del t
-    columns, keys, logp, ctx_keys, ctx_w = len(classes) or 1, [], [], [], []
-    below = [SortedTable(np.zeros(0, np.uint64), np.zeros((0, 1))) for _ in range(columns)]
-    for n in range(1, top + 1):
-        level, levels = [], list(classes) if classes and n > shared else [pool] if classes else [None]
-        for group in levels:
-            rows = np.flatnonzero((k == n) if group is None else (k == n) & (g == group))
-            level.append(_level(n, gram.take(pa.array(rows)), a[rows], g[rows] if group is None else np.zeros(len(rows), np.int64), group is None, below[len(level)]))
-        if len(level) < columns:
-            level *= columns
-        below = [SortedTable(x[0], x[1][:, None]) for x in level]
-        for into_k, into_v, i, empty in ((keys, logp, 0, np.nan), (ctx_keys, ctx_w, 2, 0.0)):
-            both, where = np.unique(np.concatenate([x[i] for x in level]), return_inverse=True)
-            values, at = np.full((len(both), columns), empty, np.float32), 0
-            for c, x in enumerate(level):
-                values[where[at : at + len(x[i])], c] = np.log(np.maximum(x[i + 1], 1e-30))
-                at += len(x[i])
-            into_k.append(both), into_v.append(values)
-    return CharModel(top, columns, SortedTable(np.concatenate(keys), np.concatenate(logp)), SortedTable(np.concatenate(ctx_keys), np.concatenate(ctx_w)))
-
-
-def _level(n: int, gram: pa.StringArray, a: np.ndarray, g: np.ndarray, by_group: bool, below: SortedTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and probabilities of the n-grams of one order, and hashes and backoff weights of their contexts."""
-    chars = np.frombuffer(data_of(gram).decode("utf-8").encode("utf-32-le"), np.uint32).reshape(-1, n)
-    m = _mix(chars.astype(np.uint64) + np.uint64(1))
-    ids, inverse = np.unique(_key(_fold(m, range(n - 1)), n, g, True), return_inverse=True)
-    spent = np.zeros(len(a))
-    for one in np.unique(g):
-        d = _discounts(a[g == one])
-        spent[g == one] = d[np.minimum(a[g == one], 3) - 1]
-    spent = np.minimum(spent, a)
-    total = np.bincount(inverse, a, len(ids))
-    off = np.bincount(inverse, spent, len(ids)) / total
-    lower = np.full(len(a), UNSEEN)
-    if n > 1:
-        found, value = below.look(_key(_fold(m, range(1, n)), n - 1, g))
-        lower = np.where(found, value[:, 0], UNSEEN)
-    return _key(_fold(m, range(n)), n, g), (a - spent) / total[inverse] + off[inverse] * lower, ids, off
-
-
-def _fold(m: np.ndarray, cols: range) -> np.ndarray:
-    h = np.zeros(len(m), np.uint64)
-    for j in cols:
-        h = h * _P + m[:, j]
-    return h
+    group = F.col(group) if isinstance(group, str) else group
+    if values.count() <= (BROADCAST_ROWS if most is None else most):
+        table = rows.sparkSession.sparkContext.broadcast(SortedTable.of(values.toArrow()))
+
+        @F.arrow_udf(kind)
+        def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, groups in batches:
+                yield _measured(texts, groups, table.value, measure, arrow)
+
+        return rows.withColumn(out, look(F.col(text), group.cast("int")))
+    return _in_chunks(rows, text, group, values, measure, kind, arrow, out, order, fold)
+
+
+def _in_chunks(rows: DataFrame, text: str, group: Column, values: DataFrame, measure: Measure, kind: T.DataType, arrow: pa.DataType, out: str, order: int, fold: bool) -> DataFrame:
+    """Row numbers are written with the rows, so that a chunk is the same whenever it is dealt."""
+    (row,) = fresh(rows, "row")
+    rows = materialise(rows.withColumn(row, F.monotonically_increasing_id()))
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64(row), F.lit(1 + size // CHUNK_BYTES))
+    texts = rows.select(chunk.alias("chunk"), F.col(row).alias("row"), F.col(text).alias("text"), group.cast("int").alias("g"))
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = np.asarray(batch.column(0))
+            for c in np.unique(chunks):
+                some, at = batch.filter(pa.array(chunks == c)), 0
+                for part in slices(some.column(1)):
+                    groups = np.asarray(some.column(2).slice(at, len(part))).astype(np.int64)
+                    at += len(part)
+                    for _, _, g, codes in _windows(part, groups, order, fold):
+                        grams = pa.array(codes.astype("<u4").view(f"<U{order}").ravel(), pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), c, np.int64)), pa.array(g.astype(np.int32)), grams], ["chunk", "g", "gram"])
+
+    windows = texts.select("chunk", "text", "g").repartition("chunk").mapInArrow(grams_of, "chunk long, g int, gram string").distinct()
+    found = windows.join(values, ["g", "gram"])
+
+    def look(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
+        column = _measured(texts["text"].combine_chunks(), texts["g"].combine_chunks(), SortedTable.of(table), measure, arrow)
+        return pa.Table.from_arrays([texts["row"], column], ["row", "out"])
+
+    pairs = texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(look, T.StructType([T.StructField("row", T.LongType()), T.StructField("out", kind)]))
+    taken = fresh(rows, "of")[0]
+    joined = rows.join(pairs.withColumnRenamed("row", taken).withColumnRenamed("out", f"{taken}_v"), F.col(row) == F.col(taken))
+    return joined.withColumn(out, F.col(f"{taken}_v")).drop(row, taken, f"{taken}_v")

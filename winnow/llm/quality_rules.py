@@ -1,11 +1,13 @@
 """Quality rules: base counts of each text, and perplexity bands of a Kneser-Ney model.
 
-Spark counts the words of every document by language, then their character n-grams
-by order; a modified Kneser-Ney model of each language, kept as sorted hash arrays,
-gives every document its perplexity per symbol. From the whole corpus come a lower
-and an upper band for each language, ``WIDTH`` quartile ranges outside the quartiles
-of the log perplexity; a document outside its language's bands is rejected. The
-bands widen for short texts, whose mean is less certain.
+Spark counts the character n-grams of every document by language, across its words; a
+modified Kneser-Ney model of each language gives every document its perplexity per
+symbol and per word, looked up from sorted hash arrays. From the whole corpus come
+lower and upper bands of both for each language, some quartile ranges outside the
+quartiles of the log perplexity (``BANDS``); a document outside its language's bands is
+rejected. The bands widen for short texts, whose mean is less certain. Symbols that recur
+make a text likely by symbol but not by word, so both are looked at; the lower band is wide,
+as passages that many documents share are likely by rights.
 
 Nulls: a null text counts as empty, a null language as a language of its own. Texts
 without a word have no perplexity, fail the base rules and are not kept. Repeated
@@ -15,8 +17,6 @@ input other than id, text and language are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +28,8 @@ from winnow.llm._common import materialise, small, table
 from winnow.llm._text import data_of, encoded, offsets_of, slices, sums, words_of
 
 ORDER = 5
-WIDTH = 5.0
-SHORT = 400.0  # symbols at which the bands are sqrt(2) times as wide as for a very long text
+#: By measure: how many quartile ranges the lower and the upper band lie outside the quartiles, and the symbols or words at which both are sqrt(2) times as wide as for a very long text.
+BANDS = {"symbol": (4.0, 2.0, 400.0), "word": (3.0, 3.0, 100.0)}
 WINDOW = 8
 MIN_WORDS = 20
 
@@ -43,7 +43,8 @@ FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def language_group(lang: Column) -> Column:
-    return F.coalesce(F.crc32(lang.cast("binary")).bitwiseAND(0x7FFFFFFF), F.lit(0)).cast("int")
+    """A hash of the language; null is a group of its own."""
+    return F.coalesce(F.crc32(lang.cast("binary")).bitwiseAND(0x3FFFFFFF) + 1, F.lit(0)).cast("int")
 
 
 def repeat_words(ids: np.ndarray, off: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -88,50 +89,45 @@ def base_counts(texts: pa.StringArray, ids: np.ndarray, off: np.ndarray) -> list
     return [np.diff(off), chars, symbols, lines, repeat_words(ids, off)]
 
 
-def measures_udf(model):
-    """A UDF from (text, language group) to the base counts, log-likelihood and symbols; ``model``: a broadcast, or None for base counts only."""
-    kind = T.StructType([T.StructField(f, T.LongType()) for f in FIELDS] + [T.StructField("ll", T.DoubleType()), T.StructField("n_sym", T.LongType())])
+KIND = T.StructType([T.StructField(f, T.LongType()) for f in FIELDS] + [T.StructField("ll", T.DoubleType()), T.StructField("n_sym", T.LongType())])
+_ARROW = pa.struct([(f, pa.int64()) for f in FIELDS] + [("ll", pa.float64()), ("n_sym", pa.int64())])
 
-    @F.arrow_udf(kind)
-    def measures(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, groups in batches:
-            out, at = [], 0
-            for part in slices(texts):
-                words, off = words_of(part)
-                distinct, ids = encoded(words)
-                group = np.repeat(np.asarray(groups.slice(at, len(part))).astype(np.int64), np.diff(off))
-                at += len(part)
-                ll, n = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-                if model is not None and len(ids):
-                    pairs, inverse = np.unique(group * (1 << 32) + ids, return_inverse=True)
-                    ll, n = model.value.score(distinct.take(pa.array(pairs & ((1 << 32) - 1))), pairs >> 32)
-                    ll, n = ll[inverse, 0], n[inverse]
-                out.append([*base_counts(part, ids, off), sums(ll, off), sums(n, off)])
-            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * len(kind)
-            yield pa.StructArray.from_arrays([pa.array(c.astype(np.float64 if f.name == "ll" else np.int64)) for c, f in zip(cols, kind)], kind.names)
 
-    return measures
+def measures(texts: pa.StringArray, groups: np.ndarray, table: charlm.SortedTable) -> pa.StructArray:
+    """The base counts of each text, its log-likelihood under its group's model and its symbols, the end among them."""
+    words, off = words_of(texts)
+    _, ids = encoded(words)
+    s, edge = charlm.symbols(texts)
+    ll = sums(table.along(s, edge, ORDER, groups).astype(np.float64), edge)
+    n = np.where(np.diff(off) > 0, np.diff(edge) - 1, 0)
+    columns = [*base_counts(texts, ids, off), np.where(n > 0, ll, 0.0), n]
+    return pa.StructArray.from_arrays([pa.array(c.astype(np.float64 if f.name == "ll" else np.int64)) for c, f in zip(columns, KIND)], KIND.names)
 
 
-def perplexity_model(docs: DataFrame, group: str, text: str) -> charlm.CharModel:
-    words = materialise(charlm.word_counts(docs, group, text))
-    return charlm.fit(charlm.gram_counts(words, ORDER), ORDER)
+def window_values(rows: DataFrame, group: str, text: str) -> DataFrame:
+    """(g, gram, value): the log probability of every window of all texts, under the model of all texts of its group."""
+    counts = charlm.window_counts(rows, group, text, ORDER)
+    return materialise(charlm.log_probabilities(counts.select("g", "gram"), charlm.levels(counts, ORDER)).withColumnRenamed("logp", "value"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, base counts, log_ppl, low, high, base_failed, kept) of each row of ``docs``."""
-    spark = docs.sparkSession
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bands: dict[str, tuple[float, float, float]] = BANDS) -> DataFrame:
+    """(id, base counts, log_ppl, word_log_ppl, their lower and upper bands, base_failed, kept) of each row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), language_group(F.col(lang_col)).alias("g"))
-    model = spark.sparkContext.broadcast(perplexity_model(rows, "g", "text"))
-    scored = rows.select("id", "g", measures_udf(model)("text", "g").alias("m")).select("id", "g", "m.*")
-    scored = materialise(scored.withColumn("log_ppl", F.when(F.col("n_sym") > 0, -F.col("ll") / F.col("n_sym"))))
-    at = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-    bands = materialise(scored.where("log_ppl is not null").groupBy("g").agg(at.alias("q")))
-    reach = F.lit(WIDTH) * (F.col("q")[1] - F.col("q")[0]) * F.sqrt(1 + F.lit(SHORT) / F.col("n_sym"))
-    out = scored.join(small(bands), "g", "left").withColumns({"low": F.col("q")[0] - reach, "high": F.col("q")[1] + reach})
+    scored = charlm.with_values(rows, "text", "g", window_values(rows, "g", "text"), measures, KIND, _ARROW, "m", ORDER).select("id", "g", "m.*")
+    mean = lambda n: F.when(F.col("n_sym") > 0, -F.col("ll") / F.col(n))
+    scored = materialise(scored.withColumns({"log_ppl": mean("n_sym"), "word_log_ppl": mean("n_words")}))
+    at = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
+    quartiles = materialise(scored.where("n_sym > 0").groupBy("g").agg(at("log_ppl").alias("symbol"), at("word_log_ppl").alias("word")))
+    out = scored.join(small(quartiles), "g", "left")
+    fine = F.lit(True)
+    for kind, (low, high, short) in bands.items():
+        value, n = (F.col("log_ppl"), F.col("n_sym")) if kind == "symbol" else (F.col("word_log_ppl"), F.col("n_words"))
+        q, reach = F.col(kind), F.sqrt(1 + F.lit(short) / F.greatest(n, F.lit(1)))
+        reach = reach * (q[1] - q[0])
+        out = out.withColumns({f"{kind}_low": q[0] - F.lit(low) * reach, f"{kind}_high": q[1] + F.lit(high) * reach})
+        fine = fine & (value >= F.col(f"{kind}_low")) & (value <= F.col(f"{kind}_high"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    fine = F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.col("log_ppl") <= F.col("high")), F.lit(False))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)
+    return out.drop(*bands).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(False)))
 
 
 def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
