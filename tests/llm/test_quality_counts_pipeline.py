@@ -63,6 +63,23 @@ def test_rollup_follows_inserts_revisions_and_deletes(spark, tmp_path):
         assert got == totals(state.values())
 
 
+def test_rows_without_an_id_can_only_be_inserted(spark, tmp_path):
+    kind = "doc_id long, op string, source string, lang string, text string, Order int, extra string"
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    rollup.apply(0, spark.createDataFrame([(None, "insert", "s", "en", "a b", 0, "x"), (None, "insert", "s", "en", "a b", 0, "x"), (1, "insert", "s", "en", "a\na", 0, "x"), (1, "other", "z", "z", "z", 9, "x")], kind))
+    rollup.apply(1, spark.createDataFrame([(None, "revise", "s", "en", "a b c", 0, "x"), (None, "delete", None, None, None, 0, "x")], kind))
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
+    assert got == totals([("s", "en", "a b"), ("s", "en", "a b"), ("s", "en", "a\na")])
+
+
+def test_a_very_long_word_is_counted(spark, tmp_path):
+    import time
+
+    begin = time.time()
+    assert all(n > 0 for n in tokens("ab" * 200_000).values())
+    assert time.time() - begin < 60
+
+
 def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path):
     rollup = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
     kind = "doc_id long, op string, source string, lang string, text string"

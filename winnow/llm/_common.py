@@ -61,6 +61,21 @@ def small(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+HOT = 4096
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` left-joined with ``keyed``, in which ``key`` is unique and ``n`` says how many of the rows have it; both written.
+
+    Keys of more than one in ``HOT`` of all rows, which are fewer than ``HOT`` keys, go to
+    all tasks, so that none of them is one task; only the rows of other keys are shuffled.
+    """
+    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(keyed.where(F.col(n) * HOT > total))
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(n) * HOT <= total), key, "left")
+    return rows.join(hot, key).unionByName(cold)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -7,8 +7,10 @@ the similarity out are left out, and the others are verified on the whole sets.
 that a sample of the texts has often come last in the order. The sample decides what
 the join costs, not what it finds.
 
-Exact copies take part once. Texts are first compared with one leader of each shingle; the
-components of these links leave only pairs of different components for the join of all.
+Most of these shingles stand in one text only. A first pass finds those that do not (a
+shuffle of hashes), a second one takes only these along. Texts are first compared with one
+leader of each shingle, the one that meets most others; the components of these links leave only
+pairs of different components for the join of all.
 
 Words are split at space and \\x09-\\x0D, A-Z lower-cased. A text of fewer words than a
 shingle is one shingle; texts without words are copies of each other.
@@ -20,14 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.llm._common import discard, materialise
-from winnow.llm._text import LOWER, encoded, slices, translated, words_of
-from winnow.llm.charlm import _P, _mix
+from winnow.llm._text import LOWER, data_of, encoded, offsets_of, slices, translated, words_of
+from winnow.llm.charlm import _C, _P, _mix
 from winnow.llm.components import connected_components
 
 SHINGLE = 5
@@ -38,12 +39,24 @@ SLOTS = 1 << 24
 LAST = np.uint64(1 << 63)
 
 
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """A hash of each word: a polynomial of its bytes, and its length."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    raw, off = np.frombuffer(data_of(words), np.uint8), offsets_of(words)
+    off = off - off[0]
+    tab = _mix(np.arange(1, 257, dtype=np.uint64) * _C)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(raw), _P)]))
+    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(raw), np.uint64(pow(int(_P), -1, 1 << 64)))]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tab[raw] * back[:-1])])
+    return _mix((total[off[1:]] - total[off[:-1]]) * power[off[:-1]] + np.diff(off).astype(np.uint64) * _C)
+
+
 def shingles(texts: pa.StringArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (63 bits) of the shingles of all texts, and the text of each."""
     words, off = words_of(translated(texts, LOWER))
     distinct, ids = encoded(words)
-    one = np.array([xxhash.xxh64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()], np.uint64)
-    h, count = one[ids], np.diff(off)
+    h, count = word_hashes(distinct)[ids], np.diff(off)
     n = np.where(count > 0, np.maximum(1, count - size + 1), 0)
     doc = np.repeat(np.arange(len(count)), n)
     start = off[:-1][doc] + np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
@@ -83,28 +96,38 @@ def whole_sets(size: int):
     return sets
 
 
-def prefixes(size: int, similar: tuple[int, int], common):
-    """A UDF from a text to (n: its shingles, first: those by which it meets others)."""
+def prefixes(texts: DataFrame, size: int, similar: tuple[int, int], common, shared=None) -> DataFrame:
+    """(t, n, pos, h) from (t, text): a text's n shingles, and those by which it meets others, by place.
+
+    ``shared``: a broadcast of bits by slot (see :func:`slots_of`); shingles whose slot isn't set are left out.
+    """
     p, q = similar
-    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("first", T.ArrayType(T.LongType()))])
 
-    @F.arrow_udf(kind)
-    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = common.value
-        for texts in batches:
-            parts = []
-            for part in slices(texts):
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1)):
+                t = np.asarray(batch.column(0).slice(at, len(part))).astype(np.int64)
+                at += len(part)
+                _, first = np.unique(t, return_index=True)  # copies side by side count once
+                t, part = t[np.sort(first)], part.take(pa.array(np.sort(first)))
                 h, doc = shingles(part, size)
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = np.where(known[at] == h, LAST + rank[at], h)
+                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = np.where(known[k] == h, LAST + rank[k], h)
                 h, doc, n = distinct_sorted(h, doc, len(part))
                 length = np.where(n > 0, n - -(-p * n // q) + 1, 0)
-                place = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
-                parts.append(pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), _lists(h[place < length[doc]], length)], ["n", "first"]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n", pa.int64()), ("first", pa.list_(pa.int64()))]))
+                pos = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
+                keep = pos < length[doc]
+                if shared is not None:
+                    slot = (h % np.uint64(SLOTS)).astype(np.int64)
+                    keep &= (shared.value[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
+                doc = doc[keep]
+                columns = [t[doc], n[doc].astype(np.int32), pos[keep].astype(np.int32), h[keep].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["t", "n", "pos", "h"])
 
-    return found
+    return texts.select("t", "text").mapInArrow(found, "t long, n int, pos int, h long")
 
 
 def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -123,12 +146,17 @@ def _enough(shared: Column, a: Column, b: Column, similar: tuple[int, int]) -> C
     return F.lit(p + q) * shared >= F.lit(p) * (a + b)
 
 
-def among(ids: DataFrame):
-    """A UDF that is true of all numbers in ``ids`` (t) and of few others: it spares shuffling the rest, a join decides."""
-    slots = ids.select(F.pmod(F.col("t"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
+def slots_of(values: DataFrame):
+    """A broadcast of ``SLOTS`` bits, set where a slot has one of ``values`` (v): it spares work on the rest, a join decides."""
+    slots = values.select(F.pmod(F.col("v"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
     bits = np.zeros(SLOTS, bool)
     bits[np.asarray(slots["slot"])] = True
-    sent = ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return values.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+def among(ids: DataFrame):
+    """A UDF that is true of all numbers in ``ids`` (t) and of few others."""
+    sent = slots_of(ids.select(F.col("t").alias("v")))
 
     @F.arrow_udf(T.BooleanType())
     def member(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -139,15 +167,35 @@ def among(ids: DataFrame):
     return member
 
 
+def similar_texts(size: int, similar: tuple[int, int]):
+    """A UDF from two texts to whether they are similar enough."""
+    p, q = similar
+
+    @F.arrow_udf(T.BooleanType())
+    def enough(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            out, at = [], 0
+            for part in slices(a, 1 << 20):
+                other = list(slices(b.slice(at, len(part)), 1 << 30))
+                at += len(part)
+                x, x_of, x_n = distinct_sorted(*shingles(part, size), len(part))
+                y, y_of, y_n = distinct_sorted(*shingles(pa.concat_arrays(other), size), len(part))
+                key = np.concatenate([_mix(x + x_of.astype(np.uint64) * _C), _mix(y + y_of.astype(np.uint64) * _C)])
+                by = np.argsort(key, kind="stable")
+                twice = np.flatnonzero(key[by][1:] == key[by][:-1])
+                shared = np.bincount(np.concatenate([x_of, y_of])[by[twice]], minlength=len(part))
+                out.append(pa.array((p + q) * shared >= p * (x_n + y_n)))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.bool_())
+
+    return enough
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose ``texts`` (t, text) are similar enough."""
-    pairs = materialise(pairs)
+    """Those of ``pairs`` (a, b), written, whose ``texts`` (t, text) are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    some = texts.where(among(wanted)("t")).groupBy("t").agg(F.first("text").alias("text")).join(wanted, "t", "left_semi")
-    sets = materialise(some.select("t", whole_sets(size)("text").alias("s")))
-    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
-    out = materialise(both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), similar)).select("a", "b"))
-    discard(sets)
+    some = texts.where(among(wanted)("t")).groupBy("t").agg(F.first("text").alias("text"))
+    both = pairs.join(some.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
+    out = materialise(both.where(similar_texts(size, similar)("x", "y")).select("a", "b"))
     discard(pairs)
     return out
 
@@ -161,27 +209,33 @@ def _may(a: str, b: str, similar: tuple[int, int]) -> Column:
 
 
 def near_copy_groups(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(key, group long) for each row of ``docs`` (key, text): rows linked by similar texts have one group."""
+    """(key, group long) for each row of ``docs`` (key, text): rows linked by similar texts have one group.
+
+    A null or empty text, and one without words, is a copy of the others of that kind. Repeated rows
+    come out as often as they went in; empty input gives no rows.
+    """
     text = F.coalesce("text", F.lit(""))
     named = docs.select("key", "text", F.when(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(0)).otherwise(F.xxhash64(text)).alias("t"))
     texts = named.select("t", "text")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
-    firsts = texts.select("t", prefixes(size, similar, common)("text").alias("m")).groupBy("t").agg(F.first("m").alias("m"))
-    places = firsts.select("t", "m.n", F.posexplode("m.first").alias("pos", "h"))
-    # one shuffle for both: the leader of a shingle, and all texts that have it
-    places = places.select("h", F.struct("t", "n", "pos").alias("d")).repartition("h")
-    leaders = places.groupBy("h").agg(F.min("d").alias("leader"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    met = materialise(places.join(leaders, "h"))
-    led = met.where((F.col("d.t") != F.col("leader.t")) & _may("d", "leader", similar))
-    first = verified(led.select(F.col("leader.t").alias("a"), F.col("d.t").alias("b")).distinct(), texts, size, similar)
+    seen = prefixes(texts, size, similar, common).groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    shared = materialise(seen.where("low != high").select("h"))
+    places = prefixes(texts, size, similar, common, slots_of(shared.select(F.col("h").alias("v"))))
+    places = materialise(places.distinct().join(shared, "h", "left_semi").select("h", F.struct("t", "n", "pos").alias("d")))
+    meets = places.join(places.groupBy("h").agg(F.count("*").alias("rows")), "h").groupBy(F.col("d.t").alias("t")).agg(F.sum("rows").alias("meets"))
+    ranked = places.join(meets, F.col("d.t") == F.col("t")).select("h", F.struct("meets", "d").alias("m"))
+    leaders = ranked.groupBy("h").agg(F.max("m").alias("m")).select("h", F.col("m.d").alias("leader"))
+    led = places.join(leaders, "h").where((F.col("d.t") != F.col("leader.t")) & _may("d", "leader", similar))
+    first = verified(materialise(led.select(F.col("leader.t").alias("a"), F.col("d.t").alias("b")).distinct()), texts, size, similar)
     comps = connected_components(first)
-    rows = met.select("h", "d", F.col("d.t").alias("t")).join(comps.withColumnRenamed("node", "t"), "t", "left").select("h", "d", F.coalesce("component", "t").alias("c"))
+    rows = places.select("h", "d", F.col("d.t").alias("t")).join(comps.withColumnRenamed("node", "t"), "t", "left").select("h", "d", F.coalesce("component", "t").alias("c"))
     rows = materialise(rows)
     mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
-    rows = rows.join(mixed, "h", "left_semi")
-    a, b = rows.select("h", F.col("d").alias("x"), F.col("c").alias("x_c")), rows.select("h", F.col("d").alias("y"), F.col("c").alias("y_c"))
+    some = rows.join(mixed, "h", "left_semi")
+    a, b = some.select("h", F.col("d").alias("x"), F.col("c").alias("x_c")), some.select("h", F.col("d").alias("y"), F.col("c").alias("y_c"))
     across = a.join(b, (a.h == b.h) & (F.col("x.t") < F.col("y.t")) & (F.col("x_c") != F.col("y_c")) & _may("x", "y", similar))
-    rest = verified(across.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct(), texts, size, similar)
-    discard(met)
+    rest = verified(materialise(across.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()), texts, size, similar)
     comps = connected_components(first.unionByName(rest))
+    for done in (shared, places, rows):
+        discard(done)
     return named.select("key", "t").join(comps.withColumnRenamed("node", "t"), "t", "left").select("key", F.coalesce("component", "t").alias("group"))

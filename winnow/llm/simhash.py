@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm._common import fresh, materialise, table
+from winnow.llm._common import fresh, join_by_key, materialise, row_hash, table
 from winnow.llm._text import LOWER, data_of, offsets_of, slices
 from winnow.llm.components import connected_components
 from winnow.llm.near_copies import near_copy_groups
@@ -125,28 +125,28 @@ def _distances(shift: int, width: int) -> Column:
 def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp long, component) for each row of ``df``; component: the smallest id of the row's group."""
     prints = materialise(df.select(F.col(id_col).alias("id"), simhash64(F.col(text_col), shingle).alias("fp")))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     links = linked_fingerprints(nodes.select("fp"), bits)
     comps = connected_components(links.select(F.col("fp").alias("a"), F.col("other").alias("b")))
     # the smallest id over a component of fingerprints; those without links are their own
     linked = materialise(comps.select(F.col("node").alias("fp"), F.col("component").alias("c")).join(nodes, "fp"))
     least = linked.groupBy("c").agg(F.min("least").alias("component"))
     named = linked.join(least, "c").select("fp", "component")
-    return prints.join(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "fp").select("id", "fp", "component")
+    named = materialise(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component")))
+    return join_by_key(prints, named, "fp", "n").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies of ``docs`` (doc_id, text), see :mod:`near_copies`: the one with the smallest doc_id, null last, then text hash; columns as before.
+    """One row of each group of near copies of ``docs`` (doc_id, text), see :mod:`near_copies`: the one with the smallest doc_id, null last, then text hash, then the hash of all its columns; columns as before.
 
-    Rows are told apart by id and text, so of repeated rows one stays.
+    Of rows that are equal in all columns one stays.
     """
-    keep, mine = fresh(docs, "keep", "mine")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    kept = near_copy_groups(docs.select(key.alias("key"), "text")).groupBy("group").agg(F.min("key").alias("id")).select("id.*")
-    parts = [fresh(docs, f"{mine}_{f}")[0] for f in ("none", "id", "hash")]
-    keyed = docs.withColumn(keep, key).withColumns({p: F.col(f"{keep}.{f}") for p, f in zip(parts, ("none", "id", "hash"))}).drop(keep)
-    kept = kept.toDF(*parts)
-    return keyed.join(kept, parts, "left_semi").dropDuplicates(parts).drop(*parts)
+    (keep,) = fresh(docs, "keep")
+    names = fresh(docs, *(f"{keep}_{f}" for f in ("none", "id", "hash", "tie")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), row_hash(docs).alias("tie"))
+    kept = near_copy_groups(docs.select(key.alias("key"), "text")).groupBy("group").agg(F.min("key").alias("id")).select("id.*").toDF(*names)
+    keyed = docs.withColumn(keep, key).withColumns({c: F.col(f"{keep}.{f}") for c, f in zip(names, ("none", "id", "hash", "tie"))}).drop(keep)
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A batch of changes (insert, revise, delete) becomes signed rows: a new text counts
 +1 document and +n tokens, the text it replaces or deletes counts -1 and -n, by
 source, language and tokenizer version. Totals are sums of signed rows, so any
-number of batches adds up in any order, and a batch costs its own size only.
+number of batches adds up in any order.
 
 A batch is written to a folder of its own under its number and counts once the
 commit marker beside it exists. A batch that is sent again after its commit is
@@ -11,7 +11,8 @@ left out; one that broke off before is written anew. Lost executors repeat tasks
 of one write and change nothing else.
 
 The ledger has a row for each document, version and batch that touched it; what a
-batch replaces is found by a join of its ids with the ledger, texts are not kept.
+batch replaces is found by a join of its ids with the ledger, of which only the buckets
+of these ids are read; texts are not kept.
 :meth:`Rollup.totals` reads the deltas only, a few rows a batch.
 
 Nulls: a null text has no tokens; null source and language are groups of their own.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import tiktoken
@@ -33,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm._common import materialise, scratch_dir, table
+from winnow.llm._common import materialise, scratch_dir, small, table
 
 #: Tokenizer versions: a rank file of byte-level BPE each.
 TOKENIZERS = {"byte_bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"}
 #: Fixed value: how these vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEYS = ("source", "lang", "tokenizer")
+BUCKETS = 64  # of the ledger, by a hash of the id; a batch reads those of its ids only
+SPREAD = 4  # files of a bucket in a batch
 
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
@@ -89,8 +93,8 @@ class Rollup:
         return sorted(int(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.root}/{kind}/{b}" for b in self.committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        found = [self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{b}") for b in self.committed()]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], schema)
 
     def apply(self, batch: int, changes: DataFrame) -> bool:
         """Add a batch: (doc_id, op, source, lang, text) and, if there is one, ``order``. False if it was committed before."""
@@ -100,20 +104,30 @@ class Rollup:
         kinds = {f.name: f.dataType.simpleString() for f in changes.schema}
         # texts become counts where they are read; only counts are shuffled
         gone = F.col("op") == "delete"
-        new = changes.where(F.col("op").isin("insert", "revise", "delete")).select("doc_id", F.struct(order.alias("order"), (~gone).alias("there"), F.when(~gone, self.count(F.when(~gone, F.col("text")))).alias("counts"), "source", "lang").alias("c"))
+        new = changes.where(F.col("op").isin("insert", "revise", "delete")).select("doc_id", "op", F.struct(order.alias("order"), (~gone).alias("there"), F.when(~gone, self.count(F.when(~gone, F.col("text")))).alias("counts"), "source", "lang").alias("c"))
         known = new.where("doc_id is not null").groupBy("doc_id").agg(F.max("c").alias("c"))
-        new = materialise(known.unionByName(new.where("doc_id is null").select("doc_id", "c")), f"{self.root}/counted/{batch}")
-        ledger = self._read("ledger", f"doc_id {kinds['doc_id']}, source string, lang string, tokenizer string, docs long, tokens long")
-        before = ledger.join(new.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi").groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
+        new = materialise(known.unionByName(new.where("doc_id is null and op = 'insert'").select("doc_id", "c")), f"{self.root}/counted/{batch}")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        ids = new.select("doc_id").where("doc_id is not null")
+        touched = [r["b"] for r in ids.select(bucket.alias("b")).distinct().collect()]
+        ledger = self._read("ledger", f"doc_id {kinds['doc_id']}, source string, lang string, tokenizer string, docs long, tokens long, bucket int").where(F.col("bucket").isin(touched))
+        before = ledger.join(small(ids), "doc_id", "left_semi").groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
         minus = before.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
         plus = new.where("c.there").select("doc_id", "c.source", "c.lang", F.explode("c.counts").alias("t")).select("doc_id", "source", "lang", "t.tokenizer", F.lit(1).cast("long").alias("docs"), F.col("t.n").alias("tokens"))
-        signed = materialise(minus.unionByName(plus), f"{self.root}/ledger/{batch}")
+        # rows without an id can't be replaced, so the ledger doesn't hold them
+        signed = self._write_ledger(minus.unionByName(plus.where("doc_id is not null")).withColumn("bucket", bucket), batch)
+        signed = signed.drop("bucket").unionByName(plus.where("doc_id is null"))
         deltas = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
         materialise(deltas, f"{self.root}/deltas/{batch}")
         marker, fs = self._path(f"{self.root}/commits/{batch}")
         fs.create(marker, True).close()
         return True
 
+    def _write_ledger(self, signed: DataFrame, batch: int) -> DataFrame:
+        path = f"{self.root}/ledger/{batch}"
+        signed.repartition("bucket", F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return self.spark.read.schema(signed.schema).parquet(path)
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; groups that have come to nothing are left out."""
         deltas = self._read("deltas", "source string, lang string, tokenizer string, docs long, tokens long")
@@ -121,9 +135,10 @@ class Rollup:
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id) of documents whose text an earlier one has."""
-    keyed = docs.where("text is not null and doc_id is not null").select("doc_id", F.sha2("text", 256).alias("sha"))
-    return keyed.join(keyed.groupBy("sha").agg(F.min("doc_id").alias("least")), "sha").where("doc_id > least").select("doc_id").distinct()
+    """(doc_id) of documents with a text of which none of their rows is the first: the smallest id of each text is first."""
+    keyed = materialise(docs.where("text is not null and doc_id is not null").select("doc_id", F.sha2("text", 256).alias("sha")))
+    firsts = keyed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    return keyed.select("doc_id").distinct().join(firsts.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
