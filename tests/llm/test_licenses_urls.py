@@ -65,7 +65,7 @@ def all_splits(label):
         yield out
 
 
-@pytest.mark.parametrize("label", ["cheappills", "thestone", "zzz", "a"])
+@pytest.mark.parametrize("label", ["cheappills", "thestone", "zzz", "a", "qcheapqqthe", "pillszzpills"])
 def test_viterbi_is_the_best_of_all_splits(label):
     from math import log
 
@@ -106,6 +106,48 @@ def test_urls_rules_and_words(spark):
     assert by[f"http://{'a' * 70}.com"]["host_words"] == ["a" * 70, "com"]
 
 
+def test_a_long_label_is_split(spark):
+    label = "cheappills" * 40 + "q" * 100
+    rows = [(1, f"http://{label}.org/", "cheap pills"), (2, "http://riverstone.net/", "river stone " * 50)]
+    got = {r["page_id"]: r["host_words"] for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ["cheap", "pills"] * 40 + ["q" * 100, "org"]
+
+
+def test_bayes_weights_and_verdicts_by_hand(spark):
+    from collections import Counter
+    from math import log
+
+    df = pages(spark)
+    got = {(r["page_id"], r["url"]): r for r in U.judge_urls(df).collect()}
+    named = {w for _, rule in U.RULES for w in re.findall("[a-z0-9]+", rule)}
+    seen, pages_of = {0: Counter(), 1: Counter()}, Counter()
+    tokens = lambda r: [f"h:{w}" for w in r["host_words"] or []] + [f"p:{w}" for w in re.split("[^a-z0-9]+", r["path"].lower()) if w]
+    for r in got.values():
+        if r["rule"]:
+            y = int(r["verdict"] == "block")
+            pages_of[y] += 1
+            words = [t for t in tokens(r) if t[2:] not in named]
+            seen[y].update(t for t in words if t[0] == "h")
+            seen[y].update(t for t in words if t[0] == "p")
+    v = len(set(seen[0]) | set(seen[1]))
+    weight = {t: log((seen[1][t] + 1) / (sum(seen[1].values()) + v)) - log((seen[0][t] + 1) / (sum(seen[0].values()) + v)) for t in set(seen[0]) | set(seen[1])}
+    for r in got.values():
+        if not r["rule"]:
+            odds = log(pages_of[1]) - log(pages_of[0]) + sum(weight.get(t, 0) for t in tokens(r))
+            assert abs(r["log_odds"] - odds) < 1e-9 and r["verdict"] == ("block" if odds > 0 else "allow")
+
+
+def test_join_by_key_with_a_hot_key(spark, monkeypatch):
+    from winnow.llm import _common
+
+    rows = spark.createDataFrame([("a", i) for i in range(300)] + [("b", 1), ("c", 2), (None, 3)] + [(None, i) for i in range(50)], "k string, v long")
+    keyed = spark.createDataFrame([("a", 1), ("b", 2), ("d", 3)], "k string, w long")
+    want = sorted(map(str, rows.join(keyed, "k", "left").collect()))
+    for hot in (4, 1 << 20):
+        monkeypatch.setattr(_common, "HOT", hot)
+        assert sorted(map(str, _common.join_by_key(rows, keyed, "k").collect())) == want
+
+
 def test_urls_edge_cases(spark):
     assert U.judge_urls(pages(spark).limit(0)).collect() == []
     rows = U.judge_urls(pages(spark).where("page_id in (50, 52)").drop("html")).collect()

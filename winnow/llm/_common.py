@@ -64,16 +64,21 @@ def small(df: DataFrame, most: int = 20_000) -> DataFrame:
 HOT = 4096
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
-    """``rows`` left-joined with ``keyed``, in which ``key`` is unique and ``n`` says how many of the rows have it; both written.
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``keyed``, in which ``key`` is unique; ``rows`` are read more than once, so they should be written.
 
     Keys of more than one in ``HOT`` of all rows, which are fewer than ``HOT`` keys, go to
     all tasks, so that none of them is one task; only the rows of other keys are shuffled.
     """
-    total = keyed.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
-    hot = F.broadcast(keyed.where(F.col(n) * HOT > total))
-    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(n) * HOT <= total), key, "left")
-    return rows.join(hot, key).unionByName(cold)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    counts = materialise(counts)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = counts.where((F.col("n") * HOT > total) & F.col(key).isNotNull()).select(key)
+    if total <= HOT or often.isEmpty():
+        return rows.join(keyed, key, "left")
+    hot = materialise(keyed.join(F.broadcast(often), key, "left_semi"))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

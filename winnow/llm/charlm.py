@@ -261,6 +261,13 @@ class SortedTable:
         return out
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (g, gram, value) to (key, value)."""
+    for batch in batches:
+        keys = gram_keys(batch.column(1).cast(pa.string()), np.asarray(batch.column(0)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2).cast(pa.float32())], ["key", "value"])
+
+
 Measure = Callable[[pa.StringArray, np.ndarray, SortedTable], pa.Array]
 
 
@@ -279,7 +286,9 @@ def with_values(rows: DataFrame, text: str, group: str | Column, values: DataFra
     """
     group = F.col(group) if isinstance(group, str) else group
     if values.count() <= (BROADCAST_ROWS if most is None else most):
-        table = rows.sparkSession.sparkContext.broadcast(SortedTable.of(values.toArrow()))
+        found = values.select("g", "gram", "value").mapInArrow(_hashed, "key long, value float").toArrow()
+        table = rows.sparkSession.sparkContext.broadcast(SortedTable(np.asarray(found["key"]).view(np.uint64), np.asarray(found["value"])))
+        del found
 
         @F.arrow_udf(kind)
         def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

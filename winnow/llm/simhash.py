@@ -125,15 +125,15 @@ def _distances(shift: int, width: int) -> Column:
 def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp long, component) for each row of ``df``; component: the smallest id of the row's group."""
     prints = materialise(df.select(F.col(id_col).alias("id"), simhash64(F.col(text_col), shingle).alias("fp")))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")))
     links = linked_fingerprints(nodes.select("fp"), bits)
     comps = connected_components(links.select(F.col("fp").alias("a"), F.col("other").alias("b")))
     # the smallest id over a component of fingerprints; those without links are their own
     linked = materialise(comps.select(F.col("node").alias("fp"), F.col("component").alias("c")).join(nodes, "fp"))
     least = linked.groupBy("c").agg(F.min("least").alias("component"))
     named = linked.join(least, "c").select("fp", "component")
-    named = materialise(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component")))
-    return join_by_key(prints, named, "fp", "n").select("id", "fp", "component")
+    named = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
+    return join_by_key(prints, named, "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -1,19 +1,18 @@
 """URL filters: rules first, then naive Bayes over segmented host and path words.
 
 A host's labels are concatenated words more often than not. Each distinct label is split by
-the unigram model that makes it likeliest (Viterbi over all splits into words of
-up to ``MAX_WORD`` letters). The unigram counts come from the text and paths of all
+the unigram model that makes it likeliest (Viterbi over all splits, into words of any
+length). The unigram counts come from the text and paths of all
 pages; a label's candidate words meet them in a join, so the word list is never
 broadcast. Multinomial naive Bayes learns from the pages that a rule decides and
 judges the others by the words of host and path. Words that the rules name are left
 out, as they would only repeat the rules; words that it has not met count for nothing.
 
-All work but the split is on distinct hosts and paths, so a host with a third of
-all pages costs one row.
+All work is on distinct hosts, labels and urls; those that have a large share of the rows
+of a join are sent to all tasks (:func:`join_by_key`), so that none is one task.
 
 Nulls: a null url, or one without ``://``, has an empty host and path; no rule fits
-it and it has no words, so the prior decides. A label past 63 characters (no host
-has one by the standard) stays one word. A null page_id stays. Repeated rows come
+it and it has no words, so the prior decides. A null page_id stays. Repeated rows come
 out as often as they went in; ties go to allow. Without decided pages of both kinds
 all others are allowed. Empty input gives no rows. An html column may be missing or
 null.
@@ -30,9 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm._common import fresh, materialise, table
+from winnow.llm._common import fresh, join_by_key, materialise, table
 
-MAX_WORD, MAX_LABEL = 24, 63
 SEPARATOR = r"[.\-_:@]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,29 +62,37 @@ def words_in(text: Column) -> Column:
 
 
 def unigrams(pages: DataFrame) -> DataFrame:
-    """(word, n): words of up to ``MAX_WORD`` letters in the paths and, without tags, in the html of all pages."""
+    """(word, n): words of letters in the paths and, without tags, in the html of all pages."""
     sources = [path_of(F.col("url"))]
     if "html" in pages.columns:
         sources.append(F.coalesce(F.regexp_replace(F.col("html"), r"<[^>]*>", " "), F.lit("")))
     found = pages.select(F.explode(F.concat(*(words_in(s) for s in sources))).alias("word"))
-    return found.where((F.length("word") <= MAX_WORD) & F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count("*").alias("n"))
+    return found.where(F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
-    """The likeliest split; an unknown word of k letters has probability 10 / (total * 10**k). Ties: fewer words, then a longer first word."""
-    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
-    unknown = log(10.0 / max(total, 1))
+    """The likeliest split; an unknown word of k letters has probability 10 / (total * 10**k). Ties: fewer words, then a longer last word.
+
+    An unknown word costs as much for each letter, so the best place for it to begin is carried along; known words end
+    at a place by length. Time is linear in the label for given lengths.
+    """
+    lengths = sorted({len(w) for w in counts})
+    unknown, letter = log(10.0 / max(total, 1)), log(10.0)
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]  # score, less the words, less the last word's begin
+    begin = (0.0, 0, 0)  # the best begin of an unknown word: its score, as if letters before it had been paid for
     for i in range(1, len(label) + 1):
-        options = []
-        for j in range(max(0, i - MAX_WORD), i):
-            n = counts.get(label[j:i])
-            p = log(n / total) if n else unknown - (i - j) * log(10.0)
-            options.append((best[j][0] + p, -best[j][1] - 1, -j))
-        p, n, j = max(options)
-        best.append((p, -n, -j))
+        options = [(begin[0] + unknown - i * letter, begin[1] - 1, begin[2])]
+        for k in lengths:
+            if k > i:
+                break
+            n = counts.get(label[i - k : i])
+            if n:
+                options.append((best[i - k][0] + log(n / total), best[i - k][1] - 1, k - i))
+        best.append(max(options))
+        begin = max(begin, (best[i][0] + i * letter, best[i][1], -i))
     out, i = [], len(label)
     while i:
-        j = best[i][2]
+        j = -best[i][2]
         out.append(label[j:i])
         i = j
     return out[::-1]
@@ -101,16 +107,17 @@ def split_labels(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iter
 
 def segmented_labels(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) of the distinct labels in (host)."""
-    labels = hosts.select(F.explode(F.split("host", SEPARATOR)).alias("label")).where("label != ''").distinct()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    short = labels.where(F.length("label") <= MAX_LABEL)
-    ends = F.sequence(F.lit(1), F.length("label"))
-    pieces = F.flatten(F.transform(ends, lambda i: F.transform(F.sequence(i, F.least(i + MAX_WORD - 1, F.length("label"))), lambda j: F.substring("label", i, j - i + 1))))
-    parts = short.select("label", F.explode(F.array_distinct(pieces)).alias("word"))
+    labels = materialise(hosts.select(F.explode(F.split("host", SEPARATOR)).alias("label")).where("label != ''").distinct())
+    longest = labels.agg(F.coalesce(F.max(F.length("label")), F.lit(0))).first()[0]
+    r = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.when(F.length("word") <= longest, F.length("word"))), F.lit(0))).first()
+    total, reach = r[0], r[1]
+    # a row a place, then a row a length: no label is held with all its pieces
+    places = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("at"))
+    last = F.least(F.lit(reach), F.length("label") - F.col("at") + 1)
+    pieces = places.where(last > 0).select("label", "at", F.explode(F.sequence(F.lit(1), last)).alias("k")).select("label", F.col("label").substr(F.col("at"), F.col("k")).alias("word"))
     # known pieces only; a label of which none is known still needs its row
-    known = parts.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    split = short.join(known, "label", "left").select("label", split_labels("label", "found", F.lit(total).cast("long")).alias("words"))
-    return split.unionByName(labels.where(F.length("label") > MAX_LABEL).select("label", F.array("label").alias("words")))
+    known = pieces.distinct().join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return labels.join(known, "label", "left").select("label", split_labels("label", "found", F.lit(total).cast("long")).alias("words"))
 
 
 def bayes(tokens: DataFrame) -> DataFrame | None:
@@ -129,30 +136,41 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     counts = materialise(unigrams(pages))
     (r,) = fresh(pages, "r")
     pages = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).drop(*names[2:])
-    urls = pages.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn(r, longest_rule(F.col("host"), F.col("path"), rules))
+    urls = pages.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("url", _url_key()).withColumn(r, longest_rule(F.col("host"), F.col("path"), rules))
     urls = materialise(urls)
     labels = materialise(segmented_labels(urls.select("host").distinct(), counts))
-    pieces = urls.select("host").distinct().select("host", F.posexplode(F.split("host", SEPARATOR)).alias("i", "label")).join(labels, "label")
+    parts = materialise(urls.select("host").distinct().select("host", F.posexplode(F.split("host", SEPARATOR)).alias("i", "label")).where("label != ''"))
+    pieces = join_by_key(parts, labels, "label")
     hosts = materialise(pieces.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("host_words")))
     # a host's pages are summed before its words are counted; a path's words per distinct url
     decided = urls.where(F.col(r).isNotNull()).withColumn("block", (F.col(f"{r}.verdict") == "block").cast("long"))
     host_tokens = decided.groupBy("host", "block").agg(F.sum("n").alias("n")).join(hosts, "host").select(F.explode("host_words").alias("token"), "block", "n")
     path_tokens = decided.select(F.explode(words_in(F.col("path"))).alias("token"), "block", "n")
-    tag = lambda df, kind: df.where(~F.col("token").isin(named)).select(F.concat(F.lit(f"{kind}:"), "token").alias("token"), "block", "n")
     named = sorted({w for _, rule in rules for w in re.findall("[a-z0-9]+", rule)})
+    tag = lambda df, kind: df.where(~F.col("token").isin(named)).select(F.concat(F.lit(f"{kind}:"), "token").alias("token"), "block", "n")
     weights = bayes(tag(host_tokens, "h").unionByName(tag(path_tokens, "p")))
     if weights:
         n = decided.groupBy("block").agg(F.sum("n").alias("n")).collect()
         prior = log(max(1, sum(x["n"] for x in n if x["block"]))) - log(max(1, sum(x["n"] for x in n if not x["block"])))
-        score = F.sum("weight")
-        h = hosts.select("host", F.explode("host_words").alias("w")).select("host", F.concat(F.lit("h:"), "w").alias("token")).join(weights, "token").groupBy("host").agg(score.alias("hs"))
-        p = urls.where(F.col(r).isNull()).select("host", "path", F.explode(words_in(F.col("path"))).alias("w")).select("host", "path", F.concat(F.lit("p:"), "w").alias("token")).join(weights, "token").groupBy("host", "path").agg(score.alias("ps"))
-        odds = urls.join(h, "host", "left").join(p, ["host", "path"], "left").withColumn("log_odds", F.when(F.col(r).isNull(), F.lit(prior) + F.coalesce("hs", F.lit(0.0)) + F.coalesce("ps", F.lit(0.0))))
+        score = F.coalesce(F.sum("weight"), F.lit(0.0))
+        host_words = materialise(hosts.select("host", F.explode("host_words").alias("w")).select("host", F.concat(F.lit("h:"), "w").alias("token")))
+        path_words = materialise(urls.where(F.col(r).isNull()).select("url", F.explode(words_in(F.col("path"))).alias("w")).select("url", F.concat(F.lit("p:"), "w").alias("token")))
+        h = join_by_key(host_words, weights, "token").groupBy("host").agg(score.alias("hs"))
+        p = join_by_key(path_words, weights, "token").groupBy("url").agg(score.alias("ps"))
+        scores = materialise(hosts.join(h, "host", "left"))
+        urls = materialise(urls.join(p, "url", "left"))
+        odds = F.when(F.col(r).isNull(), F.lit(prior) + F.coalesce("hs", F.lit(0.0)) + F.coalesce("ps", F.lit(0.0)))
     else:
-        odds = urls.withColumn("log_odds", F.lit(None).cast("double"))
+        scores, odds = hosts, F.lit(None).cast("double")
     verdict = F.coalesce(F.col(f"{r}.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
-    judged = materialise(odds.join(hosts, "host", "left").select("host", "path", F.col(f"{r}.rule").alias("rule"), verdict.alias("verdict"), "host_words", "log_odds"))
-    return pages.join(judged, ["host", "path"])
+    judged = join_by_key(urls, scores, "host").withColumn("log_odds", odds)
+    judged = materialise(judged.select("url", F.col(f"{r}.rule").alias("rule"), verdict.alias("verdict"), "host_words", "log_odds"))
+    (key,) = fresh(pages, "url_key")
+    return join_by_key(pages.withColumn(key, _url_key()), judged.withColumnRenamed("url", key), key).drop(key)
+
+
+def _url_key() -> Column:
+    return F.struct("host", "path")
 
 
 def op5_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
