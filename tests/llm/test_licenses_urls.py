@@ -30,17 +30,56 @@ def scan(texts):
 
 
 def test_base_places_and_spans():
-    mit = L.TEMPLATES[11][1]
+    mit = next(t for label, t in L.TEMPLATES if label == "mit" and len(t) > 200)
     cut = mit.split()
     damaged = " ".join(cut[:20] + ["totally", "other"] + cut[22:50] + cut[53:])
     got = scan([prose(1, 30) + " " + mit + " " + prose(2, 10), damaged, "MIT  License; mit-license", "the gnu general public license (GPL)", " ".join(cut[:30]), None, ""])
     spans = [{s["label"] for s in g["spans"]} for g in got]
-    assert spans[0] == {"mit"} and spans[1] == {"mit"} and spans[4] == set() and got[5]["n_words"] == got[6]["n_words"] == 0
+    assert spans[0] == {"mit"} and spans[1] == {"mit"} and spans[2] == {"mit"} and spans[3] == {"gpl"} and spans[4] == set() and got[5]["n_words"] == got[6]["n_words"] == 0
     assert got[0]["spans"][0]["start"] == 30
     assert [p["word"] for p in got[2]["places"]] == [0, 2]
     assert [p["label"] for p in got[3]["places"]] == ["gpl"]
 
 
+def test_a_template_inside_a_longer_one_is_found():
+    s = L.Scanner.of((("long", "a b c d e f g h i j"), ("short", "c d e f")), ())
+    tokens = [s.vocabulary[w] for w in "a b c d e f g h i j".split()]
+    assert {x[0] for x in s.scan([(0, tokens)])[1]} == {"long", "short"}
+    assert {x[0] for x in s.scan([(0, tokens[2:6])])[1]} == {"short"}
+
+
+def chains(found, size):
+    """The best cover of a template over all sequences of its anchors that keep to the rules."""
+    from itertools import combinations
+
+    best = 0
+    for k in range(1, len(found) + 1):
+        for seq in combinations(sorted(found), k):
+            n = seq[0][1]
+            for (a, m, b), (at, w, begin) in zip(seq, seq[1:]):
+                over = max(0, a + m - at, b + m - begin)
+                if not (at - a - m <= L.GAP and 0 < begin - b and begin - b - m <= L.GAP and over < w and at - a <= L.GAP + size):
+                    break
+                n += w - over
+            else:
+                best = max(best, n)
+    return best
+
+
+def test_chains_by_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        size = rng.randrange(6, 30)
+        s = L.Scanner.of((("x", " ".join(f"w{i}" for i in range(size))),), ())
+        found = sorted({(rng.randrange(40), rng.randrange(3, 8), rng.randrange(size - 3)) for _ in range(rng.randrange(1, 7))})
+        spans = s.chain([(a, n, 0, b) for a, n, b in found])
+        want = chains(found, size)
+        got = max((round(x[3] * size) for x in spans), default=0)
+        assert got == (want if want >= L.COVER * size else 0)
+
+
 def test_op9_matches_brute_force(spark, tmp_path):
     rows = [(1, "Licensed under CC BY-NC 4.0. and cc by", "en", "s", 1), (2, "apache license mit license", "en", "s", 1), (3, None, None, None, None), (4, "Ünïcode мит License 1a2", "en", "s", 1)]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
@@ -52,6 +91,7 @@ def test_op9_matches_brute_force(spark, tmp_path):
         assert got[i]["base_labels"] == ",".join(sorted({p[1] for p in places}))
         assert (got[i]["first_word"], got[i]["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
     assert got[1]["labels"] == "cc-by,cc-by-nc-4.0" and got[3]["score"] == 0.0
+    assert all(r["score"] == 1.0 for r in got.values() if r["base_labels"])
     clash = documents(spark, extra=True)
     assert L.scan_licenses(clash).count() == clash.count()
     assert L.scan_licenses(empty(spark)).collect() == []

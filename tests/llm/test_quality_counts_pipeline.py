@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.data import LABELS, documents, empty, prose
@@ -24,6 +25,50 @@ def test_co_training_on_rows_it_has_not_seen(spark):
     assert sum((got[i]["meta_score"] >= 0.5) == (i % 5 > 0) for i in unseen) >= 0.9 * len(unseen)
 
 
+def test_newton_passes_equal_a_plain_regression(spark):
+    rng = np.random.default_rng(3)
+    n = 300
+    y = np.where(rng.random(n) < 0.5, rng.random(n) < 0.6, -1).astype(int)
+    x = [np.where(rng.random((n, w)) < 0.1, rng.random((n, w)), 0).astype(np.float32) for w in (quality.TEXT_SIZE, quality.META_SIZE)]
+    for v in x:
+        v[:, 0] = (y == 1) * 2 - (y == 0) * 2 + rng.normal(size=n)
+    rows = spark.createDataFrame([([float(a) for a in x[0][i]], [float(a) for a in x[1][i]], None if y[i] < 0 else int(y[i])) for i in range(n)], "text_x array<float>, meta_x array<float>, y int")
+    got = quality.co_train(rows)
+
+    one = [np.hstack([v.astype(float), np.ones((n, 1))]) for v in x]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    now, teachers = [np.zeros(v.shape[1]) for v in one], None
+    for r in range(1 + quality.ROUNDS):
+        for _ in range(quality.STEPS if r == 0 else 2):
+            new = []
+            for i in range(2):
+                label, weight = y.astype(float), (y >= 0).astype(float)
+                if teachers is not None:
+                    p = sigmoid(one[1 - i] @ teachers[1 - i])
+                    for j in range(n):
+                        if y[j] < 0 and (p[j] >= quality.CONFIDENT or p[j] <= 1 - quality.CONFIDENT):
+                            label[j], weight[j] = p[j] >= 0.5, quality.PSEUDO_WEIGHT
+                p = sigmoid(one[i] @ now[i])
+                pen = np.full(len(now[i]), quality.RIDGE)
+                pen[-1] = 1e-3
+                h = sum(weight[j] * p[j] * (1 - p[j]) * np.outer(one[i][j], one[i][j]) for j in range(n)) + np.diag(pen)
+                g = sum(weight[j] * (label[j] - p[j]) * one[i][j] for j in range(n)) - pen * now[i]
+                new.append(now[i] + np.clip(np.linalg.solve(h, g), -5, 5))
+            now = new
+        teachers = now
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got, now))
+
+
+def test_metadata_features_by_hand(spark):
+    rows = [(1, "en", "s1", 9), (2, "en", None, None), (3, None, "s2", 0), (4, "de", "s1", 99), (5, "xx", "rare", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long")
+    assert quality.common_values(df, "lang", 2) == ["en", "de"]
+    got = df.select("doc_id", quality.metadata_view(F.col("lang"), F.col("source"), F.col("n_chars"), ["en", "de"], ["s1"]).alias("x")).collect()
+    for r in got:
+        assert len(r["x"]) == quality.META_SIZE and sum(r["x"][3:]) == 2
+    assert got[0]["x"][3] == 1 and got[3]["x"][4] == 1 and got[0]["x"][3 + quality.LANGS + quality.RARE] == 1
+
+
 def test_quality_edge_cases(spark):
     none = spark.createDataFrame([], LABELS)
     rows = quality.score_quality(documents(spark, extra=True), none).collect()

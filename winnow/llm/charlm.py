@@ -34,8 +34,9 @@ BOS, EOS, OTHER = "\x02", "\x03", "�"
 UNSEEN = 1 / (1 << 17)  # of a character that the model hasn't met: one in all code points, about
 BROADCAST_ROWS = 4_000_000  # 48 MB of hashes and values
 CHUNK_BYTES = 32 << 20
-BLOCK = 1 << 21  # symbols hashed at a time, whatever the length of a text
-HELD = 1 << 20  # windows that a counting task holds before it hands them on
+SLICE = 1 << 20  # bytes of text handled at a time, if texts aren't longer
+BLOCK = 1 << 20  # symbols hashed at a time, whatever the length of a text
+HELD = 1 << 21  # windows that a counting task holds before it adds up equal ones; if over half are left, it hands them on
 _P, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -45,58 +46,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _key(h: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
-    return _mix(h + length.astype(np.uint64) * _C + (group.astype(np.uint64) + np.uint64(1)) * _P)
-
-
 def symbols(texts: pa.StringArray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts, each with a start and an end, and where each text begins, with the end of the last. ``fold``: in lower case."""
-    if fold:
-        texts = pc.utf8_lower(texts)
-    codes = np.frombuffer(data_of(texts).decode("utf-8").encode("utf-32-le"), np.uint32)
-    sizes = np.asarray(pc.utf8_length(texts)).astype(np.int64)
-    n, doc = len(texts), np.repeat(np.arange(len(texts)), sizes)
-    s = np.full(len(codes) + 2 * n, ord(BOS), np.uint32)
-    s[np.arange(len(codes)) + 2 * doc + 1] = np.where((codes <= 3) & (codes != 1), ord(OTHER), codes)
-    edge = np.concatenate([[0], np.cumsum(sizes + 2)])
-    s[edge[1:] - 1] = ord(EOS)
+    framed = pc.binary_join_element_wise(BOS, pc.utf8_lower(texts) if fold else texts, EOS, "")
+    edge = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(framed)).astype(np.int64))])
+    s = np.frombuffer(data_of(framed).decode("utf-8").encode("utf-32-le"), np.uint32).copy()
+    s[(s <= 3) & (s != 1)] = ord(OTHER)
+    s[edge[:-1]], s[edge[1:] - 1] = ord(BOS), ord(EOS)
     space = (s == 32) | ((s >= 9) & (s <= 13))
-    first, last = space.copy(), space.copy()
-    first[1:] &= ~space[:-1]
-    last[:-1] &= ~space[1:]
-    a, b = np.flatnonzero(first), np.flatnonzero(last)
+    step = np.diff(space.view(np.int8), prepend=np.int8(0))
+    a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)  # runs, and what follows each
     if not len(a):
         return s, edge
-    line = np.add.reduceat((s == 10).astype(np.int64), a) > 0  # what lies between two runs has no line end
-    s = s.copy()
+    line = np.add.reduceat(s == 10, a, dtype=np.int64) > 0  # what lies between two runs has no line end
     s[a] = np.where(line, 10, 32)
+    # runs at the start or end of a text go; the frames are the only such code points
     keep = ~space
-    starts, ends = np.zeros(len(s), bool), np.zeros(len(s), bool)
-    starts[edge[:-1]], ends[edge[1:] - 1] = True, True
-    keep[a[~starts[a - 1] & ~ends[b + 1]]] = True  # runs at the start or end of a text go
-    return s[keep], np.concatenate([[0], np.cumsum(keep)])[edge]
-
-
-def window_keys(s: np.ndarray, edge: np.ndarray, order: int, groups: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys, lengths and texts of the windows of the symbols ``begin`` to ``end``; a text's start has length 1 and is no window."""
-    low, high = max(0, begin - order + 1), np.searchsorted(edge, [begin, end], "right")
-    texts = np.arange(high[0] - 1, min(high[1], len(edge) - 1))
-    doc = np.repeat(texts, np.minimum(edge[texts + 1], end) - np.maximum(edge[texts], begin))
-    length = np.minimum(np.arange(begin, end) - edge[doc] + 1, order)
+    keep[a[(s[a - 1] != ord(BOS)) & (s[b] != ord(EOS))]] = True
+    gone = np.flatnonzero(~keep)
+    return s[keep], edge - np.searchsorted(gone, edge)
+
+
+def window_keys(s: np.ndarray, edge: np.ndarray, order: int, groups: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and lengths of the windows of the symbols ``begin`` to ``end``; a text's start has length 1 and is no window."""
+    low = max(0, begin - order + 1)
     m = _mix(s[low:end].astype(np.uint64) + np.uint64(1))
-    h = m
-    starts = np.flatnonzero(length < order)
-    kept = {}
+    length = np.full(end - begin, order, np.int8)
+    near = np.flatnonzero((edge[:-1] > begin - order) & (edge[:-1] < end))
+    first, stop = edge[near], edge[near + 1]
+    h, short = m, []
     for k in range(1, order + 1):
         if k > 1:
             nxt = m.copy()
             nxt[1:] += h[:-1] * _P
             h = nxt
-        kept[k] = h[begin - low :][starts[length[starts] == k]]
-    out = h[begin - low :]
-    for k in range(1, order):
-        out[starts[length[starts] == k]] = kept[k]
-    return _key(out, length, groups[doc]), length, doc
+        if k < order:
+            at = first + k - 1
+            at = at[(at < stop) & (at >= begin) & (at < end)] - begin
+            length[at] = k
+            short.append((at, h[at + begin - low] + np.uint64(k) * _C))
+    out = h[begin - low :] + np.uint64(order) * _C
+    for at, keys in short:
+        out[at] = keys
+    if len(groups) and (groups == groups[0]).all():
+        out += np.uint64(int(groups[0]) + 1) * _P
+    else:
+        out += (groups[texts_at(edge, begin, end)].astype(np.uint64) + np.uint64(1)) * _P
+    return out, length
+
+
+def texts_at(edge: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """The text of each symbol from ``begin`` to ``end``."""
+    some = np.arange(np.searchsorted(edge, begin, "right") - 1, np.searchsorted(edge, end, "left"))
+    return np.repeat(some, np.minimum(edge[some + 1], end) - np.maximum(edge[some], begin))
 
 
 def gram_keys(grams: pa.StringArray, groups: np.ndarray) -> np.ndarray:
@@ -108,7 +110,7 @@ def gram_keys(grams: pa.StringArray, groups: np.ndarray) -> np.ndarray:
     for j in range(int(sizes.max(initial=0))):
         on = sizes > j
         h[on] = h[on] * _P + m[begin[on] + j]
-    return _key(h, sizes, groups)
+    return h + sizes.astype(np.uint64) * _C + (groups.astype(np.uint64) + np.uint64(1)) * _P
 
 
 def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -120,21 +122,23 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _windows(part: pa.StringArray, groups: np.ndarray, order: int, fold: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, counts, groups, code points) of the distinct windows of some texts, by block."""
     s, edge = symbols(part, fold)
     for begin in range(0, len(s), BLOCK):
         end = min(begin + BLOCK, len(s))
-        keys, length, doc = window_keys(s, edge, order, groups, begin, end)
+        keys, length = window_keys(s, edge, order, groups, begin, end)
         by = np.argsort(keys)
-        new = np.flatnonzero(np.diff(keys[by], prepend=keys[by][:1] + np.uint64(1)))
+        keys = keys[by]
+        new = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
         at, n = by[new], np.diff(np.append(new, len(by)))
         used = length[at] > 1
-        at, n = at[used], n[used]
-        size = length[at]
+        at, n, keys = at[used], n[used], keys[new[used]]
+        size = length[at].astype(np.int64)
         codes = np.zeros((len(at), order), np.uint32)
         for j in range(order):
             on = size > j
             codes[on, j] = s[begin + at[on] - size[on] + 1 + j]
-        yield keys[at], n, groups[doc[at]], codes
+        yield keys, n.astype(np.int64), groups[np.searchsorted(edge, begin + at, "right") - 1], codes
 
 
 def window_counts(df: DataFrame, group: str, text: str, order: int, fold: bool = False) -> DataFrame:
@@ -147,16 +151,21 @@ def window_counts(df: DataFrame, group: str, text: str, order: int, fold: bool =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
             batch, at = batch.filter(pc.is_valid(batch.column(0))), 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 groups = np.asarray(batch.column(0).slice(at, len(part))).astype(np.int64)
                 at += len(part)
                 for found in _windows(part, groups, order, fold):
-                    held = [_merged([*held, found])]
-                    if len(held[0][0]) > HELD:
-                        yield rows(held)
-                        held = []
+                    held.append(found)
+                    size += len(found[0])
+                    if size > HELD:
+                        held = [_merged(held)]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield rows(held)
+                            held, size = [], 0
         if held:
             yield rows(held)
 
@@ -256,7 +265,7 @@ class SortedTable:
         out = np.zeros(len(s), np.float32)
         for begin in range(0, len(s), BLOCK):
             end = min(begin + BLOCK, len(s))
-            keys, length, _ = window_keys(s, edge, order, groups, begin, end)
+            keys, length = window_keys(s, edge, order, groups, begin, end)
             out[begin:end] = np.where(length > 1, self.look(keys), 0)
         return out
 
@@ -273,7 +282,7 @@ Measure = Callable[[pa.StringArray, np.ndarray, SortedTable], pa.Array]
 
 def _measured(texts: pa.Array, groups: pa.Array, table: SortedTable, measure: Measure, kind: pa.DataType) -> pa.Array:
     out, at = [], 0
-    for part in slices(texts):
+    for part in slices(texts, SLICE):
         out.append(measure(part, np.asarray(groups.slice(at, len(part))).astype(np.int64), table).cast(kind))
         at += len(part)
     return pa.concat_arrays(out) if out else pa.array([], kind)
@@ -312,7 +321,7 @@ def _in_chunks(rows: DataFrame, text: str, group: Column, values: DataFrame, mea
             chunks = np.asarray(batch.column(0))
             for c in np.unique(chunks):
                 some, at = batch.filter(pa.array(chunks == c)), 0
-                for part in slices(some.column(1)):
+                for part in slices(some.column(1), SLICE):
                     groups = np.asarray(some.column(2).slice(at, len(part))).astype(np.int64)
                     at += len(part)
                     for _, _, g, codes in _windows(part, groups, order, fold):

@@ -10,10 +10,10 @@ verified by an alignment in a band around them. Items so short that the bound wo
 fall under ``LEAST`` get the largest edit budget that keeps it; items shorter than
 q + LEAST - 1 characters can only match exactly and are compared so.
 
-The benchmark is the query set: its table is broadcast if it has ``MAX_ITEMS``
-items at most (a q-gram index of a few MB), else it is applied in as many
-blocks of that size, each a pass over the texts. Texts are neither shuffled nor
-cut; only hits leave the tasks.
+The benchmark is the query set. A block of it, of ``MAX_ITEMS`` items and ``MAX_CHARS``
+characters about, is sent to all tasks as a q-gram index; more items make more blocks, each
+a pass over the texts of which only the hits are kept, so that one block at a time
+is held. Texts are neither shuffled nor cut; only hits leave the tasks.
 
 Nulls: a null or empty text has no hits; items that are null or have no letters or
 digits match nothing. Repeated items give a hit each, repeated rows too. The best
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm._common import fresh, table
+from winnow.llm._common import fresh, materialise, table
 from winnow.llm._text import data_of, slices
 
 Q = 8
 RATE = 0.1
 LEAST = 8
-MAX_ITEMS = 50_000
+MAX_ITEMS, MAX_CHARS = 50_000, 8_000_000
 _BITS = 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -265,24 +266,42 @@ def hits_udf(index):
     return hits
 
 
+def _blocks(benchmark: DataFrame) -> list[DataFrame]:
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t is not null")
+    n = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
+    blocks = max(1, -(-n["n"] // MAX_ITEMS), -(-n["c"] // MAX_CHARS))
+    return [items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items for k in range(blocks)]
+
+
+def _sent(block: DataFrame):
+    return block.sparkSession.sparkContext.broadcast(Index.of([tuple(r) for r in block.orderBy("i", "t").collect()]))
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits") -> DataFrame:
     """``docs`` with an array of hits (item_id, start, end, edits) in ``out``, which replaces a column of that name."""
-    docs = docs.drop(out)
-    sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t is not null")
-    n = items.count()
-    blocks = max(1, -(-n // MAX_ITEMS))
-    found = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        found.append(hits_udf(sc.broadcast(Index.of([tuple(r) for r in block.orderBy("i", "t").collect()])))(text))
-    return docs.withColumn(out, found[0] if len(found) == 1 else F.flatten(F.array(*found)))
+    docs, blocks = docs.drop(out), _blocks(benchmark)
+    if len(blocks) == 1:
+        return docs.withColumn(out, hits_udf(_sent(blocks[0]))(text))
+    row, of = fresh(docs, "row", "of")
+    docs, found = materialise(docs.withColumn(row, F.monotonically_increasing_id())), []
+    for block in blocks:
+        index = _sent(block)
+        found.append(materialise(docs.select(F.col(row).alias(of), hits_udf(index)(text).alias(out)).where(F.size(out) > 0)))
+        index.destroy()
+    hits = reduce(DataFrame.unionByName, found).groupBy(of).agg(F.sort_array(F.flatten(F.collect_list(out))).alias(out))
+    return docs.join(hits, F.col(row) == F.col(of), "left").withColumn(out, F.coalesce(out, F.array().cast(HITS))).drop(row, of)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has no hit; columns as before."""
-    (h,) = fresh(docs, "hits")
-    return with_hits(docs, benchmark, text, h).where(F.size(h) == 0).drop(h)
+    blocks = _blocks(benchmark)
+    for k, block in enumerate(blocks):
+        index = _sent(block)
+        docs = docs.where(F.size(hits_udf(index)(text)) == 0)
+        if k < len(blocks) - 1:  # what a block leaves is the next one's input
+            docs = materialise(docs)
+            index.destroy()
+    return docs
 
 
 def op2_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:

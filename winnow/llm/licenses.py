@@ -2,10 +2,11 @@
 
 The automaton holds every run of words of every template. A text is streamed
 through it word by word, which gives its matching statistics: at each word, the
-longest run ending there that some template contains. Maximal runs of ``ANCHOR``
-words or more are chained, in the order of text and template with gaps of ``GAP``
-words at most; a chain that covers ``COVER`` of a template is a found span. The base
-phrases are templates too: they are found wherever the statistics reach them.
+longest run ending there that some template contains. A template's runs of ``ANCHOR``
+words or more (or of all its words, if it has fewer) that can't be longer are chained, in
+the order of text and template with gaps of ``GAP`` words at most; a chain that covers
+``COVER`` of a template is a found span. The base phrases are templates too, so each
+place of theirs is a span of coverage 1.
 
 Templates are a parameter of bounded size, so the automaton travels with the code.
 Texts are neither shuffled nor cut, and each is handled alone.
@@ -40,18 +41,32 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("agpl-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("artistic-2.0", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("gpl-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("mpl-2.0", "This Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public License, v. 2.0."),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 )
 
 
@@ -110,20 +125,21 @@ class Automaton:
 class Scanner:
     vocabulary: dict[str, int]
     automaton: Automaton
-    sizes: list[int]  #: words of each template
+    sizes: list[int]  #: how many words each template has
     labels: list[str]
     phrases: list[dict[int, str]]  #: by state: length of a base phrase that its runs end in, and the label
-    pairs: np.ndarray  #: (word, word): whether a template has them side by side
+    tokens: list[list[int]]  #: words of each template as numbers
+    pairs: np.ndarray  #: sorted numbers of the pairs of words that a template has side by side
 
     @staticmethod
     def of(templates: tuple[tuple[str, str], ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = BASE) -> Scanner:
         texts = [(label, words(text)) for label, text in templates] + [(label, words(phrase)) for phrase, label in base]
         vocabulary: dict[str, int] = {}
         tokens = [[vocabulary.setdefault(w, len(vocabulary)) for w in t] for _, t in texts]
-        auto, pairs = Automaton(), np.zeros((len(vocabulary), len(vocabulary)), bool)
+        auto, pairs = Automaton(), set()
         for i, t in enumerate(tokens):
             auto.add(i, t)
-            pairs[t[:-1], t[1:]] = True
+            pairs.update(a * len(vocabulary) + b for a, b in zip(t, t[1:]))
         auto.finish()
         phrases: list[dict[int, str]] = [{} for _ in auto.length]
         for k in range(len(templates), len(texts)):
@@ -133,7 +149,7 @@ class Scanner:
             phrases[s][len(tokens[k])] = texts[k][0]
         for s in sorted(range(1, len(auto.length)), key=lambda s: auto.length[s]):
             phrases[s] = {**phrases[auto.link[s]], **phrases[s]}
-        return Scanner(vocabulary, auto, [len(t) for t in tokens], [label for label, _ in texts], phrases, pairs)
+        return Scanner(vocabulary, auto, [len(t) for t in tokens], [label for label, _ in texts], phrases, tokens, np.array(sorted(pairs), np.int64))
 
     def statistics(self, tokens: list[int]) -> list[tuple[int, int]]:
         """(state, length) of the longest run that ends at each word."""
@@ -157,10 +173,23 @@ class Scanner:
                 for size, label in self.phrases[s].items():
                     if size <= n:
                         places.append((at + i + 1 - size, label))
-                if n >= ANCHOR and (i + 1 == len(stats) or stats[i + 1][1] <= n):
-                    anchors += [(at + i + 1 - n, n, template, end - n) for template, end in self.automaton.ends[s]]
+                anchors += [(at + i + 1 - k, k, template, end - k) for k, template, end in self.ending(s, n, tokens[i + 1] if i + 1 < len(tokens) else -1)]
         return places, self.chain(anchors)
 
+    def ending(self, s: int, n: int, after: int) -> list[tuple[int, int, int]]:
+        """(words, template, end in it) of each template's run that ends with the longest run (``s``, ``n``) and doesn't go on with ``after``."""
+        out, seen = [], set()
+        while s > 0:
+            for template, end in self.automaton.ends[s]:
+                if (template, end) not in seen:  # else a longer run of it ends here
+                    seen.add((template, end))
+                    size = self.sizes[template]
+                    if n >= min(ANCHOR, size) and (end == size or self.tokens[template][end] != after):
+                        out.append((n, template, end))
+            s = self.automaton.link[s]
+            n = self.automaton.length[s]
+        return out
+
     def chain(self, anchors: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
         """The spans of chains that cover enough of a template. An anchor: (start, words, template, start in the template)."""
         spans = []
@@ -192,7 +221,9 @@ def scan_batch(scanner: Scanner, texts: pa.StringArray) -> list[dict]:
     t = known[ids] if len(ids) else ids
     go = np.zeros(len(t), bool)  # whether a template goes on from this word to the next
     if len(t) > 1:
-        go[:-1] = (t[:-1] >= 0) & (t[1:] >= 0) & scanner.pairs[t[:-1], t[1:]]
+        code = t[:-1] * len(scanner.vocabulary) + t[1:]
+        at = np.minimum(np.searchsorted(scanner.pairs, code), len(scanner.pairs) - 1)
+        go[:-1] = (t[:-1] >= 0) & (t[1:] >= 0) & (len(scanner.pairs) > 0) & (scanner.pairs[at] == code)
         ends = off[1:] - 1
         go[ends[ends >= 0]] = False
     edge = np.diff(go.astype(np.int8), prepend=0)

@@ -107,7 +107,7 @@ def prefixes(texts: DataFrame, size: int, similar: tuple[int, int], common, shar
         known, rank = common.value
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), 1 << 20):
                 t = np.asarray(batch.column(0).slice(at, len(part))).astype(np.int64)
                 at += len(part)
                 _, first = np.unique(t, return_index=True)  # copies side by side count once
@@ -175,7 +175,7 @@ def similar_texts(size: int, similar: tuple[int, int]):
     def enough(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
             out, at = [], 0
-            for part in slices(a, 1 << 20):
+            for part in slices(a, 1 << 18):
                 other = list(slices(b.slice(at, len(part)), 1 << 30))
                 at += len(part)
                 x, x_of, x_n = distinct_sorted(*shingles(part, size), len(part))

@@ -1,17 +1,19 @@
 """Quality classifier by co-training of two views.
 
-One classifier sees what a text is like (shares of symbols, capitals, repeats, word
-and line lengths), the other only the page's metadata (language, source, stated
-length). Both start from the labelled rows. In each round either classifier labels
-the unlabelled documents of which it is confident, and the other learns from them
-as well, with less weight. In the end each view is calibrated on labelled rows that
-neither has learned from, and the two log odds are added (less the prior, which both
-hold) to score every document.
+One classifier sees the text (the shares of its lower-cased words in ``SLOTS`` slots of
+their hash, and of symbols, capitals, repeats, word and line lengths), the other only the
+page's metadata (language, source, stated length). Both start from the labelled rows. In
+each round either classifier labels the unlabelled documents of which it is confident, and
+the other learns from them as well, with less weight. In the end each view is calibrated on
+labelled rows that neither has learned from, and the two log odds are added (less the prior,
+which both hold) to score every document. Labels of the held-out fold are never read.
 
 Features of whole texts are computed once and written; a Newton step of both
 logistic regressions is one pass that sums d x d moments in every task and then by
-Spark, so no rows come to the driver, and pseudo-labels cover all documents. Only
-the calibration takes a sample of labelled rows, ``MAX_CALIBRATION`` at most.
+Spark, so no rows come to the driver, and pseudo-labels cover all documents. The
+``LANGS`` and ``SOURCES`` values that most documents have get a feature each, all others share
+``RARE`` features by their hash. Only the calibration takes a sample of labelled rows,
+``MAX_CALIBRATION`` at most.
 
 Nulls: a null text counts as empty, null metadata as a value of its own. A null label
 or id teaches nothing; an id with several labels is taken at the lowest. Repeated
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.llm._common import materialise, table
-from winnow.llm._text import data_of, encoded, offsets_of, slices, sums, words_of
+from winnow.llm._text import LOWER, data_of, encoded, offsets_of, slices, sums, translated, words_of
+from winnow.llm.near_copies import word_hashes
 from winnow.llm.quality_rules import base_counts
-from winnow.llm.toxicity import fit_logistic, fold
+from winnow.llm.toxicity import HELD_OUT, fit_logistic, fold
 
 ROUNDS = 3
 STEPS = 5
@@ -40,8 +43,9 @@ PSEUDO_WEIGHT = 0.2
 RIDGE = 1.0
 MAX_CALIBRATION = 100_000
 CALIBRATION_FOLD = 1
-LANGS, SOURCES = 8, 32
-TEXT_SIZE, META_SIZE = 16, 3 + LANGS + SOURCES
+LANGS, SOURCES, RARE = 16, 64, 8
+SURFACE, SLOTS = 16, 128
+TEXT_SIZE, META_SIZE = SURFACE + SLOTS, 3 + LANGS + SOURCES + 2 * RARE
 
 _UPPER, _DIGIT, _MARK, _SPACE, _LEAD = (np.zeros(256, bool) for _ in range(5))
 _UPPER[65:91] = True
@@ -70,11 +74,14 @@ def text_features(texts: pa.StringArray) -> np.ndarray:
     marked = np.array([any(c in b"#*$%&|<>" for c in x) for x in (d.encode() for d in distinct.to_pylist())], bool)
     upper = np.array([len(x) > 1 and x.isupper() for x in distinct.to_pylist()], bool)
     word_share = lambda flags: sums(flags[ids].astype(np.int64), off) / w if len(ids) else np.zeros(len(texts))
-    return np.column_stack([
+    lower = np.asarray(word_hashes(translated(distinct, LOWER)) >> np.uint64(40)).astype(np.int64) % SLOTS
+    slots = np.bincount(doc * SLOTS + lower[ids], minlength=len(texts) * SLOTS).reshape(-1, SLOTS) if len(ids) else np.zeros((len(texts), SLOTS))
+    surface = np.column_stack([
         symbols / np.maximum(chars, 1), share(_UPPER), share(_DIGIT), share(_MARK), chars / w / 10, kinds / w, most / w,
         dup_lines / n_lines, repeats / w, np.log1p(n_words) / 10, np.log1p(n_lines) / 10, np.log1p(w / n_lines) / 10,
         word_share(marked), word_share(upper), n_words == 0, n_words < 20,
-    ]).astype(np.float32)
+    ])
+    return np.hstack([surface, np.sqrt(slots / w[:, None])]).astype(np.float32)
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
@@ -84,12 +91,23 @@ def text_view(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * TEXT_SIZE), pa.array(x.ravel()))
 
 
-def metadata_view(lang: Column, source: Column, n_chars: Column) -> Column:
-    """Hashed one-hot language and source, and the stated length."""
-    slot = lambda c, n: F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit("\x00"))), F.lit(n))
-    hot = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (slot(c, n) == i).cast("float"))
+def common_values(docs: DataFrame, column: str, most: int) -> list[str]:
+    """The values of a column that most rows have, ``most`` of them at most; null is not among them."""
+    counts = docs.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    return [r["v"] for r in counts.orderBy(F.col("n").desc(), "v").limit(most).collect()]
+
+
+def metadata_view(lang: Column, source: Column, n_chars: Column, langs: list[str], sources: list[str]) -> Column:
+    """One feature for each common language and source, ``RARE`` for the others of each, null among them, and the stated length."""
+
+    def hot(c: Column, values: list[str], n: int) -> Column:
+        rare = F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit("\x00"))), F.lit(RARE)) + n + 1
+        known = F.array_position(F.array(*map(F.lit, values)).cast("array<string>"), c.cast("string"))
+        slot = F.when(F.coalesce(known, F.lit(0)) > 0, known).otherwise(rare)
+        return F.transform(F.sequence(F.lit(1), F.lit(n + RARE)), lambda i: (slot == i).cast("float"))
+
     size = F.log1p(F.greatest(F.coalesce(n_chars, F.lit(0)), F.lit(0)).cast("double")) / 10
-    return F.concat(F.array(size.cast("float"), (size * size).cast("float"), n_chars.isNull().cast("float")), hot(lang, LANGS), hot(source, SOURCES))
+    return F.concat(F.array(size.cast("float"), (size * size).cast("float"), n_chars.isNull().cast("float")), hot(lang, langs, LANGS), hot(source, sources, SOURCES))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -148,14 +166,21 @@ def co_train(rows: DataFrame) -> list[np.ndarray]:
 
 
 def _odds(x: str, w: np.ndarray) -> Column:
-    terms = F.zip_with(F.col(x), F.array(*(F.lit(float(v)) for v in w[:-1])), lambda a, b: a * b)
-    return F.aggregate(terms, F.lit(float(w[-1])), lambda a, b: a + b)
+    weights = np.asarray(w, np.float64)
+
+    @F.arrow_udf(T.DoubleType())
+    def odds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array(_matrix(column, len(weights) - 1) @ weights)
+
+    return odds(x)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text_score, meta_score, score) of each row of ``docs`` (doc_id, text, lang, source, n_chars)."""
-    x = docs.select("doc_id", text_view("text").alias("text_x"), metadata_view(F.col("lang"), F.col("source"), F.col("n_chars")).alias("meta_x"))
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
+    meta = metadata_view(F.col("lang"), F.col("source"), F.col("n_chars"), common_values(docs, "lang", LANGS), common_values(docs, "source", SOURCES))
+    x = docs.select("doc_id", text_view("text").alias("text_x"), meta.alias("meta_x"))
+    known = labels.where("doc_id is not null and quality is not null").where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
     x = materialise(x.join(known, "doc_id", "left").withColumn("fold", fold(F.col("doc_id"))))
     classes = x.where("label is not null").select("label", (F.col("fold") == CALIBRATION_FOLD).alias("c")).distinct().collect()
     if len(classes) < 4:
