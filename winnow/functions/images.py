@@ -23,17 +23,45 @@ def pixel_stats(image: np.ndarray) -> tuple[float, float]:
     return (float(v.std(ddof=1)) if v.size > 1 else float("nan")), float(((v <= 1) | (v >= 254)).mean())
 
 
+def bounding_box(mask: np.ndarray, pad: int = 0) -> tuple[int, int, int, int]:
+    """(top, bottom, left, right), ends included, of the true cells, widened by ``pad`` within the mask; all of it if none is true."""
+    box = []
+    for axis, size in enumerate(mask.shape):
+        hit = mask.any(axis=1 - axis)
+        low, high = (int(hit.argmax()), size - 1 - int(hit[::-1].argmax())) if hit.any() else (0, size - 1)
+        box += [max(low - pad, 0), min(high + pad, size - 1)]
+    return box[0], box[1], box[2], box[3]
+
+
 def crop_box(image: np.ndarray) -> tuple[int, int, int, int]:
-    """(top, bottom, left, right), ends included: lines brighter than a share of the brightest, padded; all of it if few are."""
-    v = image.astype(np.float32)
-    spans = []
-    for means in (v.mean(1), v.mean(0)):
-        lit = np.flatnonzero(means > BORDER * means.max())
-        spans.append(lit)
-    if min(len(s) for s in spans) < LEAST_LINES:
-        return 0, v.shape[0] - 1, 0, v.shape[1] - 1
-    (r, c), (h, w) = spans, v.shape
-    return max(int(r[0]) - PAD, 0), min(int(r[-1]) + PAD, h - 1), max(int(c[0]) - PAD, 0), min(int(c[-1]) + PAD, w - 1)
+    """(top, bottom, left, right), ends included: the box around where bright rows and bright columns meet, padded; all of it if few are bright.
+
+    A line is bright if its mean is over a share of the brightest line's.
+    """
+    levels = [image.mean(axis=axis, dtype=np.float64) for axis in (1, 0)]
+    bright = [level > BORDER * level.max() for level in levels]
+    if any(np.count_nonzero(lines) < LEAST_LINES for lines in bright):
+        return bounding_box(np.ones(image.shape, bool))
+    return bounding_box(np.outer(*bright), PAD)
+
+
+def grey(image: np.ndarray) -> np.ndarray:
+    """A colour image (h, w, 3 or more) as luma (0.299, 0.587, 0.114), rounded; a grey one as it is."""
+    if image.ndim == 2:
+        return image
+    return np.rint(image[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])).astype(image.dtype)
+
+
+def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear, pixel centres aligned, edges repeated."""
+    out = image.astype(np.float64)
+    for axis, size in ((0, height), (1, width)):
+        at = np.clip((np.arange(size) + 0.5) * out.shape[axis] / size - 0.5, 0, out.shape[axis] - 1)
+        low = np.floor(at).astype(int)
+        high = np.minimum(low + 1, out.shape[axis] - 1)
+        share = (at - low).reshape([-1 if i == axis else 1 for i in range(out.ndim)])
+        out = out.take(low, axis) * (1 - share) + out.take(high, axis) * share
+    return np.rint(out).astype(image.dtype) if image.dtype.kind in "ui" else out
 
 
 def _smooth(a: np.ndarray, sigma: float) -> np.ndarray:
@@ -59,9 +87,10 @@ def ridges(image: np.ndarray, scales: tuple[float, ...] = SCALES) -> np.ndarray:
 
 
 def line_score(image: np.ndarray) -> float:
-    """Mean strength of the strongest two percent."""
-    flat = np.sort(ridges(image).ravel())
-    return float(flat[int((1 - TOP_SHARE) * len(flat)) :].mean())
+    """Mean strength of the strongest two percent of all pixels, one at least."""
+    strength = ridges(image).reshape(-1)
+    k = max(1, strength.size - int(np.floor((1 - TOP_SHARE) * strength.size)))
+    return float(np.partition(strength, strength.size - k)[strength.size - k :].sum() / k)
 
 
 def line_coverage(image: np.ndarray) -> float:

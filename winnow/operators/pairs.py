@@ -1,9 +1,10 @@
 """Relations between two sets of vectors, reduced where they are computed.
 
-Every vector of the left set meets the right set in blocks of ``BLOCK_BYTES``: a
-block is sent to all tasks, a task multiplies its batches with it and keeps sums,
-nearest neighbours or counts only. No pair leaves a task. A right set of one block is one
-pass; larger ones take a pass a block, and the partial rows are merged by id.
+Every vector of the left set meets every one of the right set inside a task, which keeps
+sums, nearest neighbours or counts only; no pair leaves a task. A right set of ``BLOCK_BYTES`` at
+most is sent to all tasks. A larger one stays in Spark: both sets are dealt in blocks
+of about that size, and each pair of blocks is one group of a cogrouped job, so that
+neither set passes the driver or one task. Partial rows are merged by id.
 
 Both sets are (id, x array<double>); ids are not null and not repeated, rows with a null vector
 are left out. An empty set gives no rows.
@@ -12,14 +13,14 @@ are left out. An empty set gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
+CELLS = 1 << 21  # of a distance or kernel matrix at a time
 
 
 def vectors(df: DataFrame, key: str, embedding: str, *more: str) -> DataFrame:
@@ -35,86 +36,139 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _blocks(right: DataFrame, columns: list[str]) -> list[dict]:
-    """The right set, in blocks of bounded size that are collected one after the other."""
-    shape = right.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
-    if not shape["n"]:
-        return []
-    blocks = max(1, -(-shape["n"] * shape["d"] * 8 // BLOCK_BYTES))
-    out = []
-    for k in range(blocks):
-        rows = right if blocks == 1 else right.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        t = rows.orderBy("id").select("id", "x", *columns).toArrow()
-        if t.num_rows:
-            out.append({"id": np.asarray(t["id"]), "x": matrix(t["x"]), **{c: np.asarray(t[c]) for c in columns}})
-    return out
+def _block(t: pa.Table, columns: list[str]) -> dict:
+    """A table as arrays, in the order of its ids."""
+    t = t.sort_by("id")
+    return {"id": np.asarray(t["id"]), "x": matrix(t["x"]), **{c: np.asarray(t[c]) for c in columns}}
 
 
-def _each(left: DataFrame, right: DataFrame, columns: list[str], own: list[str], schema: str, work: Callable) -> DataFrame | None:
-    """``work(ids, x, own columns, block)`` for each batch of the left set and each block, all results in one frame."""
-    spark, parts = left.sparkSession, []
-    for block in _blocks(right, columns):
-        sent = spark.sparkContext.broadcast(block)
+def _tiles(t: pa.Table | pa.RecordBatch, block: dict, own: list[str]) -> Iterator[tuple]:
+    """Runs of left rows whose matrix against ``block`` stays within ``CELLS``."""
+    step = max(1, CELLS // max(1, len(block["id"])))
+    for at in range(0, t.num_rows, step):
+        c = t.slice(at, step)
+        yield np.asarray(c["id"]), matrix(c["x"]), [np.asarray(c[name]) for name in own]
+
+
+def _blocks_of(df: DataFrame) -> int:
+    shape = df.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
+    return -(-shape["n"] * max(1, shape["d"]) * 8 // BLOCK_BYTES)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+
+def _each(left: DataFrame, right: DataFrame, columns: list[str], own: list[str], schema: str, work: Callable) -> DataFrame | None:
+    """``work(ids, x, own columns, block)`` for all left vectors and all right ones, in tiles, all results in one frame; None if the right set is empty."""
+    left, right = left.select("id", "x", *own), right.select("id", "x", *columns)
+    n_right = _blocks_of(right)
+    if not n_right:
+        return None
+    if n_right == 1:
+        sent = left.sparkSession.sparkContext.broadcast(_block(right.toArrow(), columns))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    c = b.slice(at, 1024)
-                    yield work(np.asarray(c.column(0)), matrix(c.column(1)), [np.asarray(c.column(2 + i)) for i in range(len(own))], sent.value)
+                for ids, x, mine in _tiles(b, sent.value, own):
+                    yield work(ids, x, mine, sent.value)
+
+        return left.mapInArrow(run, schema)
+    n_left = max(1, _blocks_of(left))
+    dealt = lambda df, mine, n, theirs, m: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    a, b = dealt(left, "_l", n_left, "_r", n_right), dealt(right, "_r", n_right, "_l", n_left)
+
+    def pair(these: pa.Table, those: pa.Table) -> pa.Table:
+        block = _block(those, columns)
+        return pa.Table.from_batches([work(ids, x, mine, block) for ids, x, mine in _tiles(these, block, own)] if len(block["id"]) else [], work.schema)
 
-        parts.append(left.select("id", "x", *own).mapInArrow(run, schema))
-    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+    return a.groupBy("_l", "_r").cogroup(b.groupBy("_l", "_r")).applyInArrow(pair, schema)
+
+
+def _returns(**fields: pa.DataType) -> Callable:
+    """Notes the Arrow schema of a ``work`` function's batches."""
+
+    def note(work: Callable) -> Callable:
+        work.schema = pa.schema(list(fields.items()))
+        return work
+
+    return note
 
 
 def _empty(left: DataFrame, schema: str) -> DataFrame:
     return left.sparkSession.createDataFrame([], schema)
 
 
-def sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """By differences where that is small enough, which keeps equal vectors at 0."""
-    out = np.empty((len(a), len(b)))
-    for i in range(len(a)):
-        diff = b - a[i]
-        out[i] = np.einsum("ij,ij->i", diff, diff)
+def _exact(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared distances of some pairs by differences."""
+    out, step = np.empty(len(rows)), max(1, CELLS // max(1, a.shape[1]))
+    for at in range(0, len(rows), step):
+        diff = b[cols[at : at + step]] - a[rows[at : at + step]]
+        out[at : at + step] = np.einsum("ij,ij->i", diff, diff)
     return out
 
 
+def sq_distances(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By a matrix product, and how far each row's numbers may be off; what may be 0 is computed by differences, which keeps equal vectors at 0."""
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    out = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+    slack = 1e-12 * (aa + (bb.max() if len(bb) else 0))
+    rows, cols = np.nonzero(out <= 1e4 * slack[:, None])
+    out[rows, cols] = _exact(a, b, rows, cols)
+    return out, slack
+
+
 def kernel_matrix(a: np.ndarray, b: np.ndarray, name: str = "poly", degree: int = 3, sigma: float | None = None) -> np.ndarray:
     if name == "poly":
         return (a @ b.T / a.shape[1] + 1.0) ** degree
     if name == "rbf":
         if not sigma or sigma <= 0:
             raise ValueError("an rbf kernel needs sigma > 0")
-        return np.exp(-sq_distances(a, b) / (2.0 * sigma * sigma))
+        return np.exp(-sq_distances(a, b)[0] / (2.0 * sigma * sigma))
     raise ValueError(f"unknown kernel: {name}")
 
 
 def kernel_means(left: DataFrame, right: DataFrame, name: str = "poly", degree: int = 3, sigma: float | None = None, skip_same: bool = False) -> DataFrame:
     """(id, mean): the mean kernel value of each left vector over the right set, or over the others by id if ``skip_same``."""
+    sums = kernel_sums(left, right, name, degree, sigma)
+    s, n = (F.col("s") - F.col("own"), F.col("n") - F.col("same")) if skip_same else (F.col("s"), F.col("n"))
+    return sums.select("id", (s / F.nullif(n, F.lit(0))).alias("mean"))
+
+
+def kernel_sums(left: DataFrame, right: DataFrame, name: str = "poly", degree: int = 3, sigma: float | None = None) -> DataFrame:
+    """(id, s, n, own, same): each left vector's kernel values over the right set, their number, and the sum and number of those of its own id."""
 
+    @_returns(id=pa.int64(), s=pa.float64(), n=pa.int64(), own=pa.float64(), same=pa.int64())
     def work(ids, x, _, block):
         k = kernel_matrix(x, block["x"], name, degree, sigma)
-        same = ids[:, None] == block["id"][None, :] if skip_same else np.zeros(k.shape, bool)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.where(same, 0, k).sum(1)), pa.array((~same).sum(1))], ["id", "s", "n"])
+        at = np.minimum(np.searchsorted(block["id"], ids), len(block["id"]) - 1)
+        same = block["id"][at] == ids
+        own = np.where(same, k[np.arange(len(ids)), at], 0.0)
+        columns = [ids, k.sum(1), np.full(len(ids), k.shape[1]), own, same.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=work.schema)
 
-    sums = _each(left, right, [], [], "id long, s double, n long", work)
-    if sums is None:
-        return _empty(left, "id long, mean double")
-    return sums.groupBy("id").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"))
+    schema = "id long, s double, n long, own double, same long"
+    sums = _each(left, right, [], [], schema, work)
+    return _empty(left, schema) if sums is None else sums.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("s", "n", "own", "same")))
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, skip_same: bool = False) -> DataFrame:
     """(id, near): up to ``k`` nearest right vectors of each left one, as array of (d, other), nearest first, then by id."""
+    kind = pa.list_(pa.struct([("d", pa.float64()), ("other", pa.int64())]))
 
+    @_returns(id=pa.int64(), near=kind)
     def work(ids, x, _, block):
-        d = np.sqrt(sq_distances(x, block["x"]))
+        d, slack = sq_distances(x, block["x"])
         if skip_same:
             d[ids[:, None] == block["id"][None, :]] = np.inf
         m = min(k, d.shape[1])
-        # ids are ascending in a block, so a stable sort breaks ties by id
-        at = np.argsort(d, axis=1, kind="stable")[:, :m]
-        near = [[{"d": float(d[i, j]), "other": int(block["id"][j])} for j in row if np.isfinite(d[i, j])] for i, row in enumerate(at)]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near, pa.list_(pa.struct([("d", pa.float64()), ("other", pa.int64())])))], ["id", "near"])
+        last = np.partition(d, m - 1, axis=1)[:, m - 1]
+        # whatever may be among the nearest is computed by differences; ids are ascending in a block, so a stable sort breaks ties by id
+        rows, cols = np.nonzero((d <= (last + 4 * slack)[:, None]) & np.isfinite(d))
+        exact = np.sqrt(_exact(x, block["x"], rows, cols))
+        by = np.lexsort((cols, exact, rows))
+        rows, cols, exact = rows[by], cols[by], exact[by]
+        begin = np.searchsorted(rows, np.arange(len(ids) + 1))
+        keep = np.arange(len(rows)) - begin[rows] < m
+        off = np.concatenate([[0], np.cumsum(np.bincount(rows[keep], minlength=len(ids)))]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(exact[keep]), pa.array(block["id"][cols[keep]])], fields=list(kind.value_type))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(off), pairs)], schema=work.schema)
 
     found = _each(left, right, [], [], "id long, near array<struct<d:double,other:long>>", work)
     if found is None:
@@ -131,10 +185,14 @@ def radii(df: DataFrame, k: int = 5) -> DataFrame:
 def inside_counts(left: DataFrame, right: DataFrame, radius_of: str = "left") -> DataFrame:
     """(id, n): the right vectors within a ball around the left one, or the right balls that hold the left vector. The set whose balls count has a column ``radius``."""
 
+    @_returns(id=pa.int64(), n=pa.int64())
     def work(ids, x, own, block):
-        d = np.sqrt(sq_distances(x, block["x"]))
-        r = own[0][:, None] if radius_of == "left" else block["radius"][None, :]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array((d <= r).sum(1))], ["id", "n"])
+        d, slack = sq_distances(x, block["x"])
+        r = np.broadcast_to(own[0][:, None] if radius_of == "left" else block["radius"][None, :], d.shape)
+        inside = d <= r * r
+        rows, cols = np.nonzero(np.abs(d - r * r) <= 4 * slack[:, None])  # on the edge of a ball
+        inside[rows, cols] = np.sqrt(_exact(x, block["x"], rows, cols)) <= r[rows, cols]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(inside.sum(1))], schema=work.schema)
 
     counts = _each(left, right, [] if radius_of == "left" else ["radius"], ["radius"] if radius_of == "left" else [], "id long, n long", work)
     return _empty(left, "id long, n long") if counts is None else counts.groupBy("id").agg(F.sum("n").alias("n"))

@@ -1,29 +1,35 @@
 """Greedy subset selectors over a distributed pool.
 
-A selector picks one row at a time. The pool stays in its partitions; each pick is one Spark
-job that takes the best row of every class at once (a partial maximum in every
-task), and the picks' vectors go into the next job as literals. Every ``WRITE`` picks
-the running state is written, which bounds the plan and what a lost executor costs.
-No class is gathered in a task. Scores are doubles and ties go to the smallest id.
+A selector picks one row at a time, each pick depending on the ones before. The pool
+stays in its partitions. A round settles up to ``STEPS`` picks of every class with a few
+Spark jobs: the ``AHEAD`` best rows of each class come to the driver, which picks among them
+as if they were all; then every task repeats these picks over its own rows and names the
+best row of each step, and a step counts as long as all steps before it were guessed right.
+The first wrong guess is replaced by the row found. So picks are exact, a round settles one at
+least, and what travels does not grow with the pool. After a round the state is written.
+Scores are doubles and ties go to the smallest id.
 
 Pools are (id, x array<double>) and, for several classes, a class column; results are
-(class, id, pick_no from 1). A class with fewer rows than ``n`` is an error.
+(class, id, pick_no from 1) and what a selector traces. A class with fewer rows than ``n`` is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions import vectors as V
-from winnow.functions.order import seeded, uniform
+from winnow.functions.order import seeded
 from winnow.operators import pairs
 from winnow.operators.sampling import n_per_class
 from winnow.sources.scratch import written
 
-WRITE = 8
+AHEAD, STEPS = 512, 64
 GAIN_FLOOR = 1e-10
 
 
@@ -33,67 +39,237 @@ def _check(pool: DataFrame, cls: str, n: int) -> None:
         raise ValueError(f"n={n} exceeds the {short['n']} rows of class {short[0]}")
 
 
-def _literal(xs: list[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in xs))
-
-
-def _by_class(cls: str, values: dict, make: Callable, default: Column) -> Column:
-    """``make(value)`` of the row's class."""
-    out = default
-    for c, v in values.items():
-        out = F.when(F.col(cls).eqNullSafe(F.lit(c)), make(v)).otherwise(out)
-    return out
-
-
-def _greedy(state: DataFrame, cls: str, n: int, score: Callable[[int], Column], update: Callable[[DataFrame, dict, int], DataFrame], start: dict | None = None, stop: Callable[[dict], bool] | None = None) -> tuple[list[tuple], DataFrame, dict]:
-    """Picks as (class, id, pick_no, score), the last state, and the classes that ``stop`` ended with their picks so far."""
-    state = written(state.withColumn("_taken", F.lit(False)))
-    picks, ended = [], {}
-    for t in range(n):
-        if t == 0 and start is not None:
-            best = {c: r for c, r in start.items()}
-        else:
-            value = F.when(~F.col("_taken"), score(t))
-            top = F.max_by(F.struct("*"), F.struct(value.alias("s"), (-F.col("id")).alias("i"))).alias("r")
-            rows = state.where(~F.col("_taken")).withColumn("_score", value).groupBy(cls).agg(top).collect()
-            best = {r[cls]: r["r"] for r in rows if r[cls] not in ended}
-        for c, r in list(best.items()):
-            if stop and stop(r.asDict()):
-                ended[c] = t
-                del best[c]
-            else:
-                picks.append((c, r["id"], t + 1, float(r["_score"]) if "_score" in r else None))
-        if not best:
-            break
-        taken = _by_class(cls, {c: r["id"] for c, r in best.items()}, lambda i: F.col("id") == i, F.lit(False))
-        state = update(state, best, t).withColumn("_taken", F.col("_taken") | taken)
-        if (t + 1) % WRITE == 0:
-            state = written(state)
-    return picks, state, ended
-
-
-def _frame(pool: DataFrame, cls: str, picks: list[tuple]) -> DataFrame:
+@dataclass
+class Rows:
+    """Some rows of a pool and what a selector knows of them."""
+
+    id: np.ndarray
+    x: np.ndarray
+    taken: np.ndarray
+    col: np.ndarray  #: a number for each pick so far, where a rule keeps them
+    numbers: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(t: pa.RecordBatch | pa.Table, names: list[str]) -> Rows:
+        array = lambda c: np.array(t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c])
+        return Rows(array("id"), pairs.matrix(t["x"]), array("taken").astype(bool), pairs.matrix(t["col"]), {c: array(c).astype(np.float64) for c in names})
+
+    def at(self, i: int) -> dict:
+        return {"id": int(self.id[i]), "x": self.x[i], "col": self.col[i], **{c: float(v[i]) for c, v in self.numbers.items()}}
+
+    def best(self, score: np.ndarray) -> int:
+        """The row with the highest score that isn't taken, ties to the smallest id; -1 if all are."""
+        left = np.flatnonzero(~self.taken)
+        if not len(left):
+            return -1
+        top = left[score[left] == score[left].max()]
+        return int(top[np.argmin(self.id[top])])
+
+
+class Rule:
+    """How a selector scores rows and what a pick changes."""
+
+    names: list[str] = []
+
+    def score(self, rows: Rows, t: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def apply(self, rows: Rows, pick: dict, t: int) -> None:
+        raise NotImplementedError
+
+    def ends(self, pick: dict) -> bool:
+        return False
+
+    def step(self, rows: Rows, pick: dict, t: int) -> None:
+        self.apply(rows, pick, t)
+        rows.taken |= rows.id == pick["id"]
+
+
+def _cells(x: np.ndarray, y: np.ndarray, kernel: str, degree: int, sigma: float | None) -> np.ndarray:
+    """The kernel of all rows with one vector."""
+    return (x @ y / x.shape[1] + 1.0) ** degree if kernel == "poly" else np.exp(-np.square(x - y).sum(1) / (2.0 * sigma * sigma))
+
+
+def _schema(rule: Rule) -> str:
+    return "k int, id long, x array<double>, taken boolean, col array<double>" + "".join(f", {c} double" for c in rule.names)
+
+
+def _lists(m: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m, np.float64).ravel()))
+
+
+def _batch(k: np.ndarray, rows: Rows, keep: np.ndarray, more: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
+    width = rows.col.shape[1] if rows.col.size else 0
+    columns = {"k": k[keep].astype(np.int32), "id": rows.id[keep], "x": _lists(rows.x[keep]), "taken": rows.taken[keep], "col": _lists(rows.col[keep] if width else np.zeros((len(keep), 0)))}
+    columns |= {c: v[keep] for c, v in rows.numbers.items()} | (more or {})
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
+
+
+def _by_class(t: pa.RecordBatch | pa.Table, names: list[str]) -> Iterator[tuple[int, Rows]]:
+    k = np.asarray(t["k"])
+    for one in np.unique(k):
+        yield int(one), Rows.of(t.filter(pa.array(k == one)), names)
+
+
+def _ahead(state: DataFrame, rule: Rule, t: int) -> dict[int, Rows]:
+    """The best rows of each class for the next pick."""
+
+    def some(one: int, rows: Rows) -> pa.RecordBatch:
+        score = np.where(rows.taken, -np.inf, rule.score(rows, t))
+        return _batch(np.full(len(rows.id), one), rows, np.lexsort((rows.id, -score))[:AHEAD])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, rows in _by_class(batch, rule.names):
+                yield some(one, rows)
+
+    def merged(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([some(one, rows) for one, rows in _by_class(table, rule.names)])
+
+    found = state.mapInArrow(local, _schema(rule)).groupBy("k").applyInArrow(merged, _schema(rule)).toArrow()
+    return dict(_by_class(found, rule.names)) if found.num_rows else {}
+
+
+def _checked(state: DataFrame, rule: Rule, guesses: dict[int, list[dict]], t: int) -> dict[tuple[int, int], dict]:
+    """The best row of each class at each step, if all steps before it are as guessed."""
+    sent = state.sparkSession.sparkContext.broadcast(guesses)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, rows in _by_class(batch, rule.names):
+                for j in range(len(sent.value.get(one, []))):
+                    if j:
+                        rule.step(rows, sent.value[one][j - 1], t + j - 1)
+                    score = rule.score(rows, t + j)
+                    i = rows.best(score)
+                    if i >= 0:
+                        yield _batch(np.full(len(rows.id), one), rows, np.array([i]), {"step": np.array([j], np.int32), "score": score[[i]]})
+
+    steps = state.mapInArrow(check, _schema(rule) + ", step int, score double")
+    best = steps.groupBy("k", "step").agg(F.max_by(F.struct("*"), F.struct("score", -F.col("id"))).alias("r")).select("r.*").collect()
+    return {(r["k"], r["step"]): {**r.asDict(), "x": np.array(r["x"]), "col": np.array(r["col"])} for r in best}
+
+
+def _stepped(state: DataFrame, rule: Rule, picks: dict[int, list[dict]], t: int) -> DataFrame:
+    """The state after some picks, written."""
+    sent = state.sparkSession.sparkContext.broadcast(picks)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, rows in _by_class(batch, rule.names):
+                for j, pick in enumerate(sent.value.get(one, [])):
+                    rule.step(rows, pick, t + j)
+                yield _batch(np.full(len(rows.id), one), rows, np.arange(len(rows.id)))
+
+    return written(state.mapInArrow(step, _schema(rule)))
+
+
+def _greedy(state: DataFrame, n: int, rule: Rule, start: dict[int, dict] | None = None) -> tuple[dict[int, list[dict]], DataFrame]:
+    """The picks of each class in order, fewer where the rule ended, and the last state. ``state``: see :func:`_schema`."""
+    state = written(state)
+    picks: dict[int, list[dict]] = {r["k"]: [] for r in state.select("k").distinct().collect()}
+    t, live = 0, set(picks)
+    if start:
+        for one, pick in start.items():
+            picks[one].append(pick)
+        state, t = _stepped(state, rule, {one: [p] for one, p in start.items()}, 0), 1
+    while live and t < n:
+        guesses = {}
+        for one, rows in _ahead(state, rule, t).items():
+            if one in live:
+                guesses[one] = []
+                for j in range(min(STEPS, n - t, len(rows.id))):
+                    i = rows.best(rule.score(rows, t + j))
+                    guesses[one].append(rows.at(i))
+                    if rule.ends(guesses[one][-1]):
+                        break
+                    rule.step(rows, guesses[one][-1], t + j)
+        found = _checked(state, rule, guesses, t)
+        settled: dict[int, list[dict]] = {}
+        for one, guessed in guesses.items():
+            settled[one] = []
+            for j, guess in enumerate(guessed):
+                best = found[one, j]
+                if rule.ends(best):
+                    live.discard(one)
+                    break
+                settled[one].append(best)
+                if best["id"] != guess["id"]:
+                    break
+        # classes go on together: as many steps as the slowest that goes on has settled
+        m = min((len(settled[one]) for one in live), default=max(map(len, settled.values()), default=0))
+        for one in settled:
+            settled[one] = settled[one][:m] if one in live else settled[one]
+            picks[one] += settled[one]
+        t += m
+        if live and t < n:
+            state = _stepped(state, rule, settled, t - m)
+    return picks, state
+
+
+def _classes(pool: DataFrame, cls: str) -> tuple[DataFrame, list]:
+    """``pool`` with ``k``, the number of its class, and the classes by number."""
+    values = [r[0] for r in pool.select(cls).distinct().orderBy(cls).collect()]
+    k = F.lit(-1)
+    for i, v in enumerate(values):
+        k = F.when(F.col(cls).eqNullSafe(F.lit(v)), i).otherwise(k)
+    return pool.withColumn("k", k), values
+
+
+def _frame(pool: DataFrame, cls: str, values: list, picks: dict[int, list[dict]], traces: dict[str, dict[int, list[float]]] | None = None) -> DataFrame:
     kind = pool.schema[cls].dataType.simpleString()
-    return pool.sparkSession.createDataFrame([p[:3] for p in picks], f"{cls} {kind}, id long, pick_no int")
+    traces = traces or {}
+    rows = [(values[one], p["id"], i + 1, *(v[one][i] for v in traces.values())) for one, ps in picks.items() for i, p in enumerate(ps)]
+    return pool.sparkSession.createDataFrame(rows, f"{cls} {kind}, id long, pick_no int" + "".join(f", {c} double" for c in traces))
+
+
+def _state(pool: DataFrame, *numbers) -> DataFrame:
+    return pool.select("k", "id", "x", F.lit(False).alias("taken"), F.array().cast("array<double>").alias("col"), *numbers)
 
 
 def _one_class(pool: DataFrame, cls: str | None) -> tuple[DataFrame, str]:
     return (pool, cls) if cls else (pool.withColumn("cls", F.lit(0)), "cls")
 
 
+class Herding(Rule):
+    names = ["a", "kxx", "b"]
+
+    def __init__(self, kernel: str, degree: int, sigma: float | None):
+        self.options = (kernel, degree, sigma)
+
+    def score(self, rows: Rows, t: int) -> np.ndarray:
+        v = rows.numbers
+        return v["a"] - (v["b"] + 0.5 * v["kxx"]) / (t + 1)
+
+    def apply(self, rows: Rows, pick: dict, t: int) -> None:
+        rows.numbers["b"] = rows.numbers["b"] + _cells(rows.x, pick["x"], *self.options)
+
+
 def herding(pool: DataFrame, reference: DataFrame, n: int, cls: str | None = None, kernel: str = "poly", degree: int = 3, sigma: float | None = None) -> DataFrame:
     """Kernel herding: at pick t the row with the largest A(x) - (B(x) + k(x, x) / 2) / t.
 
     A(x) is the mean kernel to the reference (of the same class), B(x) the sum over earlier picks.
+    ``mmd2``: the biased MMD^2 of the picks so far to the reference.
     """
     pool, c = _one_class(pool, cls)
     _check(pool, c, n)
     k = lambda a, b: V.kernel(a, b, kernel, degree, sigma)
-    state = affinity(pool, reference, cls, kernel, degree, sigma).select(c, "id", "x", F.col("affinity").alias("a"), k(F.col("x"), F.col("x")).alias("kxx"), F.lit(0.0).alias("b"))
-    score = lambda t: F.col("a") - (F.col("b") + 0.5 * F.col("kxx")) / (t + 1)
-    update = lambda s, best, t: s.withColumn("b", F.col("b") + _by_class(c, best, lambda r: k(F.col("x"), _literal(r["x"])), F.lit(0.0)))
-    picks, _, _ = _greedy(state, c, n, score, update)
-    return _frame(pool, c, picks)
+    rows, values = _classes(affinity(pool, reference, cls, kernel, degree, sigma), c)
+    state = _state(rows, F.col("affinity").alias("a"), k(F.col("x"), F.col("x")).alias("kxx"), F.lit(0.0).alias("b"))
+    picks, _ = _greedy(state, n, Herding(kernel, degree, sigma))
+    own = {}
+    for i, v in enumerate(values):
+        r = reference if cls is None else reference.where(F.col(cls).eqNullSafe(F.lit(v)))
+        sums = pairs.kernel_sums(r, r, kernel, degree, sigma).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+        own[i] = sums["s"] / sums["n"] if sums["n"] else float("nan")
+    trace: dict[int, list[float]] = {}
+    for one, ps in picks.items():
+        among, to = 0.0, 0.0
+        trace[one] = []
+        for t, p in enumerate(ps, 1):
+            among, to = among + p["kxx"] + 2 * p["b"], to + p["a"]
+            trace[one].append(among / t**2 + own[one] - 2 * to / t)
+    return _frame(pool, c, values, picks, {"mmd2": trace})
 
 
 def affinity(pool: DataFrame, reference: DataFrame, cls: str | None = None, kernel: str = "poly", degree: int = 3, sigma: float | None = None) -> DataFrame:
@@ -110,26 +286,64 @@ def affinity(pool: DataFrame, reference: DataFrame, cls: str | None = None, kern
     return pool.join(means.withColumnRenamed("mean", "affinity"), "id")
 
 
+class Farthest(Rule):
+    names = ["d"]
+
+    def score(self, rows: Rows, t: int) -> np.ndarray:
+        return rows.numbers["d"]
+
+    def apply(self, rows: Rows, pick: dict, t: int) -> None:
+        rows.numbers["d"] = np.minimum(rows.numbers["d"], np.sqrt(np.square(rows.x - pick["x"]).sum(1)))
+
+
 def kcenter(pool: DataFrame, n: int, cls: str | None = None, seed: int = 0) -> DataFrame:
     """Farthest first: a seeded start, then always the row farthest from all picks."""
     pool, c = _one_class(pool, cls)
     _check(pool, c, n)
-    start = {r[c]: r["r"] for r in pool.groupBy(c).agg(F.min_by(F.struct("id", "x"), F.struct(seeded(seed, "id"), "id")).alias("r")).collect()}
-    far = float("inf")
-    update = lambda s, best, t: s.withColumn("d", F.least("d", _by_class(c, best, lambda r: V.distance(F.col("x"), _literal(r["x"])), F.lit(far))))
-    picks, _, _ = _greedy(pool.select(c, "id", "x", F.lit(far).alias("d")), c, n, lambda t: F.col("d"), update, start)
-    return _frame(pool, c, picks)
+    rows, values = _classes(pool, c)
+    first = rows.groupBy("k").agg(F.min_by(F.struct("id", "x"), F.struct(seeded(seed, "id"), "id")).alias("r")).collect()
+    start = {r["k"]: {"id": r["r"]["id"], "x": np.array(r["r"]["x"]), "col": np.zeros(0), "d": float("inf")} for r in first}
+    picks, _ = _greedy(_state(rows, F.lit(float("inf")).alias("d")), n, Farthest(), start)
+    return _frame(pool, c, values, picks)
+
+
+class Volume(Rule):
+    names = ["q", "root", "gain"]
 
+    def __init__(self, kernel: str, degree: int, sigma: float | None):
+        self.options = (kernel, degree, sigma)
 
-def dpp(pool: DataFrame, n: int, cls: str | None = None, quality: str | None = None, kernel: str = "rbf", degree: int = 3, sigma: float | None = None) -> tuple[DataFrame, dict]:
+    def score(self, rows: Rows, t: int) -> np.ndarray:
+        return rows.numbers["gain"]
+
+    def apply(self, rows: Rows, pick: dict, t: int) -> None:
+        v = rows.numbers
+        row = pick["q"] * v["q"] * _cells(rows.x, pick["x"], *self.options) / (pick["root"] * v["root"])
+        before = rows.col @ pick["col"] if t and rows.col.size else 0.0
+        e = (row - before) / pick["gain"] ** 0.5
+        v["gain"] = v["gain"] - e * e
+        rows.col = np.column_stack([rows.col, e]) if rows.col.size else e[:, None]
+
+    def ends(self, pick: dict) -> bool:
+        return pick["gain"] < GAIN_FLOOR
+
+
+def dpp(pool: DataFrame, n: int, cls: str | None = None, quality: str | None = None, kernel: str = "rbf", degree: int = 3, sigma: float | None = None, reference: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """Greedy determinantal picks by incremental Cholesky, and (class -> picks made by volume) for classes whose volume ran out.
 
-    ``quality``: a column of finite numbers of at least 0, scaled to a maximum of 1 in each class; none: 1 for all.
+    ``quality``: a column of finite numbers of at least 0, scaled to a maximum of 1 in each class; none: 1 for all;
+    ``real_affinity``: the mean kernel to ``reference`` (of the same class), at least 0.
     When the best gain falls under ``GAIN_FLOOR`` the rest is filled by quality.
+    ``logdet``: the log determinant of the picks so far; ``gain``: the pick's own; both null for rows that fill up.
     """
     pool, c = _one_class(pool, cls)
     _check(pool, c, n)
     k = lambda a, b: V.kernel(a, b, kernel, degree, sigma)
+    if quality == "real_affinity":
+        if reference is None:
+            raise ValueError("real_affinity needs a reference")
+        pool = affinity(pool.drop("affinity"), reference, cls, kernel, degree, sigma).withColumn("affinity", F.greatest("affinity", F.lit(0.0)))
+        quality = "affinity"
     if quality:
         q = F.col(quality).cast("double")
         if pool.where(q.isNull() | F.isnan(q) | (q < 0) | (q == float("inf"))).limit(1).count():
@@ -138,30 +352,25 @@ def dpp(pool: DataFrame, n: int, cls: str | None = None, quality: str | None = N
         pool = pool.join(top, F.col(c).eqNullSafe(F.col("_c"))).withColumn("_q", q / F.col("_m")).drop("_c", "_m")
     else:
         pool = pool.withColumn("_q", F.lit(1.0))
+    rows, values = _classes(pool, c)
     root = F.sqrt(F.greatest(k(F.col("x"), F.col("x")), F.lit(1e-12)))
-    state = pool.select(c, "id", "x", F.col("_q").alias("q"), root.alias("root"), (F.col("_q") * F.col("_q")).alias("gain"), F.array().cast("array<double>").alias("col"))
-
-    def update(s: DataFrame, best: dict, t: int) -> DataFrame:
-        def entry(r) -> Column:
-            row = r["q"] * F.col("q") * k(F.col("x"), _literal(r["x"])) / (r["root"] * F.col("root"))
-            return (row - V.dot(F.col("col"), _literal(r["col"]).cast("array<double>"))) / (r["gain"] ** 0.5)
-
-        s = s.withColumn("_e", _by_class(c, best, entry, F.lit(0.0)))
-        return s.withColumn("gain", F.col("gain") - F.col("_e") * F.col("_e")).withColumn("col", F.concat("col", F.array("_e"))).drop("_e")
-
-    picks, state, ended = _greedy(state, c, n, lambda t: F.col("gain"), update, stop=lambda r: r["gain"] < GAIN_FLOOR)
-    for one, made in ended.items():
-        rest = state.where(F.col(c).eqNullSafe(F.lit(one)) & ~F.col("_taken")).orderBy(F.col("q").desc(), "id").limit(n - made).select("id").collect()
-        picks += [(one, r["id"], made + 1 + i, None) for i, r in enumerate(rest)]
-    return _frame(pool, c, picks), ended
+    state = _state(rows, F.col("_q").alias("q"), root.alias("root"), (F.col("_q") * F.col("_q")).alias("gain"))
+    picks, state = _greedy(state, n, Volume(kernel, degree, sigma))
+    gains = {one: [p["gain"] for p in ps] + [None] * (n - len(ps)) for one, ps in picks.items()}
+    logdet = {one: [*np.cumsum(np.log([p["gain"] for p in ps])).tolist(), *[None] * (n - len(ps))] for one, ps in picks.items()}
+    ended = {values[one]: len(ps) for one, ps in picks.items() if len(ps) < n}
+    for one, ps in picks.items():
+        if len(ps) < n:
+            done = [p["id"] for p in ps]
+            more = state.where((F.col("k") == one) & ~F.col("id").isin(done)).orderBy(F.col("q").desc(), "id").limit(n - len(ps)).select("id").collect()
+            ps += [{"id": r["id"]} for r in more]
+    return _frame(pool, c, values, picks, {"gain": gains, "logdet": logdet}), ended
 
 
 def random_pick(pool: DataFrame, n: int, cls: str | None = None, seed: int = 0) -> DataFrame:
     """The control: ``n`` rows of each class in the seeded order."""
     pool, c = _one_class(pool, cls)
     chosen = n_per_class(pool.select(c, "id"), c, n, seed)
-    from pyspark.sql import Window
-
     return chosen.withColumn("pick_no", F.row_number().over(Window.partitionBy(c).orderBy(seeded(seed, "id"), "id")))
 
 
@@ -178,16 +387,10 @@ def knn_rank(pool: DataFrame, reference: DataFrame, k: int = 5) -> DataFrame:
 
 
 def logged(picks: DataFrame, every: int, n: int) -> DataFrame:
-    """The picks at which a trace is taken: every so many, and the last."""
+    """The picks, and what they trace, at every so many picks and at the last."""
     return picks.where((F.col("pick_no") % every == 0) | (F.col("pick_no") == n))
 
 
-def discriminator_resample(scores: DataFrame, logit: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement in proportion to exp(logit)."""
-    top = scores.agg(F.max(logit).alias("m")).first()["m"] or 0.0
-    return scores.orderBy(-F.log(uniform(seed, "id")) / F.exp(F.col(logit) - F.lit(top)), "id").limit(n)
-
-
 SELECTORS = {
     "herding": lambda pool, reference, n, **o: herding(pool, reference, n, **o),
     "dpp": lambda pool, reference, n, **o: dpp(pool, n, **o)[0],

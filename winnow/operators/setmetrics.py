@@ -26,16 +26,23 @@ def median_sigma(df: DataFrame, most: int = 2000, seed: int = 0) -> float:
     return lower_median(near.select(F.explode("near.d").alias("d")), "d") or 1.0
 
 
+def mmd2(candidates: DataFrame, reference: DataFrame, **kernel) -> dict:
+    """mean k(S, S) + mean k(R, R) - 2 mean k(S, R): with the pairs of a vector with itself (biased) and without (unbiased)."""
+    total = {}
+    for name, a, b in (("ss", candidates, candidates), ("rr", reference, reference), ("sr", candidates, reference)):
+        total[name] = pairs.kernel_sums(a, b, **kernel).agg(*(F.sum(c).alias(c) for c in ("s", "n", "own", "same"))).first()
+    mean = lambda r: r["s"] / r["n"] if r["n"] else float("nan")
+    others = lambda r: (r["s"] - r["own"]) / (r["n"] - r["same"]) if r["n"] and r["n"] > r["same"] else float("nan")
+    across = 2 * mean(total["sr"])
+    return {"biased": mean(total["ss"]) + mean(total["rr"]) - across, "unbiased": others(total["ss"]) + others(total["rr"]) - across}
+
+
 def mmd2_biased(candidates: DataFrame, reference: DataFrame, **kernel) -> float:
-    """mean k(S, S) + mean k(R, R) - 2 mean k(S, R)."""
-    means = lambda a, b: _mean(pairs.kernel_means(a, b, **kernel), "mean")
-    return means(candidates, candidates) + means(reference, reference) - 2 * means(candidates, reference)
+    return mmd2(candidates, reference, **kernel)["biased"]
 
 
 def mmd2_unbiased(candidates: DataFrame, reference: DataFrame, **kernel) -> float:
-    """As above, without the pairs of a vector with itself."""
-    means = lambda a, b, skip: _mean(pairs.kernel_means(a, b, skip_same=skip, **kernel), "mean")
-    return means(candidates, candidates, True) + means(reference, reference, True) - 2 * means(candidates, reference, False)
+    return mmd2(candidates, reference, **kernel)["unbiased"]
 
 
 def kid(reference: DataFrame, candidates: DataFrame, subset_size: int = 1000, subsets: int = 100, degree: int = 3, seed: int = 0) -> dict:
@@ -88,11 +95,11 @@ def copy_rate(reference: DataFrame, candidates: DataFrame, pct: float = 5) -> di
     """The share of candidates nearer to the reference than its own ``pct``-th percentile of spacing; NaN for under three or no vectors."""
     nr, nf = reference.count(), candidates.count()
     if nr < 3 or nf < 1:
-        return {"copy_rate": float("nan"), "tau": float("nan"), "n_ref": nr, "n_fake": nf}
+        return {"copy_rate": float("nan"), "tau": float("nan"), "reference_rows": nr, "candidate_rows": nf}
     own, theirs = written(spacing(reference)), written(to_reference(candidates, reference))
     tau = quantile(own, "d", pct / 100)
     rate = _mean(theirs.select((F.col("d") < tau).cast("double").alias("v")), "v")
-    return {"copy_rate": round(rate, 4), "tau": round(tau, 3), "pct": pct, "med_fake_nn": round(lower_median(theirs, "d"), 3), "med_ref_nn": round(lower_median(own, "d"), 3), "n_ref": nr, "n_fake": nf}
+    return {"copy_rate": round(rate, 4), "tau": round(tau, 3), "pct": pct, "candidate_median": round(lower_median(theirs, "d"), 3), "reference_median": round(lower_median(own, "d"), 3), "reference_rows": nr, "candidate_rows": nf}
 
 
 def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:

@@ -124,7 +124,7 @@ def median_sigma(spark, sf_dir):
 
 def mmd2(spark, sf_dir):
     a, b = halves(spark, sf_dir)
-    return one(spark, biased=round(setmetrics.mmd2_biased(a, b), 7), unbiased=round(setmetrics.mmd2_unbiased(a, b), 7))
+    return one(spark, **{k: round(v, 7) for k, v in setmetrics.mmd2(a, b).items()})
 
 
 def kid_subsets(spark, sf_dir):
@@ -140,7 +140,7 @@ def nn_distance(spark, sf_dir):
 def copy_rate(spark, sf_dir):
     a, b = halves(spark, sf_dir)
     r = setmetrics.copy_rate(b, a)
-    return one(spark, copy_rate=r["copy_rate"], tau=r["tau"], med_fake_nn=r["med_fake_nn"], med_ref_nn=r["med_ref_nn"])
+    return one(spark, copy_rate=r["copy_rate"], tau=r["tau"], candidate_median=r["candidate_median"], reference_median=r["reference_median"])
 
 
 def memorisation_gate(spark, sf_dir):
@@ -166,13 +166,13 @@ def chunk_quantile_gate(spark, sf_dir):
 
 def coverage_density(spark, sf_dir):
     a, b = halves(spark, sf_dir)
-    r = setmetrics.coverage_density(b, written(sampling.sample_n(a, SMALL, 3)))
+    r = setmetrics.coverage_density(b, a)
     return one(spark, coverage=r["coverage"], density=r["density"])
 
 
 def generative_recall(spark, sf_dir):
     a, b = halves(spark, sf_dir)
-    return one(spark, recall=setmetrics.recall(b, written(sampling.sample_n(a, SMALL, 3)))["recall"])
+    return one(spark, recall=setmetrics.recall(b, a)["recall"])
 
 
 def knn_rank_topk(spark, sf_dir):
@@ -361,14 +361,14 @@ m AS (SELECT ff.v + gg.v - 2 * fg.v AS v FROM ff JOIN gg USING (subset) JOIN fg
 SELECT round(avg(v), 7) AS kid, round(stddev_pop(v), 7) AS kid_std FROM m""",
     "nn_distance": f"WITH {_HALVES}, {_NN} SELECT id, round(d, 6) AS d FROM nn",
     "copy_rate": f"""WITH {_HALVES}, {_OWN}, {_NN}, t AS (SELECT quantile_cont(d, 0.05) AS tau, quantile_disc(d, 0.5) AS m FROM own)
-SELECT round(avg((d < tau)::INT), 4) AS copy_rate, round(any_value(tau), 3) AS tau, round(quantile_disc(d, 0.5), 3) AS med_fake_nn, round(any_value(m), 3) AS med_ref_nn FROM nn, t""",
+SELECT round(avg((d < tau)::INT), 4) AS copy_rate, round(any_value(tau), 3) AS tau, round(quantile_disc(d, 0.5), 3) AS candidate_median, round(any_value(m), 3) AS reference_median FROM nn, t""",
     "memorisation_gate": f"WITH {_HALVES}, {_OWN}, {_NN} SELECT id, round(d, 6) AS d, d >= (SELECT quantile_cont(d, 0.05) FROM own) AS keep FROM nn",
     "realism_gate": f"WITH {_HALVES}, {_AFF} SELECT id, round(affinity, 6) AS affinity, affinity > (SELECT quantile_cont(affinity, 0.05) FROM aff) AS keep FROM aff",
     "gate_report": f"""WITH {_HALVES}, {_OWN}, {_NN}, {_AFF}, g AS (SELECT d >= (SELECT quantile_cont(d, 0.05) FROM own) AS m, affinity > (SELECT quantile_cont(affinity, 0.05) FROM aff) AS r FROM nn JOIN aff USING (id))
 SELECT count(*)::DOUBLE AS n_in, count_if(m AND r)::DOUBLE AS n_kept, count_if(NOT m)::DOUBLE AS dropped_memorisation, count_if(NOT r)::DOUBLE AS dropped_realism FROM g""",
     "chunk_quantile_gate": "SELECT doc_id, n_chars::DOUBLE > quantile_cont(n_chars::DOUBLE, 0.03) OVER (PARTITION BY doc_id // 2000) AS keep FROM documents",
-    "coverage_density": f"WITH {_HALVES}, {_SMALL.format(n=SMALL)}, {_balls('b')} SELECT round(c, 4) AS coverage, round(s / (5 * m.n), 4)::DOUBLE AS density FROM {_cover('f')}",
-    "generative_recall": f"WITH {_HALVES}, {_SMALL.format(n=SMALL)}, {_balls('f')} SELECT round(avg(v), 4) AS recall FROM (SELECT q.id, max((list_distance(p.x, q.x) <= p.radius)::INT) AS v FROM rad p, b q GROUP BY q.id)",
+    "coverage_density": f"WITH {_HALVES}, {_balls('b')} SELECT round(c, 4) AS coverage, round(s / (5 * m.n), 4)::DOUBLE AS density FROM {_cover('a')}",
+    "generative_recall": f"WITH {_HALVES}, {_balls('a')} SELECT round(avg(v), 4) AS recall FROM (SELECT q.id, max((list_distance(p.x, q.x) <= p.radius)::INT) AS v FROM rad p, b q GROUP BY q.id)",
     "knn_rank_topk": f"""WITH {_HALVES}, k AS (SELECT id, avg(d) AS score FROM (SELECT p.id, list_distance(p.x, q.x) AS d, row_number() OVER (PARTITION BY p.id ORDER BY list_distance(p.x, q.x), q.id) AS rn FROM a p, b q) WHERE rn <= 5 GROUP BY id)
 SELECT id, round(score, 6) AS score FROM k ORDER BY k.score, id LIMIT {SMALL}""",
     "score_topk": f"WITH {_HALVES} SELECT id, x[1] AS score FROM a ORDER BY score DESC, id LIMIT {SMALL}",
