@@ -85,3 +85,11 @@ def resolve_paths(manifest: DataFrame, listing: DataFrame, roots: list[str], pat
 def missing_counts(resolved: DataFrame, cls: str) -> DataFrame:
     """(class, found, missing)."""
     return resolved.groupBy(cls).agg(F.count("found").alias("found"), F.count_if(F.col("found").isNull()).alias("missing"))
+
+
+def optional_lookup(rows: DataFrame, lookup: DataFrame | None, key: str, columns: dict[str, str]) -> DataFrame:
+    """``rows`` with ``columns`` (name: type) of a table that may not be there, or may not know a row; null then. Of repeated keys the smallest values count."""
+    if lookup is None:
+        return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items()})
+    known = lookup.groupBy(key).agg(F.min(F.struct(*columns)).alias("_l"))
+    return rows.drop(*columns).join(known, key, "left").withColumns({c: F.col(f"_l.{c}").cast(kind) for c, kind in columns.items()}).drop("_l")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from winnow.operators import pairs, setmetrics
 from winnow.operators.quantiles import quantile
+from winnow.operators.sampling import numbered
 from winnow.sources.scratch import written
 
 
@@ -52,9 +54,9 @@ def anatomy(heart: Column, left: Column, right: Column, heart_min: float = 0.005
 
 
 def chunk_quantile_gate(scores: DataFrame, score: str, order: str, drop: float = 0.03, chunk: int = 2000) -> DataFrame:
-    """``scores`` with ``keep``: over the quantile of the row's own chunk of ``chunk`` rows in the order of a 0-based position column."""
-    w = Window.partitionBy(F.floor(F.col(order) / chunk))
-    return scores.withColumn("keep", F.col(score) > F.percentile(score, F.lit(drop)).over(w))
+    """``scores`` with ``keep``: over the quantile of the row's own chunk of ``chunk`` rows in the order of a column, which has no repeats."""
+    w = Window.partitionBy(F.floor(F.col("_at") / chunk))
+    return numbered(scores, order, "_at").withColumn("keep", F.col(score) > F.percentile(score, F.lit(drop)).over(w)).drop("_at")
 
 
 def compose(pool: DataFrame, gates: dict[str, DataFrame]) -> tuple[DataFrame, dict]:
@@ -67,6 +69,21 @@ def compose(pool: DataFrame, gates: dict[str, DataFrame]) -> tuple[DataFrame, di
     return out, r.asDict()
 
 
+def in_order(pool: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, dict]:
+    """(kept rows of ``pool``, counts): gates one after the other, each on the survivors of those before, so that a costly one sees few rows.
+
+    A step returns (id, keep); an id that it does not know is kept.
+    """
+    out, counts = written(pool), {"n_in": None}
+    counts["n_in"] = n = out.count()
+    for name, gate in steps.items():
+        dropped = gate(out).where(~F.col("keep")).select("id")
+        out = written(out.join(dropped, "id", "left_anti"))
+        left = out.count()
+        counts[f"dropped_{name}"], n = n - left, left
+    return out, {**counts, "n_kept": n}
+
+
 class Pca:
     """Leading components of a reference set, from its covariance."""
 

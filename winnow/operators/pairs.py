@@ -73,6 +73,7 @@ def _each(left: DataFrame, right: DataFrame, columns: list[str], own: list[str],
     n_left = max(1, _blocks_of(left))
     dealt = lambda df, mine, n, theirs, m: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     a, b = dealt(left, "_l", n_left, "_r", n_right), dealt(right, "_r", n_right, "_l", n_left)
+    b = b.select(*(F.col(c).alias(c) for c in b.columns))  # own columns where both sets are one frame
 
     def pair(these: pa.Table, those: pa.Table) -> pa.Table:
         block = _block(those, columns)

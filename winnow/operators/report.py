@@ -29,10 +29,11 @@ def upsert_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full").select(*(pick(c) for c in columns))
 
 
-def delta_vs_first(history: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """``history`` with each metric's change against the first generation; null where either is missing."""
-    w = Window.orderBy(key)
-    return history.select("*", *((F.col(m) - F.first(m).over(w)).alias(f"{m}_delta") for m in metrics))
+def delta_vs_first(rows: DataFrame, order: str, metrics: list[str]) -> DataFrame:
+    """``rows`` with each metric less that of the first row (``m_delta``)."""
+    first = rows.agg(*(F.min_by(m, order).alias(f"_first_{m}") for m in metrics))
+    out = rows.join(F.broadcast(first), F.lit(True), "left")  # one row
+    return out.withColumns({f"{m}_delta": F.col(m) - F.col(f"_first_{m}") for m in metrics}).drop(*(f"_first_{m}" for m in metrics))
 
 
 def pair_delta(rows: DataFrame, name: str, a: str, b: str, metrics: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.order import seeded, uniform
+from winnow.sources.scratch import written
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
@@ -90,3 +91,13 @@ def head_per_class(df: DataFrame, cls: str, order: str, n: int) -> DataFrame:
 def take_first(df: DataFrame, order: str, n: int) -> DataFrame:
     """The head of a sorted list."""
     return df.orderBy(order).limit(n)
+
+
+def numbered(df: DataFrame, order: str, out: str = "row") -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of a column: sorted by ranges, so that no task has all rows."""
+    staged = written(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_pos", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_pos", 33)))
+    sizes = staged.groupBy("_part").agg(F.count("*").alias("n"))
+    # a row a partition
+    ahead = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    place = F.col("_ahead") + F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
+    return staged.join(F.broadcast(ahead), "_part").withColumn(out, place).drop("_pos", "_part", "_ahead")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.order import seeded
+from winnow.functions.vectors import dot, norm, unit
 from winnow.operators import pairs
 from winnow.operators.quantiles import lower_median, quantile
 from winnow.operators.sampling import sample_n, subset_draws
@@ -50,7 +52,9 @@ def kid(reference: DataFrame, candidates: DataFrame, subset_size: int = 1000, su
 
     A draw of subset_size vectors of each side is a group of one task, at most.
     """
-    size = max(2, min(subset_size, reference.count(), candidates.count()))
+    size = min(subset_size, reference.count(), candidates.count())
+    if size < 2:
+        return {"kid": float("nan"), "kid_std": float("nan"), "subset_size": size, "subsets": subsets}
     a, b = (subset_draws(df.select("id", "x"), subsets, size, f"{seed}{side}") for df, side in ((reference, "r"), (candidates, "f")))
 
     def one(left, right):
@@ -140,28 +144,48 @@ def frechet_distance(reference: DataFrame, candidates: DataFrame, eps: float = 1
     return float(max(0.0, ((ma - mb) ** 2).sum() + np.trace(a) + np.trace(b) - 2 * cross))
 
 
-def vendi_score(df: DataFrame) -> dict:
-    """The effective number of distinct vectors under the cosine kernel.
+RBF_ROWS = 4000
 
-    The n x n kernel matrix over n and the d x d mean of outer products have the same
-    eigenvalues past zero, so only the latter is formed.
-    """
-    from winnow.functions.vectors import unit
 
-    n, mean, cov = moments(df.select(unit(F.col("x")).alias("x")))
-    if not n:
-        return {"vendi": float("nan"), "n": 0}
-    w = np.maximum(np.linalg.eigvalsh(cov * (n - 1) / n + np.outer(mean, mean)), 0)
+def _spread(eigenvalues: np.ndarray) -> float:
+    """exp of the entropy of eigenvalues scaled to a sum of 1."""
+    w = np.maximum(eigenvalues, 0)
     w = w / max(w.sum(), 1e-12)
-    return {"vendi": round(float(np.exp(-(w * np.log(np.maximum(w, 1e-12))).sum())), 4), "n": n}
+    return round(float(np.exp(-(w * np.log(np.maximum(w, 1e-12))).sum())), 4)
+
+
+def vendi_score(df: DataFrame, kernel: str = "cosine", sigma: float | None = None) -> dict:
+    """The effective number of distinct vectors under the cosine or the rbf kernel.
+
+    Cosine: the n x n kernel matrix over n and the d x d mean of outer products have the same
+    eigenvalues past zero, so only the latter is formed. The rbf kernel has no such form: its
+    matrix is made for ``RBF_ROWS`` vectors at most, more are an error. ``sigma``: the median distance if not given.
+    """
+    if kernel == "cosine":
+        n, mean, cov = moments(df.select(unit(F.col("x")).alias("x")))
+        return {"vendi": _spread(np.linalg.eigvalsh(cov * (n - 1) / n + np.outer(mean, mean))) if n else float("nan"), "n": n}
+    if kernel != "rbf":
+        raise ValueError(f"unknown kernel: {kernel}")
+    n = df.count()
+    if n > RBF_ROWS:
+        raise ValueError(f"an rbf matrix of {n} rows; at most {RBF_ROWS}")
+    x = pairs.matrix(df.orderBy("id").select("x").toArrow()["x"])
+    return {"vendi": _spread(np.linalg.eigvalsh(pairs.kernel_matrix(x, x, "rbf", sigma=sigma or median_sigma(df)) / n)) if n else float("nan"), "n": n}
+
+
+def feature_parity(a: DataFrame, b: DataFrame) -> dict:
+    """How far two extractions (id, x) of the same records agree: common ids, the largest absolute difference and the least cosine."""
+    both = a.select("id", F.col("x").alias("p")).join(b.select("id", F.col("x").alias("q")), "id")
+    gap = F.array_max(F.zip_with("p", "q", lambda x, y: F.abs(x - y)))
+    cosine = dot(F.col("p"), F.col("q")) / F.greatest(norm(F.col("p")) * norm(F.col("q")), F.lit(1e-12))
+    r = both.agg(F.count("*").alias("n"), F.max(gap).alias("gap"), F.min(cosine).alias("cosine")).first()
+    return {"n": r["n"], "max_difference": r["gap"], "min_cosine": r["cosine"]}
 
 
 def inception_score(probabilities: DataFrame, seed: int = 0) -> tuple[float, float]:
     """Mean and deviation over splits of exp(mean KL of class probabilities (id, p) to the split's mean)."""
     n = probabilities.count()
     splits = 10 if n >= 20 else max(1, n // 2)
-    from winnow.functions.order import seeded
-
     rows = probabilities.withColumn("s", F.pmod(F.conv(F.substring(seeded(seed, "id"), 1, 8), 16, 10).cast("long"), F.lit(splits))).select("id", "s", F.posexplode("p").alias("c", "p"))
     mean = rows.groupBy("s", "c").agg(F.avg("p").alias("m"))
     term = F.when(F.col("p") > 0, F.col("p") * (F.log("p") - F.log("m"))).otherwise(0.0)

@@ -66,6 +66,29 @@ def compare_filters(reference: DataFrame, pool: DataFrame, share: float = 0.66,
     return reference.sparkSession.createDataFrame(rows, "name string, n long, fd double, kid double, c2st double")
 
 
+def ablation(pool: DataFrame, reference: DataFrame, n: int, selectors_: tuple[str, ...] = ("herding", "dpp", "kcenter", "random"), gate_sets: dict[str, dict] | None = None, options: dict[str, dict] | None = None, **measure) -> DataFrame:
+    """A ranked row of metrics for each selector behind each set of gates (arguments of :func:`gated_selection`, by name)."""
+    gate_sets = gate_sets or {"none": {"realism": None}, "realism": {"realism": 0.05}, "memorisation": {"memorisation": 1, "realism": None}, "both": {"memorisation": 1, "realism": 0.05}}
+    kept = {}
+    for gates_name, chosen in gate_sets.items():
+        for name in selectors_:
+            picks, _ = gated_selection(pool, reference, n, name, **chosen, **(options or {}).get(name, {}))
+            kept[f"{name}+{gates_name}"] = written(pool.join(picks.select("id"), "id", "left_semi"))
+    return compare(reference, kept, **measure)
+
+
+def scored_elsewhere(picks: dict[str, DataFrame], pool: DataFrame, reference: DataFrame, **measure) -> DataFrame:
+    """Selections made in one space (id), scored by the vectors (id, x) that the same records have in another."""
+    return compare(reference, {name: written(pool.join(ids.select("id"), "id", "left_semi")) for name, ids in picks.items()}, **measure)
+
+
+def nearest_then_herd(pool: DataFrame, reference: DataFrame, n: int, drop: float = 0.1, k: int = 50, **options) -> DataFrame:
+    """Drops the share that is farthest from the reference by Mahalanobis distance, and herds on the rest."""
+    d = written(gates.Pca(reference, k).mahalanobis(pool).select("id", "d"))
+    kept = written(pool.join(gates.nearest_share(d, "d", 1 - drop).select("id"), "id", "left_semi"))
+    return selectors.herding(kept, reference, n, **options)
+
+
 def union_of(parts: dict[str, DataFrame], column: str = "provenance") -> DataFrame:
     """All rows, with the name of the set that they come from."""
     return reduce(lambda a, b: a.unionByName(b), (df.withColumn(column, F.lit(name)) for name, df in parts.items()))

@@ -129,7 +129,7 @@ def mmd2(spark, sf_dir):
 
 def kid_subsets(spark, sf_dir):
     a, b = halves(spark, sf_dir)
-    k = setmetrics.kid(b, a, 50, 10)
+    k = setmetrics.kid(b, a)
     return one(spark, kid=round(k["kid"], 7), kid_std=round(k["kid_std"], 7))
 
 
@@ -266,7 +266,29 @@ def kmeans_balanced(spark, sf_dir):
 
 def two_sample_forest(spark, sf_dir):
     a, b = halves(spark, sf_dir)
-    return models.forest_rank(b, a, trees=20, depth=5)
+    return models.forest_rank(b, a)
+
+
+def metric_map_explode(spark, sf_dir):
+    """A row for each metric of each status's result document."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    docs = o.select("o_orderstatus", F.to_json(F.struct("n", "first", "last")).alias("json"))
+    return report.explode_metrics(docs, "json")
+
+
+def nearest_then_herd(spark, sf_dir):
+    return pipelines.nearest_then_herd(*halves(spark, sf_dir), N, k=20).select("id", "pick_no")
+
+
+def compare_filters(spark, sf_dir):
+    a, b = halves(spark, sf_dir)
+    return pipelines.compare_filters(b, a, methods=("maha", "knn"))
+
+
+def herding_trace(spark, sf_dir):
+    """How the distance of the picks to the reference falls."""
+    picks = selectors.herding(*halves(spark, sf_dir), N)
+    return selectors.logged(picks, 5, N).select("pick_no", F.round("mmd2", 7).alias("mmd2"))
 
 
 def linear_probe(spark, sf_dir):
@@ -281,7 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         weighted_sample, path_resolve, cache_keys, median_sigma, mmd2, kid_subsets, nn_distance, copy_rate, memorisation_gate, realism_gate, gate_report, chunk_quantile_gate,
         coverage_density, generative_recall, knn_rank_topk, score_topk, herding_select, kcenter_select, dpp_select, gate_then_herd, selector_ranking, auroc_confusion,
         class_weights, history_upsert, delta_vs_first, class_shares, mahalanobis_gate, reference_threshold_gate, frechet_distance, vendi_score, kmeans_balanced,
-        two_sample_forest, linear_probe,
+        two_sample_forest, linear_probe, metric_map_explode, nearest_then_herd, compare_filters, herding_trace,
     )
 }
 QUERIES["poly_affinity"] = lambda spark, sf_dir: _affinity(spark, sf_dir, name="poly")
@@ -353,9 +375,9 @@ SELECT DISTINCT source FROM h WHERE s INTERSECT SELECT source FROM h WHERE NOT s
     "median_sigma": f"WITH {_HALVES}, s AS (SELECT * FROM b ORDER BY md5('0:' || id), id LIMIT 2000) SELECT round(quantile_disc(list_distance(p.x, q.x), 0.5), 6) AS sigma FROM s p JOIN s q ON p.id < q.id",
     "mmd2": f"""WITH {_HALVES}, aa AS (SELECT avg({_POLY}) AS m, avg({_POLY}) FILTER (p.id <> q.id) AS u FROM a p, a q), bb AS (SELECT avg({_POLY}) AS m, avg({_POLY}) FILTER (p.id <> q.id) AS u FROM b p, b q), ab AS (SELECT avg({_POLY}) AS m FROM a p, b q)
 SELECT round(aa.m + bb.m - 2 * ab.m, 7) AS biased, round(aa.u + bb.u - 2 * ab.m, 7) AS unbiased FROM aa, bb, ab""",
-    "kid_subsets": f"""WITH {_HALVES}, s AS (SELECT unnest(range(10)) AS subset),
-f AS (SELECT * FROM (SELECT subset, id, x, row_number() OVER (PARTITION BY subset ORDER BY md5('0f:' || subset || ':' || id), id) AS rn FROM a, s) WHERE rn <= 50),
-g AS (SELECT * FROM (SELECT subset, id, x, row_number() OVER (PARTITION BY subset ORDER BY md5('0r:' || subset || ':' || id), id) AS rn FROM b, s) WHERE rn <= 50),
+    "kid_subsets": f"""WITH {_HALVES}, s AS (SELECT unnest(range(100)) AS subset), z AS (SELECT least(1000, (SELECT count(*) FROM a), (SELECT count(*) FROM b)) AS size),
+f AS (SELECT subset, id, x FROM (SELECT subset, id, x, row_number() OVER (PARTITION BY subset ORDER BY md5('0f:' || subset || ':' || id), id) AS rn FROM a, s), z WHERE rn <= size),
+g AS (SELECT subset, id, x FROM (SELECT subset, id, x, row_number() OVER (PARTITION BY subset ORDER BY md5('0r:' || subset || ':' || id), id) AS rn FROM b, s), z WHERE rn <= size),
 ff AS (SELECT subset, avg({_POLY}) AS v FROM f p JOIN f q USING (subset) WHERE p.id <> q.id GROUP BY subset), gg AS (SELECT subset, avg({_POLY}) AS v FROM g p JOIN g q USING (subset) WHERE p.id <> q.id GROUP BY subset), fg AS (SELECT subset, avg({_POLY}) AS v FROM f p JOIN g q USING (subset) GROUP BY subset),
 m AS (SELECT ff.v + gg.v - 2 * fg.v AS v FROM ff JOIN gg USING (subset) JOIN fg USING (subset))
 SELECT round(avg(v), 7) AS kid, round(stddev_pop(v), 7) AS kid_std FROM m""",
@@ -366,7 +388,7 @@ SELECT round(avg((d < tau)::INT), 4) AS copy_rate, round(any_value(tau), 3) AS t
     "realism_gate": f"WITH {_HALVES}, {_AFF} SELECT id, round(affinity, 6) AS affinity, affinity > (SELECT quantile_cont(affinity, 0.05) FROM aff) AS keep FROM aff",
     "gate_report": f"""WITH {_HALVES}, {_OWN}, {_NN}, {_AFF}, g AS (SELECT d >= (SELECT quantile_cont(d, 0.05) FROM own) AS m, affinity > (SELECT quantile_cont(affinity, 0.05) FROM aff) AS r FROM nn JOIN aff USING (id))
 SELECT count(*)::DOUBLE AS n_in, count_if(m AND r)::DOUBLE AS n_kept, count_if(NOT m)::DOUBLE AS dropped_memorisation, count_if(NOT r)::DOUBLE AS dropped_realism FROM g""",
-    "chunk_quantile_gate": "SELECT doc_id, n_chars::DOUBLE > quantile_cont(n_chars::DOUBLE, 0.03) OVER (PARTITION BY doc_id // 2000) AS keep FROM documents",
+    "chunk_quantile_gate": "SELECT doc_id, n_chars::DOUBLE > quantile_cont(n_chars::DOUBLE, 0.03) OVER (PARTITION BY at // 2000) AS keep FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS at FROM documents)",
     "coverage_density": f"WITH {_HALVES}, {_balls('b')} SELECT round(c, 4) AS coverage, round(s / (5 * m.n), 4)::DOUBLE AS density FROM {_cover('a')}",
     "generative_recall": f"WITH {_HALVES}, {_balls('a')} SELECT round(avg(v), 4) AS recall FROM (SELECT q.id, max((list_distance(p.x, q.x) <= p.radius)::INT) AS v FROM rad p, b q GROUP BY q.id)",
     "knn_rank_topk": f"""WITH {_HALVES}, k AS (SELECT id, avg(d) AS score FROM (SELECT p.id, list_distance(p.x, q.x) AS d, row_number() OVER (PARTITION BY p.id ORDER BY list_distance(p.x, q.x), q.id) AS rn FROM a p, b q) WHERE rn <= 5 GROUP BY id)
@@ -389,5 +411,10 @@ m AS (SELECT coalesce(n.gen, o.gen) AS gen, coalesce(n.orders, o.orders) AS orde
 SELECT * FROM m WHERE gen NOT IN (SELECT gen FROM o WHERE orders % 2 = 0) UNION ALL SELECT gen, orders, price, 2 FROM o WHERE orders % 2 = 0""",
     "delta_vs_first": """WITH o AS (SELECT year(o_orderdate)::INT AS gen, count(*) AS orders, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY 1)
 SELECT gen, orders - first_value(orders) OVER (ORDER BY gen) AS orders_delta, round(price - first_value(price) OVER (ORDER BY gen), 4) AS price_delta FROM o""",
+    "metric_map_explode": """WITH o AS (SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS f, max(o_orderkey) AS l FROM orders GROUP BY 1)
+SELECT o_orderstatus, 'n' AS key, n::DOUBLE AS value FROM o UNION ALL SELECT o_orderstatus, 'first', f::DOUBLE FROM o UNION ALL SELECT o_orderstatus, 'last', l::DOUBLE FROM o""",
+    "herding_trace": f"""WITH RECURSIVE {_HALVES}, {_herd('a', N)}, s AS (SELECT a.x, hd.pick_no AS p FROM a JOIN hd USING (id)),
+t AS (SELECT unnest([5, {N}]) AS t), ss AS (SELECT t, avg({_POLY}) AS v FROM s p, s q, t WHERE p.p <= t AND q.p <= t GROUP BY t), sr AS (SELECT t, avg({_POLY}) AS v FROM s p, b q, t WHERE p.p <= t GROUP BY t), rr AS (SELECT avg({_POLY}) AS v FROM b p, b q)
+SELECT ss.t::INT AS pick_no, round(ss.v + rr.v - 2 * sr.v, 7) AS mmd2 FROM ss JOIN sr USING (t), rr""",
     "class_shares": "SELECT event_type, round(avg(value / 100), 6) AS mean, round(stddev_pop(value / 100), 6) AS std, round(avg((value / 100 > 0.5)::INT), 6) AS over, round(avg((value IS NULL)::INT), 6) AS missing, count(*) AS n FROM events GROUP BY event_type",
 }

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions.order import seeded
 from winnow.operators.curation import label_of, last_flags, name_parts
-from winnow.operators.sampling import split_halves
+from winnow.operators.sampling import head_per_class, split_halves
 
 MANIFEST = "subject_id string, study_id string, dicom_id string, split string, label string, relpath string"
 
@@ -47,6 +49,44 @@ def read_images(spark: SparkSession, paths: DataFrame, root: str, decode: Callab
     return files.join(paths.select("path").distinct(), "path", "left_semi").select("path", decode("content").alias("image"))
 
 
+def tolerant(fn: Callable[[bytes], np.ndarray]):
+    """A UDF from bytes to struct(px, height, width, truncated): ``fn`` decodes a whole image; null pixels for what it raises at.
+
+    ``truncated``: the end mark of a JPEG or PNG file is missing. Such bytes are tried with the mark added, too.
+    """
+    ends = {b"\xff\xd8": b"\xff\xd9", b"\x89PNG": b"IEND\xaeB`\x82"}
+
+    @F.pandas_udf("px array<short>, height int, width int, truncated boolean")
+    def read(contents: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw in contents:
+            mark = next((e for head, e in ends.items() if raw is not None and bytes(raw).startswith(head)), b"")
+            cut = bool(mark) and mark not in bytes(raw)[-64:]
+            image = None
+            for attempt in ([] if raw is None else [bytes(raw), bytes(raw) + mark] if cut else [bytes(raw)]):
+                try:
+                    image = np.asarray(fn(attempt))
+                    break
+                except Exception:  # whatever a decoder raises at damaged bytes
+                    continue
+            out.append((None, None, None, cut) if image is None else (image.ravel().astype(np.int16), *image.shape[:2], cut))
+        return pd.DataFrame(out, columns=["px", "height", "width", "truncated"])
+
+    return read
+
+
+def images_of(spark: SparkSession, manifest: DataFrame, root: str, split: str, positive: str, normal: str, decode: Callable, per_class: int | None = None) -> DataFrame:
+    """(path, cls, image): the records of one split with a known label whose file is there, ``per_class`` of each class at most, in the order of their paths."""
+    base = F.lit(root.rstrip("/") + "/")
+    rows = manifest_records(manifest, split, positive, normal).withColumn("path", F.concat(base, "relpath")).select("path", "cls").distinct()
+    there = list_files(spark, root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    rows = rows.join(there, "path", "left_semi")
+    if per_class is not None:
+        rows = head_per_class(rows, "cls", "path", per_class)
+    plain = read_images(spark, list_files(spark, root), root, decode).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    return rows.join(plain, "path")
+
+
 def sample_files(listing: DataFrame, limit: int, seed: int = 0) -> DataFrame:
     return listing.orderBy(seeded(seed, "name"), "path").limit(limit)
 
