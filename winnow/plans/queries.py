@@ -388,7 +388,7 @@ SELECT round(avg((d < tau)::INT), 4) AS copy_rate, round(any_value(tau), 3) AS t
     "realism_gate": f"WITH {_HALVES}, {_AFF} SELECT id, round(affinity, 6) AS affinity, affinity > (SELECT quantile_cont(affinity, 0.05) FROM aff) AS keep FROM aff",
     "gate_report": f"""WITH {_HALVES}, {_OWN}, {_NN}, {_AFF}, g AS (SELECT d >= (SELECT quantile_cont(d, 0.05) FROM own) AS m, affinity > (SELECT quantile_cont(affinity, 0.05) FROM aff) AS r FROM nn JOIN aff USING (id))
 SELECT count(*)::DOUBLE AS n_in, count_if(m AND r)::DOUBLE AS n_kept, count_if(NOT m)::DOUBLE AS dropped_memorisation, count_if(NOT r)::DOUBLE AS dropped_realism FROM g""",
-    "chunk_quantile_gate": "SELECT doc_id, n_chars::DOUBLE > quantile_cont(n_chars::DOUBLE, 0.03) OVER (PARTITION BY at // 2000) AS keep FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS at FROM documents)",
+    "chunk_quantile_gate": "SELECT doc_id, n_chars::DOUBLE > quantile_cont(n_chars::DOUBLE, 0.03) OVER (PARTITION BY place // 2000) AS keep FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)",
     "coverage_density": f"WITH {_HALVES}, {_balls('b')} SELECT round(c, 4) AS coverage, round(s / (5 * m.n), 4)::DOUBLE AS density FROM {_cover('a')}",
     "generative_recall": f"WITH {_HALVES}, {_balls('a')} SELECT round(avg(v), 4) AS recall FROM (SELECT q.id, max((list_distance(p.x, q.x) <= p.radius)::INT) AS v FROM rad p, b q GROUP BY q.id)",
     "knn_rank_topk": f"""WITH {_HALVES}, k AS (SELECT id, avg(d) AS score FROM (SELECT p.id, list_distance(p.x, q.x) AS d, row_number() OVER (PARTITION BY p.id ORDER BY list_distance(p.x, q.x), q.id) AS rn FROM a p, b q) WHERE rn <= 5 GROUP BY id)
