@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +41,37 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     fixes what a second evaluation could deal out in another way.
     """
     spark = df.sparkSession
-    path = path or os.path.join(scratch_dir(spark), f"winnow-{uuid.uuid4().hex}")
+    if path is None:
+        path = os.path.join(scratch_dir(spark), f"winnow-{uuid.uuid4().hex}")
+        for made in _SCOPES:
+            made.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """At its end, tables that :func:`materialise` made inside without a path are removed; what is lazy must be written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.pop():
+            _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a frame that :func:`materialise` returned."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _remove(df.sparkSession, folder)
 
 
 def small(df: DataFrame, most: int = 20_000) -> DataFrame:

@@ -200,12 +200,26 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int,
     return out
 
 
+def _sizes(a: str, b: str, similar: tuple[int, int]) -> Column:
+    p, q = similar
+    n = lambda x: F.col(f"{x}.n")
+    return F.lit(q) * F.least(n(a), n(b)) >= F.lit(p) * F.greatest(n(a), n(b))
+
+
 def _may(a: str, b: str, similar: tuple[int, int]) -> Column:
     """Whether two texts with a shingle in common, of sizes n and with it at places pos, can be similar enough if it is their first."""
-    p, q = similar
     n, pos = lambda x: F.col(f"{x}.n"), lambda x: F.col(f"{x}.pos")
-    sizes = F.lit(q) * F.least(n(a), n(b)) >= F.lit(p) * F.greatest(n(a), n(b))
-    return sizes & _enough(F.least(n(a) - pos(a), n(b) - pos(b)), n(a), n(b), similar)
+    return _sizes(a, b, similar) & _enough(F.least(n(a) - pos(a), n(b) - pos(b)), n(a), n(b), similar)
+
+
+def _many(shared: Column, a: Column, b: Column, similar: tuple[int, int]) -> Column:
+    """Whether texts of ``a`` and ``b`` shingles can be similar enough, if ``shared`` of those that they are compared by are common.
+
+    What one of them has past these comes to ceil(0.8 n) - 1 at most; up to where the first of both lists ends, every common shingle is in both.
+    """
+    p, q = similar
+    past = F.ceil(F.lit(p) * F.greatest(a, b) / F.lit(q)) - 1
+    return _enough(shared + past, a, b, similar)
 
 
 def near_copy_groups(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -233,8 +247,10 @@ def near_copy_groups(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, i
     mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
     some = rows.join(mixed, "h", "left_semi")
     a, b = some.select("h", F.col("d").alias("x"), F.col("c").alias("x_c")), some.select("h", F.col("d").alias("y"), F.col("c").alias("y_c"))
-    across = a.join(b, (a.h == b.h) & (F.col("x.t") < F.col("y.t")) & (F.col("x_c") != F.col("y_c")) & _may("x", "y", similar))
-    rest = verified(materialise(across.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()), texts, size, similar)
+    met = a.join(b, (a.h == b.h) & (F.col("x.t") < F.col("y.t")) & (F.col("x_c") != F.col("y_c")) & _sizes("x", "y", similar))
+    n = lambda c: F.min(f"{c}.n").alias(f"{c}_n")
+    met = met.groupBy(F.col("x.t").alias("a"), F.col("y.t").alias("b")).agg(n("x"), n("y"), F.count("*").alias("shared"), F.max(_may("x", "y", similar)).alias("may"))
+    rest = verified(materialise(met.where(F.col("may") & _many(F.col("shared"), F.col("x_n"), F.col("y_n"), similar)).select("a", "b")), texts, size, similar)
     comps = connected_components(first.unionByName(rest))
     for done in (shared, places, rows):
         discard(done)

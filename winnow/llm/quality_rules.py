@@ -17,6 +17,8 @@ input other than id, text and language are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,6 +106,23 @@ def measures(texts: pa.StringArray, groups: np.ndarray, table: charlm.SortedTabl
     return pa.StructArray.from_arrays([pa.array(c.astype(np.float64 if f.name == "ll" else np.int64)) for c, f in zip(columns, KIND)], KIND.names)
 
 
+@F.arrow_udf(T.StructType(KIND.fields[: len(FIELDS)]))
+def base_measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The base counts of texts."""
+    for texts in batches:
+        found = []
+        for part in slices(texts):
+            words, off = words_of(part)
+            found.append(base_counts(part, encoded(words)[1], off))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * len(FIELDS)
+        yield pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], list(FIELDS))
+
+
+def base_failed() -> Column:
+    """Too few words, or too many in windows that recur."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def window_values(rows: DataFrame, group: str, text: str) -> DataFrame:
     """(g, gram, value): the log probability of every window of all texts, under the model of all texts of its group."""
     counts = charlm.window_counts(rows, group, text, ORDER)
@@ -126,11 +145,28 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         reach = reach * (q[1] - q[0])
         out = out.withColumns({f"{kind}_low": q[0] - F.lit(low) * reach, f"{kind}_high": q[1] + F.lit(high) * reach})
         fine = fine & (value >= F.col(f"{kind}_low")) & (value <= F.col(f"{kind}_high"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.drop(*bands).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(False)))
+    return out.drop(*bands).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(False)))
 
 
 def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts of all documents."""
     out = judge(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), *FIELDS, "base_failed", "kept")
+
+
+def quality_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of all documents, without the model."""
+    counts = table(spark, sf_dir, "documents").select("doc_id", base_measures("text").alias("m")).select("doc_id", "m.*")
+    return counts.withColumn("base_failed", base_failed())
+
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS c FROM k) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM t, (SELECT unnest(range(8)) AS o) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+"""

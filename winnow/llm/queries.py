@@ -15,9 +15,16 @@ QUERIES = {
     "op8_token_rollup": token_counts.op8_token_rollup,
     "op9_license_spans": licenses.op9_license_spans,
     "op10_perplexity": quality_rules.op10_perplexity,
+    # what SQL can express of operators with a learned part
+    "url_rules": url_filter.url_rules,
+    "license_bases": licenses.license_bases,
+    "quality_bases": quality_rules.quality_bases,
 }
 
 SQL = {
     "op1_feistel_shards": sharding.OP1_SQL,
     "op7_fair_mix": mixing.OP7_SQL,
+    "url_rules": url_filter.URL_SQL,
+    "license_bases": licenses.LICENSE_SQL,
+    "quality_bases": quality_rules.QUALITY_SQL,
 }
