@@ -173,6 +173,33 @@ def test_pipeline_stage_by_stage(spark, corpus):
     assert corpus_pipeline.run(spark, path).count() == len(ids["shards"])
 
 
+def test_stages_stand_nulls_repeats_clashing_names_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(40)] + [(None, None, None)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None), (1, ""), (2, prose(777, 40))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents(spark, extra=True)
+    own = docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(prose(4321, 50))})
+    docs = materialise(docs.unionByName(own))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0
+        out = materialise(stage(spark, docs, str(tmp_path)))
+        assert out.columns[: len(docs.columns)] == docs.columns if k < 4 else {"shard", "slot"} <= set(out.columns)
+        docs = out if k < 3 else docs
+    # of two rows without an id one is a near copy of document 9; texts without words are one group
+    assert docs.where("doc_id is null").count() == 1 and docs.where("text is null or not text rlike '[a-z]'").count() == 1
+    assert docs.where("doc_id = 105").count() <= 1
+
+
+def test_counts_stand_clashing_names_and_repeated_rows(spark):
+    from winnow.llm import quality_rules
+
+    docs = documents(spark, extra=True).withColumns({c: F.lit(1) for c in ("g", "m", "symbol", "low", "kept")})
+    got = quality_rules.judge(docs.drop("id")).collect()
+    assert len(got) == docs.count() and sum(r["id"] == 105 for r in got) == 2
+    mixed = __import__("winnow.llm.mixing", fromlist=["x"]).weighted_fair_mix(docs.withColumns({"Target": F.lit("own"), "size": F.lit(3)}).drop("target"), "doc_id", "source", "size")
+    assert mixed.columns.count("target") == 1 and mixed.select("target").dtypes[0][1] == "double"
+
+
 def test_every_operator_has_a_query():
     assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11))
     assert set(SQL) <= set(QUERIES)

@@ -92,7 +92,8 @@ def weighted_fair_mix(df: DataFrame, id_col: str, source_col: str, size_col: str
         return ((F.col("words") > 0) & (ahead | same)).cast("long")
 
     copies = reduce(lambda x, y: x + y, (taken(e) for e in range(epochs)))
-    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in outputs]
+    named = {c.lower() for c in outputs}
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c.lower() not in named]
     return rows.select(*kept, F.col("source_size").alias(outputs[0]), F.col("target").alias(outputs[1]), copies.alias(outputs[2]))
 
 

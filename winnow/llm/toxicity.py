@@ -13,8 +13,7 @@ The counts take all labelled rows of the learning folds but one; the curve takes
 one, ``MAX_LABELLED`` of its rows at most (by a hash of the id). Scores cover every document
 and its whole text.
 
-Nulls: a null or empty text has all features 0 and gets the score of an unremarkable
-text; labels with a null id or null label are ignored; a document id with several
+Nulls: a null or empty text, and one without words, scores 0; labels with a null id or null label are ignored; a document id with several
 labels counts as toxic if one of them is. Repeated rows score alike. Without labels
 of both classes every score is 0. Empty input gives no rows.
 """
@@ -128,7 +127,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, score: str = "score") ->
     z = F.lit(float(w[-1]))
     for i in range(len(w) - 1):
         z = z + F.lit(float(w[i])) * F.col(x)[i]
-    return numbers(docs).withColumn(score, 1 / (1 + F.exp(-z))).drop(x)
+    no_words = F.col(x)[1 + len(STRONG)] == 0
+    return numbers(docs).withColumn(score, F.when(no_words, 0.0).otherwise(1 / (1 + F.exp(-z)))).drop(x)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
