@@ -30,6 +30,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.StringArray]
     edges = np.flatnonzero(np.diff(group, prepend=-1)).tolist() + [len(sizes)]
     for a, b in zip(edges, edges[1:]):
         yield plain(texts.slice(a, b - a))
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def offsets_of(texts: pa.StringArray) -> np.ndarray:

@@ -36,7 +36,7 @@ BROADCAST_ROWS = 4_000_000  # 48 MB of hashes and values
 CHUNK_BYTES = 32 << 20
 SLICE = 1 << 20  # bytes of text handled at a time, if texts aren't longer
 BLOCK = 1 << 20  # symbols hashed at a time, whatever the length of a text
-HELD = 1 << 21  # windows that a counting task holds before it adds up equal ones; if over half are left, it hands them on
+HELD = 1 << 20  # windows that a counting task holds before it adds up equal ones; if over three quarters are left, it hands them on
 _P, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -138,7 +138,7 @@ def _windows(part: pa.StringArray, groups: np.ndarray, order: int, fold: bool) -
         for j in range(order):
             on = size > j
             codes[on, j] = s[begin + at[on] - size[on] + 1 + j]
-        yield keys, n.astype(np.int64), groups[np.searchsorted(edge, begin + at, "right") - 1], codes
+        yield keys, n.astype(np.int64), groups[np.searchsorted(edge, begin + at, "right") - 1].astype(np.int32), codes
 
 
 def window_counts(df: DataFrame, group: str, text: str, order: int, fold: bool = False) -> DataFrame:
@@ -163,7 +163,7 @@ def window_counts(df: DataFrame, group: str, text: str, order: int, fold: bool =
                     if size > HELD:
                         held = [_merged(held)]
                         size = len(held[0][0])
-                        if size > HELD // 2:
+                        if 4 * size > 3 * HELD:
                             yield rows(held)
                             held, size = [], 0
         if held:

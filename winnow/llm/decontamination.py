@@ -260,7 +260,7 @@ def hits_udf(index):
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([(f, pa.int64()) for f in ("item_id", "start", "end", "edits")]))
         for texts in batches:
-            rows = [h for part in slices(texts, 2 << 20) for h in find(index.value, part)]
+            rows = [h for part in slices(texts, 1 << 20) for h in find(index.value, part)]
             yield pa.array([[dict(zip(("item_id", "start", "end", "edits"), x)) for x in h] for h in rows], kind)
 
     return hits
