@@ -247,10 +247,14 @@ def near_copy_groups(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, i
     mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
     some = rows.join(mixed, "h", "left_semi")
     a, b = some.select("h", F.col("d").alias("x"), F.col("c").alias("x_c")), some.select("h", F.col("d").alias("y"), F.col("c").alias("y_c"))
-    met = a.join(b, (a.h == b.h) & (F.col("x.t") < F.col("y.t")) & (F.col("x_c") != F.col("y_c")) & _sizes("x", "y", similar))
-    n = lambda c: F.min(f"{c}.n").alias(f"{c}_n")
-    met = met.groupBy(F.col("x.t").alias("a"), F.col("y.t").alias("b")).agg(n("x"), n("y"), F.count("*").alias("shared"), F.max(_may("x", "y", similar)).alias("may"))
-    rest = verified(materialise(met.where(F.col("may") & _many(F.col("shared"), F.col("x_n"), F.col("y_n"), similar)).select("a", "b")), texts, size, similar)
+    across = a.join(b, (a.h == b.h) & (F.col("x.t") < F.col("y.t")) & (F.col("x_c") != F.col("y_c")) & _may("x", "y", similar))
+    met = across.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()
+    # how many of the shingles that they are compared by do both have
+    lists = materialise(some.groupBy(F.col("d.t").alias("t")).agg(F.first("d.n").alias("n"), F.collect_list("h").alias("hs")))
+    met = met.join(lists.toDF("a", "x_n", "x_hs"), "a").join(lists.toDF("b", "y_n", "y_hs"), "b")
+    common_to_both = F.size(F.array_intersect("x_hs", "y_hs"))
+    rest = verified(materialise(met.where(_many(common_to_both, F.col("x_n"), F.col("y_n"), similar)).select("a", "b")), texts, size, similar)
+    discard(lists)
     comps = connected_components(first.unionByName(rest))
     for done in (shared, places, rows):
         discard(done)
