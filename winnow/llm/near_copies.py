@@ -1,19 +1,10 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 4/5 or more.
-
-The join is exact. In any fixed order of all shingles, two texts that are similar
-enough share a shingle among the first ``n - ceil(0.8 n) + 1`` of each (n: shingles of
-the text), so texts meet on these only; pairs whose sizes or places in the order rule
-the similarity out are left out, and the others are verified on the whole sets. Shingles
-that a sample of the texts has often come last in the order. The sample decides what
-the join costs, not what it finds.
-
-Most of these shingles stand in one text only. A first pass finds those that do not (a
-shuffle of hashes), a second one takes only these along. Texts are first compared with one
-leader of each shingle, the one that meets most others; the components of these links leave only
-pairs of different components for the join of all.
-
-Words are split at space and \\x09-\\x0D, A-Z lower-cased. A text of fewer words than a
-shingle is one shingle; texts without words are copies of each other.
+"""Shingle sets of texts and what the joins on them share: hashes, the order of shingles, filters.
+
+Words are split at space and \x09-\x0D, A-Z lower-cased. A text of fewer words than a
+shingle is one shingle. Two texts are similar by the Jaccard similarity of their sets of shingles. In
+any fixed order of all shingles, two texts of similarity p/q share a shingle among the first
+``n - ceil(n p / q) + 1`` of each (n: shingles of the text), its prefix. Shingles that a sample of the texts has
+often come last in the order. The sample decides what a join costs, not what it finds.
 """
 
 from __future__ import annotations
@@ -29,7 +20,6 @@ from pyspark.sql import types as T
 from winnow.llm._common import discard, materialise
 from winnow.llm._text import LOWER, data_of, encoded, offsets_of, slices, translated, words_of
 from winnow.llm.charlm import _C, _P, _mix
-from winnow.llm.components import connected_components
 
 SHINGLE = 5
 SIMILAR = (4, 5)
@@ -96,10 +86,18 @@ def whole_sets(size: int):
     return sets
 
 
-def prefixes(texts: DataFrame, size: int, similar: tuple[int, int], common, shared=None) -> DataFrame:
-    """(t, n, pos, h) from (t, text): a text's n shingles, and those by which it meets others, by place.
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``values``; an empty run has 0."""
+    out, full = np.zeros(len(sizes), np.uint64), sizes > 0
+    if len(values):
+        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full])
+    return out
+
 
-    ``shared``: a broadcast of bits by slot (see :func:`slots_of`); shingles whose slot isn't set are left out.
+def signatures(texts: DataFrame, size: int, similar: tuple[int, int], common) -> DataFrame:
+    """(t, n, s, g, prefix) from (t, text): a text's number of shingles, hashes of the whole set and of size and prefix, and the prefix in order.
+
+    A row for each text, but for copies side by side. This is the one pass that shingles all texts.
     """
     p, q = similar
 
@@ -118,16 +116,13 @@ def prefixes(texts: DataFrame, size: int, similar: tuple[int, int], common, shar
                     h = np.where(known[k] == h, LAST + rank[k], h)
                 h, doc, n = distinct_sorted(h, doc, len(part))
                 length = np.where(n > 0, n - -(-p * n // q) + 1, 0)
-                pos = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
-                keep = pos < length[doc]
-                if shared is not None:
-                    slot = (h % np.uint64(SLOTS)).astype(np.int64)
-                    keep &= (shared.value[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
-                doc = doc[keep]
-                columns = [t[doc], n[doc].astype(np.int32), pos[keep].astype(np.int32), h[keep].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["t", "n", "pos", "h"])
+                whole = _mix(_sums(_mix(h * _C + _P), n) + n.astype(np.uint64) * _C)
+                keep = np.arange(len(h)) - (np.cumsum(n) - n)[doc] < length[doc]
+                group = _mix(_sums(_mix(h[keep] * _P + _C), length) + n.astype(np.uint64) * _P)
+                columns = [pa.array(t), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(group.view(np.int64)), _lists(h[keep], length)]
+                yield pa.RecordBatch.from_arrays(columns, ["t", "n", "s", "g", "prefix"])
 
-    return texts.select("t", "text").mapInArrow(found, "t long, n int, pos int, h long")
+    return texts.select("t", "text").mapInArrow(found, "t long, n int, s long, g long, prefix array<long>")
 
 
 def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -154,49 +149,31 @@ def slots_of(values: DataFrame):
     return values.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
 
-def among(ids: DataFrame):
-    """A UDF that is true of all numbers in ``ids`` (t) and of few others."""
-    sent = slots_of(ids.select(F.col("t").alias("v")))
+def in_slots(sent):
+    """A UDF that is true of all numbers whose slots :func:`slots_of` has sent and of few others."""
 
     @F.arrow_udf(T.BooleanType())
     def member(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for t in batches:
-            at = np.asarray(t).astype(np.int64) % SLOTS
+        for v in batches:
+            at = np.asarray(v).astype(np.int64) % SLOTS
             yield pa.array((sent.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
 
     return member
 
 
-def similar_texts(size: int, similar: tuple[int, int]):
-    """A UDF from two texts to whether they are similar enough."""
-    p, q = similar
-
-    @F.arrow_udf(T.BooleanType())
-    def enough(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            out, at = [], 0
-            for part in slices(a, 1 << 18):
-                other = list(slices(b.slice(at, len(part)), 1 << 30))
-                at += len(part)
-                x, x_of, x_n = distinct_sorted(*shingles(part, size), len(part))
-                y, y_of, y_n = distinct_sorted(*shingles(pa.concat_arrays(other), size), len(part))
-                key = np.concatenate([_mix(x + x_of.astype(np.uint64) * _C), _mix(y + y_of.astype(np.uint64) * _C)])
-                by = np.argsort(key, kind="stable")
-                twice = np.flatnonzero(key[by][1:] == key[by][:-1])
-                shared = np.bincount(np.concatenate([x_of, y_of])[by[twice]], minlength=len(part))
-                out.append(pa.array((p + q) * shared >= p * (x_n + y_n)))
-            yield pa.concat_arrays(out) if out else pa.array([], pa.bool_())
-
-    return enough
+def among(ids: DataFrame):
+    """A UDF that is true of all numbers in ``ids`` (t) and of few others."""
+    return in_slots(slots_of(ids.select(F.col("t").alias("v"))))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b), written, whose ``texts`` (t, text) are similar enough."""
+    """Those of ``pairs`` (a, b), written, whose ``texts`` (t, text) are similar enough, by their whole sets. Texts of no pair aren't shingled."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
     some = texts.where(among(wanted)("t")).groupBy("t").agg(F.first("text").alias("text"))
-    both = pairs.join(some.select(F.col("t").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("t").alias("b"), F.col("text").alias("y")), "b")
-    out = materialise(both.where(similar_texts(size, similar)("x", "y")).select("a", "b"))
-    discard(pairs)
+    sets = materialise(some.select("t", whole_sets(size)("text").alias("x")))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    out = materialise(both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), similar)).select("a", "b"))
+    discard(sets)
     return out
 
 
@@ -220,42 +197,3 @@ def _many(shared: Column, a: Column, b: Column, similar: tuple[int, int]) -> Col
     p, q = similar
     past = F.ceil(F.lit(p) * F.greatest(a, b) / F.lit(q)) - 1
     return _enough(shared + past, a, b, similar)
-
-
-def near_copy_groups(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(key, group long) for each row of ``docs`` (key, text): rows linked by similar texts have one group.
-
-    A null or empty text, and one without words, is a copy of the others of that kind. Repeated rows
-    come out as often as they went in; empty input gives no rows.
-    """
-    text = F.coalesce("text", F.lit(""))
-    named = docs.select("key", "text", F.when(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(0)).otherwise(F.xxhash64(text)).alias("t"))
-    texts = named.select("t", "text")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
-    seen = prefixes(texts, size, similar, common).groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high"))
-    shared = materialise(seen.where("low != high").select("h"))
-    places = prefixes(texts, size, similar, common, slots_of(shared.select(F.col("h").alias("v"))))
-    places = materialise(places.distinct().join(shared, "h", "left_semi").select("h", F.struct("t", "n", "pos").alias("d")))
-    meets = places.join(places.groupBy("h").agg(F.count("*").alias("rows")), "h").groupBy(F.col("d.t").alias("t")).agg(F.sum("rows").alias("meets"))
-    ranked = places.join(meets, F.col("d.t") == F.col("t")).select("h", F.struct("meets", "d").alias("m"))
-    leaders = ranked.groupBy("h").agg(F.max("m").alias("m")).select("h", F.col("m.d").alias("leader"))
-    led = places.join(leaders, "h").where((F.col("d.t") != F.col("leader.t")) & _may("d", "leader", similar))
-    first = verified(materialise(led.select(F.col("leader.t").alias("a"), F.col("d.t").alias("b")).distinct()), texts, size, similar)
-    comps = connected_components(first)
-    rows = places.select("h", "d", F.col("d.t").alias("t")).join(comps.withColumnRenamed("node", "t"), "t", "left").select("h", "d", F.coalesce("component", "t").alias("c"))
-    rows = materialise(rows)
-    mixed = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
-    some = rows.join(mixed, "h", "left_semi")
-    a, b = some.select("h", F.col("d").alias("x"), F.col("c").alias("x_c")), some.select("h", F.col("d").alias("y"), F.col("c").alias("y_c"))
-    across = a.join(b, (a.h == b.h) & (F.col("x.t") < F.col("y.t")) & (F.col("x_c") != F.col("y_c")) & _may("x", "y", similar))
-    met = across.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()
-    # how many of the shingles that they are compared by do both have
-    lists = materialise(some.groupBy(F.col("d.t").alias("t")).agg(F.first("d.n").alias("n"), F.collect_list("h").alias("hs")))
-    met = met.join(lists.toDF("a", "x_n", "x_hs"), "a").join(lists.toDF("b", "y_n", "y_hs"), "b")
-    common_to_both = F.size(F.array_intersect("x_hs", "y_hs"))
-    rest = verified(materialise(met.where(_many(common_to_both, F.col("x_n"), F.col("y_n"), similar)).select("a", "b")), texts, size, similar)
-    discard(lists)
-    comps = connected_components(first.unionByName(rest))
-    for done in (shared, places, rows):
-        discard(done)
-    return named.select("key", "t").join(comps.withColumnRenamed("node", "t"), "t", "left").select("key", F.coalesce("component", "t").alias("group"))

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from winnow.llm._common import fresh, join_by_key, materialise, row_hash, table
 from winnow.llm._text import LOWER, data_of, offsets_of, slices
 from winnow.llm.components import connected_components
-from winnow.llm.near_copies import near_copy_groups
+from winnow.llm.jaccard_join import near_copy_groups
 
 SHINGLE = 3
 BITS = 2
@@ -137,7 +137,7 @@ def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS,
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies of ``docs`` (doc_id, text), see :mod:`near_copies`: the one with the smallest doc_id, null last, then text hash, then the hash of all its columns; columns as before.
+    """One row of each group of near copies of ``docs`` (doc_id, text), see :mod:`jaccard_join`: the one with the smallest doc_id, null last, then text hash, then the hash of all its columns; columns as before.
 
     Of rows that are equal in all columns one stays.
     """
