@@ -4,7 +4,8 @@ One pass shingles the texts. Texts with the same set are one node. Nodes with th
 size are one group, and a group takes part in the join as one row for each shingle of its prefix that another
 group has, too. Groups that meet on a shingle are filtered by what all members have in common: their size, the
 places of the shingle in both prefixes, and how many shingles of the prefixes both have. Pairs of groups that
-are left are expanded to their members, whose whole sets are compared. No filter loses a similar pair.
+are left are expanded to their members. A member has a signature of parities, in which two sets differ in as many bits
+at most as they have shingles apart; what that leaves is compared on the whole sets. No filter loses a similar pair.
 
 What is asked for are the classes that links make, so pairs inside one class need not be looked at. Rounds
 come first that cost one pair a row: in each shingle's list, and in each group, one member is compared
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm._common import discard, materialise, table
 from winnow.llm.components import connected_components
-from winnow.llm.near_copies import SHINGLE, SIMILAR, _many, _may, common_shingles, in_slots, signatures, slots_of, verified
+from winnow.llm.near_copies import SHINGLE, SIMILAR, _many, _may, close, common_shingles, in_slots, signatures, slots_of, verified
 
 ROUNDS = 8  # at most, of one pair a row
 WORTH = 4  # rounds go on while lists hold more than so many pairs a row
@@ -85,11 +86,11 @@ def _left_over(rows: DataFrame, members: DataFrame, similar: tuple[int, int]) ->
 
 
 def node_classes(sets: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """(s, node) of all sets (t, n, s, g, prefix), and (node, component) of the nodes that links join to others.
+    """(s, node) of all sets (t, n, s, g, bits, prefix), and (node, component) of the nodes that links join to others.
 
     A node is named by the smallest t of its set.
     """
-    nodes = materialise(sets.where("n > 0").groupBy("s").agg(F.min("t").alias("node"), F.first("n").alias("n"), F.first("g").alias("g")))
+    nodes = materialise(sets.where("n > 0").groupBy("s").agg(F.min("t").alias("node"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits")))
     groups = materialise(nodes.groupBy("g").agg(F.min("node").alias("rep"), (F.count("*") > 1).alias("many")))
     prefix = sets.select("g", "n", F.posexplode("prefix").alias("pos", "h"))
     shared = prefix.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("h")
@@ -98,20 +99,21 @@ def node_classes(sets: DataFrame, texts: DataFrame, size: int, similar: tuple[in
     places = prefix.where(held("h")).distinct().join(shared, "h", "left_semi")
     places = materialise(places.join(groups, "g").select("h", "rep", "n", "pos"))
     live = places.select("rep").unionByName(groups.where("many").select("rep")).distinct()
-    members = materialise(nodes.join(groups, "g").join(live, "rep", "left_semi").select("node", "rep"))
+    members = materialise(nodes.join(groups, "g").join(live, "rep", "left_semi").select("node", "rep", "n", "bits"))
     classes, pairs, total = None, None, places.count()
     for at in range(ROUNDS + 1):
-        labelled = materialise(_labelled(members, classes))
+        labelled = materialise(_labelled(members.select("node", "rep"), classes))
         spread = labelled.groupBy("rep").agg(F.min("c").alias("low"), F.max("c").alias("high"))
         rows = materialise(places.join(spread, "rep").select("h", F.struct("rep", "n", "pos", "low", "high").alias("d")))
         before, pairs = pairs, _cross_pairs(rows)
         last = at == ROUNDS or pairs <= WORTH * total or before is not None and pairs > GAIN * before
         last = last and at > 0
-        todo = _left_over(rows, labelled, similar) if last else materialise(_stars(rows, at, similar).unionByName(_inside(labelled, at)).distinct())
+        met = _left_over(rows, labelled, similar) if last else materialise(_stars(rows, at, similar).unionByName(_inside(labelled, at)).distinct())
+        todo = materialise(close(met, members, similar))
         links = verified(todo, texts, size, similar)
         known = links if classes is None else links.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
         after = connected_components(known)
-        for done in (labelled, rows, todo, links, *([classes] if classes is not None else [])):
+        for done in (labelled, rows, met, todo, links, *([classes] if classes is not None else [])):
             discard(done)
         classes = after
         if last:

@@ -27,6 +27,7 @@ SAMPLE = 16  # one text in so many is looked at for common shingles
 COMMON = 200_000
 SLOTS = 1 << 24
 LAST = np.uint64(1 << 63)
+BITS = 512  # of a parity signature
 
 
 def word_hashes(words: pa.StringArray) -> np.ndarray:
@@ -94,8 +95,18 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(h: np.ndarray, doc: np.ndarray, docs: int) -> pa.ListArray:
+    """For each text ``BITS`` bits: whether an odd number of its shingles falls on each.
+
+    A shingle that only one of two texts has flips one bit, so two signatures differ in as many bits at most as the sets have shingles apart.
+    """
+    at = doc * BITS + (h % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(at, minlength=docs * BITS) & 1).astype(bool)
+    return _lists(np.packbits(odd.reshape(docs, BITS), axis=1).reshape(-1).view(np.uint64), np.full(docs, BITS // 64))
+
+
 def signatures(texts: DataFrame, size: int, similar: tuple[int, int], common) -> DataFrame:
-    """(t, n, s, g, prefix) from (t, text): a text's number of shingles, hashes of the whole set and of size and prefix, and the prefix in order.
+    """(t, n, s, g, bits, prefix) from (t, text): a text's number of shingles, hashes of the whole set and of size and prefix, parities of the set, and the prefix in order.
 
     A row for each text, but for copies side by side. This is the one pass that shingles all texts.
     """
@@ -119,10 +130,10 @@ def signatures(texts: DataFrame, size: int, similar: tuple[int, int], common) ->
                 whole = _mix(_sums(_mix(h * _C + _P), n) + n.astype(np.uint64) * _C)
                 keep = np.arange(len(h)) - (np.cumsum(n) - n)[doc] < length[doc]
                 group = _mix(_sums(_mix(h[keep] * _P + _C), length) + n.astype(np.uint64) * _P)
-                columns = [pa.array(t), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(group.view(np.int64)), _lists(h[keep], length)]
-                yield pa.RecordBatch.from_arrays(columns, ["t", "n", "s", "g", "prefix"])
+                columns = [pa.array(t), pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(group.view(np.int64)), parities(h, doc, len(part)), _lists(h[keep], length)]
+                yield pa.RecordBatch.from_arrays(columns, ["t", "n", "s", "g", "bits", "prefix"])
 
-    return texts.select("t", "text").mapInArrow(found, "t long, n int, s long, g long, prefix array<long>")
+    return texts.select("t", "text").mapInArrow(found, "t long, n int, s long, g long, bits array<long>, prefix array<long>")
 
 
 def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -166,6 +177,15 @@ def among(ids: DataFrame):
     return in_slots(slots_of(ids.select(F.col("t").alias("v"))))
 
 
+def close(pairs: DataFrame, nodes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (a, b) that sizes and parities of ``nodes`` (node, n, bits) leave: bits that differ are shingles that are not shared."""
+    p, q = similar
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("a_n") + F.col("b_n")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(F.lit(p + q) * (both - apart) >= F.lit(2 * p) * both).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` (a, b), written, whose ``texts`` (t, text) are similar enough, by their whole sets. Texts of no pair aren't shingled."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
