@@ -1,11 +1,22 @@
-"""Column expressions over array<double> vectors."""
+"""Column expressions over array<double> vectors, and the same vectors as arrays inside tasks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length, a row each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -88,7 +88,7 @@ class Pca:
     """Leading components of a reference set, from its covariance."""
 
     def __init__(self, reference: DataFrame, k: int = 50):
-        n, self.mean, cov = setmetrics.moments(reference)
+        n, self.mean, cov = setmetrics.covariance(reference)
         w, v = np.linalg.eigh(cov)
         k = min(k, len(w), n - 1)
         self.components = v[:, ::-1][:, :k]

@@ -1,10 +1,15 @@
 """Relations between two sets of vectors, reduced where they are computed.
 
-Every vector of the left set meets every one of the right set inside a task, which keeps
-sums, nearest neighbours or counts only; no pair leaves a task. A right set of ``BLOCK_BYTES`` at
-most is sent to all tasks. A larger one stays in Spark: both sets are dealt in blocks
-of about that size, and each pair of blocks is one group of a cogrouped job, so that
-neither set passes the driver or one task. Partial rows are merged by id.
+Vectors meet inside a task, which keeps sums, nearest neighbours or counts only; no pair
+leaves a task. A right set of ``BLOCK_BYTES`` at most is sent to all tasks. A larger one stays in Spark,
+in blocks of about that size, so that neither set passes the driver or one task. Partial rows are merged by id.
+
+Nearest neighbours and balls go by a metric index: right vectors are grouped around pivots, and a cell has
+a radius, so that the triangle inequality tells which cells a left vector can't have anything to do with. A left vector
+travels only to the blocks that are left, a right block only to the chunks of left vectors that need it. For
+neighbours a first round looks into the cell of the nearest pivot, and what it finds bounds how far the second has to look.
+Results are exact whatever the pivots; vectors without clusters make every cell near, and then all pairs are compared.
+Kernel means need all pairs and stay a nested loop of blocks, but see :mod:`moments`.
 
 Both sets are (id, x array<double>); ids are not null and not repeated, rows with a null vector
 are left out. An empty set gives no rows.
@@ -13,13 +18,21 @@ are left out. An empty set gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.functions.order import seeded
+from winnow.functions.vectors import matrix
+from winnow.operators import moments
+from winnow.sources.scratch import written
+
 BLOCK_BYTES = 32 << 20
+PIVOTS = 1024  # at most; their vectors take a block's bytes at most
+SAMPLE = 4  # times as many vectors come to the driver for pivots to be chosen from
 CELLS = 1 << 21  # of a distance or kernel matrix at a time
 
 
@@ -28,14 +41,6 @@ def vectors(df: DataFrame, key: str, embedding: str, *more: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x"), *more).where("x is not null")
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if not len(column):
-        return np.zeros((0, 0))
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
-
-
 def _block(t: pa.Table, columns: list[str]) -> dict:
     """A table as arrays, in the order of its ids."""
     t = t.sort_by("id")
@@ -126,7 +131,9 @@ def kernel_matrix(a: np.ndarray, b: np.ndarray, name: str = "poly", degree: int
 
 
 def kernel_means(left: DataFrame, right: DataFrame, name: str = "poly", degree: int = 3, sigma: float | None = None, skip_same: bool = False) -> DataFrame:
-    """(id, mean): the mean kernel value of each left vector over the right set, or over the others by id if ``skip_same``."""
+    """(id, mean): the mean kernel value of each left vector over the right set, or over the others by id if ``skip_same``. Polynomial kernels go by moments where these fit."""
+    if name == "poly" and not skip_same and moments.fits(width := moments.width_of(right), degree):
+        return moments.kernel_means(left, right, width, degree)
     sums = kernel_sums(left, right, name, degree, sigma)
     s, n = (F.col("s") - F.col("own"), F.col("n") - F.col("same")) if skip_same else (F.col("s"), F.col("n"))
     return sums.select("id", (s / F.nullif(n, F.lit(0))).alias("mean"))
@@ -149,6 +156,139 @@ def kernel_sums(left: DataFrame, right: DataFrame, name: str = "poly", degree: i
     return _empty(left, schema) if sums is None else sums.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("s", "n", "own", "same")))
 
 
+@dataclass
+class Cells:
+    """The right set around its pivots: a row a cell, and the blocks that a cell is split into."""
+
+    pivots: np.ndarray
+    count: np.ndarray
+    radius: np.ndarray  #: the farthest vector's distance from the pivot
+    reach: np.ndarray  #: the farthest point of its balls, where the set has balls
+    first: np.ndarray  #: the first block's number
+    parts: np.ndarray
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the distances of all rows to all pivots, from below and from above."""
+        d, slack = sq_distances(x, self.pivots)
+        return np.sqrt(np.maximum(d - 4 * slack[:, None], 0)) * (1 - 1e-12), np.sqrt(np.maximum(d, 0) + 4 * slack[:, None]) * (1 + 1e-12)
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        return np.where(self.count > 0, self.bounds(x)[1], np.inf).argmin(1)
+
+    def blocks(self, ids: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The block of each right vector."""
+        return self.first[cells] + (_spread(ids) % self.parts[cells].astype(np.uint64)).astype(np.int64)
+
+
+def _spread(ids: np.ndarray) -> np.ndarray:
+    x = ids.astype(np.int64).view(np.uint64) * np.array([0x9E3779B97F4A7C15], np.uint64)
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(3)
+
+
+def cells_of(right: DataFrame, blocks: int, radius: bool = False) -> Cells:
+    """Four pivots a block, the farthest from each other of a seeded sample; counts and radii take one pass. ``radius``: the vectors have balls."""
+    d = max(1, moments.width_of(right))
+    m = int(min(PIVOTS, max(2, BLOCK_BYTES // (8 * d)), max(16, 4 * blocks)))
+    sample = matrix(right.orderBy(seeded(0, "id"), "id").limit(SAMPLE * m).select("x").toArrow()["x"])
+    chosen, gap = [0], np.full(len(sample), np.inf)
+    while len(chosen) < min(m, len(sample)):
+        gap = np.minimum(gap, np.square(sample - sample[chosen[-1]]).sum(1))
+        if not gap.max() > 0:
+            break
+        chosen.append(int(gap.argmax()))
+    pivots = sample[chosen]
+    one = np.ones(len(pivots))
+    cells = Cells(pivots, one, one, one, one, one)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, far, reach = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+        for b in batches:
+            for at in range(0, b.num_rows, step := max(1, CELLS // len(pivots))):
+                part = b.slice(at, step)
+                x = matrix(part["x"])
+                if not len(x):
+                    continue
+                home = cells.homes(x)
+                gap = np.sqrt(_exact(x, pivots, np.arange(len(x)), home)) * (1 + 1e-12)
+                np.add.at(count, home, 1)
+                np.maximum.at(far, home, gap)
+                if radius:
+                    np.maximum.at(reach, home, gap + np.asarray(part["radius"]) * (1 + 1e-12))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(count), pa.array(far), pa.array(reach)], ["cell", "n", "far", "reach"])
+
+    # a row a cell
+    rows = right.mapInArrow(measure, "cell long, n long, far double, reach double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.max("reach").alias("reach")).orderBy("cell").toArrow()
+    count = np.asarray(rows["n"])
+    parts = np.maximum(1, -(-count * d * 8 // BLOCK_BYTES))
+    return Cells(pivots, count, np.asarray(rows["far"]), np.asarray(rows["reach"]), np.cumsum(parts) - parts, parts)
+
+
+def _needed(df: DataFrame, cells: Cells, own: list[str], needs: Callable) -> np.ndarray:
+    """How many left vectors need each block."""
+    blocks = int(cells.parts.sum())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(blocks, np.int64)
+        for b in batches:
+            for _, x, mine, _ in _parts(b, cells, own):
+                total += np.repeat(needs(cells, x, mine).sum(0), cells.parts)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["b", "n"])
+
+    found = df.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(blocks, np.int64)
+    out[np.asarray(found["b"])] = np.asarray(found["n"])
+    return out
+
+
+def _parts(b: pa.RecordBatch, cells: Cells, own: list[str]) -> Iterator[tuple]:
+    for at in range(0, b.num_rows, step := max(1, CELLS // len(cells.pivots))):
+        part = b.slice(at, step)
+        yield np.asarray(part["id"]), matrix(part["x"]), [np.asarray(part[c]) for c in own], part
+
+
+def _sent(rows: pa.RecordBatch, at: np.ndarray, b: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows ``at`` with the block and the chunk that they go to, some megabytes at a time."""
+    step = max(1, (8 << 20) // max(1, rows.nbytes // max(1, rows.num_rows)))
+    for i in range(0, len(at), step):
+        part = rows.take(pa.array(at[i : i + step]))
+        yield pa.RecordBatch.from_arrays([pa.array(b[i : i + step]), pa.array(c[i : i + step]), *part.columns], ["b", "c", *part.schema.names])
+
+
+def _meeting(left: DataFrame, right: DataFrame, cells: Cells, columns: list[str], own: list[str], schema: str, work: Callable, needs: Callable) -> DataFrame:
+    """``work`` for all left vectors and the right ones of the cells that ``needs`` says, a matrix of left rows by cells."""
+    left, right = left.select("id", "x", *own), right.select("id", "x", *columns)
+    rows = max(1, BLOCK_BYTES // (8 * max(1, cells.pivots.shape[1])))
+    chunks = -(-_needed(left, cells, own, needs) // rows)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, x, mine, part in _parts(batch, cells, own):
+                at, cell = np.nonzero(needs(cells, x, mine))
+                which = np.repeat(np.arange(len(at)), cells.parts[cell])  # all blocks of a cell
+                b = cells.first[cell][which] + np.arange(len(which)) - np.repeat(np.cumsum(cells.parts[cell]) - cells.parts[cell], cells.parts[cell])
+                c = (_spread(ids[at[which]]) % chunks[b].astype(np.uint64)).astype(np.int64)
+                yield from _sent(part, at[which], b, c)
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, x, _, part in _parts(batch, cells, []):
+                b = cells.blocks(ids, cells.homes(x))
+                at = np.repeat(np.arange(len(b)), chunks[b])
+                c = np.arange(len(at)) - np.repeat(np.cumsum(chunks[b]) - chunks[b], chunks[b])
+                yield from _sent(part, at, b[at], c)
+
+    kinds = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    a = left.mapInArrow(go, f"b long, c long, {kinds(left)}")
+    z = right.mapInArrow(stay, f"b long, c long, {kinds(right)}")
+
+    def pair(these: pa.Table, those: pa.Table) -> pa.Table:
+        block = _block(those, columns)
+        return pa.Table.from_batches([work(ids, x, mine, block) for ids, x, mine in _tiles(these, block, own)] if len(block["id"]) else [], work.schema)
+
+    return a.groupBy("b", "c").cogroup(z.groupBy("b", "c")).applyInArrow(pair, schema)
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, skip_same: bool = False) -> DataFrame:
     """(id, near): up to ``k`` nearest right vectors of each left one, as array of (d, other), nearest first, then by id."""
     kind = pa.list_(pa.struct([("d", pa.float64()), ("other", pa.int64())]))
@@ -171,12 +311,42 @@ def nearest(left: DataFrame, right: DataFrame, k: int = 1, skip_same: bool = Fal
         pairs = pa.StructArray.from_arrays([pa.array(exact[keep]), pa.array(block["id"][cols[keep]])], fields=list(kind.value_type))
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(off), pairs)], schema=work.schema)
 
-    found = _each(left, right, [], [], "id long, near array<struct<d:double,other:long>>", work)
-    if found is None:
-        return _empty(left, "id long, near array<struct<d:double,other:long>>")
+    schema = "id long, near array<struct<d:double,other:long>>"
+    blocks = _blocks_of(right)
+    if not blocks:
+        return _empty(left, schema)
+    found = _each(left, right, [], [], schema, work) if blocks == 1 else _near_cells(left, right, blocks, k, skip_same, schema, work)
     return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
+def _home(cells: Cells, x: np.ndarray, _) -> np.ndarray:
+    return np.arange(len(cells.pivots))[None, :] == cells.homes(x)[:, None]
+
+
+def _within_reach(k: int):
+    """Cells other than the home whose vectors can be among the ``k`` nearest: not farther than the k-th found, or than as many vectors are for certain."""
+
+    def needs(cells: Cells, x: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+        low, high = cells.bounds(x)
+        far = np.where(cells.count > 0, high + cells.radius, np.inf)
+        by = np.argsort(far, axis=1)
+        enough = (np.cumsum(cells.count[by], axis=1) >= k).argmax(1)
+        certain = np.take_along_axis(far, by, 1)[np.arange(len(x)), enough]
+        certain[cells.count.sum() < k] = np.inf
+        most = np.minimum(np.nan_to_num(own[0].astype(np.float64), nan=np.inf), certain) * (1 + 1e-9)
+        return (low - cells.radius <= most[:, None]) & (cells.count > 0) & ~_home(cells, x, None)
+
+    return needs
+
+
+def _near_cells(left: DataFrame, right: DataFrame, blocks: int, k: int, skip_same: bool, schema: str, work: Callable) -> DataFrame:
+    cells = cells_of(right, blocks)
+    first = written(_meeting(left, right, cells, [], [], schema, work, _home))
+    found = first.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near")).select("id", F.when(F.size("near") >= k, F.element_at("near", k)["d"]).alias("most"))
+    wide = left.select("id", "x").join(found, "id", "left")
+    return first.unionByName(_meeting(wide, right, cells, [], ["most"], schema, work, _within_reach(k + skip_same)))
+
+
 def radii(df: DataFrame, k: int = 5) -> DataFrame:
     """(id, x, radius): the distance of each vector to its k-th nearest other; k is n - 1 at most."""
     near = nearest(df, df, k, skip_same=True).where(F.size("near") > 0)
@@ -195,5 +365,17 @@ def inside_counts(left: DataFrame, right: DataFrame, radius_of: str = "left") ->
         inside[rows, cols] = np.sqrt(_exact(x, block["x"], rows, cols)) <= r[rows, cols]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(inside.sum(1))], schema=work.schema)
 
-    counts = _each(left, right, [] if radius_of == "left" else ["radius"], ["radius"] if radius_of == "left" else [], "id long, n long", work)
-    return _empty(left, "id long, n long") if counts is None else counts.groupBy("id").agg(F.sum("n").alias("n"))
+    def needs(cells: Cells, x: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+        low, _ = cells.bounds(x)
+        return (low <= (cells.radius + own[0][:, None] * (1 + 1e-9) if radius_of == "left" else cells.reach)) & (cells.count > 0)
+
+    columns, own, schema = [] if radius_of == "left" else ["radius"], ["radius"] if radius_of == "left" else [], "id long, n long"
+    blocks = _blocks_of(right)
+    if not blocks:
+        return _empty(left, schema)
+    if blocks == 1:
+        counts = _each(left, right, columns, own, schema, work)
+    else:
+        # a vector that no cell is near to has a row, too
+        counts = _meeting(left, right, cells_of(right, blocks, radius_of == "right"), columns, own, schema, work, needs).unionByName(left.select("id", F.lit(0).cast("long").alias("n")))
+    return counts.groupBy("id").agg(F.sum("n").alias("n"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from winnow.functions.order import seeded, uniform
 from winnow.sources.scratch import written
 
+SENT = 1_000_000  # drawn ids, at most, that go to all tasks
+
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
     """``n`` rows without replacement; all if there are fewer."""
@@ -77,10 +79,27 @@ def split_halves(df: DataFrame, cls: str, seed: int = 0, key: str = "id", least:
 
 
 def subset_draws(df: DataFrame, subsets: int, size: int, seed: int | str = 0, key: str = "id") -> DataFrame:
-    """``subsets`` independent draws of ``size`` rows, told apart by ``subset`` (from 0)."""
-    rows = df.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))))
-    want = df.sparkSession.range(subsets).select(F.col("id").cast("int").alias("_c"))
-    return _cutoffs(rows, "subset", want, seed, "subset", key).where(F.col("_at") <= size).select(*rows.columns)
+    """``subsets`` independent draws of ``size`` rows (all, if there are fewer), told apart by ``subset`` (from 0).
+
+    A draw is the first ``size`` ids in its own seeded order. Ids whose order key is past a threshold can't be among
+    them, so a task lets only some ``size`` ids of a subset through, and rows are joined to the ids that are drawn. A threshold
+    that was too low for a subset is raised.
+    """
+    ids, n = df.select(key), df.count()
+    orders = ids.withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1)))).withColumn("_h", seeded(seed, "subset", key))
+    share = min(1.0, (size + 8 * size**0.5 + 16) / max(1, n))
+    while True:
+        near = orders if share >= 1 else orders.where(F.col("_h") < f"{int(share * (1 << 52)):013x}")
+        near = written(near)
+        counts = near.groupBy("subset").agg(F.count("*").alias("n")).agg(F.count("*").alias("subsets"), F.min("n").alias("n")).first()
+        if share >= 1 or counts["subsets"] == subsets and counts["n"] >= size:
+            break
+        share = min(1.0, share * 2)
+    w = Window.partitionBy("subset").orderBy("_h", key)  # of about ``size`` rows
+    drawn = near.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= size).select("subset", key)
+    if subsets * size <= SENT:
+        drawn = F.broadcast(drawn)
+    return df.join(drawn, key)
 
 
 def head_per_class(df: DataFrame, cls: str, order: str, n: int) -> DataFrame:

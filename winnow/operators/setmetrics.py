@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.order import seeded
 from winnow.functions.vectors import dot, norm, unit
-from winnow.operators import pairs
+from winnow.operators import moments, pairs
 from winnow.operators.quantiles import lower_median, quantile
 from winnow.operators.sampling import sample_n, subset_draws
 from winnow.sources.scratch import written
@@ -29,7 +29,20 @@ def median_sigma(df: DataFrame, most: int = 2000, seed: int = 0) -> float:
 
 
 def mmd2(candidates: DataFrame, reference: DataFrame, **kernel) -> dict:
-    """mean k(S, S) + mean k(R, R) - 2 mean k(S, R): with the pairs of a vector with itself (biased) and without (unbiased)."""
+    """mean k(S, S) + mean k(R, R) - 2 mean k(S, R): with the pairs of a vector with itself (biased) and without (unbiased).
+
+    A polynomial kernel takes one pass a set (:mod:`moments`) where the dimension allows, any other all pairs.
+    """
+    degree = kernel.get("degree", 3)
+    width = moments.width_of(candidates) if kernel.get("name", "poly") == "poly" else 0
+    if moments.fits(width, degree):
+        s, r = moments.moments_of(candidates, width, degree), moments.moments_of(reference, width, degree)
+        if s is None or r is None:
+            return {"biased": float("nan"), "unbiased": float("nan")}
+        across = 2 * s.with_all(r, degree)
+        own = {id(x): x.with_all(x, degree) for x in (s, r)}
+        others = lambda x: (own[id(x)] * x.n**2 - x.own) / (x.n * (x.n - 1)) if x.n > 1 else float("nan")
+        return {"biased": own[id(s)] + own[id(r)] - across, "unbiased": others(s) + others(r) - across}
     total = {}
     for name, a, b in (("ss", candidates, candidates), ("rr", reference, reference), ("sr", candidates, reference)):
         total[name] = pairs.kernel_sums(a, b, **kernel).agg(*(F.sum(c).alias(c) for c in ("s", "n", "own", "same"))).first()
@@ -106,7 +119,7 @@ def copy_rate(reference: DataFrame, candidates: DataFrame, pct: float = 5) -> di
     return {"copy_rate": round(rate, 4), "tau": round(tau, 3), "pct": pct, "candidate_median": round(lower_median(theirs, "d"), 3), "reference_median": round(lower_median(own, "d"), 3), "reference_rows": nr, "candidate_rows": nf}
 
 
-def moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+def covariance(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and covariance (n - 1), from sums that every task adds up; the matrix has d x d numbers, whatever the rows."""
     first = df.select("x").first()
     if first is None:
@@ -137,7 +150,7 @@ def _root(s: np.ndarray) -> np.ndarray:
 
 def frechet_distance(reference: DataFrame, candidates: DataFrame, eps: float = 1e-6) -> float:
     """Between the normal distributions of both sets."""
-    (_, ma, a), (_, mb, b) = moments(reference), moments(candidates)
+    (_, ma, a), (_, mb, b) = covariance(reference), covariance(candidates)
     a, b = a + eps * np.eye(len(ma)), b + eps * np.eye(len(mb))
     root = _root(a)
     cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ b @ root), 0)).sum()
@@ -162,7 +175,7 @@ def vendi_score(df: DataFrame, kernel: str = "cosine", sigma: float | None = Non
     matrix is made for ``RBF_ROWS`` vectors at most, more are an error. ``sigma``: the median distance if not given.
     """
     if kernel == "cosine":
-        n, mean, cov = moments(df.select(unit(F.col("x")).alias("x")))
+        n, mean, cov = covariance(df.select(unit(F.col("x")).alias("x")))
         return {"vendi": _spread(np.linalg.eigvalsh(cov * (n - 1) / n + np.outer(mean, mean))) if n else float("nan"), "n": n}
     if kernel != "rbf":
         raise ValueError(f"unknown kernel: {kernel}")
