@@ -139,6 +139,15 @@ def kernel_means(left: DataFrame, right: DataFrame, name: str = "poly", degree:
     return sums.select("id", (s / F.nullif(n, F.lit(0))).alias("mean"))
 
 
+def mean_kernel(df: DataFrame, name: str = "poly", degree: int = 3, sigma: float | None = None) -> float:
+    """The mean kernel over all pairs of a set, each vector with itself among them; NaN of an empty set."""
+    if name == "poly" and moments.fits(width := moments.width_of(df), degree):
+        of = moments.moments_of(df, width, degree)
+        return of.with_all(of, degree) if of else float("nan")
+    r = kernel_sums(df, df, name, degree, sigma).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return r["s"] / r["n"] if r["n"] else float("nan")
+
+
 def kernel_sums(left: DataFrame, right: DataFrame, name: str = "poly", degree: int = 3, sigma: float | None = None) -> DataFrame:
     """(id, s, n, own, same): each left vector's kernel values over the right set, their number, and the sum and number of those of its own id."""
 

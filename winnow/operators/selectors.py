@@ -1,13 +1,17 @@
 """Greedy subset selectors over a distributed pool.
 
 A selector picks one row at a time, each pick depending on the ones before. The pool
-stays in its partitions. A round settles up to ``STEPS`` picks of every class with a few
-Spark jobs: the ``AHEAD`` best rows of each class come to the driver, which picks among them
-as if they were all; then every task repeats these picks over its own rows and names the
-best row of each step, and a step counts as long as all steps before it were guessed right.
-The first wrong guess is replaced by the row found. So picks are exact, a round settles one at
-least, and what travels does not grow with the pool. After a round the state is written.
-Scores are doubles and ties go to the smallest id.
+stays in Spark. A round settles up to ``STEPS`` picks of every class with a few jobs: the best rows of each
+class come to the driver, which picks among them as if they were all; then every task repeats these picks over
+its own rows and names the best row of each step, and a step counts as long as all steps before it
+were guessed right. The first wrong guess is replaced by the row found. So picks are exact and a
+round settles one at least. Scores are doubles and ties go to the smallest id.
+
+A pool is kept in tables that are dealt by id in the same way, so that they are joined without a shuffle:
+vectors and what never changes, written once; a few numbers a row, written anew in a round; and for a rule that keeps
+columns (one number a pick) a table that each round adds its own columns to. So what is written grows with rows and
+picks. Candidates are found by their scores: a task keeps the best of all its batches, lists are merged in two
+steps, and only then are the vectors of ``AHEAD`` rows a class fetched (fewer if they take more than ``AHEAD_BYTES``), whatever the pool's size.
 
 Pools are (id, x array<double>) and, for several classes, a class column; results are
 (class, id, pick_no from 1) and what a selector traces. A class with fewer rows than ``n`` is an error.
@@ -16,7 +20,7 @@ Pools are (id, x array<double>) and, for several classes, a class column; result
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,11 @@ from winnow.functions import vectors as V
 from winnow.functions.order import seeded
 from winnow.operators import pairs
 from winnow.operators.sampling import n_per_class
-from winnow.sources.scratch import written
+from winnow.sources.scratch import Dealt, scope
 
-AHEAD, STEPS = 512, 64
+AHEAD, AHEAD_BYTES, STEPS = 4096, 64 << 20, 64
 GAIN_FLOOR = 1e-10
+TABLE_BYTES = 128 << 20  # of vectors in one part of a pool
 
 
 def _check(pool: DataFrame, cls: str, n: int) -> None:
@@ -46,16 +51,18 @@ class Rows:
     id: np.ndarray
     x: np.ndarray
     taken: np.ndarray
-    col: np.ndarray  #: a number for each pick so far, where a rule keeps them
     numbers: dict[str, np.ndarray]
+    old: np.ndarray  #: columns of earlier rounds
+    new: np.ndarray  #: columns of this round
 
     @staticmethod
     def of(t: pa.RecordBatch | pa.Table, names: list[str]) -> Rows:
         array = lambda c: np.array(t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c])
-        return Rows(array("id"), pairs.matrix(t["x"]), array("taken").astype(bool), pairs.matrix(t["col"]), {c: array(c).astype(np.float64) for c in names})
+        old = pairs.matrix(t["col"]) if "col" in t.schema.names else np.zeros((t.num_rows, 0))
+        return Rows(array("id"), pairs.matrix(t["x"]), array("taken").astype(bool), {c: array(c).astype(np.float64) for c in names}, old, np.zeros((t.num_rows, STEPS)))
 
     def at(self, i: int) -> dict:
-        return {"id": int(self.id[i]), "x": self.x[i], "col": self.col[i], **{c: float(v[i]) for c, v in self.numbers.items()}}
+        return {"id": int(self.id[i]), "x": self.x[i], "old": self.old[i], "new": self.new[i].copy(), **{c: float(v[i]) for c, v in self.numbers.items()}}
 
     def best(self, score: np.ndarray) -> int:
         """The row with the highest score that isn't taken, ties to the smallest id; -1 if all are."""
@@ -69,113 +76,178 @@ class Rows:
 class Rule:
     """How a selector scores rows and what a pick changes."""
 
-    names: list[str] = []
+    fixed: list[str] = []  #: numbers of a row that stay
+    moving: list[str] = []
+    keeps = False  #: whether a row has a column for each pick
 
     def score(self, rows: Rows, t: int) -> np.ndarray:
         raise NotImplementedError
 
-    def apply(self, rows: Rows, pick: dict, t: int) -> None:
+    def against(self, rows: Rows, picks: list[dict]) -> np.ndarray:
+        """What rows have with some picks that no pick in between changes: a column each, by one product of matrices."""
+        raise NotImplementedError
+
+    def apply(self, rows: Rows, pick: dict, column: np.ndarray, j: int) -> None:
+        """The ``j``-th pick of a round is taken."""
         raise NotImplementedError
 
     def ends(self, pick: dict) -> bool:
         return False
 
-    def step(self, rows: Rows, pick: dict, t: int) -> None:
-        self.apply(rows, pick, t)
+    def step(self, rows: Rows, pick: dict, column: np.ndarray, j: int) -> None:
+        self.apply(rows, pick, column, j)
         rows.taken |= rows.id == pick["id"]
 
-
-def _cells(x: np.ndarray, y: np.ndarray, kernel: str, degree: int, sigma: float | None) -> np.ndarray:
-    """The kernel of all rows with one vector."""
-    return (x @ y / x.shape[1] + 1.0) ** degree if kernel == "poly" else np.exp(-np.square(x - y).sum(1) / (2.0 * sigma * sigma))
-
-
-def _schema(rule: Rule) -> str:
-    return "k int, id long, x array<double>, taken boolean, col array<double>" + "".join(f", {c} double" for c in rule.names)
+    @property
+    def names(self) -> list[str]:
+        return self.fixed + self.moving
 
 
 def _lists(m: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m, np.float64).ravel()))
 
 
-def _batch(k: np.ndarray, rows: Rows, keep: np.ndarray, more: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
-    width = rows.col.shape[1] if rows.col.size else 0
-    columns = {"k": k[keep].astype(np.int32), "id": rows.id[keep], "x": _lists(rows.x[keep]), "taken": rows.taken[keep], "col": _lists(rows.col[keep] if width else np.zeros((len(keep), 0)))}
-    columns |= {c: v[keep] for c, v in rows.numbers.items()} | (more or {})
-    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
-
-
 def _by_class(t: pa.RecordBatch | pa.Table, names: list[str]) -> Iterator[tuple[int, Rows]]:
     k = np.asarray(t["k"])
     for one in np.unique(k):
         yield int(one), Rows.of(t.filter(pa.array(k == one)), names)
 
 
-def _ahead(state: DataFrame, rule: Rule, t: int) -> dict[int, Rows]:
-    """The best rows of each class for the next pick."""
-
-    def some(one: int, rows: Rows) -> pa.RecordBatch:
-        score = np.where(rows.taken, -np.inf, rule.score(rows, t))
-        return _batch(np.full(len(rows.id), one), rows, np.lexsort((rows.id, -score))[:AHEAD])
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, rows in _by_class(batch, rule.names):
-                yield some(one, rows)
-
-    def merged(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([some(one, rows) for one, rows in _by_class(table, rule.names)])
-
-    found = state.mapInArrow(local, _schema(rule)).groupBy("k").applyInArrow(merged, _schema(rule)).toArrow()
-    return dict(_by_class(found, rule.names)) if found.num_rows else {}
-
-
-def _checked(state: DataFrame, rule: Rule, guesses: dict[int, list[dict]], t: int) -> dict[tuple[int, int], dict]:
-    """The best row of each class at each step, if all steps before it are as guessed."""
-    sent = state.sparkSession.sparkContext.broadcast(guesses)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, rows in _by_class(batch, rule.names):
-                for j in range(len(sent.value.get(one, []))):
-                    if j:
-                        rule.step(rows, sent.value[one][j - 1], t + j - 1)
-                    score = rule.score(rows, t + j)
-                    i = rows.best(score)
-                    if i >= 0:
-                        yield _batch(np.full(len(rows.id), one), rows, np.array([i]), {"step": np.array([j], np.int32), "score": score[[i]]})
-
-    steps = state.mapInArrow(check, _schema(rule) + ", step int, score double")
-    best = steps.groupBy("k", "step").agg(F.max_by(F.struct("*"), F.struct("score", -F.col("id"))).alias("r")).select("r.*").collect()
-    return {(r["k"], r["step"]): {**r.asDict(), "x": np.array(r["x"]), "col": np.array(r["col"])} for r in best}
-
-
-def _stepped(state: DataFrame, rule: Rule, picks: dict[int, list[dict]], t: int) -> DataFrame:
-    """The state after some picks, written."""
-    sent = state.sparkSession.sparkContext.broadcast(picks)
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, rows in _by_class(batch, rule.names):
-                for j, pick in enumerate(sent.value.get(one, [])):
-                    rule.step(rows, pick, t + j)
-                yield _batch(np.full(len(rows.id), one), rows, np.arange(len(rows.id)))
-
-    return written(state.mapInArrow(step, _schema(rule)))
+@dataclass
+class Pool:
+    """The tables of a pool, dealt by id alike."""
 
+    rule: Rule
+    vectors: Dealt  #: k, id, x, the rule's fixed numbers
+    numbers: Dealt  #: id, taken, the rule's moving numbers
+    columns: Dealt | None = None  #: id, round, col
+    ahead: int = AHEAD
+    rounds: int = 0
+    classes: list[int] = field(default_factory=list)
 
-def _greedy(state: DataFrame, n: int, rule: Rule, start: dict[int, dict] | None = None) -> tuple[dict[int, list[dict]], DataFrame]:
-    """The picks of each class in order, fewer where the rule ended, and the last state. ``state``: see :func:`_schema`."""
-    state = written(state)
-    picks: dict[int, list[dict]] = {r["k"]: [] for r in state.select("k").distinct().collect()}
+    @staticmethod
+    def of(state: DataFrame, rule: Rule) -> Pool:
+        """From (k, id, x, numbers)."""
+        shape = state.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("d")).first()
+        width = 8 * max(1, shape["d"])
+        parts = max(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shape["n"] * width // TABLE_BYTES))
+        whole = Dealt(state, "id", parts)
+        vectors = Dealt(whole.read().select("k", "id", "x", *rule.fixed), "id", parts)
+        numbers = Dealt(whole.read().select("id", F.lit(False).alias("taken"), *rule.moving), "id", parts)
+        classes = [r["k"] for r in vectors.read().select("k").distinct().collect()]
+        whole.drop()
+        return Pool(rule, vectors, numbers, ahead=max(STEPS, min(AHEAD, AHEAD_BYTES // width)), classes=classes)
+
+    def read(self, columns: bool) -> DataFrame:
+        """Rows with their numbers, and ``col``, the numbers of all picks so far, if asked for; no shuffle."""
+        out = self.vectors.read().join(self.numbers.read().hint("shuffle_hash"), "id")
+        if columns and self.columns:
+            by_round = F.array_sort(F.collect_list(F.struct("round", "col")))
+            col = self.columns.read().groupBy("id").agg(F.flatten(F.transform(by_round, lambda e: e["col"])).alias("col"))
+            out = out.join(col.hint("shuffle_hash"), "id")
+        return out
+
+    def best(self, t: int) -> dict[int, Rows]:
+        """The best rows of each class for the next pick."""
+        rule, most = self.rule, self.ahead
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                for one, rows in _by_class(batch, rule.names):
+                    ids, score = rows.id[~rows.taken], rule.score(rows, t)[~rows.taken]
+                    if one in kept:
+                        ids, score = np.concatenate([kept[one][0], ids]), np.concatenate([kept[one][1], score])
+                    by = np.lexsort((ids, -score))[:most]
+                    kept[one] = ids[by], score[by]
+            for one, (ids, score) in kept.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), one, np.int32)), pa.array(ids), pa.array(score)], ["k", "id", "score"])
+
+        found = self.read(False).mapInArrow(local, "k int, id long, score double").withColumn("_g", F.shiftright(F.spark_partition_id(), 8))
+        for by in (["k", "_g"], ["k"]):
+            found = found.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), "id"))).where(F.col("_r") <= most)
+        return self.fetched(found.select("id"))
+
+    def fetched(self, ids: DataFrame) -> dict[int, Rows]:
+        """Some rows, with all that is known of them; ``ids``: (id), ``ahead`` a class at most."""
+        table = self.read(True).join(F.broadcast(ids), "id", "left_semi").toArrow()
+        return dict(_by_class(table, self.rule.names)) if table.num_rows else {}
+
+    def checked(self, guesses: dict[int, list[dict]], t: int) -> dict[tuple[int, int], tuple[int, float]]:
+        """The best row of each class at each step, as (id, score), if all steps before it are as guessed."""
+        rule, sent = self.rule, self.vectors.spark.sparkContext.broadcast(guesses)
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], tuple[float, int]] = {}
+            for batch in batches:
+                for one, rows in _by_class(batch, rule.names):
+                    picks = sent.value.get(one, [])
+                    with_all = rule.against(rows, picks[:-1])
+                    for j in range(len(picks)):
+                        if j:
+                            rule.step(rows, picks[j - 1], with_all[:, j - 1], j - 1)
+                        score = rule.score(rows, t + j)
+                        i = rows.best(score)
+                        if i >= 0:
+                            best[one, j] = max(best.get((one, j), (-np.inf, 0)), (float(score[i]), -int(rows.id[i])))
+            values = [(one, j, -minus, score) for (one, j), (score, minus) in best.items()]
+            columns = [[v[c] for v in values] for c in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()))], ["k", "step", "id", "score"])
+
+        steps = self.read(True).mapInArrow(check, "k int, step int, id long, score double")
+        found = steps.groupBy("k", "step").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("r")).select("k", "step", "r.*").collect()
+        return {(r["k"], r["step"]): (-r["minus"], r["score"]) for r in found}
+
+    def take(self, picks: dict[int, list[dict]]) -> None:
+        """The numbers after some picks, and their columns."""
+        rule, width = self.rule, max(map(len, picks.values()), default=0)
+        sent = self.vectors.spark.sparkContext.broadcast(picks)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for one, rows in _by_class(batch, rule.names):
+                    mine = sent.value.get(one, [])
+                    with_all = rule.against(rows, mine)
+                    for j, pick in enumerate(mine):
+                        rule.step(rows, pick, with_all[:, j], j)
+                    columns = {"id": pa.array(rows.id), "taken": pa.array(rows.taken), **{c: pa.array(rows.numbers[c]) for c in rule.moving}}
+                    if rule.keeps:
+                        columns["col"] = _lists(rows.new[:, :width])
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        after = self.read(True).mapInArrow(step, "id long, taken boolean" + "".join(f", {c} double" for c in rule.moving) + (", col array<double>" if rule.keeps else ""))
+        if rule.keeps:
+            # written once and told apart: numbers are replaced, columns added
+            both = Dealt(after, "id", self.vectors.parts, dealt=True)
+            numbers = Dealt(both.read().drop("col"), "id", self.vectors.parts, dealt=True)
+            added = both.read().select("id", F.lit(self.rounds).alias("round"), "col")
+            self.columns = self.columns.add(added) if self.columns else Dealt(added, "id", self.vectors.parts, dealt=True)
+            both.drop()
+        else:
+            numbers = Dealt(after, "id", self.vectors.parts, dealt=True)
+        self.numbers.drop()
+        self.numbers, self.rounds = numbers, self.rounds + 1
+
+    def drop(self) -> None:
+        for t in (self.vectors, self.numbers, self.columns):
+            if t:
+                t.drop()
+
+
+def _greedy(state: DataFrame, n: int, rule: Rule, start: dict[int, dict] | None = None, fill: str | None = None) -> dict[int, list[dict]]:
+    """The picks of each class in order. ``state``: (k, id, x, numbers). Where the rule ends, the rest is filled by the highest ``fill``, if given."""
+    pool = Pool.of(state, rule)
+    picks: dict[int, list[dict]] = {k: [] for k in pool.classes}
     t, live = 0, set(picks)
     if start:
         for one, pick in start.items():
             picks[one].append(pick)
-        state, t = _stepped(state, rule, {one: [p] for one, p in start.items()}, 0), 1
+        pool.take({one: [p] for one, p in start.items()})
+        t = 1
     while live and t < n:
-        guesses = {}
-        for one, rows in _ahead(state, rule, t).items():
+        guesses: dict[int, list[dict]] = {}
+        found_rows = pool.best(t)
+        for one, rows in found_rows.items():
             if one in live:
                 guesses[one] = []
                 for j in range(min(STEPS, n - t, len(rows.id))):
@@ -183,19 +255,23 @@ def _greedy(state: DataFrame, n: int, rule: Rule, start: dict[int, dict] | None
                     guesses[one].append(rows.at(i))
                     if rule.ends(guesses[one][-1]):
                         break
-                    rule.step(rows, guesses[one][-1], t + j)
-        found = _checked(state, rule, guesses, t)
+                    rule.step(rows, guesses[one][-1], rule.against(rows, guesses[one][-1:])[:, 0], j)
+        found = pool.checked(guesses, t)
+        right = {one: next((j for j, g in enumerate(guessed) if found[one, j][0] != g["id"]), len(guessed)) for one, guessed in guesses.items()}
+        missed = [found[one, right[one]][0] for one in guesses if right[one] < len(guesses[one])]
+        fetched = pool.fetched(pool.vectors.spark.createDataFrame([(i,) for i in missed], "id long")) if missed else {}
         settled: dict[int, list[dict]] = {}
         for one, guessed in guesses.items():
-            settled[one] = []
-            for j, guess in enumerate(guessed):
-                best = found[one, j]
-                if rule.ends(best):
-                    live.discard(one)
-                    break
-                settled[one].append(best)
-                if best["id"] != guess["id"]:
-                    break
+            settled[one] = guessed[: right[one]]
+            if right[one] < len(guessed):  # the row that was not among the best, brought to where the others are
+                rows = fetched[one]
+                with_all = rule.against(rows, settled[one])
+                for j, pick in enumerate(settled[one]):
+                    rule.step(rows, pick, with_all[:, j], j)
+                settled[one] = [*settled[one], rows.at(0)]
+            if settled[one] and rule.ends(settled[one][-1]):
+                settled[one].pop()
+                live.discard(one)
         # classes go on together: as many steps as the slowest that goes on has settled
         m = min((len(settled[one]) for one in live), default=max(map(len, settled.values()), default=0))
         for one in settled:
@@ -203,8 +279,15 @@ def _greedy(state: DataFrame, n: int, rule: Rule, start: dict[int, dict] | None
             picks[one] += settled[one]
         t += m
         if live and t < n:
-            state = _stepped(state, rule, settled, t - m)
-    return picks, state
+            pool.take(settled)
+    if fill:
+        for one, ps in picks.items():
+            if len(ps) < n:
+                done = {p["id"] for p in ps}
+                more = pool.vectors.read().where(F.col("k") == one).orderBy(F.col(fill).desc(), "id").limit(n).select("id").collect()
+                ps += [{"id": r["id"]} for r in more if r["id"] not in done][: n - len(ps)]
+    pool.drop()
+    return picks
 
 
 def _classes(pool: DataFrame, cls: str) -> tuple[DataFrame, list]:
@@ -223,16 +306,12 @@ def _frame(pool: DataFrame, cls: str, values: list, picks: dict[int, list[dict]]
     return pool.sparkSession.createDataFrame(rows, f"{cls} {kind}, id long, pick_no int" + "".join(f", {c} double" for c in traces))
 
 
-def _state(pool: DataFrame, *numbers) -> DataFrame:
-    return pool.select("k", "id", "x", F.lit(False).alias("taken"), F.array().cast("array<double>").alias("col"), *numbers)
-
-
 def _one_class(pool: DataFrame, cls: str | None) -> tuple[DataFrame, str]:
     return (pool, cls) if cls else (pool.withColumn("cls", F.lit(0)), "cls")
 
 
 class Herding(Rule):
-    names = ["a", "kxx", "b"]
+    fixed, moving = ["a", "kxx"], ["b"]
 
     def __init__(self, kernel: str, degree: int, sigma: float | None):
         self.options = (kernel, degree, sigma)
@@ -241,8 +320,17 @@ class Herding(Rule):
         v = rows.numbers
         return v["a"] - (v["b"] + 0.5 * v["kxx"]) / (t + 1)
 
-    def apply(self, rows: Rows, pick: dict, t: int) -> None:
-        rows.numbers["b"] = rows.numbers["b"] + _cells(rows.x, pick["x"], *self.options)
+    def against(self, rows: Rows, picks: list[dict]) -> np.ndarray:
+        return _kernel_with(rows, picks, *self.options)
+
+    def apply(self, rows: Rows, pick: dict, column: np.ndarray, j: int) -> None:
+        rows.numbers["b"] = rows.numbers["b"] + column
+
+
+def _kernel_with(rows: Rows, picks: list[dict], kernel: str, degree: int, sigma: float | None) -> np.ndarray:
+    if not picks or not len(rows.id):
+        return np.zeros((len(rows.id), len(picks)))
+    return pairs.kernel_matrix(rows.x, np.stack([p["x"] for p in picks]), kernel, degree, sigma)
 
 
 def herding(pool: DataFrame, reference: DataFrame, n: int, cls: str | None = None, kernel: str = "poly", degree: int = 3, sigma: float | None = None) -> DataFrame:
@@ -255,13 +343,13 @@ def herding(pool: DataFrame, reference: DataFrame, n: int, cls: str | None = Non
     _check(pool, c, n)
     k = lambda a, b: V.kernel(a, b, kernel, degree, sigma)
     rows, values = _classes(affinity(pool, reference, cls, kernel, degree, sigma), c)
-    state = _state(rows, F.col("affinity").alias("a"), k(F.col("x"), F.col("x")).alias("kxx"), F.lit(0.0).alias("b"))
-    picks, _ = _greedy(state, n, Herding(kernel, degree, sigma))
+    state = rows.select("k", "id", "x", F.col("affinity").alias("a"), k(F.col("x"), F.col("x")).alias("kxx"), F.lit(0.0).alias("b"))
+    with scope(pool.sparkSession):
+        picks = _greedy(state, n, Herding(kernel, degree, sigma))
     own = {}
     for i, v in enumerate(values):
         r = reference if cls is None else reference.where(F.col(cls).eqNullSafe(F.lit(v)))
-        sums = pairs.kernel_sums(r, r, kernel, degree, sigma).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
-        own[i] = sums["s"] / sums["n"] if sums["n"] else float("nan")
+        own[i] = pairs.mean_kernel(r, kernel, degree, sigma)
     trace: dict[int, list[float]] = {}
     for one, ps in picks.items():
         among, to = 0.0, 0.0
@@ -287,13 +375,19 @@ def affinity(pool: DataFrame, reference: DataFrame, cls: str | None = None, kern
 
 
 class Farthest(Rule):
-    names = ["d"]
+    moving = ["d"]
 
     def score(self, rows: Rows, t: int) -> np.ndarray:
         return rows.numbers["d"]
 
-    def apply(self, rows: Rows, pick: dict, t: int) -> None:
-        rows.numbers["d"] = np.minimum(rows.numbers["d"], np.sqrt(np.square(rows.x - pick["x"]).sum(1)))
+    def against(self, rows: Rows, picks: list[dict]) -> np.ndarray:
+        if not picks or not len(rows.id):
+            return np.zeros((len(rows.id), len(picks)))
+        # differences, not products: the same number wherever and with however many others it is computed
+        return np.stack([np.sqrt(np.square(rows.x - p["x"]).sum(1)) for p in picks], 1)
+
+    def apply(self, rows: Rows, pick: dict, column: np.ndarray, j: int) -> None:
+        rows.numbers["d"] = np.minimum(rows.numbers["d"], column)
 
 
 def kcenter(pool: DataFrame, n: int, cls: str | None = None, seed: int = 0) -> DataFrame:
@@ -302,13 +396,16 @@ def kcenter(pool: DataFrame, n: int, cls: str | None = None, seed: int = 0) -> D
     _check(pool, c, n)
     rows, values = _classes(pool, c)
     first = rows.groupBy("k").agg(F.min_by(F.struct("id", "x"), F.struct(seeded(seed, "id"), "id")).alias("r")).collect()
-    start = {r["k"]: {"id": r["r"]["id"], "x": np.array(r["r"]["x"]), "col": np.zeros(0), "d": float("inf")} for r in first}
-    picks, _ = _greedy(_state(rows, F.lit(float("inf")).alias("d")), n, Farthest(), start)
+    start = {r["k"]: {"id": r["r"]["id"], "x": np.array(r["r"]["x"])} for r in first}
+    with scope(pool.sparkSession):
+        picks = _greedy(rows.select("k", "id", "x", F.lit(float("inf")).alias("d")), n, Farthest(), start)
     return _frame(pool, c, values, picks)
 
 
 class Volume(Rule):
-    names = ["q", "root", "gain"]
+    """Columns of an incremental Cholesky factor; what earlier rounds have in common with a round's picks is one product of matrices."""
+
+    fixed, moving, keeps = ["q", "root"], ["gain"], True
 
     def __init__(self, kernel: str, degree: int, sigma: float | None):
         self.options = (kernel, degree, sigma)
@@ -316,13 +413,20 @@ class Volume(Rule):
     def score(self, rows: Rows, t: int) -> np.ndarray:
         return rows.numbers["gain"]
 
-    def apply(self, rows: Rows, pick: dict, t: int) -> None:
+    def against(self, rows: Rows, picks: list[dict]) -> np.ndarray:
+        out = _kernel_with(rows, picks, *self.options)
+        if out.size:
+            v = rows.numbers
+            out = out * (v["q"] / v["root"])[:, None] * np.array([p["q"] / p["root"] for p in picks])
+            if rows.old.shape[1]:
+                out -= rows.old @ np.stack([p["old"] for p in picks], 1)
+        return out
+
+    def apply(self, rows: Rows, pick: dict, column: np.ndarray, j: int) -> None:
         v = rows.numbers
-        row = pick["q"] * v["q"] * _cells(rows.x, pick["x"], *self.options) / (pick["root"] * v["root"])
-        before = rows.col @ pick["col"] if t and rows.col.size else 0.0
-        e = (row - before) / pick["gain"] ** 0.5
+        e = (column - rows.new[:, :j] @ pick["new"][:j]) / pick["gain"] ** 0.5
         v["gain"] = v["gain"] - e * e
-        rows.col = np.column_stack([rows.col, e]) if rows.col.size else e[:, None]
+        rows.new[:, j] = e
 
     def ends(self, pick: dict) -> bool:
         return pick["gain"] < GAIN_FLOOR
@@ -354,16 +458,16 @@ def dpp(pool: DataFrame, n: int, cls: str | None = None, quality: str | None = N
         pool = pool.withColumn("_q", F.lit(1.0))
     rows, values = _classes(pool, c)
     root = F.sqrt(F.greatest(k(F.col("x"), F.col("x")), F.lit(1e-12)))
-    state = _state(rows, F.col("_q").alias("q"), root.alias("root"), (F.col("_q") * F.col("_q")).alias("gain"))
-    picks, state = _greedy(state, n, Volume(kernel, degree, sigma))
-    gains = {one: [p["gain"] for p in ps] + [None] * (n - len(ps)) for one, ps in picks.items()}
-    logdet = {one: [*np.cumsum(np.log([p["gain"] for p in ps])).tolist(), *[None] * (n - len(ps))] for one, ps in picks.items()}
-    ended = {values[one]: len(ps) for one, ps in picks.items() if len(ps) < n}
+    state = rows.select("k", "id", "x", F.col("_q").alias("q"), root.alias("root"), (F.col("_q") * F.col("_q")).alias("gain"))
+    with scope(pool.sparkSession):
+        picks = _greedy(state, n, Volume(kernel, degree, sigma), fill="q")
+    gains, logdet, ended = {}, {}, {}
     for one, ps in picks.items():
-        if len(ps) < n:
-            done = [p["id"] for p in ps]
-            more = state.where((F.col("k") == one) & ~F.col("id").isin(done)).orderBy(F.col("q").desc(), "id").limit(n - len(ps)).select("id").collect()
-            ps += [{"id": r["id"]} for r in more]
+        own = [p["gain"] for p in ps if "gain" in p]
+        gains[one] = own + [None] * (n - len(own))
+        logdet[one] = [*np.cumsum(np.log(own)).tolist(), *[None] * (n - len(own))]
+        if len(own) < n:
+            ended[values[one]] = len(own)
     return _frame(pool, c, values, picks, {"gain": gains, "logdet": logdet}), ended
 
 
