@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnow.operators import pairs, setmetrics
-from winnow.operators.quantiles import quantile
+from winnow.operators.quantiles import quantile, quantiles
 from winnow.operators.sampling import numbered
 from winnow.sources.scratch import written
 
@@ -88,11 +88,7 @@ class Pca:
     """Leading components of a reference set, from its covariance."""
 
     def __init__(self, reference: DataFrame, k: int = 50):
-        n, self.mean, cov = setmetrics.covariance(reference)
-        w, v = np.linalg.eigh(cov)
-        k = min(k, len(w), n - 1)
-        self.components = v[:, ::-1][:, :k]
-        self.std = np.sqrt(np.maximum(w[::-1][:k], 0) * (n - 1) / n) + 1e-6
+        self.mean, self.components, self.std = _fit(*setmetrics.covariance(reference), k)
 
     def project(self, df: DataFrame) -> DataFrame:
         """``df`` with ``z``, the centred coordinates."""
@@ -127,6 +123,55 @@ def reference_threshold_gate(pool: DataFrame, reference: DataFrame, keep_pct: fl
     return pca.mahalanobis(pool).select("id", "d").withColumn("keep", F.col("d") <= thr)
 
 
+class ClassPca:
+    """Leading components of each class of a reference set, from counts, sums and products that one pass adds up by class.
+
+    A class has d x d numbers, so classes are few; they are numbered on the driver.
+    """
+
+    def __init__(self, reference: DataFrame, cls: str, k: int = 50):
+        self.cls, self.kind = cls, reference.schema[cls].dataType.simpleString()
+        self.fits = {value: _fit(*m, k) for value, m in setmetrics.class_covariances(reference, cls).items()}
+
+    def mahalanobis(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``d``: the diagonal Mahalanobis distance from the centre of the row's own class; rows of a class without a reference are left out."""
+        names = list(self.fits)
+        numbers = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(names)], f"_value {self.kind}, _k int")
+        sent = df.sparkSession.sparkContext.broadcast([self.fits[v] for v in names])
+
+        @F.arrow_udf(T.DoubleType())
+        def distance(x: pa.Array, k: pa.Array) -> pa.Array:
+            k, out = np.asarray(k), np.zeros(len(x))
+            for one in np.unique(k):
+                mean, components, std = sent.value[one]
+                z = (pairs.matrix(x.filter(pa.array(k == one))) - mean) @ components
+                out[k == one] = np.sqrt(np.square(z / std).sum(1))
+            return pa.array(out)
+
+        return df.join(F.broadcast(numbers), F.col(self.cls) == F.col("_value")).withColumn("d", distance("x", "_k")).drop("_value", "_k")  # a row a class
+
+
+def _fit(n: int, mean: np.ndarray, cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, leading components and their standard deviations (n in the denominator)."""
+    w, v = np.linalg.eigh(cov)
+    k = min(k, len(w), n - 1)
+    return mean, v[:, ::-1][:, :k], np.sqrt(np.maximum(w[::-1][:k], 0) * (n - 1) / n) + 1e-6
+
+
+def class_threshold_gate(pool: DataFrame, reference: DataFrame, cls: str, keep_pct: float = 95, k: int = 50) -> DataFrame:
+    """(id, class, d, threshold, keep): each class by its own components and by the distance that ``keep_pct`` percent of its own reference have.
+
+    Rows of a class without a reference, and of no class, are left out.
+    """
+    pca = ClassPca(reference, cls, k)
+    if not pca.fits:
+        return pool.sparkSession.createDataFrame([], f"id long, {cls} {pca.kind}, d double, threshold double, keep boolean")
+    own = written(pca.mahalanobis(reference).select(F.col(cls).alias("_c"), "d"))
+    threshold = F.broadcast(quantiles(own, "d", [keep_pct / 100], ["_c"]).select("_c", F.col("value").alias("threshold")))  # a row a class
+    rows = pca.mahalanobis(pool).select("id", cls, "d").join(threshold, F.col(cls) == F.col("_c"))
+    return rows.select("id", cls, "d", "threshold", (F.col("d") <= F.col("threshold")).alias("keep"))
+
+
 def nearest_share(scores: DataFrame, score: str, share: float = 0.9) -> DataFrame:
     """The rows with the lowest floor(share * n) scores, ties by id."""
     return scores.orderBy(score, "id").limit(int(share * scores.count()))

@@ -119,28 +119,47 @@ def copy_rate(reference: DataFrame, candidates: DataFrame, pct: float = 5) -> di
     return {"copy_rate": round(rate, 4), "tau": round(tau, 3), "pct": pct, "candidate_median": round(lower_median(theirs, "d"), 3), "reference_median": round(lower_median(own, "d"), 3), "reference_rows": nr, "candidate_rows": nf}
 
 
+def _sums(df: DataFrame, d: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Count, mean and covariance (n - 1) of each class of (k int, x), from sums that every task adds up; a class has d x d numbers, whatever the rows."""
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            k, whole = np.asarray(b.column(0)), pairs.matrix(b.column(1))
+            for one in np.unique(k):
+                x = whole[k == one]
+                flat = np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+                total[int(one)] = total[int(one)] + flat if int(one) in total else flat
+        for one, flat in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), one, np.int32)), pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "i", "v"])
+
+    t = df.select("k", "x").mapInArrow(sums, "k int, i long, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).toArrow()
+    out, k = {}, np.asarray(t["k"])
+    for one in np.unique(k):
+        flat = np.zeros(1 + d + d * d)
+        flat[np.asarray(t["i"])[k == one]] = np.asarray(t["v"])[k == one]
+        n, mean = int(flat[0]), flat[1 : d + 1] / flat[0]
+        out[int(one)] = n, mean, (flat[d + 1 :].reshape(d, d) - n * np.outer(mean, mean)) / max(1, n - 1)
+    return out
+
+
 def covariance(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and covariance (n - 1), from sums that every task adds up; the matrix has d x d numbers, whatever the rows."""
+    """Count, mean and covariance (n - 1)."""
     first = df.select("x").first()
     if first is None:
         return 0, np.zeros(0), np.zeros((0, 0))
-    d = len(first["x"])
-
-    def sums(batches):
-        n, s, ss = 0, np.zeros(d), np.zeros((d, d))
-        for b in batches:
-            x = pairs.matrix(b.column(0))
-            if len(x):
-                n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        flat = np.concatenate([[n], s, ss.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
-
-    t = df.select("x").mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    flat = np.zeros(1 + d + d * d)
-    flat[np.asarray(t["i"])] = np.asarray(t["v"])
-    n, mean = int(flat[0]), flat[1 : d + 1] / flat[0]
-    cov = (flat[d + 1 :].reshape(d, d) - n * np.outer(mean, mean)) / max(1, n - 1)
-    return n, mean, cov
+    return _sums(df.select(F.lit(0).alias("k"), "x"), len(first["x"]))[0]
+
+
+def class_covariances(df: DataFrame, cls: str) -> dict:
+    """Count, mean and covariance of each class that isn't null, in one pass over all classes."""
+    values = [r[0] for r in df.where(F.col(cls).isNotNull()).select(cls).distinct().orderBy(cls).collect()]
+    if not values:
+        return {}
+    numbers = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"_value {df.schema[cls].dataType.simpleString()}, k int")
+    rows = df.join(F.broadcast(numbers), F.col(cls) == F.col("_value"))  # a row a class
+    d = df.select("x").first()
+    return {values[k]: m for k, m in _sums(rows.select("k", "x"), len(d["x"])).items()}
 
 
 def _root(s: np.ndarray) -> np.ndarray:

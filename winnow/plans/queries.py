@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions.order import content_key
-from winnow.operators import curation, gates, models, pairs, report, sampling, selectors, setmetrics
+from winnow.operators import curation, gates, models, pairs, quantiles, report, sampling, selectors, setmetrics
 from winnow.plans import pipelines
 from winnow.sources.scratch import written
 
@@ -206,7 +206,7 @@ def selector_ranking(spark, sf_dir):
     kept = {"herding": selectors.herding(a, b, N), "k-center": selectors.kcenter(a, N), "random": sampling.sample_n(a, N, 3)}
     rows = []
     for name, ids in kept.items():
-        s = written(a.join(F.broadcast(ids.select("id")), "id", "left_semi"))
+        s = written(a.join(F.broadcast(ids.select("id")), "id", "left_semi"))  # N ids
         rows.append((name, s.count(), *(setmetrics.coverage_density(b, s)[m] for m in ("coverage", "density"))))
     return report.ranked(spark.createDataFrame(rows, "name string, n long, coverage double, density double"), "coverage")
 
@@ -251,6 +251,18 @@ def reference_threshold_gate(spark, sf_dir):
     return gates.reference_threshold_gate(*halves(spark, sf_dir), 95, 20).select("id", F.round("d", 6).alias("d"), "keep")
 
 
+def class_threshold_gate(spark, sf_dir):
+    """Each class of the pool by its own components and its own reference's distances."""
+    out = gates.class_threshold_gate(*halves(spark, sf_dir), "cls", 95, 20)
+    return out.select("id", "cls", F.round("d", 6).alias("d"), "keep")
+
+
+def value_quantiles(spark, sf_dir):
+    """Exact quantiles of the events' values, by type, many at once."""
+    out = quantiles.quantiles(table(spark, sf_dir, "events"), "value", [0.01, 0.25, 0.5, 0.75, 0.99], ["event_type"])
+    return out.select("event_type", "q", F.round("value", 6).alias("value"))
+
+
 def frechet_distance(spark, sf_dir):
     a, b = halves(spark, sf_dir)
     return one(spark, fd=round(setmetrics.frechet_distance(b, a), 4))
@@ -304,6 +316,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         coverage_density, generative_recall, knn_rank_topk, score_topk, herding_select, kcenter_select, dpp_select, gate_then_herd, selector_ranking, auroc_confusion,
         class_weights, history_upsert, delta_vs_first, class_shares, mahalanobis_gate, reference_threshold_gate, frechet_distance, vendi_score, kmeans_balanced,
         two_sample_forest, linear_probe, metric_map_explode, nearest_then_herd, compare_filters, herding_trace,
+        class_threshold_gate, value_quantiles,
     )
 }
 QUERIES["poly_affinity"] = lambda spark, sf_dir: _affinity(spark, sf_dir, name="poly")
@@ -416,5 +429,6 @@ SELECT o_orderstatus, 'n' AS key, n::DOUBLE AS value FROM o UNION ALL SELECT o_o
     "herding_trace": f"""WITH RECURSIVE {_HALVES}, {_herd('a', N)}, s AS (SELECT a.x, hd.pick_no AS p FROM a JOIN hd USING (id)),
 t AS (SELECT unnest([5, {N}]) AS t), ss AS (SELECT t, avg({_POLY}) AS v FROM s p, s q, t WHERE p.p <= t AND q.p <= t GROUP BY t), sr AS (SELECT t, avg({_POLY}) AS v FROM s p, b q, t WHERE p.p <= t GROUP BY t), rr AS (SELECT avg({_POLY}) AS v FROM b p, b q)
 SELECT ss.t::INT AS pick_no, round(ss.v + rr.v - 2 * sr.v, 7) AS mmd2 FROM ss JOIN sr USING (t), rr""",
+    "value_quantiles": "SELECT event_type, q::DOUBLE AS q, round(value, 6) AS value FROM (SELECT event_type, unnest([0.01, 0.25, 0.5, 0.75, 0.99]) AS q, unnest(quantile_cont(value, [0.01, 0.25, 0.5, 0.75, 0.99])) AS value FROM events GROUP BY 1)",
     "class_shares": "SELECT event_type, round(avg(value / 100), 6) AS mean, round(stddev_pop(value / 100), 6) AS std, round(avg((value / 100 > 0.5)::INT), 6) AS over, round(avg((value IS NULL)::INT), 6) AS missing, count(*) AS n FROM events GROUP BY event_type",
 }
