@@ -5,6 +5,8 @@ Decoders and segmenters are models of the caller's; these take their pixels or m
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BORDER, PAD, LEAST_LINES = 0.15, 2, 8
+# fixed values of the line score: the frame it is taken in, the scales of its lines in pixels, the share of pixels that count
+FRAME = 256
+SCALES = (1.0, 2.0)
 TOP_SHARE = 0.02
-SCALES = (1.0, 2.0, 3.0)
 
 
 def pixel_stats(image: np.ndarray) -> tuple[float, float]:
@@ -52,49 +56,117 @@ def grey(image: np.ndarray) -> np.ndarray:
     return np.rint(image[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])).astype(image.dtype)
 
 
-def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned, edges repeated."""
-    out = image.astype(np.float64)
-    for axis, size in ((0, height), (1, width)):
-        at = np.clip((np.arange(size) + 0.5) * out.shape[axis] / size - 0.5, 0, out.shape[axis] - 1)
-        low = np.floor(at).astype(int)
-        high = np.minimum(low + 1, out.shape[axis] - 1)
-        share = (at - low).reshape([-1 if i == axis else 1 for i in range(out.ndim)])
-        out = out.take(low, axis) * (1 - share) + out.take(high, axis) * share
-    return np.rint(out).astype(image.dtype) if image.dtype.kind in "ui" else out
-
-
-def _smooth(a: np.ndarray, sigma: float) -> np.ndarray:
-    reach = int(4 * sigma + 0.5)
-    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    taps /= taps.sum()
-    for axis in (0, 1):
-        pad = [(reach, reach) if i == axis else (0, 0) for i in (0, 1)]
-        a = np.apply_along_axis(np.convolve, axis, np.pad(a, pad, mode="reflect" if a.shape[axis] > reach else "edge"), taps, "valid")
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+def _cubic(x: np.ndarray, a: float = -0.5) -> np.ndarray:
+    x = np.abs(x)
+    return np.where(x < 1, ((a + 2) * x - (a + 3)) * x * x + 1, np.where(x < 2, a * (((x - 5) * x + 8) * x - 4), 0.0))
+
+
+def _triangle(x: np.ndarray) -> np.ndarray:
+    return np.maximum(1 - np.abs(x), 0)
+
+
+FILTERS = {"lanczos": (_lanczos, 3), "bicubic": (_cubic, 2), "bilinear": (_triangle, 1)}
+
+
+def _weights(old: int, new: int, kind: str) -> np.ndarray:
+    """A row for each new pixel: the share of each old one. Where pixels become fewer, the filter is as wide as a new pixel."""
+    shape, support = FILTERS[kind]
+    scale = old / new
+    wide = max(scale, 1.0)
+    centre = (np.arange(new) + 0.5) * scale
+    first, last = np.maximum(np.floor(centre - support * wide + 0.5), 0), np.minimum(np.floor(centre + support * wide + 0.5), old)
+    at = np.arange(old)[None, :]
+    out = shape((at + 0.5 - centre[:, None]) / wide) * ((at >= first[:, None]) & (at < last[:, None]))
+    return out / out.sum(1, keepdims=True)
+
+
+def resized(image: np.ndarray, height: int, width: int, kind: str = "lanczos") -> np.ndarray:
+    """By a separable filter: ``lanczos`` (three lobes), ``bicubic`` (a = -1/2) or ``bilinear``.
+
+    Columns first, then rows; whole numbers are rounded and held to their range after each, as 8-bit images are.
+    """
+    out = image
+    for axis, size in ((1, width), (0, height)):
+        if out.shape[axis] == size:
+            continue
+        mixed = np.moveaxis(np.tensordot(_weights(out.shape[axis], size, kind), out.astype(np.float64), (1, axis)), 0, axis)
+        if image.dtype.kind in "ui":
+            most = np.iinfo(image.dtype).max if image.dtype == np.uint8 else 255
+            mixed = np.clip(np.floor(mixed + 0.5), 0, most).astype(image.dtype)
+        out = mixed
+    return out
+
+
+def _derived(a: np.ndarray, sigma: float, orders: tuple[int, int]) -> np.ndarray:
+    """``a`` under a Gaussian, derived once along the axes of order 1; mirrored at the edges."""
+    for axis, order in enumerate(orders):
+        # narrow Gaussians end late, so that what a cut would leave at the edge of the taps is nothing
+        reach = int((8 if sigma > 0.75 else 100) * sigma + 0.5)
+        x = np.arange(-reach, reach + 1)
+        taps = np.exp(-0.5 * (x / sigma) ** 2)
+        taps /= taps.sum()
+        if order:
+            taps = -x / sigma**2 * taps
+        full = np.pad(a, [(reach, reach) if i == axis else (0, 0) for i in (0, 1)], mode="symmetric")
+        a = np.apply_along_axis(np.convolve, axis, full, taps, "valid")
     return a
 
 
 def ridges(image: np.ndarray, scales: tuple[float, ...] = SCALES) -> np.ndarray:
-    """Strength of thin bright lines: over the scales, the largest drop of curvature across a line (grey values 0 to 1)."""
+    """Strength of thin bright lines (grey values 0 to 1): over the scales, how fast the brightness bends down across a line, by the larger eigenvalue of the Hessian.
+
+    Second derivatives of a Gaussian of a scale are two first ones of half its variance.
+    """
     a, best = image.astype(np.float64) / 255.0, np.zeros(image.shape)
     for s in scales:
-        gy, gx = np.gradient(_smooth(a, s))
-        yy, yx = np.gradient(gy)
-        _, xx = np.gradient(gx)
+        half = s / 2**0.5
+        gy, gx = _derived(a, half, (1, 0)), _derived(a, half, (0, 1))
+        yy, yx, xx = _derived(gy, half, (1, 0)), _derived(gy, half, (0, 1)), _derived(gx, half, (0, 1))
         mean, gap = (xx + yy) / 2, np.sqrt(((xx - yy) / 2) ** 2 + yx**2)
-        best = np.maximum(best, np.maximum(-(mean - gap), 0) * s * s)
+        best = np.maximum(best, np.maximum(gap - mean, 0) * s * s)
     return best
 
 
+def framed(image: np.ndarray) -> np.ndarray:
+    """A grey image in the frame of the line score."""
+    image = np.clip(grey(image), 0, 255).astype(np.uint8)
+    return image if image.shape == (FRAME, FRAME) else resized(image, FRAME, FRAME, "bicubic")
+
+
 def line_score(image: np.ndarray) -> float:
-    """Mean strength of the strongest two percent of all pixels, one at least."""
-    strength = ridges(image).reshape(-1)
-    k = max(1, strength.size - int(np.floor((1 - TOP_SHARE) * strength.size)))
-    return float(np.partition(strength, strength.size - k)[strength.size - k :].sum() / k)
+    """Mean strength of the strongest two percent of all pixels of the frame."""
+    strength = ridges(framed(image)).reshape(-1)
+    k = strength.size - int((1 - TOP_SHARE) * strength.size)
+    return float(np.partition(strength, strength.size - k)[strength.size - k :].mean())
 
 
 def line_coverage(image: np.ndarray) -> float:
-    return float(ridges(image).mean())
+    return float(ridges(framed(image)).mean())
+
+
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png(image: np.ndarray, level: int = 6) -> bytes:
+    """A grey (h, w) or colour (h, w, 3) image of 8 bits as a PNG file; each row by the filter whose bytes are the smallest in sum."""
+    rows = np.ascontiguousarray(image, np.uint8).reshape(image.shape[0], -1).astype(np.int16)
+    step = rows.shape[1] // image.shape[1]
+    left = np.pad(rows, ((0, 0), (step, 0)))[:, : rows.shape[1]]
+    above = np.pad(rows, ((1, 0), (0, 0)))[:-1]
+    corner = np.pad(left, ((1, 0), (0, 0)))[:-1]
+    guess = left + above - corner
+    gaps = np.abs(np.stack([guess - left, guess - above, guess - corner]))
+    paeth = np.where((gaps[0] <= gaps[1]) & (gaps[0] <= gaps[2]), left, np.where(gaps[1] <= gaps[2], above, corner))
+    filtered = np.stack([rows, rows - left, rows - above, rows - (left + above) // 2, rows - paeth]).astype(np.uint8)
+    best = np.abs(filtered.view(np.int8).astype(np.int32)).sum(2).argmin(0)
+    lines = np.concatenate([best[:, None].astype(np.uint8), filtered[best, np.arange(len(rows))]], 1)
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
 def row_extent(mask: np.ndarray) -> int:
@@ -127,6 +199,20 @@ def pixel_stats_udf(px: pd.Series, height: pd.Series, width: pd.Series) -> pd.Da
     return pd.DataFrame([(None, None) if p is None else pixel_stats(np.asarray(p).reshape(int(h), int(w))) for p, h, w in zip(px, height, width)], columns=["std", "rails"], dtype="float64")
 
 
+def resized_udf(size: int, kind: str = "lanczos"):
+    """A pandas UDF (px, height, width) -> (px, height, width) of a square of ``size``; null pixels stay null."""
+
+    @F.pandas_udf("px array<short>, height int, width int")
+    def resize(px: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, h, w in zip(px, height, width):
+            image = None if p is None else resized(np.clip(np.asarray(p), 0, 255).astype(np.uint8).reshape(int(h), int(w)), size, size, kind)
+            out.append((None, None, None) if image is None else (image.ravel().astype(np.int16), size, size))
+        return pd.DataFrame(out, columns=["px", "height", "width"])
+
+    return resize
+
+
 @F.pandas_udf(T.StructType([T.StructField("px", T.ArrayType(T.ShortType())), T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType())]))
 def crop_udf(px: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
     out = []
