@@ -34,9 +34,9 @@ BOS, EOS, OTHER = "\x02", "\x03", "�"
 UNSEEN = 1 / (1 << 17)  # of a character that the model hasn't met: one in all code points, about
 BROADCAST_ROWS = 4_000_000  # 48 MB of hashes and values
 CHUNK_BYTES = 32 << 20
-SLICE = 1 << 20  # bytes of text handled at a time, if texts aren't longer
-BLOCK = 1 << 20  # symbols hashed at a time, whatever the length of a text
-HELD = 1 << 20  # windows that a counting task holds before it adds up equal ones; if over three quarters are left, it hands them on
+SLICE = 1 << 18  # bytes of text handled at a time, if texts aren't longer
+BLOCK = 1 << 18  # symbols hashed at a time, whatever the length of a text
+HELD = 1 << 18  # windows that a counting task holds before it adds up equal ones; if over three quarters are left, it hands them on
 _P, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 

@@ -27,6 +27,7 @@ SAMPLE = 16  # one text in so many is looked at for common shingles
 COMMON = 200_000
 SLOTS = 1 << 24
 LAST = np.uint64(1 << 63)
+SLICE = 1 << 19  # bytes of text shingled at a time, if texts aren't longer
 BITS = 512  # of a parity signature
 
 
@@ -78,7 +79,7 @@ def whole_sets(size: int):
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = []
-            for part in slices(texts):
+            for part in slices(texts, SLICE):
                 h, doc = shingles(part, size)
                 h, _, n = distinct_sorted(h, doc, len(part))
                 parts.append(_lists(h, n))
@@ -116,7 +117,7 @@ def signatures(texts: DataFrame, size: int, similar: tuple[int, int], common) ->
         known, rank = common.value
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1), 1 << 20):
+            for part in slices(batch.column(1), SLICE):
                 t = np.asarray(batch.column(0).slice(at, len(part))).astype(np.int64)
                 at += len(part)
                 _, first = np.unique(t, return_index=True)  # copies side by side count once
