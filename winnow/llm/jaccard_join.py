@@ -105,9 +105,8 @@ def node_classes(sets: DataFrame, texts: DataFrame, size: int, similar: tuple[in
         labelled = materialise(_labelled(members.select("node", "rep"), classes))
         spread = labelled.groupBy("rep").agg(F.min("c").alias("low"), F.max("c").alias("high"))
         rows = materialise(places.join(spread, "rep").select("h", F.struct("rep", "n", "pos", "low", "high").alias("d")))
-        before, pairs = pairs, _cross_pairs(rows)
-        last = at == ROUNDS or pairs <= WORTH * total or before is not None and pairs > GAIN * before
-        last = last and at > 0
+        before, pairs = pairs, _cross_pairs(rows) if at else None
+        last = at > 0 and (at == ROUNDS or pairs <= WORTH * total or before is not None and pairs > GAIN * before)
         met = _left_over(rows, labelled, similar) if last else materialise(_stars(rows, at, similar).unionByName(_inside(labelled, at)).distinct())
         todo = materialise(close(met, members, similar))
         links = verified(todo, texts, size, similar)
