@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ def test_hits_are_those_of_the_full_edit_table(seed):
         text = prose(rng.randint(0, 999), 20) + ". " + "".join(s).upper() + " -- " + prose(rng.randint(0, 999), 15)
         found = {h[0]: h for h in D.find(index, plain(pa.array([prose(1, 9), text])))[1]}
         for y in index.items:
-            if len(y.chars) < D.Q + D.LEAST - 1:
+            if not y.q:
                 continue
             least = edits(text_of(y.chars), text_of(D.normal(text)))
             assert (least <= y.edits) == (y.id in found)
@@ -54,6 +55,51 @@ def test_hits_are_those_of_the_full_edit_table(seed):
                 assert edits(text_of(y.chars), part) == least
 
 
+def test_items_of_all_lengths_get_a_tenth_of_edits(monkeypatch):
+    monkeypatch.setattr(D, "PLACES", 64)  # many parts
+    rng = random.Random(5)
+    items = [(n, prose(n, 40)[:n].rstrip(" .,") + "x" * (n - len(prose(n, 40)[:n].rstrip(" .,")))) for n in range(15, 81)]
+    index = D.Index.of(items)
+    assert all(x.q and x.edits == len(x.chars) // 10 and x.least >= D.LEAST for x in index.items if len(x.chars) >= D.SHORT)
+    for x in index.items:
+        if not x.q:
+            continue
+        s = list(text_of(x.chars))
+        for _ in range(x.edits + rng.randint(0, 1)):
+            at, kind = rng.randrange(len(s)), rng.random()
+            s[at : at + 1] = [] if kind < 0.3 else [rng.choice("qzj"), s[at]] if kind < 0.6 else [rng.choice("qzj")]
+        text = prose(rng.randint(0, 999), 12) + ". " + "".join(s) + " -- " + prose(rng.randint(0, 999), 8)
+        found = {h[0]: h[3] for h in D.find(index, plain(pa.array([prose(1, 9), text])))[1]}
+        for y in index.items:
+            if y.q:
+                least = edits(text_of(y.chars), text_of(D.normal(text)))
+                assert found.get(y.id) == (least if least <= y.edits else None)
+
+
+def test_many_short_items_cost_little_and_match_as_whole_words():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))) for _ in range(60_000))
+    items = [(i, "".join(rng.choice("abcdefgh  ") for _ in range(rng.randint(6, 12)))) for i in range(50_000)]
+    index, few = D.Index.of(items), D.Index.of(items[:1])
+    texts = plain(pa.array([text, text[:5000], ""]))
+    times = []
+    for one in (few, few, index):
+        began = time.perf_counter()
+        hits = D.find(one, texts)
+        times.append(time.perf_counter() - began)
+    assert times[2] < 2 * times[1] + 3  # each of the hits takes its time
+    padded = f" {text[:5000]} "
+    assert {h[0] for h in hits[1]} == {i for i, t in items if t.split() and f" {' '.join(t.split())} " in padded}
+
+
+def test_a_very_long_text_is_searched_whole():
+    item = prose(77, 30)
+    text = prose(1, 400_000) + ". " + item
+    index = D.Index.of([(1, item), (2, "tiny item")])
+    (hits,) = D.find(index, plain(pa.array([text + " tiny item"])))
+    assert [(h[0], h[3]) for h in hits] == [(1, 0), (2, 0)]
+
+
 def test_places_in_the_original_text():
     index = D.Index.of(ITEMS)
     text = "Before: " + ITEMS[10 - 6][1].replace(" ", "  ").upper() + " after"

@@ -6,9 +6,9 @@ text by up to e = ``RATE`` * m edits. By the q-gram lemma such a region shares a
 least m - q + 1 - q * e of the item's q-grams with it, on diagonals that are at most
 e apart. So the shared q-grams of each text are counted in diagonal bands of width
 2w that overlap by half (w at least e): a band below the bound holds no match, and the others are
-verified by an alignment in a band around them. Items so short that the bound would
-fall under ``LEAST`` get the largest edit budget that keeps it; items shorter than
-q + LEAST - 1 characters can only match exactly and are compared so.
+verified by an alignment in a band around them. Each item takes the largest q, from ``Q``
+down to ``Q_LEAST``, that keeps its bound at ``LEAST`` or more, so that the tenth of edits holds for
+all items of ``SHORT`` characters or more. Shorter ones match exactly, as whole words, looked up by a hash.
 
 The benchmark is the query set. A block of it, of ``MAX_ITEMS`` items and ``MAX_CHARS``
 characters about, is sent to all tasks as a q-gram index; more items make more blocks, each
@@ -36,10 +36,12 @@ from pyspark.sql import types as T
 from winnow.llm._common import fresh, materialise, table
 from winnow.llm._text import data_of, slices
 
-Q = 8
+Q, Q_LEAST = 8, 4
 RATE = 0.1
 LEAST = 8
+SHORT = Q_LEAST * (int(RATE * 15) + 1) + LEAST - 1  # 15
 MAX_ITEMS, MAX_CHARS = 50_000, 8_000_000
+PLACES = 1 << 21  # shared q-grams held at a time, about
 _BITS = 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,11 +82,11 @@ def normal(text: str) -> np.ndarray:
 
 
 def _grams(c: np.ndarray, q: int = Q) -> np.ndarray:
-    """A hash of each run of q (a power of two) symbols."""
+    """A hash of each run of q symbols."""
     h, width = c.astype(np.uint64) * _MUL + np.uint64(1), 1
-    while width < q and len(h) > width:
-        h = (h[:-width] ^ (h[:-width] >> np.uint64(29))) * _MUL + h[width:]
-        width *= 2
+    while width < q and len(h) > (step := min(width, q - width)):  # two runs of a width, which overlap in the last step
+        h = (h[:-step] ^ (h[:-step] >> np.uint64(29))) * _MUL + h[step:]
+        width += step
     return h if width >= q else h[:0]
 
 
@@ -93,36 +95,65 @@ class Item:
     id: int
     chars: np.ndarray
     edits: int
+    q: int  #: 0: it matches exactly, as whole words
     least: int  #: shared q-grams that a match has
 
+    @staticmethod
+    def of(item_id: int, chars: np.ndarray) -> Item:
+        m, edits = len(chars), int(RATE * len(chars))
+        for q in range(Q, Q_LEAST - 1, -1) if m >= SHORT else ():
+            if (least := m - q + 1 - q * edits) >= LEAST:
+                return Item(item_id, chars, edits, q, least)
+        return Item(item_id, chars, 0, 0, 0)
+
 
 @dataclass
-class Index:
-    items: list[Item]
+class Grams:
+    """The q-grams of all items of one q."""
+
+    q: int
     grams: np.ndarray  #: sorted distinct hashes
     begin: np.ndarray  #: of each hash: where its places in items begin
     item: np.ndarray
     place: np.ndarray
     seen: np.ndarray  #: by the top bits of a hash: whether any item has it
+    reach: int  #: symbols of a text that a match covers at most
 
     @staticmethod
-    def of(rows: list[tuple[int, str]]) -> Index:
-        items, grams, which, place = [], [], [], []
-        for item_id, text in rows:
-            c = normal(text or "")
-            if not len(c):
-                continue
-            edits = min(int(RATE * len(c)), max(0, (len(c) - Q + 1 - LEAST) // Q))
-            items.append(Item(item_id, c, edits, len(c) - Q + 1 - Q * edits))
-            g = _grams(c) if len(c) >= Q + LEAST - 1 else np.zeros(0, np.uint64)
-            grams.append(g), which.append(np.full(len(g), len(items) - 1)), place.append(np.arange(len(g)))
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        g, w, p = join(grams, np.uint64), join(which, np.int64), join(place, np.int64)
+    def of(q: int, items: dict[int, Item]) -> Grams:
+        each = {k: _grams(x.chars, q) for k, x in items.items()}
+        g = np.concatenate(list(each.values()))
+        which = np.repeat(np.array(list(each)), [len(v) for v in each.values()])
+        place = np.concatenate([np.arange(len(v)) for v in each.values()])
         by = np.argsort(g, kind="stable")
         seen = np.zeros(1 << _BITS, bool)
         seen[(g * _MUL >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         distinct, begin = np.unique(g[by], return_index=True)
-        return Index(items, distinct, np.append(begin, len(g)), w[by], p[by], seen)
+        return Grams(q, distinct, np.append(begin, len(g)), which[by], place[by], seen, max(len(x.chars) + x.edits for x in items.values()))
+
+
+@dataclass
+class Index:
+    items: list[Item]
+    grams: list[Grams]
+    words: dict[int, tuple[np.ndarray, np.ndarray]]  #: by length of a short item: sorted hashes, and the items
+
+    @staticmethod
+    def of(rows: list[tuple[int, str]]) -> Index:
+        items = [Item.of(item_id, c) for item_id, text in rows if len(c := normal(text or ""))]
+        by_q: dict[int, dict[int, Item]] = {}
+        by_length: dict[int, list[int]] = {}
+        for k, x in enumerate(items):
+            if x.q:
+                by_q.setdefault(x.q, {})[k] = x
+            else:
+                by_length.setdefault(len(x.chars), []).append(k)
+        words = {}
+        for m, which in by_length.items():
+            h = _grams(np.concatenate([items[k].chars for k in which]), m)[::m]
+            by = np.argsort(h, kind="stable")
+            words[m] = h[by], np.array(which)[by]
+        return Index(items, [Grams.of(q, by_q[q]) for q in sorted(by_q)], words)
 
 
 def align(item: np.ndarray, region: np.ndarray, edits: int, slack: int) -> tuple[int, int, int] | None:
@@ -169,40 +200,49 @@ def find(index: Index, texts: pa.StringArray) -> list[list[tuple[int, int, int,
     c, at = folded(codes)
     edge = np.searchsorted(at, np.append(first, len(codes)))  # the texts' places among the kept symbols
     doc_of = np.repeat(np.arange(len(texts)), np.diff(edge))
-    g = _grams(c)
-    if len(g) and len(index.grams):
-        at_g = np.flatnonzero(index.seen[(g * _MUL >> np.uint64(64 - _BITS)).astype(np.int64)])
-        at_g = at_g[doc_of[at_g] == doc_of[at_g + Q - 1]]
-        k = np.searchsorted(index.grams, g[at_g])
-        same = index.grams[np.minimum(k, len(index.grams) - 1)] == g[at_g]
-        k, at_g = k[same], at_g[same]
-        lo, n = index.begin[k], index.begin[k + 1] - index.begin[k]
-        post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        place = np.repeat(at_g, n)
-        item, diagonal = index.item[post], place - index.place[post]
-        doc = doc_of[place]
-        least = np.array([x.least for x in index.items])
-        width = np.array([max(4, x.edits) for x in index.items])
-        # bands of 2 * width diagonals from a multiple of width: each q-gram lies in two
-        band = diagonal // width[item]
-        far = np.int64(len(c) + 2)
-        for part in range(2):
-            b = band - part
-            key = (item * (2 * far)) + b + far
-            full = doc * (np.int64(len(index.items)) * 2 * far) + key
-            order = np.argsort(full, kind="stable")
-            f = full[order]
-            begin = np.flatnonzero(np.diff(f, prepend=f[:1] - 1)) if len(f) else f
-            count = np.diff(np.append(begin, len(f)))
-            for s in begin[count >= least[item[order[begin]]]] if len(f) else []:
-                o = order[s]
-                _verify(index.items[int(item[o])], int(doc[o]), int(b[o]) * int(width[item[o]]), 2 * int(width[item[o]]), c, at, edge, first, hits)
-    for x in index.items:
-        if len(x.chars) < Q + LEAST - 1:
-            _exact(x, c, at, edge, doc_of, first, hits)
+    least = np.array([x.least for x in index.items])
+    width = np.array([max(4, x.edits) for x in index.items])
+    for grams in index.grams:
+        at_g, k = _shared(grams, c, doc_of)
+        n = grams.begin[k + 1] - grams.begin[k]
+        part = np.cumsum(n) // PLACES
+        for i in np.flatnonzero(np.diff(part, prepend=-1)) if len(n) else []:
+            # a match that ends in this part of the places has all its q-grams in here
+            i0, i1 = np.searchsorted(at_g, at_g[i] - grams.reach), np.searchsorted(part, part[i], "right")
+            for item, doc, diagonal in _bands(grams, at_g[i0:i1], k[i0:i1], n[i0:i1], doc_of, least, width):
+                _verify(index.items[item], doc, diagonal, 2 * int(width[item]), c, at, edge, first, hits)
+    _exact(index, c, at, edge, doc_of, first, hits)
     return [_best(h) for h in hits]
 
 
+def _shared(grams: Grams, c: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``c`` a q-gram of an item stands that doesn't go past its text, and which."""
+    g = _grams(c, grams.q)
+    at = np.flatnonzero(grams.seen[(g * _MUL >> np.uint64(64 - _BITS)).astype(np.int64)])
+    at = at[doc_of[at] == doc_of[at + grams.q - 1]]
+    k = np.minimum(np.searchsorted(grams.grams, g[at]), len(grams.grams) - 1)
+    same = grams.grams[k] == g[at]
+    return at[same], k[same]
+
+
+def _bands(grams: Grams, at: np.ndarray, k: np.ndarray, n: np.ndarray, doc_of: np.ndarray, least: np.ndarray, width: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, text, first diagonal) of the bands that reach an item's bound."""
+    post = np.repeat(grams.begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    place = np.repeat(at, n)
+    item, diagonal = grams.item[post], place - grams.place[post]
+    doc = doc_of[place]
+    # bands of 2 * width diagonals from a multiple of width: a half's count and the next half's
+    band = diagonal // width[item]
+    far = np.int64(len(doc_of) + 2)
+    full = (doc * len(least) + item) * (2 * far) + band + far
+    order = np.argsort(full, kind="stable")
+    halves, begin, half = np.unique(full[order], return_index=True, return_counts=True)
+    count = half.copy()
+    count[:-1] += np.where(np.diff(halves) == 1, half[1:], 0)
+    for o in order[begin[count >= least[item[order[begin]]]]]:
+        yield int(item[o]), int(doc[o]), int(band[o]) * int(width[item[o]])
+
+
 def _verify(x: Item, doc: int, diagonal: int, span: int, c: np.ndarray, at: np.ndarray, edge: np.ndarray, first: np.ndarray, hits: list) -> None:
     begin = max(int(edge[doc]), diagonal - x.edits)
     end = min(int(edge[doc + 1]), diagonal + span + len(x.chars) + x.edits)
@@ -231,16 +271,30 @@ def _add(x: Item, doc: int, a: int, b: int, cost: int, at: np.ndarray, first: np
         hits[doc].append((x.id, int(at[a] - first[doc]), int(at[b - 1] - first[doc]) + 1, cost))
 
 
-def _exact(x: Item, c: np.ndarray, at: np.ndarray, edge: np.ndarray, doc_of: np.ndarray, first: np.ndarray, hits: list) -> None:
-    """An item too short for q-grams: whole words that are equal to it."""
-    m = len(x.chars)
-    spots = np.flatnonzero(c[: len(c) - m + 1] == x.chars[0]) if len(c) >= m else np.zeros(0, np.int64)
-    for j in range(1, m):
-        spots = spots[c[spots + j] == x.chars[j]]
-    for a in spots.tolist():
-        doc = int(doc_of[a])
-        if a + m <= edge[doc + 1] and (a == edge[doc] or c[a - 1] == 0) and (a + m == edge[doc + 1] or c[a + m] == 0):
-            _add(x, doc, a, a + m, 0, at, first, hits)
+def _exact(index: Index, c: np.ndarray, at: np.ndarray, edge: np.ndarray, doc_of: np.ndarray, first: np.ndarray, hits: list) -> None:
+    """Items too short for q-grams: runs of whole words, by their hash, that are equal to one."""
+    if not index.words:
+        return
+    opens, ends = np.zeros((2, len(c) + 1), bool)  # before a place: a gap or a text's edge; at a place: the same
+    opens[edge], ends[edge] = True, True
+    opens[1:] |= c == 0
+    ends[:-1] |= c == 0
+    begins = np.flatnonzero(opens[:-1] & (c > 0))
+    for m, (known, which) in index.words.items():
+        spots = begins[begins + m <= len(c)]
+        spots = spots[ends[spots + m]]
+        spots = spots[doc_of[spots] == doc_of[spots + m - 1]]
+        h = _grams(c, m)[spots]
+        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+        some = np.flatnonzero(hi > lo)
+        # the first place in each text is the one reported
+        once = some[np.sort(np.unique(doc_of[spots[some]] * np.int64(len(known)) + lo[some], return_index=True)[1])]
+        for j in once.tolist():
+            a = int(spots[j])
+            for k in which[lo[j] : hi[j]].tolist():
+                x = index.items[k]
+                if (c[a : a + m] == x.chars).all():
+                    _add(x, int(doc_of[a]), a, a + m, 0, at, first, hits)
 
 
 def _best(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
