@@ -201,7 +201,8 @@ def find(index: Index, texts: pa.StringArray) -> list[list[tuple[int, int, int,
     edge = np.searchsorted(at, np.append(first, len(codes)))  # the texts' places among the kept symbols
     doc_of = np.repeat(np.arange(len(texts)), np.diff(edge))
     least = np.array([x.least for x in index.items])
-    width = np.array([max(4, x.edits) for x in index.items])
+    edits = np.array([x.edits for x in index.items])
+    width = np.maximum(4, edits)
     for grams in index.grams:
         at_g, k = _shared(grams, c, doc_of)
         n = grams.begin[k + 1] - grams.begin[k]
@@ -209,7 +210,7 @@ def find(index: Index, texts: pa.StringArray) -> list[list[tuple[int, int, int,
         for i in np.flatnonzero(np.diff(part, prepend=-1)) if len(n) else []:
             # a match that ends in this part of the places has all its q-grams in here
             i0, i1 = np.searchsorted(at_g, at_g[i] - grams.reach), np.searchsorted(part, part[i], "right")
-            for item, doc, diagonal in _bands(grams, at_g[i0:i1], k[i0:i1], n[i0:i1], doc_of, least, width):
+            for item, doc, diagonal in _bands(grams, at_g[i0:i1], k[i0:i1], n[i0:i1], doc_of, least, width, edits):
                 _verify(index.items[item], doc, diagonal, 2 * int(width[item]), c, at, edge, first, hits)
     _exact(index, c, at, edge, doc_of, first, hits)
     return [_best(h) for h in hits]
@@ -225,7 +226,7 @@ def _shared(grams: Grams, c: np.ndarray, doc_of: np.ndarray) -> tuple[np.ndarray
     return at[same], k[same]
 
 
-def _bands(grams: Grams, at: np.ndarray, k: np.ndarray, n: np.ndarray, doc_of: np.ndarray, least: np.ndarray, width: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _bands(grams: Grams, at: np.ndarray, k: np.ndarray, n: np.ndarray, doc_of: np.ndarray, least: np.ndarray, width: np.ndarray, edits: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(item, text, first diagonal) of the bands that reach an item's bound."""
     post = np.repeat(grams.begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     place = np.repeat(at, n)
@@ -239,8 +240,14 @@ def _bands(grams: Grams, at: np.ndarray, k: np.ndarray, n: np.ndarray, doc_of: n
     halves, begin, half = np.unique(full[order], return_index=True, return_counts=True)
     count = half.copy()
     count[:-1] += np.where(np.diff(halves) == 1, half[1:], 0)
-    for o in order[begin[count >= least[item[order[begin]]]]]:
-        yield int(item[o]), int(doc[o]), int(band[o]) * int(width[item[o]])
+    for i in np.flatnonzero(count >= least[item[order[begin]]]):
+        o = order[begin[i] : begin[i] + count[i]]
+        x = int(item[o[0]])
+        w, low = int(width[x]), int(band[o[0]]) * int(width[x])
+        # a match's q-grams lie on edits + 1 diagonals, the first of which is in this half
+        upto = np.concatenate([[0], np.cumsum(np.bincount(diagonal[o] - low, minlength=2 * w))])
+        if (upto[edits[x] + 1 : edits[x] + 1 + w] - upto[:w]).max() >= least[x]:
+            yield x, int(doc[o[0]]), low
 
 
 def _verify(x: Item, doc: int, diagonal: int, span: int, c: np.ndarray, at: np.ndarray, edge: np.ndarray, first: np.ndarray, hits: list) -> None:
