@@ -79,7 +79,7 @@ def test_items_of_all_lengths_get_a_tenth_of_edits(monkeypatch):
 def test_many_short_items_cost_little_and_match_as_whole_words():
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))) for _ in range(60_000))
-    items = [(i, "".join(rng.choice("abcdefgh  ") for _ in range(rng.randint(6, 12)))) for i in range(50_000)]
+    items = [(i, "".join(rng.choice("abcdefgh  ") for _ in range(rng.randint(3, 12)))) for i in range(50_000)]
     index, few = D.Index.of(items), D.Index.of(items[:1])
     texts = plain(pa.array([text, text[:5000], ""]))
     times = []
@@ -87,7 +87,7 @@ def test_many_short_items_cost_little_and_match_as_whole_words():
         began = time.perf_counter()
         hits = D.find(one, texts)
         times.append(time.perf_counter() - began)
-    assert times[2] < 2 * times[1] + 3  # each of the hits takes its time
+    assert times[2] < 2 * times[1] + 1  # a second for the 20,000 hits
     padded = f" {text[:5000]} "
     assert {h[0] for h in hits[1]} == {i for i, t in items if t.split() and f" {' '.join(t.split())} " in padded}
 
