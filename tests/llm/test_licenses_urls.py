@@ -1,4 +1,5 @@
 import re
+import time
 from itertools import product
 
 import pyarrow as pa
@@ -153,6 +154,15 @@ def test_a_long_label_is_split(spark):
     assert got[1] == ["cheap", "pills"] * 40 + ["q" * 100, "org"]
 
 
+def test_a_long_label_meets_a_long_word(spark):
+    word = "abcdefghijklmnopqrstuvwxyz" * 90
+    rows = [(1, f"http://{word}pills.org/", f"{word} pills " + "pills " * 20), (2, f"http://{word[::-1]}.net/", None)]
+    begin = time.time()
+    got = {r["page_id"]: r["host_words"] for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == [word, "pills", "org"] and got[2] == [word[::-1], "net"]
+    assert time.time() - begin < 60
+
+
 def test_bayes_weights_and_verdicts_by_hand(spark):
     from collections import Counter
     from math import log

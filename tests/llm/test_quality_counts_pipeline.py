@@ -134,6 +134,32 @@ def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path):
     assert {r["n_tokens"] for r in rollup.totals().collect()} <= set(tokens("one").values())
 
 
+def test_generations_keep_totals_and_what_can_be_replaced(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "GENERATION", 2)
+    root = f"file://{tmp_path}/rollup"
+    kind = "doc_id long, op string, source string, lang string, text string"
+    state: dict = {}
+    for b in range(5):
+        rows = [(b, "insert", "a", "en", f"new {b}"), (None, "insert", "n", None, "no id")] + ([(b - 1, "revise", "b", "en", "one " * b), (b - 2, "delete", None, None, None)] if b > 1 else [])
+        rollup = token_counts.Rollup(spark, root)
+        rollup.apply(b, spark.createDataFrame(rows, kind))
+        state |= {b: ("a", "en", f"new {b}"), f"n{b}": ("n", None, "no id")}
+        if b > 1:
+            state[b - 1] = ("b", "en", "one " * b)
+            state.pop(b - 2)
+        # a generation that broke off has no marker and is not read
+        materialise(spark.createDataFrame([("z", "z", "z", 9, 9)], token_counts.DELTAS), f"{root}/generations/99/deltas")
+        got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
+        assert got == totals(state.values())
+    assert rollup._generation()[1] == {0, 1, 2}
+    assert not (tmp_path / "rollup/ledger/0").exists() and (tmp_path / "rollup/ledger/4").exists()
+    before = sorted(rollup.totals().collect())
+    assert rollup.compact() and not rollup.compact()
+    assert sorted(rollup.totals().collect()) == before
+    assert not rollup.apply(0, spark.createDataFrame([(50, "insert", "a", "en", "again")], kind))
+    assert sorted(token_counts.Rollup(spark, root).totals().collect()) == before
+
+
 def test_op8_totals(spark, tmp_path):
     rows = [(1, "a\nb\na", "en", "s", 1), (2, "same text", "en", "s", 1), (3, "same text", "en", "t", 1), (4, None, None, None, None), (5, "x\n\n\ny", "de", "t", 1)]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))

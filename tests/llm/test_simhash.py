@@ -2,10 +2,12 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tests.llm.data import documents, empty, prose
 
+from winnow.llm import components as stars
 from winnow.llm import simhash
 from winnow.llm.components import connected_components
 
@@ -60,7 +62,9 @@ def test_links_lose_nothing(spark):
     assert got == want and len(want) > 40
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("split", [0, stars.SPLIT])
+def test_components_of_paths_stars_and_loops(spark, monkeypatch, split):
+    monkeypatch.setattr(stars, "SPLIT", split)
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 130)] + [(200, 200), (None, 5), (301, 300), (300, 301)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 130)}, 300: 300, 301: 300}

@@ -84,12 +84,12 @@ def window_keys(s: np.ndarray, edge: np.ndarray, order: int, groups: np.ndarray,
             at = first + k - 1
             at = at[(at < stop) & (at >= begin) & (at < end)] - begin
             length[at] = k
-            short.append((at, h[at + begin - low] + np.uint64(k) * _C))
-    out = h[begin - low :] + np.uint64(order) * _C
+            short.append((at, h[at + begin - low] + np.full(1, k, np.uint64) * _C))
+    out = h[begin - low :] + np.full(1, order, np.uint64) * _C
     for at, keys in short:
         out[at] = keys
     if len(groups) and (groups == groups[0]).all():
-        out += np.uint64(int(groups[0]) + 1) * _P
+        out += (groups[:1].astype(np.uint64) + np.uint64(1)) * _P
     else:
         out += (groups[texts_at(edge, begin, end)].astype(np.uint64) + np.uint64(1)) * _P
     return out, length

@@ -7,28 +7,41 @@ from pyspark.sql import functions as F
 
 from winnow.llm._common import discard, materialise
 
+SPLIT = 1_000_000  # links from which least ends are written before they are joined
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """The number of ``edges`` and the sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """From (a, b), undirected, to (node, component): the smallest node that each node reaches.
 
     Only nodes that have a link to another come out. Each round is a shuffle of the
-    links; a node with very many links is spread by grouping on the other end in
-    turn, and rounds grow with the logarithm of the longest path. Null ends and
-    links from a node to itself are ignored; repeated links count once.
+    links, and rounds grow with the logarithm of the longest path. A node's least end is
+    aggregated before the shuffle; from ``SPLIT`` links on it is written, so that the join that follows is
+    one of two plain shuffles, in which Spark splits a node with very many links. Rounds end when
+    number and hash sum of the links stay. Null ends and links from a node to itself are ignored; repeated links count once.
     """
     edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = _mark(edges)
     while True:
+        apart = materialise if mark[0] >= SPLIT else lambda df: df
+        made = []
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = apart(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        made.append(least)
+        large = apart(large.distinct())
+        least = apart(large.groupBy("a").agg(F.min("b").alias("m")))
+        made += [large, least]
         near = large.join(least, "a")
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         after = materialise(small)
-        same = edges.count() == after.count() and edges.exceptAll(after).isEmpty()
-        discard(edges)
-        edges = after
-        if same:
+        for done in (edges, *(made if mark[0] >= SPLIT else [])):
+            discard(done)
+        edges, before, mark = after, mark, _mark(after)
+        if mark == before:
             roots = edges.select(F.col("b").alias("node")).distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))

@@ -15,6 +15,11 @@ batch replaces is found by a join of its ids with the ledger, of which only the
 of these ids are read; texts are not kept.
 :meth:`Rollup.totals` reads the deltas only, a few rows a batch.
 
+Every ``GENERATION`` batches, :meth:`Rollup.compact` adds up what is committed into one ledger and
+one table of deltas, a generation, so that a batch or a total reads one generation and at most so many
+batches, however many there were. A generation counts once its own marker exists and names the batches in it, so
+one that broke off changes nothing. One writer at a time is assumed.
+
 Nulls: a null text has no tokens; null source and language are groups of their own.
 A null doc_id can be inserted only, and never replaced. In one batch the last change
 of an id (by ``order``, then the larger text) counts; repeated rows are one change.
@@ -43,8 +48,12 @@ TOKENIZERS = {"byte_bpe_50k": "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEYS = ("source", "lang", "tokenizer")
 BUCKETS = 64  # of the ledger, by a hash of the id; a batch reads those of its ids only
+GENERATION = 16  # batches that are read one by one
 SPREAD = 4  # files of a bucket in a batch
 
+DELTAS = "source string, lang string, tokenizer string, docs long, tokens long"
+LEDGER = "doc_id {}, " + DELTAS + ", bucket int"
+
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
 
 
@@ -92,10 +101,42 @@ class Rollup:
         path, fs = self._path(f"{self.root}/commits")
         return sorted(int(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
 
+    def _generation(self) -> tuple[str | None, set[int]]:
+        """The folder of the last whole generation and the batches in it."""
+        path, fs = self._path(f"{self.root}/generations")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        whole = [int(n) for n in names if fs.exists(self._path(f"{self.root}/generations/{n}/done")[0])]
+        if not whole:
+            return None, set()
+        folder = f"{self.root}/generations/{max(whole)}"
+        return folder, {r["batch"] for r in self.spark.read.schema("batch long").parquet(f"{folder}/batches").collect()}
+
     def _read(self, kind: str, schema: str) -> DataFrame:
-        found = [self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{b}") for b in self.committed()]
+        folder, inside = self._generation()
+        paths = [f"{folder}/{kind}"] * bool(folder) + [f"{self.root}/{kind}/{b}" for b in self.committed() if b not in inside]
+        found = [self.spark.read.schema(schema).parquet(p) for p in paths]
         return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], schema)
 
+    def compact(self, id_type: str = "bigint") -> bool:
+        """Add up all committed batches in a new generation and remove what it replaces. False if there is nothing to add.
+
+        ``id_type``: the type of doc_id. Frames of :meth:`totals` that were made before must have been written.
+        """
+        batches, (folder, inside) = self.committed(), self._generation()
+        if inside.issuperset(batches):
+            return False
+        target = f"{self.root}/generations/{int(folder.rsplit('/', 1)[1]) + 1 if folder else 1}"
+        summed = (F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        ledger = self._read("ledger", LEDGER.format(id_type)).groupBy("doc_id", *KEYS, "bucket").agg(*summed).where("docs != 0 or tokens != 0")
+        self._write_ledger(ledger, f"{target}/ledger")
+        materialise(self._read("deltas", DELTAS).groupBy(*KEYS).agg(*summed).where("docs != 0 or tokens != 0"), f"{target}/deltas")
+        materialise(self.spark.createDataFrame([(b,) for b in batches], "batch long"), f"{target}/batches")
+        marker, fs = self._path(f"{target}/done")
+        fs.create(marker, True).close()
+        for gone in [folder] * bool(folder) + [f"{self.root}/{kind}/{b}" for kind in ("counted", "ledger", "deltas") for b in batches if b not in inside]:
+            fs.delete(self._path(gone)[0], True)
+        return True
+
     def apply(self, batch: int, changes: DataFrame) -> bool:
         """Add a batch: (doc_id, op, source, lang, text) and, if there is one, ``order``. False if it was committed before."""
         if batch in self.committed():
@@ -110,27 +151,28 @@ class Rollup:
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
         ids = new.select("doc_id").where("doc_id is not null")
         touched = [r["b"] for r in ids.select(bucket.alias("b")).distinct().collect()]
-        ledger = self._read("ledger", f"doc_id {kinds['doc_id']}, source string, lang string, tokenizer string, docs long, tokens long, bucket int").where(F.col("bucket").isin(touched))
+        ledger = self._read("ledger", LEDGER.format(kinds["doc_id"])).where(F.col("bucket").isin(touched))
         before = ledger.join(small(ids), "doc_id", "left_semi").groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
         minus = before.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
         plus = new.where("c.there").select("doc_id", "c.source", "c.lang", F.explode("c.counts").alias("t")).select("doc_id", "source", "lang", "t.tokenizer", F.lit(1).cast("long").alias("docs"), F.col("t.n").alias("tokens"))
         # rows without an id can't be replaced, so the ledger doesn't hold them
-        signed = self._write_ledger(minus.unionByName(plus.where("doc_id is not null")).withColumn("bucket", bucket), batch)
+        signed = self._write_ledger(minus.unionByName(plus.where("doc_id is not null")).withColumn("bucket", bucket), f"{self.root}/ledger/{batch}")
         signed = signed.drop("bucket").unionByName(plus.where("doc_id is null"))
         deltas = signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
         materialise(deltas, f"{self.root}/deltas/{batch}")
         marker, fs = self._path(f"{self.root}/commits/{batch}")
         fs.create(marker, True).close()
+        if len(set(self.committed()) - self._generation()[1]) > GENERATION:
+            self.compact(kinds["doc_id"])
         return True
 
-    def _write_ledger(self, signed: DataFrame, batch: int) -> DataFrame:
-        path = f"{self.root}/ledger/{batch}"
+    def _write_ledger(self, signed: DataFrame, path: str) -> DataFrame:
         signed.repartition("bucket", F.pmod(F.xxhash64("doc_id", "tokenizer"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("bucket").parquet(path)
         return self.spark.read.schema(signed.schema).parquet(path)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; groups that have come to nothing are left out."""
-        deltas = self._read("deltas", "source string, lang string, tokenizer string, docs long, tokens long")
+        deltas = self._read("deltas", DELTAS)
         return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
 
 

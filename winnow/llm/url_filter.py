@@ -109,12 +109,13 @@ def segmented_labels(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words) of the distinct labels in (host)."""
     labels = materialise(hosts.select(F.explode(F.split("host", SEPARATOR)).alias("label")).where("label != ''").distinct())
     longest = labels.agg(F.coalesce(F.max(F.length("label")), F.lit(0))).first()[0]
-    r = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max(F.when(F.length("word") <= longest, F.length("word"))), F.lit(0))).first()
-    total, reach = r[0], r[1]
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # lengths that known words have, of which m need a text of m * m / 2 letters
+    lengths = [r[0] for r in counts.where(F.length("word") <= longest).select(F.length("word").alias("k")).distinct().orderBy("k").collect()]
     # a row a place, then a row a length: no label is held with all its pieces
     places = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("at"))
-    last = F.least(F.lit(reach), F.length("label") - F.col("at") + 1)
-    pieces = places.where(last > 0).select("label", "at", F.explode(F.sequence(F.lit(1), last)).alias("k")).select("label", F.col("label").substr(F.col("at"), F.col("k")).alias("word"))
+    fits = F.filter(F.lit(lengths) if lengths else F.array().cast("array<int>"), lambda k: k <= F.length("label") - F.col("at") + 1)
+    pieces = places.select("label", "at", F.explode(fits).alias("k")).select("label", F.col("label").substr(F.col("at"), F.col("k")).alias("word"))
     # known pieces only; a label of which none is known still needs its row
     known = pieces.distinct().join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
     return labels.join(known, "label", "left").select("label", split_labels("label", "found", F.lit(total).cast("long")).alias("words"))
