@@ -109,6 +109,40 @@ def test_optional_lookup(spark):
     assert {r["k"]: r["score"] for r in curation.optional_lookup(rows, known, "k", {"score": "double"}).collect()} == {1: 0.25, 2: None, None: None}
 
 
+def test_entropy_bounds_hold_what_was_cut():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        full = np.sort(rng.dirichlet(np.full(30, 0.3)))
+        known = full * rng.uniform(0.5, 1, 30) * (rng.random(30) < 0.8)
+        low, high = setmetrics.entropy_bounds(known[known > 0], 30)
+        exact = -(full * np.log(np.maximum(full, 1e-300))).sum()
+        assert low <= exact + 1e-12 and exact <= high + 1e-12 <= np.log(30) + 1e-9
+    assert setmetrics.entropy_bounds(np.array([0.25, 0.75]), 2) == pytest.approx((0.5623351, 0.5623351))
+    assert setmetrics.entropy_bounds(np.array([0.5]), 4)[1] == pytest.approx(-0.5 * np.log(0.5) - 0.5 * np.log(0.5 / 3))
+
+
+def test_rbf_vendi_of_many_rows_lies_between_its_bounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 6))[rng.integers(12, size=600)] * 4 + rng.normal(size=(600, 6)) * 0.5
+    exact = setmetrics.vendi_score(frame(spark, x), "rbf", 2.0)["vendi"]
+    monkeypatch.setattr(setmetrics, "RBF_ROWS", 100)
+    monkeypatch.setattr(setmetrics, "_ROWS", 70)
+    widths = []
+    for landmarks in (40, 150, 600):
+        r = setmetrics.vendi_score(frame(spark, x).repartition(5), "rbf", 2.0, landmarks=landmarks)
+        assert r["low"] - 1e-4 <= exact <= r["high"] + 1e-4 and r["low"] <= r["vendi"] <= r["high"] and r["n"] == 600
+        widths.append(r["high"] / r["low"])
+    assert widths[0] > widths[1] > widths[2] and widths[2] < 1.0002  # 150 landmarks: within 1.55, as each cluster has its own directions
+    copies = setmetrics.vendi_score(frame(spark, np.repeat(x[:3], 60, 0)), "rbf", 1e-3)
+    assert copies["low"] == pytest.approx(3, abs=1e-3) and copies["high"] == pytest.approx(3, abs=1e-3)
+
+
+def test_rbf_vendi_of_a_hundred_thousand_rows(spark):
+    many = spark.range(100_000).select("id", F.array(*(F.randn(i) for i in range(3))).alias("x"))
+    r = setmetrics.vendi_score(many, "rbf", 2.0, landmarks=256)
+    assert 1 < r["low"] <= r["high"] < 1.01 * r["low"] and r["n"] == 100_000
+
+
 def test_parity_vendi_and_small_sets(spark):
     x = np.random.default_rng(1).normal(size=(30, 3))
     y = x.copy()

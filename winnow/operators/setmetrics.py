@@ -177,6 +177,12 @@ def frechet_distance(reference: DataFrame, candidates: DataFrame, eps: float = 1
 
 
 RBF_ROWS = 4000
+LANDMARKS = 1024
+_ROWS = 2048  # vectors that meet the landmarks at a time
+
+
+def _entropy(w: np.ndarray) -> float:
+    return float(-(w * np.log(np.maximum(w, 1e-300))).sum())
 
 
 def _spread(eigenvalues: np.ndarray) -> float:
@@ -186,12 +192,66 @@ def _spread(eigenvalues: np.ndarray) -> float:
     return round(float(np.exp(-(w * np.log(np.maximum(w, 1e-12))).sum())), 4)
 
 
-def vendi_score(df: DataFrame, kernel: str = "cosine", sigma: float | None = None) -> dict:
+def entropy_bounds(known: np.ndarray, n: int) -> tuple[float, float]:
+    """The least and the largest entropy of n eigenvalues of sum 1, of which none is under its place in ``known``; others are 0 or more.
+
+    What is missing from 1 adds least if all of it goes to the largest, and most if the smallest are filled up to one level.
+    """
+    known = np.sort(known)
+    rest = max(0.0, 1.0 - known.sum())
+    top = known[-1:]
+    low = _entropy(known) + _entropy(top + rest) - _entropy(top)
+    filled = n - len(known) + np.arange(len(known) + 1)
+    level = (rest + np.concatenate([[0.0], np.cumsum(known)])) / np.maximum(filled, 1)
+    k = int(np.flatnonzero((filled > 0) & (level <= np.append(known, np.inf)))[0])
+    return low, filled[k] * _entropy(level[k : k + 1]) + _entropy(known[k:])
+
+
+def _meetings(df: DataFrame, landmarks: np.ndarray, sigma: float) -> np.ndarray:
+    """The sum over all vectors of the outer product of their rbf kernel values with ``landmarks``: a task adds up its own, then rows of the matrix are added across tasks."""
+    r = len(landmarks)
+
+    def sums(batches):
+        total = np.zeros((r, r))
+        for b in batches:
+            for at in range(0, b.num_rows, _ROWS):
+                c = pairs.kernel_matrix(pairs.matrix(b.column(0).slice(at, _ROWS)), landmarks, "rbf", sigma=sigma)
+                total += c.T @ c
+        for i in range(0, r, 64):
+            some = total[i : i + 64]
+            offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * r)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(some), dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(some.ravel()))], ["i", "v"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        return pa.table({"i": rows["i"][:1], "v": pa.array([pairs.matrix(rows["v"]).sum(0).tolist()], pa.list_(pa.float64()))})
+
+    kind = "i int, v array<double>"
+    rows = df.select("x").mapInArrow(sums, kind).groupBy("i").applyInArrow(add, kind).toArrow().sort_by("i")
+    return pairs.matrix(rows["v"])
+
+
+def _rbf_bounds(df: DataFrame, n: int, sigma: float, landmarks: int, seed: int) -> tuple[float, float]:
+    """The least and the largest entropy of the rbf kernel's eigenvalues over n.
+
+    The kernel matrix less its projection on the columns of some vectors has no negative eigenvalue, so the projection's
+    eigenvalues are lower bounds one by one, and what its trace lacks is known.
+    """
+    z = pairs.matrix(df.orderBy(seeded(seed, "id"), "id").select("x").limit(landmarks).toArrow()["x"])
+    w, u = np.linalg.eigh(pairs.kernel_matrix(z, z, "rbf", sigma=sigma))
+    used = w > 1e-9 * w.max()
+    half = u[:, used] / np.sqrt(w[used])
+    found = np.linalg.eigvalsh(half.T @ _meetings(df, z, sigma) @ half) / n
+    return entropy_bounds(np.clip(found, 0, 1), n)
+
+
+def vendi_score(df: DataFrame, kernel: str = "cosine", sigma: float | None = None, landmarks: int = LANDMARKS, seed: int = 0) -> dict:
     """The effective number of distinct vectors under the cosine or the rbf kernel.
 
     Cosine: the n x n kernel matrix over n and the d x d mean of outer products have the same
-    eigenvalues past zero, so only the latter is formed. The rbf kernel has no such form: its
-    matrix is made for ``RBF_ROWS`` vectors at most, more are an error. ``sigma``: the median distance if not given.
+    eigenvalues past zero, so only the latter is formed. The rbf kernel has no such form: up to ``RBF_ROWS``
+    vectors its whole matrix is made. For more, one pass compares all vectors with ``landmarks`` of them, which a hash of
+    the seed and the id chooses; ``low`` and ``high`` then hold the exact score between them and ``vendi`` is their
+    geometric mean. More landmarks bring them together. ``sigma``: the median distance if not given.
     """
     if kernel == "cosine":
         n, mean, cov = covariance(df.select(unit(F.col("x")).alias("x")))
@@ -200,9 +260,11 @@ def vendi_score(df: DataFrame, kernel: str = "cosine", sigma: float | None = Non
         raise ValueError(f"unknown kernel: {kernel}")
     n = df.count()
     if n > RBF_ROWS:
-        raise ValueError(f"an rbf matrix of {n} rows; at most {RBF_ROWS}")
+        low, high = _rbf_bounds(df, n, sigma or median_sigma(df), landmarks, seed)
+        return {"vendi": round(float(np.exp((low + high) / 2)), 4), "low": round(float(np.exp(low)), 4), "high": round(float(np.exp(high)), 4), "n": n}
     x = pairs.matrix(df.orderBy("id").select("x").toArrow()["x"])
-    return {"vendi": _spread(np.linalg.eigvalsh(pairs.kernel_matrix(x, x, "rbf", sigma=sigma or median_sigma(df)) / n)) if n else float("nan"), "n": n}
+    exact = _spread(np.linalg.eigvalsh(pairs.kernel_matrix(x, x, "rbf", sigma=sigma or median_sigma(df)) / n)) if n else float("nan")
+    return {"vendi": exact, "low": exact, "high": exact, "n": n}
 
 
 def feature_parity(a: DataFrame, b: DataFrame) -> dict:

@@ -272,6 +272,11 @@ def vendi_score(spark, sf_dir):
     return one(spark, vendi=setmetrics.vendi_score(halves(spark, sf_dir)[0])["vendi"])
 
 
+def vendi_rbf(spark, sf_dir):
+    x = pairs.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return one(spark, **setmetrics.vendi_score(x, "rbf"))
+
+
 def kmeans_balanced(spark, sf_dir):
     return models.kmeans_balanced(halves(spark, sf_dir)[0], SMALL, 8)
 
@@ -314,7 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         label_map_counts, flag_bucket_report, last_flag_wins, drop_set_antijoin, balanced_per_class, heldout_antijoin, leakage_intersections, seeded_split, seeded_sample,
         weighted_sample, path_resolve, cache_keys, median_sigma, mmd2, kid_subsets, nn_distance, copy_rate, memorisation_gate, realism_gate, gate_report, chunk_quantile_gate,
         coverage_density, generative_recall, knn_rank_topk, score_topk, herding_select, kcenter_select, dpp_select, gate_then_herd, selector_ranking, auroc_confusion,
-        class_weights, history_upsert, delta_vs_first, class_shares, mahalanobis_gate, reference_threshold_gate, frechet_distance, vendi_score, kmeans_balanced,
+        class_weights, history_upsert, delta_vs_first, class_shares, mahalanobis_gate, reference_threshold_gate, frechet_distance, vendi_score, vendi_rbf, kmeans_balanced,
         two_sample_forest, linear_probe, metric_map_explode, nearest_then_herd, compare_filters, herding_trace,
         class_threshold_gate, value_quantiles,
     )
