@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,6 +16,10 @@ from winnow.functions.order import seeded
 from winnow.operators.sampling import n_per_class, sample_n
 from winnow.sources.scratch import written
 
+TREES = 50  # of a forest, fitted as one
+ROWS = 1 << 16  # of a part of the rows that trees are fitted to
+FITS = 8  # at a time, at most
+
 
 def _ml(df: DataFrame) -> DataFrame:
     return df.withColumn("features", array_to_vector("x"))
@@ -28,32 +34,45 @@ def kmeans_balanced(pool: DataFrame, n: int, clusters: int = 200, seed: int = 0)
     return even.unionByName(rest).limit(n)
 
 
-def _folds(reference: DataFrame, candidates: DataFrame, folds: int, seed: int) -> DataFrame:
+def _folds(reference: DataFrame, candidates: DataFrame, folds: int, seed: int) -> tuple[DataFrame, int]:
+    """Both sets with their folds, and in how many parts trees are fitted to them."""
     both = reference.select("id", "x", F.lit(0.0).alias("label")).unionByName(candidates.select("id", "x", F.lit(1.0).alias("label")))
     fold = F.pmod(F.conv(F.substring(seeded(seed, "label", "id"), 1, 8), 16, 10).cast("long"), F.lit(folds))
-    return written(both.withColumn("fold", fold))
+    parts = max(1, -(-both.count() // ROWS))
+    return written(both.withColumn("fold", fold).repartition(parts, "id", "label").sortWithinPartitions("id", "label")), parts
+
+
+def _out_of_fold(rows: DataFrame, parts: int, folds: int, trees: int, depth: int, seed: int) -> DataFrame:
+    """``rows`` with ``p``, the probability of being a candidate under a forest that has not seen the row.
+
+    A fit makes a histogram for each node in every part of the rows, however few rows that has, and cores wait between its levels. So parts
+    are large, and ``FITS`` groups of ``TREES`` trees are fitted at a time. A forest's probability is the mean over its trees, so groups add up.
+    """
+    groups = [(k, at, min(TREES, trees - at)) for k in range(folds) for at in range(0, trees, TREES)]
 
+    def fit(group: tuple[int, int, int]) -> DataFrame:
+        k, at, n = group
+        model = RandomForestClassifier(numTrees=n, maxDepth=depth, seed=seed + at).fit(_ml(rows.where(F.col("fold") != k).coalesce(parts)))
+        scored = model.transform(_ml(rows.where(F.col("fold") == k)))
+        return written(scored.select("id", "label", (vector_to_array("probability")[1] * n).alias("p")))
 
-def _out_of_fold(rows: DataFrame, folds: int, trees: int, depth: int, seed: int) -> DataFrame:
-    """``rows`` with ``p``, the probability of being a candidate under a forest that has not seen the row."""
-    parts = []
-    for k in range(folds):
-        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(_ml(rows.where(F.col("fold") != k)))
-        parts.append(model.transform(_ml(rows.where(F.col("fold") == k))).select("id", "label", vector_to_array("probability")[1].alias("p")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    at_once = max(1, min(FITS, rows.sparkSession.sparkContext.defaultParallelism // parts, len(groups)))
+    with ThreadPool(at_once) as pool:
+        scored = pool.map(inheritable_thread_target(rows.sparkSession)(fit), groups, 1)
+    return reduce(lambda a, b: a.unionByName(b), scored).groupBy("id", "label").agg((F.sum("p") / trees).alias("p"))
 
 
 def c2st(reference: DataFrame, candidates: DataFrame, folds: int = 5, trees: int = 200, depth: int = 10, seed: int = 0) -> float:
     """Accuracy of telling candidates from the reference; 0.5 is indistinguishable. NaN under 10 rows."""
     if min(reference.count(), candidates.count()) < 10:
         return float("nan")
-    scored = _out_of_fold(_folds(reference, candidates, folds, seed), folds, trees, depth, seed)
+    scored = _out_of_fold(*_folds(reference, candidates, folds, seed), folds, trees, depth, seed)
     return scored.agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double")).alias("a")).first()["a"]
 
 
 def forest_rank(reference: DataFrame, candidates: DataFrame, folds: int = 5, trees: int = 200, depth: int = 10, seed: int = 0) -> DataFrame:
     """(id, score): each candidate's out-of-fold probability of being one; lower is more real."""
-    scored = _out_of_fold(_folds(reference, candidates, folds, seed), folds, trees, depth, seed)
+    scored = _out_of_fold(*_folds(reference, candidates, folds, seed), folds, trees, depth, seed)
     return scored.where("label = 1").select("id", F.col("p").alias("score"))
 
 
