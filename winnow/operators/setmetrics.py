@@ -82,13 +82,46 @@ def kid(reference: DataFrame, candidates: DataFrame, subset_size: int = 1000, su
     return {"kid": r["kid"], "kid_std": r["kid_std"], "subset_size": size, "subsets": subsets}
 
 
+BALLS_OF = 2048  # reference vectors that bound the balls at first
+
+
 def coverage_density(reference: DataFrame, candidates: DataFrame, k: int = 5) -> dict:
     """The share of reference balls with a candidate in them, and how many balls hold a candidate, over k."""
-    balls = written(pairs.radii(reference, k))
-    k = min(k, balls.count() - 1)
-    n = pairs.inside_counts(balls, candidates)
-    r = n.agg(F.avg((F.col("n") > 0).cast("double")).alias("c"), F.sum("n").alias("s")).first()
-    return {"coverage": round(r["c"], 4), "density": round(r["s"] / (k * candidates.count()), 4), "k": k}
+    return coverage_densities(reference, {"": candidates}, k)[""]
+
+
+def coverage_densities(reference: DataFrame, sets: dict[str, DataFrame], k: int = 5) -> dict[str, dict]:
+    """:func:`coverage_density` of several sets of candidates; balls are made once for all.
+
+    Where candidates are few, most balls hold none, and that can be told without their radius: it is at most the distance to the k-th
+    nearest vector of any part of the reference. Parts that grow by eight are tried on the balls that are still open, and
+    only those that stay open get their radius by all vectors. Results are those of all balls.
+    """
+    n, sizes = reference.count(), {name: df.count() for name, df in sets.items()}
+    rest, closed = reference.select("id", "x"), 0
+    if 16 * sum(sizes.values()) <= n and sum(sizes.values()):
+        near = None
+        for df in sets.values():
+            one = to_reference(reference, df)
+            near = one if near is None else near.unionByName(one)
+        near = near.groupBy("id").agg(F.min("d").alias("d"))
+        part, rest = BALLS_OF, written(rest.join(near, "id", "left"))
+        left = n
+        while 8 * part <= n and left:
+            some = written(reference.orderBy(seeded(0, "id"), "id").limit(part).select("id", "x"))
+            found = pairs.nearest(rest, some, k, skip_same=True).where(F.size("near") >= k).select("id", F.element_at("near", k)["d"].alias("most"))
+            open_ = written(rest.join(found, "id", "left").where("d IS NULL OR most IS NULL OR d <= most * (1 + 1e-9)").drop("most"))
+            before, left = left, open_.count()
+            closed, rest, part = closed + before - left, open_, 8 * part
+    near = pairs.nearest(rest, reference, k, skip_same=True).where(F.size("near") > 0)
+    balls = written(rest.join(near.select("id", F.element_at("near", -1)["d"].alias("radius")), "id").select("id", "x", "radius"))
+    n_balls = closed + balls.count()
+    k = min(k, n_balls - 1)
+    out = {}
+    for name, df in sets.items():
+        r = pairs.inside_counts(balls, df).agg(F.count_if(F.col("n") > 0).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()
+        out[name] = {"coverage": round(r["c"] / n_balls, 4), "density": round(r["s"] / (k * sizes[name]), 4), "k": k}
+    return out
 
 
 def recall(reference: DataFrame, candidates: DataFrame, k: int = 5) -> dict:

@@ -204,10 +204,10 @@ def gate_then_herd(spark, sf_dir):
 def selector_ranking(spark, sf_dir):
     a, b = halves(spark, sf_dir)
     kept = {"herding": selectors.herding(a, b, N), "k-center": selectors.kcenter(a, N), "random": sampling.sample_n(a, N, 3)}
-    rows = []
-    for name, ids in kept.items():
-        s = written(a.join(F.broadcast(ids.select("id")), "id", "left_semi"))  # N ids
-        rows.append((name, s.count(), *(setmetrics.coverage_density(b, s)[m] for m in ("coverage", "density"))))
+    # N ids
+    sets = {name: written(a.join(F.broadcast(ids.select("id")), "id", "left_semi")) for name, ids in kept.items()}
+    measured = setmetrics.coverage_densities(b, sets)
+    rows = [(name, s.count(), *(measured[name][m] for m in ("coverage", "density"))) for name, s in sets.items()]
     return report.ranked(spark.createDataFrame(rows, "name string, n long, coverage double, density double"), "coverage")
 
 
