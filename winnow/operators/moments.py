@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from winnow.functions.vectors import matrix
 
 DEGREE, WIDTH = 3, 96
-ROWS = 1024  # of a tile
+ROWS = 256  # of a tile, which makes some arrays of ``WIDTH^2 / 2`` numbers a row
 
 
 def fits(width: int, degree: int) -> bool:

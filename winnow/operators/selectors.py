@@ -34,6 +34,7 @@ from winnow.operators.sampling import n_per_class
 from winnow.sources.scratch import Dealt, scope
 
 AHEAD, AHEAD_BYTES, STEPS = 4096, 64 << 20, 64
+TILE = 1024  # rows of a batch that a task works on at a time, however many Spark sends
 GAIN_FLOOR = 1e-10
 TABLE_BYTES = 128 << 20  # of vectors in one part of a pool
 
@@ -107,6 +108,12 @@ def _lists(m: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m, np.float64).ravel()))
 
 
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TILE):
+            yield batch.slice(at, TILE)
+
+
 def _by_class(t: pa.RecordBatch | pa.Table, names: list[str]) -> Iterator[tuple[int, Rows]]:
     k = np.asarray(t["k"])
     for one in np.unique(k):
@@ -153,7 +160,7 @@ class Pool:
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
+            for batch in _tiles(batches):
                 for one, rows in _by_class(batch, rule.names):
                     ids, score = rows.id[~rows.taken], rule.score(rows, t)[~rows.taken]
                     if one in kept:
@@ -179,7 +186,7 @@ class Pool:
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            for batch in batches:
+            for batch in _tiles(batches):
                 for one, rows in _by_class(batch, rule.names):
                     picks = sent.value.get(one, [])
                     with_all = rule.against(rows, picks[:-1])
@@ -204,7 +211,7 @@ class Pool:
         sent = self.vectors.spark.sparkContext.broadcast(picks)
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _tiles(batches):
                 for one, rows in _by_class(batch, rule.names):
                     mine = sent.value.get(one, [])
                     with_all = rule.against(rows, mine)
