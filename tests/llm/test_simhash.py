@@ -84,6 +84,27 @@ def test_keep_one(spark):
     assert simhash.keep_one(empty(spark)).collect() == []
 
 
+def test_keep_one_starts_from_near_fingerprints(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    other = [*words[:200], "new", *words[200:]]  # one word more
+    half = [*words[:300], *(f"x{i}" for i in range(300))]  # not similar
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(half)), (4, " ".join(words)), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(F.col("doc_id").alias("t"), "text")
+    prints = {t: simhash.fingerprint((x or "").encode(), 5) for t, x in rows}
+    apart = lambda a, b: bin(prints[a] ^ prints[b]).count("1")
+    bits = max(1, apart(1, 2))
+    near = {(r["a"], r["b"]) for r in simhash.near_texts(texts, bits).collect()}
+    first = {f: min(t for t in prints if prints[t] == f) for f in prints.values()}
+    want = {(first[f], t) for t, f in prints.items() if first[f] != t}
+    want |= {tuple(sorted((a, b))) for a in first.values() for b in first.values() if a != b and apart(a, b) <= bits}
+    assert {tuple(sorted(p)) for p in near} == want and {(1, 2), (1, 4), (5, 6)} <= want
+    asked = []
+    all_pairs = lambda texts: asked.append(1) or texts.select(F.col("t").alias("a")).crossJoin(texts.select(F.col("t").alias("b")))
+    monkeypatch.setattr(simhash, "near_texts", all_pairs)  # what is not similar stays apart
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 5] and asked == [1]
+
+
 def test_long_text_and_chunks(monkeypatch):
     text = prose(1, 500).encode()
     whole = simhash.fingerprint(text)

@@ -12,11 +12,14 @@ come first that cost one pair a row: in each shingle's list, and in each group,
 with all others of other classes, and what is similar becomes one class. Rounds end when the lists
 hold hardly more pairs than rows, or a round settles little; then every pair of different classes that is
 left in any list is filtered and compared. A list of near copies thus costs its length, not its square, and the
-result is that of comparing all pairs. Large lists are joined by sort and merge, which Spark splits where they are skewed.
+result is that of comparing all pairs. A caller may name pairs of texts to be looked at before the rounds (near
+fingerprints, in :mod:`simhash`): those that are similar are links like any other, and the rounds start from their classes. Large lists are joined by sort and merge, which Spark splits where they are skewed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ ROUNDS = 8  # at most, of one pair a row
 WORTH = 4  # rounds go on while lists hold more than so many pairs a row
 GAIN = 0.8  # and while one leaves at most this share of them
 
+Candidates = Callable[[DataFrame], DataFrame]  # from (t, text) to pairs (a, b) of t
+
 
 def _labelled(nodes: DataFrame, classes: DataFrame | None) -> DataFrame:
     """``nodes`` (node, ...) with ``c``, the class of each."""
@@ -85,10 +90,21 @@ def _left_over(rows: DataFrame, members: DataFrame, similar: tuple[int, int]) ->
     return out
 
 
-def node_classes(sets: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+def _first_links(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, members: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """(a, b): the nodes of those ``pairs`` (a, b) of texts that are similar. Nodes that share no shingle of their prefixes with others are not among ``members`` and can't be."""
+    of = materialise(sets.select("t", "s").distinct().join(nodes.select("s", "node"), "s").select("t", "node"))
+    named = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    todo = materialise(close(named, members, similar))
+    links = verified(todo, texts, size, similar)
+    for done in (of, todo):
+        discard(done)
+    return links
+
+
+def node_classes(sets: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int], first: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(s, node) of all sets (t, n, s, g, bits, prefix), and (node, component) of the nodes that links join to others.
 
-    A node is named by the smallest t of its set.
+    A node is named by the smallest t of its set. The similar ones of ``first`` (a, b), pairs of t, are the classes that rounds start from.
     """
     nodes = materialise(sets.where("n > 0").groupBy("s").agg(F.min("t").alias("node"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits")))
     groups = materialise(nodes.groupBy("g").agg(F.min("node").alias("rep"), (F.count("*") > 1).alias("many")))
@@ -101,12 +117,16 @@ def node_classes(sets: DataFrame, texts: DataFrame, size: int, similar: tuple[in
     live = places.select("rep").unionByName(groups.where("many").select("rep")).distinct()
     members = materialise(nodes.join(groups, "g").join(live, "rep", "left_semi").select("node", "rep", "n", "bits"))
     classes, pairs, total = None, None, places.count()
+    if first is not None:
+        links = _first_links(first, sets, nodes, members, texts, size, similar)
+        classes = connected_components(links)
+        discard(links)
     for at in range(ROUNDS + 1):
         labelled = materialise(_labelled(members.select("node", "rep"), classes))
         spread = labelled.groupBy("rep").agg(F.min("c").alias("low"), F.max("c").alias("high"))
         rows = materialise(places.join(spread, "rep").select("h", F.struct("rep", "n", "pos", "low", "high").alias("d")))
-        before, pairs = pairs, _cross_pairs(rows) if at else None
-        last = at > 0 and (at == ROUNDS or pairs <= WORTH * total or before is not None and pairs > GAIN * before)
+        before, pairs = pairs, _cross_pairs(rows) if classes is not None else None
+        last = pairs is not None and (at == ROUNDS or pairs <= WORTH * total or before is not None and pairs > GAIN * before)
         met = _left_over(rows, labelled, similar) if last else materialise(_stars(rows, at, similar).unionByName(_inside(labelled, at)).distinct())
         todo = materialise(close(met, members, similar))
         links = verified(todo, texts, size, similar)
@@ -122,26 +142,26 @@ def node_classes(sets: DataFrame, texts: DataFrame, size: int, similar: tuple[in
     return nodes.select("s", "node"), classes
 
 
-def text_classes(docs: DataFrame, size: int, similar: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with t, (t, n, class)): t names a text; a text's number of shingles and, if it has any, its class."""
+def text_classes(docs: DataFrame, size: int, similar: tuple[int, int], candidates: Candidates | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with t, (t, n, class)): t names a text; a text's number of shingles and, if it has any, its class. Pairs of ``candidates`` are looked at first."""
     named = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = named.select("t", "text")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
     sets = materialise(signatures(texts, size, similar, common))
-    nodes, classes = node_classes(sets, texts, size, similar)
+    nodes, classes = node_classes(sets, texts, size, similar, candidates(texts) if candidates else None)
     of = sets.select("t", "n", "s").distinct().join(nodes, "s", "left").join(classes, "node", "left")
     out = materialise(of.select("t", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class")))
     discard(sets)
     return named, out
 
 
-def near_copy_groups(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def near_copy_groups(docs: DataFrame, size: int = SHINGLE, similar: tuple[int, int] = SIMILAR, candidates: Candidates | None = None) -> DataFrame:
     """(key, group long) for each row of ``docs`` (key, text): rows linked by similar texts have one group.
 
     A null or empty text, and one without words, is a copy of the others of that kind. Repeated rows
     come out as often as they went in; empty input gives no rows.
     """
-    named, classes = text_classes(docs.select("key", "text"), size, similar)
+    named, classes = text_classes(docs.select("key", "text"), size, similar, candidates)
     return named.select("key", "t").join(classes, "t").select("key", F.coalesce("class", F.lit(0)).alias("group"))
 
 

@@ -31,10 +31,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from winnow.llm._common import fresh, join_by_key, materialise, row_hash, table
+from winnow.llm._common import discard, fresh, join_by_key, materialise, row_hash, table
 from winnow.llm._text import LOWER, data_of, offsets_of, slices
 from winnow.llm.components import connected_components
 from winnow.llm.jaccard_join import near_copy_groups
+from winnow.llm.near_copies import SHINGLE as WIDE
 
 SHINGLE = 3
 BITS = 2
@@ -136,15 +137,32 @@ def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS,
     return join_by_key(prints, named, "fp").select("id", "fp", "component")
 
 
+def near_texts(texts: DataFrame, bits: int = BITS, shingle: int = WIDE) -> DataFrame:
+    """(a, b): pairs of ``texts`` (t, text), written, whose fingerprints are equal or linked.
+
+    A fingerprint is named by the smallest t that has it; the others are paired with that one only, so copies cost a row each.
+    """
+    prints = materialise(texts.select("t", simhash64(F.col("text"), shingle).alias("fp")).distinct())
+    firsts = materialise(prints.groupBy("fp").agg(F.min("t").alias("first")))
+    equal = join_by_key(prints, firsts, "fp").where("t != first").select(F.col("first").alias("a"), F.col("t").alias("b"))
+    links = linked_fingerprints(firsts.select("fp"), bits)
+    near = links.join(firsts.toDF("fp", "a"), "fp").join(firsts.toDF("other", "b"), "other").select("a", "b")
+    out = materialise(equal.unionByName(near).distinct())
+    for done in (prints, firsts):
+        discard(done)
+    return out
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies of ``docs`` (doc_id, text), see :mod:`jaccard_join`: the one with the smallest doc_id, null last, then text hash, then the hash of all its columns; columns as before.
+    """One row of each group of near copies of ``docs`` (doc_id, text): the one with the smallest doc_id, null last, then text hash, then the hash of all its columns; columns as before.
 
-    Of rows that are equal in all columns one stays.
+    Texts with near fingerprints are compared by their shingles first (:func:`near_texts`); what is similar and further apart than that is
+    found from there by :mod:`jaccard_join`. Of rows that are equal in all columns one stays.
     """
     (keep,) = fresh(docs, "keep")
     names = fresh(docs, *(f"{keep}_{f}" for f in ("none", "id", "hash", "tie")))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), row_hash(docs).alias("tie"))
-    kept = near_copy_groups(docs.select(key.alias("key"), "text")).groupBy("group").agg(F.min("key").alias("id")).select("id.*").toDF(*names)
+    kept = near_copy_groups(docs.select(key.alias("key"), "text"), candidates=near_texts).groupBy("group").agg(F.min("key").alias("id")).select("id.*").toDF(*names)
     keyed = docs.withColumn(keep, key).withColumns({c: F.col(f"{keep}.{f}") for c, f in zip(names, ("none", "id", "hash", "tie"))}).drop(keep)
     return keyed.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
 
