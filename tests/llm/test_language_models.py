@@ -227,3 +227,13 @@ def test_bands_by_hand(spark):
 def test_null_and_empty_language_are_two_groups(spark):
     langs = spark.createDataFrame([(None,), ("",), ("en",)], "lang string").select(quality_rules.language_group(F.col("lang")).alias("g"))
     assert len({r["g"] for r in langs.collect()}) == 3
+
+
+def test_all_orders_are_joined_at_once(spark):
+    """The driver plans, compiles and keeps what it runs: 74 jobs before, for joins of each order of their own."""
+    docs = documents(spark, [(i, prose(i, 40 + i), "en", "s", 1) for i in range(40)])
+    rows = materialise(spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, y int"))
+    spark.sparkContext.setJobGroup("gaps", "gaps")
+    gaps = toxicity.window_gaps(docs, rows)
+    spark.sparkContext.setJobGroup("", "")
+    assert gaps.count() > 500 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("gaps")) <= 60

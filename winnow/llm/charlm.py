@@ -173,14 +173,14 @@ def window_counts(df: DataFrame, group: str, text: str, order: int, fold: bool =
     return materialise(partial.groupBy("g", "gram").agg(F.sum("n").alias("n")))
 
 
-def levels(counts: DataFrame, order: int) -> list[DataFrame]:
-    """(g, gram, a) by order from 1: from (g, gram, n), the adjusted count of each n-gram.
+def levels(counts: DataFrame, order: int, least: int = 1) -> list[DataFrame]:
+    """(g, gram, a) by order from ``least``: from (g, gram, n), written, the adjusted count of each n-gram.
 
     The highest order, and n-grams at a text's start, have their raw counts; other
     n-grams the number of distinct symbols that stand before them.
     """
     out = [counts.where(F.length("gram") == order).select("g", "gram", F.col("n").alias("a"))]
-    for k in range(order - 1, 0, -1):
+    for k in range(order - 1, least - 1, -1):
         inner = out[0].groupBy("g", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("a"))
         out.insert(0, materialise(inner.unionByName(counts.where(F.length("gram") == k).select("g", "gram", F.col("n").alias("a")))))
     return out
@@ -200,26 +200,28 @@ def log_probabilities(windows: DataFrame, by_order: list[DataFrame]) -> DataFram
     """(g, gram, logp double) for each of ``windows`` (g, gram; distinct, written), from the counts of :func:`levels`.
 
     An order takes its discounts off the counts and gives what they add up to to the order below;
-    an order that has not met the context leaves all to the order below.
+    an order that has not met the context leaves all to the order below. An n-gram's length is its order, so
+    counts, discounts and totals of all orders are joined at once; only the probabilities go from order to order.
     """
     order, below = len(by_order), None
     discounts = small(materialise(_discounts(by_order)))
-    for k, level in enumerate(by_order, 1):
-        context = F.substring("gram", 1, k - 1)
-        level = level.join(discounts.where(F.col("order") == k), F.col("g") == F.col("of")).select("g", "gram", "a", F.least(F.col("d")[F.least("a", F.lit(3)).cast("int") - 1], "a").alias("spent"))
-        totals = level.groupBy("g", context.alias("context")).agg(F.sum("a").alias("total"), F.sum("spent").alias("all_spent"))
-        # the ends of longer windows, too, as their probabilities go into those
-        mine = windows.where(F.length("gram") >= k).select("g", F.substring("gram", -k, k).alias("gram"))
-        mine = mine if k == order else mine.distinct()
-        p = mine.select("g", "gram", context.alias("context"), F.substring("gram", 2, k).alias("suffix")).join(level, ["g", "gram"], "left")
-        # a context of no symbols is one row a group; longer ones meet few rows each
-        p = p.join(small(totals) if k == 1 else totals, ["g", "context"], "left")
-        lower = F.lit(UNSEEN)
+    level = reduce(DataFrame.unionByName, [level.select("g", "gram", "a") for level in by_order])
+    level = level.join(discounts, (F.col("g") == F.col("of")) & (F.length("gram") == F.col("order"))).select("g", "gram", "a", F.least(F.col("d")[F.least("a", F.lit(3)).cast("int") - 1], "a").alias("spent"))
+    context = F.expr("substring(gram, 1, length(gram) - 1)").alias("context")
+    totals = level.groupBy("g", context).agg(F.sum("a").alias("total"), F.sum("spent").alias("all_spent"))
+    # the ends of longer windows, too, as their probabilities go into those
+    ends = F.array(*(F.when(F.length("gram") >= k, F.substring("gram", -k, k)) for k in range(1, order + 1)))
+    mine = windows.select("g", F.explode(ends).alias("gram")).where("gram is not null").distinct()
+    # a context meets few rows, as each is followed by a symbol of its own
+    p = mine.join(level, ["g", "gram"], "left").select("g", "gram", "a", "spent", context).join(totals, ["g", "context"], "left")
+    seen = F.coalesce((F.col("a") - F.col("spent")) / F.col("total"), F.lit(0.0))
+    steps = materialise(p.select("g", "gram", seen.alias("seen"), F.coalesce(F.col("all_spent") / F.col("total"), F.lit(1.0)).alias("left")))
+    for k in range(1, order + 1):
+        p, lower = steps.where(F.length("gram") == k), F.lit(UNSEEN)
         if below is not None:
-            p = p.join(below.withColumnsRenamed({"gram": "suffix", "p": "lower"}), ["g", "suffix"], "left")
+            p = p.withColumn("suffix", F.substring("gram", 2, k)).join(below.withColumnsRenamed({"gram": "suffix", "p": "lower"}), ["g", "suffix"], "left")
             lower = F.coalesce("lower", F.lit(UNSEEN))
-        seen = F.coalesce((F.col("a") - F.col("spent")) / F.col("total"), F.lit(0.0))
-        p = p.select("g", "gram", (seen + F.coalesce(F.col("all_spent") / F.col("total"), F.lit(1.0)) * lower).alias("p"))
+        p = p.select("g", "gram", (F.col("seen") + F.col("left") * lower).alias("p"))
         if k < order:
             p = materialise(p)
             done = p if k == 1 else done.unionByName(p)  # noqa: F821

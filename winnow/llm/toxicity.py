@@ -61,10 +61,10 @@ def window_gaps(docs: DataFrame, rows: DataFrame, order: int = ORDER) -> DataFra
     classes = counts.where(F.col("g") != POOL)
     if classes.select("g").distinct().count() < 2:
         return None
-    pooled = classes.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("g"), "gram", "n")
+    pooled = materialise(classes.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("g"), "gram", "n"))
     both = F.explode(F.array(F.lit(0), F.lit(1)))
     lower = [level.select(both.alias("g"), "gram", "a") for level in charlm.levels(pooled, order)[:SHARED]]
-    own = charlm.levels(classes, order)[SHARED:]
+    own = charlm.levels(classes, order, SHARED + 1)
     windows = materialise(counts.select("gram").distinct())
     logp = charlm.log_probabilities(windows.select(both.alias("g"), "gram"), lower + own)
     gap = F.sum(F.when(F.col("g") == 1, F.col("logp")).otherwise(-F.col("logp")))
