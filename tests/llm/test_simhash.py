@@ -2,13 +2,14 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tests.llm.data import documents, empty, prose
 
 from winnow.llm import components as stars
-from winnow.llm import simhash
+from winnow.llm import near_copies, simhash
 from winnow.llm.components import connected_components
 
 
@@ -105,6 +106,29 @@ def test_keep_one_starts_from_near_fingerprints(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 5] and asked == [1]
 
 
+def test_keep_one_shuffles_copies_only(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30)), i % 3) for i in range(60)]
+    copies = [(100, rows[7][1], 1), (101, rows[7][1] + " more", 1), rows[9], (None, rows[11][1], 2), (None, rows[11][1], 2)]
+    docs = spark.createDataFrame(rows + copies + [(None, "alone here", 0), (None, None, 0), (None, "", 0)], "doc_id long, text string, Group int")
+    plain, met = type(docs).dropDuplicates, []
+    monkeypatch.setattr(type(docs), "dropDuplicates", lambda self, *a: met.append(self.count()) or plain(self, *a))
+    want = sorted([*map(tuple, rows), (None, "alone here", 0)], key=str)
+    got = lambda: sorted((tuple(r) for r in simhash.keep_one(docs).collect() if r["text"]), key=str)
+    assert got() == want and met and met[0] <= 6  # of 62 rows that stay
+    monkeypatch.setattr(near_copies, "SLOTS", 8)  # many share a slot with a copy
+    assert got() == want and met[1] > 6 >= met[0]
+
+
+def test_whole_sets_of_a_batch_come_in_slices(spark, monkeypatch):
+    texts = [prose(i, 40) for i in range(50)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "t long, text string").coalesce(1)
+    whole = docs.select("t", near_copies.whole_sets(5)("text").alias("x")).collect()
+    monkeypatch.setattr(near_copies, "SLICE", 1 << 10)
+    assert docs.select("t", near_copies.whole_sets(5)("text").alias("x")).collect() == whole and len(whole) == 52
+    parts = list(near_copies.whole_sets(5).func(iter([pa.array(texts)])))
+    assert len(parts) > 5 and sum(map(len, parts)) == 52
+
+
 def test_long_text_and_chunks(monkeypatch):
     text = prose(1, 500).encode()
     whole = simhash.fingerprint(text)

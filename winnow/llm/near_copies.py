@@ -73,17 +73,15 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def whole_sets(size: int):
-    """A UDF from a text to its shingles' hashes."""
+    """A UDF from a text to its shingles' hashes. It returns a slice at a time, as a batch's sets are larger than its texts."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = []
             for part in slices(texts, SLICE):
                 h, doc = shingles(part, size)
                 h, _, n = distinct_sorted(h, doc, len(part))
-                parts.append(_lists(h, n))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+                yield _lists(h, n)
 
     return sets
 

@@ -36,6 +36,7 @@ from winnow.llm._text import LOWER, data_of, offsets_of, slices
 from winnow.llm.components import connected_components
 from winnow.llm.jaccard_join import near_copy_groups
 from winnow.llm.near_copies import SHINGLE as WIDE
+from winnow.llm.near_copies import in_slots, slots_of
 
 SHINGLE = 3
 BITS = 2
@@ -157,14 +158,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies of ``docs`` (doc_id, text): the one with the smallest doc_id, null last, then text hash, then the hash of all its columns; columns as before.
 
     Texts with near fingerprints are compared by their shingles first (:func:`near_texts`); what is similar and further apart than that is
-    found from there by :mod:`jaccard_join`. Of rows that are equal in all columns one stays.
+    found from there by :mod:`jaccard_join`. Of rows that are equal in all columns one stays. A row that is alone in its group
+    stays where it is; only rows of larger groups, and few others that share their slots, are shuffled with all their columns.
     """
     (keep,) = fresh(docs, "keep")
     names = fresh(docs, *(f"{keep}_{f}" for f in ("none", "id", "hash", "tie")))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), row_hash(docs).alias("tie"))
-    kept = near_copy_groups(docs.select(key.alias("key"), "text"), candidates=near_texts).groupBy("group").agg(F.min("key").alias("id")).select("id.*").toDF(*names)
+    groups = materialise(near_copy_groups(docs.select(key.alias("key"), "text"), candidates=near_texts))
+    by = groups.groupBy("group").agg(F.min("key").alias("id"), F.count("*").alias("rows"))
+    copied = groups.join(by.where("rows > 1").select("group"), "group", "left_semi").select(F.xxhash64("key.*").alias("v"))
+    kept = by.select("id.*").toDF(*names)
     keyed = docs.withColumn(keep, key).withColumns({c: F.col(f"{keep}.{f}") for c, f in zip(names, ("none", "id", "hash", "tie"))}).drop(keep)
-    return keyed.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
+    copy = in_slots(slots_of(copied))(F.xxhash64(*names))
+    some = keyed.where(copy).join(kept, names, "left_semi").dropDuplicates(names)
+    return keyed.where(~copy).drop(*names).union(some.drop(*names))
 
 
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
