@@ -237,3 +237,14 @@ def test_all_orders_are_joined_at_once(spark):
     gaps = toxicity.window_gaps(docs, rows)
     spark.sparkContext.setJobGroup("", "")
     assert gaps.count() > 500 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("gaps")) <= 60
+
+
+def test_each_order_is_read_once_for_the_joins(spark, monkeypatch):
+    reads, write = [], charlm.materialise
+    monkeypatch.setattr(charlm, "materialise", lambda df: reads.append(df._jdf.queryExecution().analyzed().toString().count("Relation [")) or write(df))
+    counts = charlm.window_counts(spark.createDataFrame(TEXTS, "g int, text string"), "g", "text", 5)
+    levels = charlm.levels(counts, 5)
+    windows = materialise(counts.select("g", "gram"))
+    reads.clear()
+    charlm.log_probabilities(windows, levels)
+    assert 0 < max(reads) <= 7  # 13 where the tables of five orders are read for counts and totals

@@ -139,3 +139,19 @@ def test_long_text_and_chunks(monkeypatch):
 def test_extreme_fingerprint_distances(spark):
     row = spark.range(1).select(F.lit(-1).cast("long").alias("fp")).select(simhash.distance(F.col("fp"), 0).alias("a"), simhash.distance(F.col("fp"), (1 << 64) - 1).alias("b"), simhash.distance(F.col("fp"), 0, ((1 << 4) - 1) << 60).alias("c")).first()
     assert tuple(row) == (64, 0, 4)
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_links_have_a_small_plan(spark):
+    assert len(plan_of(simhash.linked_fingerprints(spark.createDataFrame([(1,), (3,)], "fp long")))) < 20_000  # 37,000 with an expression for each pivot
+
+
+def test_rounds_of_components_read_their_links_six_times(spark, monkeypatch):
+    reads, write = [], stars.materialise
+    monkeypatch.setattr(stars, "materialise", lambda df: reads.append(plan_of(df).count("Relation [")) or write(df))
+    got = connected_components(spark.createDataFrame([(5, 4), (3, 4), (9, 8)], "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8}
+    assert 0 < max(reads) <= 6

@@ -23,6 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,10 +187,9 @@ def levels(counts: DataFrame, order: int, least: int = 1) -> list[DataFrame]:
     return out
 
 
-def _discounts(by_order: list[DataFrame]) -> DataFrame:
-    """(of, order, d): the discounts of counts 1, 2 and 3 or more of each group, from the counts of counts; 0.75 where they can't be estimated."""
-    kept = reduce(DataFrame.unionByName, [level.select("g", "a", F.lit(k).alias("k")) for k, level in enumerate(by_order, 1)])
-    n = kept.groupBy("g", "k").agg(*(F.sum((F.col("a") == i).cast("long")).cast("double").alias(f"n{i}") for i in range(1, 5)))
+def _discounts(level: DataFrame) -> DataFrame:
+    """(of, order, d): the discounts of counts 1, 2 and 3 or more of each group and order, from the counts of counts of (g, gram, a); 0.75 where they can't be estimated."""
+    n = level.groupBy("g", F.length("gram").alias("k")).agg(*(F.sum((F.col("a") == i).cast("long")).cast("double").alias(f"n{i}") for i in range(1, 5)))
     y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     enough = F.least("n1", "n2", "n3", "n4") > 0
     d = [F.when(enough, F.lit(float(i)) - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}"))) for i in range(1, 4)]
@@ -204,8 +204,9 @@ def log_probabilities(windows: DataFrame, by_order: list[DataFrame]) -> DataFram
     counts, discounts and totals of all orders are joined at once; only the probabilities go from order to order.
     """
     order, below = len(by_order), None
-    discounts = small(materialise(_discounts(by_order)))
-    level = reduce(DataFrame.unionByName, [level.select("g", "gram", "a") for level in by_order])
+    # written, as a plan that reads each order's table again for each use fills the driver's memory
+    level = materialise(reduce(DataFrame.unionByName, [level.select("g", "gram", "a") for level in by_order]))
+    discounts = small(materialise(_discounts(level)))
     level = level.join(discounts, (F.col("g") == F.col("of")) & (F.length("gram") == F.col("order"))).select("g", "gram", "a", F.least(F.col("d")[F.least("a", F.lit(3)).cast("int") - 1], "a").alias("spent"))
     context = F.expr("substring(gram, 1, length(gram) - 1)").alias("context")
     totals = level.groupBy("g", context).agg(F.sum("a").alias("total"), F.sum("spent").alias("all_spent"))
@@ -290,16 +291,23 @@ def _measured(texts: pa.Array, groups: pa.Array, table: SortedTable, measure: Me
     return pa.concat_arrays(out) if out else pa.array([], kind)
 
 
-def with_values(rows: DataFrame, text: str, group: str | Column, values: DataFrame, measure: Measure, kind: T.DataType, arrow: pa.DataType, out: str, order: int, fold: bool = False, most: int | None = None) -> DataFrame:
+def sent_to_all(values: DataFrame, most: int | None = None) -> Broadcast | None:
+    """A broadcast of the table of ``values`` for :func:`with_values`; None if they are too many."""
+    if values.count() > (BROADCAST_ROWS if most is None else most):
+        return None
+    found = values.select("g", "gram", "value").mapInArrow(_hashed, "key long, value float").toArrow()
+    return values.sparkSession.sparkContext.broadcast(SortedTable(np.asarray(found["key"]).view(np.uint64), np.asarray(found["value"])))
+
+
+def with_values(rows: DataFrame, text: str, group: str | Column, values: DataFrame, measure: Measure, kind: T.DataType, arrow: pa.DataType, out: str, order: int, fold: bool = False, most: int | None = None, sent: Broadcast | None = None) -> DataFrame:
     """``rows`` with ``out``: what ``measure`` makes of a text, its group (int) and the table of its windows' values.
 
-    ``values``: (g, gram, value) of distinct windows, written. ``measure`` must not use other windows than the text's.
+    ``values``: (g, gram, value) of distinct windows, written; ``sent``: them as :func:`sent_to_all` gave them, where they are used
+    several times. ``measure`` must not use other windows than the text's.
     """
     group = F.col(group) if isinstance(group, str) else group
-    if values.count() <= (BROADCAST_ROWS if most is None else most):
-        found = values.select("g", "gram", "value").mapInArrow(_hashed, "key long, value float").toArrow()
-        table = rows.sparkSession.sparkContext.broadcast(SortedTable(np.asarray(found["key"]).view(np.uint64), np.asarray(found["value"])))
-        del found
+    table = sent or sent_to_all(values, most)
+    if table is not None:
 
         @F.arrow_udf(kind)
         def look(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -29,9 +29,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         apart = materialise if mark[0] >= SPLIT else lambda df: df
         made = []
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # a link's first end is the larger one in all rounds; each link is read once for both of its ends
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = apart(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        large = edges.toDF("b", "a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         made.append(least)
         large = apart(large.distinct())
         least = apart(large.groupBy("a").agg(F.min("b").alias("m")))

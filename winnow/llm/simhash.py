@@ -85,11 +85,15 @@ def pivots(width: int, shift: int, seed: int, references: int = 11) -> list[int]
     return [x << shift for x in [0, *(int(r) & most for r in rng.integers(0, 1 << 62, references))]]
 
 
+def bits_of(x: int) -> Column:
+    """64 bits as a long."""
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
+
+
 def distance(fp: Column, other: int | Column, mask: int = -1) -> Column:
     """Differing bits, within ``mask``."""
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    x = fp.bitwiseXOR(F.lit(signed(other)).cast("long") if isinstance(other, int) else other)
-    return F.bit_count(x if mask == -1 else x.bitwiseAND(F.lit(signed(mask)).cast("long")))
+    x = fp.bitwiseXOR(bits_of(other) if isinstance(other, int) else other)
+    return F.bit_count(x if mask == -1 else x.bitwiseAND(bits_of(mask)))
 
 
 def parts(shift: int, width: int, n: int) -> list[tuple[int, int]]:
@@ -99,13 +103,16 @@ def parts(shift: int, width: int, n: int) -> list[tuple[int, int]]:
 
 
 def linked_fingerprints(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """From distinct (fp) to the links (fp, other) with ``fp < other`` and at most ``bits`` differing bits."""
+    """From distinct (fp) to the links (fp, other) with ``fp < other`` and at most ``bits`` differing bits.
+
+    Pivots are arrays that functions go through: with an expression for each, the driver's plan was twice as large and all of it became code.
+    """
     n = bits + 1
     whole = pivots(64, 0, 1, 8)
     outer = parts(0, 64, n)
     # a list of distances for each part, and for the n parts of each part
     lists = {(i, None): _distances(*p) for i, p in enumerate(outer)} | {(i, j): _distances(*q) for i, p in enumerate(outer) for j, q in enumerate(parts(*p, n))}
-    rows = fps.select("fp", F.array(*(distance(F.col("fp"), p).cast("tinyint") for p in whole)).alias("d"), *(c.alias(f"t{i}_{j}") for (i, j), c in lists.items()))
+    rows = fps.select("fp", F.transform(F.array(*map(bits_of, whole)), lambda p: distance(F.col("fp"), p).cast("tinyint")).alias("d"), *(c.alias(f"t{i}_{j}") for (i, j), c in lists.items()))
     keys = [F.xxhash64(F.lit(i * n + j), f"t{i}_None", *(f"t{o}_{j}" for o in range(n) if o != i)) for i in range(n) for j in range(n)]
     rows = rows.select("fp", "d", F.explode(F.array(*keys)).alias("key"))
     a = rows.select("key", F.col("fp").alias("a"), F.col("d").alias("da"))
@@ -118,10 +125,8 @@ def linked_fingerprints(fps: DataFrame, bits: int = BITS) -> DataFrame:
 def _distances(shift: int, width: int) -> Column:
     """The distances of a part's bits to its pivots, five bits each, in one long: equal for equal bits."""
     mask = ((1 << width) - 1) << shift
-    out = F.lit(0).cast("long")
-    for p in pivots(width, shift, shift):
-        out = F.shiftleft(out, 5).bitwiseOR(distance(F.col("fp"), p, mask).cast("long"))
-    return out
+    own = F.array(*map(bits_of, pivots(width, shift, shift)))
+    return F.aggregate(own, F.lit(0).cast("long"), lambda out, p: F.shiftleft(out, 5).bitwiseOR(distance(F.col("fp"), p, mask).cast("long")))
 
 
 def simhash_groups(df: DataFrame, id_col: str, text_col: str, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:

@@ -116,7 +116,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, score: str = "score") ->
     if gaps is None:
         return docs.withColumn(score, F.lit(0.0))
     (x,) = fresh(docs, "features")
-    numbers = lambda some: charlm.with_values(some, "text", F.lit(0), gaps, text_features, T.ArrayType(T.DoubleType()), pa.list_(pa.float64()), x, ORDER, True)
+    sent = charlm.sent_to_all(gaps)
+    numbers = lambda some: charlm.with_values(some, "text", F.lit(0), gaps, text_features, T.ArrayType(T.DoubleType()), pa.list_(pa.float64()), x, ORDER, True, sent=sent)
     # a second reading of some labelled rows, for the curve only
     known = rows.where(F.col("fold") == CALIBRATION).select(F.col("doc_id").alias("labelled"), "y")
     n = known.count()
