@@ -55,10 +55,10 @@ def _place(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, written once and read back: cuts the lineage and fixes what a rerun could change."""
+def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+    """``df``, written once and read back: cuts the lineage and fixes what a rerun could change. ``rows_a_file``: at most, if not 0."""
     path = _place(df.sparkSession, f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
