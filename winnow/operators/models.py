@@ -19,7 +19,7 @@ from winnow.sources.scratch import written
 
 TREES = 50  # of a forest, fitted as one
 FITS = 8  # at a time, at most
-FEW = 1024  # rows, at most, that Spark's own forest is fitted to
+FEW = 256  # rows, at most, that Spark's own forest is fitted to; fits at once take much of the driver's memory
 
 
 def _ml(df: DataFrame) -> DataFrame:
